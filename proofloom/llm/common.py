@@ -75,6 +75,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer files are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def n_blocks(df: DataFrame, text: str = "text", size: int = BLOCK_BYTES) -> int:
     """Blocks of about ``size`` bytes that the texts of ``df`` fill, at least 1."""
     total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -86,6 +93,13 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of whole texts stay small in the workers: at most ``rows`` rows in this session."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def texts(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, suffix_tree
-from .common import table
+from . import outliers, simhash, suffix_tree, tokenfile
+from .common import table, tokenizer_file
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,13 +15,23 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, written and read back: doc_id, start, n_tokens, ids_crc32."""
+    return tokenfile.digests(spark, tokenfile.written(table(spark, sf_dir, "documents"), tokenizer_file()))
+
+
 def op7_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and suffix-tree log10 probabilities of every document."""
     return suffix_tree.scores(table(spark, sf_dir, "documents"))
 
 
+def op9_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts of every document, and whether rules and outlier test keep it."""
+    return outliers.judged(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash_near_dedup, op7_suffix_tree_scores)
+    own = (op1_simhash_near_dedup, op3_token_files, op7_suffix_tree_scores, op9_robust_outliers)
     return {f.__name__: f for f in own}
 
 
