@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, texts
+from .common import saved, small_batches, texts, trim
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 CELL = ["q1", "q2", "q3", "q4", "q5"]
@@ -80,6 +80,7 @@ def counted(docs: DataFrame, text: str = "text", keep: list[str] | None = None)
         for b in batches:
             n = base_counts(texts(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(n[:, i]) for i in range(n.shape[1])]], ["row", *COUNTS])
+        trim()
 
     small_batches(docs.sparkSession)
     return own.mapInArrow(run, f"row {own.schema['row'].dataType.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, parts, saved, texts, words
+from .common import parts, saved, small_batches, texts, trim, words
 from .components import components
 
 BUCKET_ROWS = 2048
@@ -63,7 +63,9 @@ def fingerprints(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text:
         for b in batches:
             fps = np.array([fingerprint(t, width) for t in texts(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps)], ["doc_id", "fp"])
+        trim()
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
