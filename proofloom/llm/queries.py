@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, mixing, outliers, rollups, simhash, suffix_tree, surrogates, tokenfile
+from . import decontam, htmltext, licenses, mixing, outliers, rollups, simhash, suffix_tree, surrogates, tokenfile
 from .common import scratch, table, tokenizer_file
 
 MAX_REPEATS = 1.5
@@ -19,6 +19,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(table(spark, sf_dir, "documents")).select("doc_id", simhash.hex_digits().alias("fingerprint"), "component_id")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and licence labels of every document."""
+    return licenses.scanned(table(spark, sf_dir, "documents")).drop("detections")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, written and read back: doc_id, start, n_tokens, ids_crc32."""
     return tokenfile.digests(spark, tokenfile.written(table(spark, sf_dir, "documents"), tokenizer_file()))
@@ -71,7 +76,7 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
-        op1_simhash_near_dedup, op3_token_files, op4_html_main_text, op5_pii_surrogates, op6_temperature_mixing,
+        op1_simhash_near_dedup, op2_license_scan, op3_token_files, op4_html_main_text, op5_pii_surrogates, op6_temperature_mixing,
         op7_suffix_tree_scores, op8_benchmark_alignment, op9_robust_outliers, op10_token_rollups,
     )
     return {f.__name__: f for f in own}
