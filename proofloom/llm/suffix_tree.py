@@ -9,7 +9,7 @@ context needs it. Each retained state's distribution is smoothed towards its
 parent's by the number of distinct next bytes it has seen; a byte is scored by
 the longest retained suffix of what stands before it.
 
-Work is by blocks of documents (a hash of doc_id). A block asks for each of its
+Work is by blocks of documents, as a task reads them. A block asks for each of its
 distinct words and (DEPTH+1)-byte grams once, the counts are summed over all
 blocks, contexts are split over tasks by their last two bytes, and the answers
 return to the block by joins. No vocabulary, gram table or model is broadcast or
@@ -23,16 +23,18 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop, n_blocks, parts, saved, texts, words
+from .common import parts, saved, small_batches, texts, trim, words
 
 DEPTH = 5
 END = b"\n"
-CHUNK = 4 << 20  # bytes whose grams are in memory at once
+BLOCK = 32 << 20
+CHUNK = 1 << 20  # bytes whose grams are in memory at once
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -40,68 +42,113 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
-def _chunks(docs: list[list[bytes]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first document, past the last, grams, start of each document's grams) for runs of about CHUNK bytes."""
-    pad = END * DEPTH
-    i = 0
-    while i < len(docs):
-        pieces, sizes, size, j = [], [], 0, i
-        while j < len(docs) and (size < CHUNK or j == i):
-            line = b" ".join(docs[j]) + END
-            pieces += [pad, line]
-            sizes.append(len(line))
-            size += len(line)
-            j += 1
-        a = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
-        n = len(a) - DEPTH
-        g = np.zeros(n, np.int64)
-        for k in range(DEPTH + 1):
-            g = (g << 8) | a[k : n + k]
-        s = np.array(sizes, np.int64)
-        first = np.cumsum(s + DEPTH) - (s + DEPTH)  # of each document's pad
-        keep = np.ones(n, bool)
-        for k in range(DEPTH):  # grams that end in the next document's pad
-            at = first[1:] - DEPTH + k
-            keep[at] = False
-        yield i, j, g[keep], np.cumsum(s) - s
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of about BLOCK bytes: each document's byte sequence, compressed together."""
+    part, seq = TaskContext.get().partitionId(), 0
+    ids, lines, size = [], [], 0
+
+    def flush() -> pa.RecordBatch:
+        block = (part << 24) + seq
+        blob = zstandard.ZstdCompressor(level=3).compress(b"".join(lines))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, lines))], pa.list_(pa.int64())), pa.array([blob], pa.binary())],
+            ["block", "ids", "sizes", "blob"],
+        )
+
+    for b in batches:
+        for d, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
+            ids.append(d)
+            lines.append(b" ".join(words(t)) + END)
+            size += len(lines[-1])
+            if size >= BLOCK:
+                yield flush()
+                seq, ids, lines, size = seq + 1, [], [], 0
+    if ids:
+        yield flush()
+
+
+def _parts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of documents of about CHUNK bytes, 65,536 documents at most."""
+    ends, i = np.cumsum(sizes), 0
+    while i < len(sizes):
+        j = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CHUNK, side="right"))
+        j = min(max(j, i + 1), i + (1 << 16), len(sizes))
+        yield i, j
         i = j
 
 
-def _lists(t: pa.Table) -> tuple[list[list[bytes]], np.ndarray]:
-    return [words(x) for x in texts(t.column("text"))], np.array([held_out(x) for x in t.column("doc_id").to_pylist()], bool)
-
-
-def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    u, inv = np.unique(np.concatenate(keys), return_inverse=True)
-    return u, np.bincount(inv, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
-
-
-def _asked(t: pa.Table) -> pa.Table:
-    """What a block asks for: each distinct word and gram, in order, with its count in training documents."""
-    docs, out = _lists(t)
-    train: Counter = Counter()
-    every: set = set()
-    for w, o in zip(docs, out):
-        every.update(w) if o else train.update(w)
-    every.update(train)
-    vocab = sorted(every)
-    keys, counts = [], []
-    for i, j, g, starts in _chunks(docs):
-        codes, u = pd.factorize(g)
-        sizes = np.diff(np.append(starts, len(g)))
-        weight = np.repeat(~out[i:j], sizes)
-        keys.append(u)
-        counts.append(np.bincount(codes, weights=weight, minlength=len(u)).astype(np.int64))
-    grams, c = _merge(keys, counts)
-    block = t.column("block")[0].as_py()
-    n = len(vocab), len(grams)
-    return pa.table({
-        "block": pa.array(np.full(sum(n), block, np.int32)),
-        "i": pa.array(np.concatenate([np.arange(n[0], dtype=np.int32), np.arange(n[1], dtype=np.int32)])),
-        "word": pa.chunked_array([pa.array(vocab, pa.binary()).cast(pa.string()), pa.nulls(n[1], pa.string())]),
-        "gram": pa.chunked_array([pa.nulls(n[0], pa.int64()), pa.array(grams)]),
-        "c": pa.array(np.concatenate([np.fromiter((train.get(w, 0) for w in vocab), np.int64, n[0]), c])),
-    })
+def _grams(lines: list[bytes]) -> np.ndarray:
+    """(DEPTH+1 bytes, number of the document) of each byte of each document, as one number of 48 + 16 bits."""
+    pad = END * DEPTH
+    raw = b"".join(x for line in lines for x in (pad, line))
+    n = len(raw) - DEPTH
+    wide = np.frombuffer(raw + bytes(8), np.uint8)
+    eight = np.lib.stride_tricks.as_strided(wide[:8].view(np.uint64), (n,), (1,))
+    g = (eight.byteswap() >> np.uint64(8 * (7 - DEPTH))) << np.uint64(16)
+    sizes = np.fromiter(map(len, lines), np.int64, len(lines)) + DEPTH
+    g |= np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)[:n]
+    first = np.cumsum(sizes)[:-1]
+    keep = np.ones(n, bool)
+    for k in range(DEPTH):  # those that end in the next document's pad
+        keep[first - DEPTH + k] = False
+    return g[keep]
+
+
+def _counts(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and how often each occurs."""
+    s = np.sort(g)
+    at = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
+    return s[at], np.diff(np.append(at, len(s)))
+
+
+class _Block:
+    """A block's documents, of which only a run is in pieces at a time."""
+
+    def __init__(self, ids: list, sizes: list, blob: bytes):
+        self.raw = zstandard.ZstdDecompressor().decompress(blob)
+        self.sizes = np.array(sizes, np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.held_out = np.array([held_out(x) for x in ids], bool)
+
+    def runs(self) -> Iterator[tuple[int, int, list[bytes]]]:
+        """(first document, past the last, byte sequences) of each run."""
+        for i, j in _parts(self.sizes):
+            yield i, j, [self.raw[b - n : b] for b, n in zip(self.ends[i:j].tolist(), self.sizes[i:j].tolist())]
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each block asks for: its distinct words, numbered in order, and grams, with their counts in training documents."""
+    schema = pa.schema([("block", pa.int64()), ("i", pa.int32()), ("word", pa.string()), ("gram", pa.int64()), ("c", pa.int64())])
+    for b in batches:
+        for block, ids, sizes, blob in zip(*(c.to_pylist() for c in b.columns)):
+            own_block = _Block(ids, sizes, blob)
+            train: Counter = Counter()
+            every: set = set()
+            keys, counts = [], []
+            for i, j, lines in own_block.runs():
+                for held in (False, True):
+                    own = [x for x, o in zip(lines, own_block.held_out[i:j]) if o == held]
+                    if not own:
+                        continue
+                    w = b" ".join(own).split()
+                    every.update(w) if held else train.update(w)
+                    u, c = _counts(_grams(own) >> np.uint64(16))
+                    keys.append(u)
+                    counts.append(c * (not held))
+            every.update(train)
+            vocab = sorted(every)
+            del every, own_block
+            u, inv = np.unique(np.concatenate(keys), return_inverse=True)
+            c = np.bincount(inv, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
+            del keys, counts, inv
+            trim()
+            for at in range(0, len(vocab), 1 << 15):
+                v = vocab[at : at + (1 << 15)]
+                n = len(v)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(v, pa.binary()).cast(pa.string()), pa.nulls(n, pa.int64()), pa.array(np.fromiter((train.get(x, 0) for x in v), np.int64, n))], schema=schema)
+            for at in range(0, len(u), 1 << 15):
+                n = len(u[at : at + (1 << 15)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.array(u[at : at + n].astype(np.int64)), pa.array(c[at : at + n])], schema=schema)
 
 
 def _levels(grams: np.ndarray, c: np.ndarray, pairs: np.ndarray, min_gain: float) -> np.ndarray:
@@ -167,36 +214,44 @@ def _answer(pairs: np.ndarray, min_gain: float):
 def _scored(n_train: int, v: int, ends: int):
     per = np.log10(n_train + v + 1)
 
-    def run(docs_t: pa.Table, told: pa.Table) -> pa.Table:
+    def run(packed: pa.Table, told: pa.Table) -> pa.Table:
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-        docs, out = _lists(docs_t)
-        kind, i, x = (told.column(k).to_numpy() for k in ("kind", "i", "x"))
-        tables = []
-        for k in (0, 1):
-            own = kind == k
-            a = np.zeros(int(own.sum()), np.float64)
-            a[i[own]] = x[own]
-            tables.append(a)
-        counts, logp = tables
-        place = {w: k for k, w in enumerate(sorted(set().union(*docs)))} if docs else {}
-        gain = np.log10(counts + 1)
-        end = np.log10(ends + 1)
-        base, known, score = np.zeros(len(docs)), np.zeros(len(docs), np.int64), np.zeros(len(docs))
-        for k, w in enumerate(docs):
-            at = np.fromiter(map(place.__getitem__, w), np.int64, len(w))
-            base[k] = gain[at].sum() + end - (len(w) + 1) * per
-            known[k] = np.count_nonzero(counts[at]) + (ends > 0)
-        distinct = []
-        held = []
-        for a, b, g, starts in _chunks(docs):
-            codes, u = pd.factorize(g)
-            distinct.append(u)
-            held.append((a, b, codes.astype(np.int32), starts, u))
-        every = np.unique(np.concatenate(distinct)) if distinct else np.zeros(0, np.int64)
-        for a, b, codes, starts, u in held:
-            score[a:b] = np.add.reduceat(logp[np.searchsorted(every, u)][codes], starts)
-        n = np.array([len(w) + 1 for w in docs], np.int64)
-        return pa.table([docs_t.column("doc_id"), pa.array(out), pa.array(n), pa.array(known), pa.array(np.full(len(docs), n_train, np.int64)), pa.array(base), pa.array(score)], schema=schema)
+        if not packed.num_rows:
+            return schema.empty_table()
+        ids, sizes, blob = (packed.column(c)[0].as_py() for c in ("ids", "sizes", "blob"))
+        own = _Block(ids, sizes, blob)
+        i, gram, x = (told.column(c).to_numpy() for c in ("i", "gram", "x"))
+        of_words = i >= 0
+        counts = np.zeros(int(of_words.sum()))
+        counts[i[of_words]] = x[of_words]
+        gram, logp = gram[~of_words], x[~of_words]
+        order = np.argsort(gram)
+        gram, logp = gram[order], logp[order]
+        gain, end = np.log10(counts + 1), np.log10(ends + 1)
+        n, known, base, score = (np.zeros(len(ids), t) for t in (np.int64, np.int64, np.float64, np.float64))
+        vocab: set = set()
+        for _, _, lines in own.runs():
+            vocab.update(b" ".join(lines).split())
+        place = {w: k for k, w in enumerate(sorted(vocab))}
+        del vocab
+        for a, b, lines in own.runs():
+            split = [x.split() for x in lines]
+            n[a:b] = [len(w) for w in split]
+            doc = np.repeat(np.arange(b - a), n[a:b])
+            at = np.fromiter((place[w] for d in split for w in d), np.int64, len(doc))
+            base[a:b] = np.bincount(doc, weights=gain[at], minlength=b - a)
+            known[a:b] = np.bincount(doc, weights=counts[at] > 0, minlength=b - a)
+            g = np.sort(_grams(lines))
+            key = (g >> np.uint64(16)).astype(np.int64)
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            value = np.repeat(logp[np.searchsorted(gram, key[new])], np.diff(np.append(new, len(key))))
+            score[a:b] = np.bincount((g & np.uint64(65535)).astype(np.int64), weights=value, minlength=b - a)
+        n += 1
+        base += end - n * per
+        known += ends > 0
+        del place, told, i, gram, x, logp, counts
+        trim()
+        return pa.table([pa.array(ids, pa.int64()), pa.array(own.held_out), pa.array(n), pa.array(known), pa.array(np.full(len(ids), n_train, np.int64)), pa.array(base), pa.array(score)], schema=schema)
 
     return run
 
@@ -210,23 +265,22 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_gain
     scored and counted each. No training documents: uniform bytes. Empty input:
     no rows.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n = n_blocks(own)
-    blocked = own.withColumn("block", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0))), F.lit(n)).cast("int"))
-    asked = saved(blocked.groupBy("block").applyInArrow(_asked, "block int, i int, word string, gram long, c long"), "asked")
+    blocks = saved(own.mapInArrow(_packed, "block long, ids array<long>, sizes array<long>, blob binary"), "blocks")
+    asked = saved(blocks.mapInArrow(_asked, "block long, i int, word string, gram long, c long"), "asked")
     w, g = asked.filter("word is not null"), asked.filter("gram is not null")
-    totals = w.groupBy("word").agg(F.sum("c").alias("c"))
-    n_words, v_words = totals.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    by_word = Window.partitionBy("word")
+    counted = w.select("block", "i", F.sum("c").over(by_word).alias("c"), (F.row_number().over(by_word.orderBy("block")) == 1).alias("once"))
+    counted = saved(counted, "words")
+    n_words, v_words = counted.filter("once").agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    totals = saved(g.groupBy("gram").agg(F.sum("c").alias("c")), "grams")
     pairs = np.zeros((256, 256))
-    for pair, c in g.groupBy(F.col("gram").bitwiseAND(F.lit(65535)).alias("pair")).agg(F.sum("c")).collect():  # 65,536 rows at most
+    for pair, c in totals.groupBy(F.col("gram").bitwiseAND(F.lit(65535)).alias("pair")).agg(F.sum("c")).collect():  # 65,536 rows at most
         pairs[pair >> 8, pair & 255] = c
     ends = int(pairs[:, 10].sum())  # one end for each training document
     n_train, v = (n_words or 0) + ends, (v_words or 0) + (ends > 0)
-    model = (
-        g.groupBy("gram").agg(F.sum("c").alias("c"))
-        .repartition(parts(docs), F.shiftright("gram", 8).bitwiseAND(F.lit(65535)))
-        .mapInArrow(_answer(pairs, min_gain), "gram long, x double")
-    )
-    told = w.select("block", "i", "word").join(totals, "word").select("block", F.lit(0).alias("kind"), "i", F.col("c").cast("double").alias("x"))
-    told = told.union(g.select("block", "i", "gram").join(model, "gram").select("block", F.lit(1), "i", "x"))
-    return blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored(n_train, v, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    model = totals.repartition(parts(docs), F.shiftright("gram", 8).bitwiseAND(F.lit(65535))).mapInArrow(_answer(pairs, min_gain), "gram long, x double")
+    told = counted.select("block", "i", F.lit(0).cast("long").alias("gram"), F.col("c").cast("double").alias("x"))
+    told = told.union(g.select("block", "gram").join(model, "gram").select("block", F.lit(-1), "gram", "x"))
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored(n_train, v, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
