@@ -20,9 +20,12 @@ doc_id in the order of their frames.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_blocks, scratch, small_batches, worker_cache
+from .common import n_blocks, scratch, small_batches, trim, worker_cache
 
 MAGIC, VERSION = b"PLTK", 1
 HEAD = "<4sHH32sQ"
@@ -40,7 +43,7 @@ SHARD_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 #: Documents the dictionary is trained on, those of the least keyed hash, and its size in bytes. The documented bound of a sample.
 DICT_DOCS, DICT_BYTES = 1000, 64 << 10
-CACHED_PIECES = 500_000
+CACHED_PIECES = 600_000
 
 
 def _plain(c: str) -> bool:
@@ -48,13 +51,26 @@ def _plain(c: str) -> bool:
     return "!" <= c <= "~" or c.isalnum()
 
 
+#: Latin letters, marks that end a word, and single line ends: pieces whose split into units is plain.
+_UNIT = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿĀ-ž]+|[.,;:!?%$&#*|(){}\[\]\"<>=+/~^_@-]+|\n(?=\S)")
+_SIMPLE = re.compile(rf"(?:{_UNIT.pattern})+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies: itself, or from U+0100 on in the order of the bytes that are not printable."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, asking it only once for each piece between single spaces.
 
     A byte-level split never joins what stands before a white-space run to what
     stands after its start, so a text may be cut before a single space between
-    two other characters. Pieces at doubtful characters are joined to their
-    neighbours and encoded as they stand.
+    two other characters. Pieces of Latin letters and common marks go to the
+    library's model unit by unit; others as they stand, those at doubtful
+    characters joined to their neighbours.
     """
 
     def __init__(self, path: str):
@@ -62,35 +78,59 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.byte_level = json.loads(self.tokenizer.to_str())["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.byte_level &= not any(re.search(r"\s", x) for x in self.added)
+        self.letters = _byte_letters()
         self.cache: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
         self.odd: set[str] = set()
 
     def _encode(self, pieces: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(pieces), 8192):
-            for e in self.tokenizer.encode_batch_fast(pieces[at : at + 8192], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(pieces), 2048):
+            for e in self.tokenizer.encode_batch_fast(pieces[at : at + 2048], add_special_tokens=False):
+                yield array("I", e.ids).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        out = self.units.get(unit)
+        if out is None:
+            out = array("I", [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            self.units[unit] = out
+        return out
+
+    def _add(self, pieces: set[str]) -> None:
+        """Put the ids of each piece, after a space, into the cache."""
+        rest = []
+        for p in pieces:
+            if _SIMPLE.fullmatch(p) and not any(x in p for x in self.added):
+                units = _UNIT.findall(p)
+                units[0] = " " + units[0]
+                self.cache[p] = b"".join(map(self._unit, units))
+            else:
+                rest.append(p)
+        self.cache.update(zip(rest, self._encode([" " + p for p in rest])))
 
     def __call__(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.cache) + len(self.odd) > CACHED_PIECES:
-            self.cache.clear()
-            self.odd.clear()
+        if not self.byte_level:  # another kind of tokenizer: whole texts
+            return list(self._encode(batch))
         split = [t.split(" ") for t in batch]
-        new = set()
+        seen: set[str] = set()
         for s in split:
-            new.update(s[1:])
-        new -= self.cache.keys()
-        new -= self.odd
-        odd = {p for p in new if not p or not (_plain(p[0]) and _plain(p[-1]))}
-        self.odd |= odd
-        fresh = sorted(new - odd)
-        self.cache.update(zip(fresh, self._encode([" " + p for p in fresh])))
+            seen.update(s[1:])
+        if len(self.cache) > CACHED_PIECES:  # what this batch has, as the commonest pieces, stays
+            self.cache = {p: self.cache[p] for p in seen if p in self.cache}
+        if len(self.units) > CACHED_PIECES:
+            self.units.clear()
+        self.odd = {p for p in seen if not p or not (_plain(p[0]) and _plain(p[-1]))}
+        self._add(seen - self.cache.keys() - self.odd)
         firsts = list(self._encode([s[0] for s in split]))
         out = []
         for s, first in zip(split, firsts):
             if len(s) == 1:
                 out.append(first)
-            elif s[0] and _plain(s[0][-1]) and self.odd.isdisjoint(s[1:]):
+            elif s[0] and _plain(s[0][-1]) and (not self.odd or self.odd.isdisjoint(s[1:])):
                 out.append(first + b"".join(map(self.cache.__getitem__, s[1:])))
             else:
                 out.append(b"".join(self._encode(self._joined(s))))
@@ -160,7 +200,9 @@ def _stored(raw: bytes, id_bytes: int, end_id: int) -> bytes:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, id_bytes: int, end_id: int, dict_docs: int = DICT_DOCS, dict_bytes: int = DICT_BYTES) -> bytes:
     """A dictionary from the serialized ids of ``dict_docs`` documents; empty (plain frames) if they are too few to train on."""
-    rows = docs.select("text").orderBy(F.xxhash64("doc_id", F.lit(17)), "text").limit(dict_docs).collect()  # dict_docs rows at most
+    order = F.xxhash64("doc_id", F.lit(17))
+    last = docs.select(order.alias("h")).orderBy("h").limit(dict_docs).agg(F.max("h")).first()[0]
+    rows = docs.filter(order <= F.lit(last)).select("text").limit(dict_docs).collect() if last is not None else []  # dict_docs rows at most
     samples = [_stored(x, id_bytes, end_id)[: 64 << 10] for x in encoder(tokenizer)([r[0] or "" for r in rows])]
     try:
         return zstandard.train_dictionary(min(dict_bytes, sum(map(len, samples)) // 8), samples).as_bytes()
@@ -193,6 +235,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, doc_
         for b in batches:
             ids = [_stored(x, id_bytes, end_id) for x in run([t or "" for t in b.column(2).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // id_bytes for x in ids], pa.int64()), pa.array([pack_up.compress(x) for x in ids], pa.binary())], ["bucket", "doc_id", "n", "frame"])
+        trim()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("local_start", pa.int64()), ("n_ids", pa.int64()), ("blob", pa.binary())])
@@ -233,21 +276,29 @@ def _dictionary(spark: SparkSession, path: str) -> bytes:
     return bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"])
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): every document of a data set; start counts the ids of all documents before it."""
+def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
+    """(doc_id, start, n_tokens, ids): every document of a data set; start counts the ids of all documents before it.
+
+    ``digest``: ids_crc32 instead of ids, the unsigned crc32 of the ids as little-endian unsigned 32-bit integers.
+    """
     found, dictionary = spark.read.parquet(f"{path}/shards"), _dictionary(spark, path)
     sizes = found.groupBy("bucket").agg(F.sum("n_ids").alias("n"))
     starts = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("bucket_start"))
+    last, kind = ("ids_crc32", pa.int64()) if digest else ("ids", pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for start, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = Shard(blob, dictionary)
-                first = start + np.cumsum(s.sizes.astype(np.int64)) - s.sizes.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids, pa.int64()), pa.array(first), pa.array(s.sizes.astype(np.int64)), pa.array([s.ids(k).tobytes() for k in range(len(s))], pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+            for start, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                s = Shard(blob.as_py(), dictionary)
+                sizes = s.sizes.astype(np.int64)
+                first = start + np.cumsum(sizes) - sizes
+                for at in range(0, len(s), 256):
+                    own = range(at, min(at + 256, len(s)))
+                    got = [zlib.crc32(s.ids(k).tobytes()) if digest else s.ids(k).tobytes() for k in own]
+                    yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[at : at + 256], pa.int64()), pa.array(first[at : at + 256]), pa.array(sizes[at : at + 256]), pa.array(got, kind)], ["doc_id", "start", "n_tokens", last])
 
     placed = found.select("bucket", "local_start", "blob").join(starts, "bucket").select((F.col("local_start") + F.col("bucket_start")).alias("start"), "blob")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last} {'long' if digest else 'binary'}")
 
 
 def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -269,15 +320,7 @@ def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFr
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files."""
-
-    found = read(spark, path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            crc = pa.array([zlib.crc32(x) for x in b.column(3).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), crc], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return found.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read(spark, path, digest=True)
 
 
 def written(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> str:
