@@ -5,15 +5,656 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import text as X
+from ..operators import answer, calculator, chunks, evals, layout, retrieve, verify
+from ..sources import blocks as S
+from ..streaming import ingest
+from .inputs import ASKED, CLAIMS, EVIDENCE, PASSAGES, QUESTIONS, VALUE_QUESTIONS, asked, claims, evidence, passages, questions, t, value_questions
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with DuckDB SQL for the same rows if there is any."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence for each question by sparse scores, lexical reranking and exact look-up."""
+    return hybrid_retrieve(spark, sf_dir)
+
+
+# --- terms and weights -------------------------------------------------------------------------------------------
+
+_POSTINGS = "postings AS (SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9$%.]+')) AS term FROM documents) GROUP BY ALL)"
+_WEIGHTS = "weights AS (SELECT term, count(*) AS df, ln(((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM postings GROUP BY term)"
+_ASKED_TERMS = "aterms AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(regexp_extract_all(lower(question), '[a-z0-9$%.]+')) AS term FROM questions) GROUP BY ALL)"
+_SCORES = "scores AS (SELECT qid, chunk_id, round(sum(qtf * tf * idf), 6) AS score FROM aterms JOIN weights USING (term) JOIN postings USING (term) GROUP BY ALL)"
+
+
+def _top(name: str, source: str, n: int) -> str:
+    return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS rank FROM {source}) WHERE rank < {n})"
+
+
+_SPARSE = ",\n".join([_POSTINGS, _WEIGHTS, QUESTIONS, _ASKED_TERMS, _SCORES, _top("sparse", "scores", 30)])
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = t(spark, sf_dir, "documents")
+    index = retrieve.postings(docs.select(F.col("doc_id").alias("chunk_id"), "text"))
+    return index, retrieve.term_weights(index, F.lit(docs.count()))
+
+
+@query(f"WITH {_POSTINGS} SELECT chunk_id AS doc_id, term, tf FROM postings")
+def tok_counts(spark, sf_dir):
+    return retrieve.postings(t(spark, sf_dir, "documents"), "doc_id")
+
+
+@query(f"WITH {_POSTINGS}, {_WEIGHTS} SELECT term, df, round(idf, 6) AS idf FROM weights")
+def term_idf(spark, sf_dir):
+    return _index(spark, sf_dir)[1].select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {_SPARSE} SELECT qid, chunk_id, score, rank FROM sparse")
+def sparse_topk(spark, sf_dir):
+    return retrieve.sparse_top(questions(spark, sf_dir), *_index(spark, sf_dir)).select("qid", "chunk_id", "score", "rank")
+
+
+_DENSE = """vq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS query FROM embeddings WHERE {which}),
+ds AS (SELECT qid, vec_id AS chunk_id, round(list_dot_product(query, embedding::DOUBLE[]) / (sqrt(list_dot_product(query, query)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS score FROM embeddings, vq)"""
+
+
+@query("WITH " + _DENSE.replace("{which}", "vec_id % 20 = 0") + ", " + _top("dense", "ds", 10) + " SELECT qid, chunk_id AS vec_id, score, rank FROM dense")
+def dense_topk(spark, sf_dir):
+    v = t(spark, sf_dir, "embeddings")
+    return retrieve.dense_top(v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), v, 10).select("qid", "vec_id", "score", "rank")
+
+
+def _arms(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    q, v = questions(spark, sf_dir), t(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "chunk_id")
+    own = q.join(v, q["qid"] == v["chunk_id"]).select("qid", F.col("embedding").alias("query"))
+    return q, retrieve.sparse_top(q, *_index(spark, sf_dir)), retrieve.dense_top(own, v, 30, "chunk_id")
+
+
+_FUSED = (
+    _SPARSE + ",\n" + _DENSE.replace("{which}", "vec_id IN (SELECT qid FROM questions)") + ",\n" + _top("dense", "ds", 30) + """,
+fused AS (SELECT qid, chunk_id, round(sum(0.5 / (60 + rank)), 6) AS score FROM (SELECT qid, chunk_id, rank FROM sparse UNION ALL SELECT qid, chunk_id, rank FROM dense) GROUP BY ALL)"""
+)
+
+
+@query(f"WITH {_FUSED} SELECT * FROM fused")
+def rrf_fusion(spark, sf_dir):
+    """All test questions are of the general intent, whose weights are even."""
+    return retrieve.fuse(*_arms(spark, sf_dir))
+
+
+_STOPS = "[" + ", ".join(f"'{w}'" for w in X.STOP) + "]"
+_RERANK = f"""rq AS (SELECT qid, list_distinct(list_filter(regexp_extract_all(lower(question), '[a-z0-9$%.]+'), lambda w: NOT list_contains({_STOPS}, w) AND length(w) > 2)) AS qt,
+  list_distinct(regexp_extract_all(question, '[0-9][0-9.,]{{2,}}')) AS qv FROM questions),
+rr AS (SELECT qid, chunk_id, round(score + 0.4 * len(list_intersect(qt, regexp_extract_all(lower(content), '[a-z0-9$%.]+'))) + 1.2 * len(list_filter(qv, lambda v: contains(lower(content), v)))
+  + CASE WHEN len(list_filter(qt, lambda w: contains(lower(heading), w))) > 0 THEN 0.6 ELSE 0 END + CASE WHEN len(qv) > 0 AND type = 'table' THEN 0.4 ELSE 0 END, 6) AS score
+  FROM sparse JOIN passages USING (chunk_id) JOIN rq USING (qid))"""
+
+
+@query(f"WITH {_SPARSE}, {PASSAGES}, {_RERANK} SELECT * FROM rr")
+def lexical_rerank(spark, sf_dir):
+    q = questions(spark, sf_dir)
+    cands = retrieve.sparse_top(q, *_index(spark, sf_dir)).select("qid", "chunk_id", "score").join(passages(spark, sf_dir), "chunk_id")
+    return retrieve.rerank(q, cands).select("qid", "chunk_id", "score")
+
+
+_EXACT = f"""et AS (SELECT qid, question, list_sort(list_distinct(regexp_extract_all(question, '[0-9][0-9.,]{{2,}}'))) AS ts FROM questions),
+eq AS (SELECT qid, ts FROM et WHERE len(ts) > 0),
+eat AS (SELECT qid, term, count(*) AS qtf FROM (SELECT qid, unnest(regexp_extract_all(lower(array_to_string(ts, ' ')), '[a-z0-9$%.]+')) AS term FROM eq) GROUP BY ALL),
+es AS (SELECT qid, chunk_id, round(sum(qtf * tf * idf), 6) AS score FROM eat JOIN weights USING (term) JOIN postings USING (term) GROUP BY ALL),
+{_top("pool", "es", 12)},
+eh AS (SELECT qid, chunk_id, type, rank, len(list_filter(ts, lambda x: contains(lower(content), lower(x)))) AS hits FROM pool JOIN eq USING (qid) JOIN passages USING (chunk_id)),
+exact AS (SELECT qid, chunk_id, hits::DOUBLE AS score, r - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, type = 'table' DESC, rank) AS r FROM eh WHERE hits >= 1) WHERE r <= 3)"""
+
+
+@query(f"WITH {_POSTINGS}, {_WEIGHTS}, {VALUE_QUESTIONS}, {PASSAGES}, {_EXACT} SELECT * FROM exact")
+def exact_lookup(spark, sf_dir):
+    """Questions with values only, in which every hit is a value."""
+    return retrieve.exact_hits(value_questions(spark, sf_dir), *_index(spark, sf_dir), passages(spark, sf_dir))
+
+
+_MERGED = f"""{_POSTINGS}, {_WEIGHTS}, {VALUE_QUESTIONS}, {PASSAGES}, {_ASKED_TERMS}, {_SCORES}, {_top("sparse", "scores", 30)}, {_RERANK}, {_top("ranked", "rr", 6)}, {_EXACT},
+united AS (SELECT qid, chunk_id, score, rank, true AS exact FROM exact UNION ALL SELECT qid, chunk_id, score, rank, false FROM ranked r WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.qid = r.qid AND e.chunk_id = r.chunk_id)),
+merged AS (SELECT qid, chunk_id, score, exact, row_number() OVER (PARTITION BY qid ORDER BY exact DESC, rank) - 1 AS pos, count(*) FILTER (exact) OVER (PARTITION BY qid) AS ne FROM united)
+SELECT qid, chunk_id, score, exact, pos FROM merged WHERE pos < greatest(6, ne)"""
+
+
+@query("WITH " + _MERGED)
+def hybrid_retrieve(spark, sf_dir):
+    return retrieve.retrieve(value_questions(spark, sf_dir), passages(spark, sf_dir)).select("qid", "chunk_id", "score", "exact", "pos")
+
+
+# --- question columns --------------------------------------------------------------------------------------------
+
+
+def _rx(pattern: str) -> str:
+    """A pattern with word borders in RE2's terms, for ``regexp_matches(x, ..., 'i')``."""
+    out = pattern.replace("'", "''")
+    if out.startswith(r"\b"):
+        out = r"(^|[^\p{L}\p{N}_])" + out[2:]
+    return out[:-2] + r"($|[^\p{L}\p{N}_])" if out.endswith(r"\b") else out
+
+
+_INTENT = "CASE " + " ".join(f"WHEN regexp_matches(question, '{_rx(p)}', 'i') THEN '{k}'" for k, p in X.INTENTS.items()) + " ELSE 'general' END"
+_MATH = f"regexp_matches(question, '{_rx(X.MATH)}', 'i')"
+
+
+@query(f"WITH {ASKED} SELECT conv_id, turn, {_INTENT} AS query_type FROM asked")
+def query_type(spark, sf_dir):
+    return asked(spark, sf_dir).select("conv_id", "turn", X.intent("question").alias("query_type"))
+
+
+@query(f"WITH {ASKED} SELECT conv_id, turn, {_MATH} AS wants_math, CASE WHEN {_MATH} OR {_INTENT} = 'comparison' THEN 'calc' ELSE 'qa' END AS lane FROM asked")
+def math_intent(spark, sf_dir):
+    return asked(spark, sf_dir).select("conv_id", "turn", X.wants_math("question").alias("wants_math"), answer.lane("question").alias("lane"))
+
+
+@query(f"WITH {ASKED} SELECT conv_id, turn, regexp_matches(question, '{_rx(X.BRIEF)}', 'i') AND len(list_filter(regexp_split_to_array(question, '\\s+'), lambda w: w <> '')) <= 12 AS wants_brief FROM asked")
+def brief_intent(spark, sf_dir):
+    return asked(spark, sf_dir).select("conv_id", "turn", X.wants_brief("question").alias("wants_brief"))
+
+
+@query(
+    f"""WITH {ASKED}, v AS (SELECT conv_id, turn, list_distinct(list_concat(regexp_extract_all(question, '[0-9][0-9.,]{{2,}}'), list_transform(regexp_extract_all(question, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(FY[0-9]{{2,4}}|Q[1-4]|H[12])', 2), lambda x: upper(x)))) AS ts FROM asked)
+SELECT conv_id, turn, array_to_string(list_transform(list_sort(list_transform(ts, lambda x: {{'n': -length(x), 't': x}})), lambda s: s.t), ' ') AS terms FROM v"""
+)
+def lookup_terms(spark, sf_dir):
+    return asked(spark, sf_dir).select("conv_id", "turn", F.array_join(X.exact_terms("question"), " ").alias("terms"))
+
+
+_INJECTED = " OR ".join(f"regexp_matches(question, '{_rx(p)}', 'i')" for p in X.INJECTIONS)
+
+
+@query(f"WITH {ASKED} SELECT conv_id, turn, CASE WHEN trim(question) = '' THEN 'empty' WHEN length(trim(question)) > 600 THEN 'too long' WHEN {_INJECTED} THEN 'injection' ELSE 'ok' END AS verdict FROM asked")
+def question_guard(spark, sf_dir):
+    return asked(spark, sf_dir).select("conv_id", "turn", X.question_verdict("question").alias("verdict"))
+
+
+_HITS = " UNION ALL ".join(f"SELECT conv_id, turn, {k} AS i, regexp_extract(question, '({p})', 1, 'i') AS s FROM asked" for k, p in enumerate(X.INJECTIONS))
+
+
+@query(f"WITH {ASKED}, h AS ({_HITS}) SELECT conv_id AS qid, turn AS page, 'p' || turn || ':' || left(trim(regexp_replace(s, '\\s+', ' ', 'g')), 40) AS flag FROM h WHERE s <> ''")
+def retrieval_rail(spark, sf_dir):
+    e = asked(spark, sf_dir).select(F.col("conv_id").alias("qid"), F.col("turn").alias("page"), F.lit(0).alias("pos"), F.col("question").alias("content"))
+    return answer.flags(e)
+
+
+@query(f"WITH {ASKED} SELECT conv_id, turn, coalesce(nullif(array_to_string(list_filter(regexp_extract_all(lower(question), '[a-z0-9$%.]+'), lambda w: NOT list_contains({_STOPS}, w)), ' '), ''), question) AS query FROM asked")
+def rewrite_keywords(spark, sf_dir):
+    return asked(spark, sf_dir).select("conv_id", "turn", answer.rewrite("question", "question").alias("query"))
+
+
+@query(
+    f"""WITH {ASKED}, w AS (SELECT a.conv_id, a.turn, c.text, list_distinct(list_filter(regexp_extract_all(lower(question), '[a-z0-9$%.]+'), lambda w: NOT list_contains({_STOPS}, w) AND length(w) > 2)) AS qt FROM asked a JOIN conversations c ON a.conv_id = c.conv_id AND a.turn = c.turn)
+SELECT conv_id, turn, CASE WHEN text = '' THEN 'weak' WHEN len(qt) = 0 THEN 'relevant' WHEN len(list_filter(qt, lambda w: contains(lower(text), w))) >= 0.5 * len(qt) THEN 'relevant' ELSE 'weak' END AS grade FROM w"""
+)
+def grade_heuristic(spark, sf_dir):
+    j = asked(spark, sf_dir).join(t(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    return j.select("conv_id", "turn", answer.grade("question", "text", F.lit("qa")).alias("grade"))
+
+
+@query(
+    """WITH h AS (SELECT conv_id, turn, list('User: ' || role || chr(10) || 'Assistant: ' || left(text, 200)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS l FROM conversations)
+SELECT conv_id, turn, coalesce(array_to_string(l, chr(10)), '') AS conversation FROM h"""
+)
+def history_window(spark, sf_dir):
+    turns = t(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("q"), F.col("text").alias("a"))
+    return answer.history(turns).select("conv_id", "turn", "conversation")
+
+
+# --- sources, caches and registries ------------------------------------------------------------------------------
+
+
+@query(
+    """WITH h AS (SELECT doc_id, left(sha256(coalesce(text, '')), 16) AS doc_hash FROM documents),
+r AS (SELECT DISTINCT doc_hash FROM h WHERE doc_id % 4 = 0)
+SELECT doc_hash, min(doc_id) AS doc_id FROM h WHERE doc_hash NOT IN (SELECT doc_hash FROM r) GROUP BY 1"""
+)
+def content_hash_dedupe(spark, sf_dir):
+    """The registry has the documents of every fourth id ready, and others in error, which come again."""
+    d = t(spark, sf_dir, "documents")
+    registry = d.select(S.content_hash(F.coalesce("text", F.lit(""))).alias("doc_hash"), F.when(F.col("doc_id") % 4 == 0, "ready").otherwise("error").alias("status"))
+    return S.unseen(d, registry)
+
+
+@query(
+    r"""WITH m AS (SELECT page_id, regexp_extract_all(html, '(?s)<(h1|nav|footer)>(.*?)</(?:h1|nav|footer)>', 1) AS tag, regexp_extract_all(html, '(?s)<(h1|nav|footer)>(.*?)</(?:h1|nav|footer)>', 2) AS inn FROM pages),
+u AS (SELECT page_id, unnest(tag) AS tag, unnest(inn) AS inn FROM m),
+x AS (SELECT page_id, CASE tag WHEN 'h1' THEN 'title' WHEN 'nav' THEN 'header' ELSE 'footer' END AS type,
+  trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(inn, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS content FROM u)
+SELECT * FROM x WHERE content <> ''"""
+)
+def html_blocks(spark, sf_dir):
+    return S.html_blocks(t(spark, sf_dir, "pages")).filter("type <> 'text'").select("page_id", "type", "content")
+
+
+_MD = "md AS (SELECT doc_id, '# ' || string_split(text, chr(10))[1] || chr(10) || text || chr(10) || chr(10) || '| a | b |' || chr(10) || '| 1 | 2 |' || chr(10) || '## End' AS md FROM documents)"
+
+
+@query(
+    f"""WITH {_MD}, l AS (SELECT doc_id, unnest(string_split(md, chr(10))) AS line, generate_subscripts(string_split(md, chr(10)), 1) AS pos FROM md),
+k AS (SELECT *, trim(line) AS s, CASE WHEN starts_with(trim(line), '|') AND length(trim(line)) - length(replace(trim(line), '|', '')) >= 2 THEN 'table' WHEN starts_with(trim(line), '#') THEN 'title' WHEN trim(line) = '' THEN 'blank' ELSE 'text' END AS kind FROM l),
+n AS (SELECT *, CASE WHEN kind = 'title' OR kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) THEN 1 ELSE 0 END AS new FROM k),
+r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM n),
+g AS (SELECT doc_id, run, kind AS type, trim(string_agg(CASE kind WHEN 'table' THEN s WHEN 'title' THEN trim(regexp_replace(s, '^[# ]+', '')) ELSE line END, chr(10) ORDER BY pos), ' ' || chr(10) || chr(9) || chr(13)) AS content FROM r WHERE kind <> 'blank' GROUP BY ALL)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1)::INT AS block_id, type, content FROM g WHERE content <> ''"""
+)
+def markdown_blocks(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    md = d.select("doc_id", F.concat(F.lit("# "), F.split("text", "\n")[0], F.lit("\n"), "text", F.lit("\n\n| a | b |\n| 1 | 2 |\n## End")).alias("md"))
+    return S.markdown_blocks(md, "doc_id", "md")
+
+
+@query("SELECT l_orderkey, l_linenumber, EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l_orderkey AND o.o_orderstatus = 'F') AS hit FROM lineitem")
+def cache_hits_misses(spark, sf_dir):
+    cache = t(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return S.cache_split(t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), cache, ["l_orderkey"])
+
+
+@query("SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderpriority, o_orderkey) AS o_orderpriority FROM orders GROUP BY 1")
+def latest_version(spark, sf_dir):
+    return S.latest(t(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), ["o_custkey"], "o_orderkey").select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query(
+    """WITH stems AS (SELECT DISTINCT left(p_name, 4) AS stem FROM part UNION SELECT DISTINCT left(p_name, 6) FROM part), c AS (SELECT p_partkey, left(p_name, CASE WHEN p_partkey % 2 = 0 THEN 4 ELSE 6 END) || '_' || p_partkey || '.png-1' AS qid FROM part)
+SELECT c.p_partkey, c.qid, (SELECT arg_max(stem, length(stem)) FROM stems s WHERE starts_with(c.qid, s.stem || '_')) AS stem FROM c"""
+)
+def longest_prefix(spark, sf_dir):
+    p = t(spark, sf_dir, "part")
+    stems = p.select(F.left("p_name", F.lit(4)).alias("stem")).union(p.select(F.left("p_name", F.lit(6)))).distinct()
+    cut = F.when(F.col("p_partkey") % 2 == 0, F.lit(4)).otherwise(F.lit(6))
+    return S.longest_prefix(p.select("p_partkey", F.concat(F.left("p_name", cut), F.lit("_"), "p_partkey", F.lit(".png-1")).alias("qid")), stems).select("p_partkey", "qid", "stem")
+
+
+@query("SELECT event_id, array_to_string(list_transform(regexp_extract_all(event_id || ', ' || user_id, '[0-9]+'), lambda x: x::INT), '-') AS pages FROM events")
+def pages_coerce(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select("event_id", F.concat("event_id", F.lit(", "), "user_id").alias("s"))
+    return e.select("event_id", F.array_join(F.transform(S.page_numbers("s"), lambda x: x.cast("string")), "-").alias("pages"))
+
+
+@query("SELECT doc_id, length(trim(text)) > 50 AS has_text, CASE WHEN length(trim(text)) > 50 THEN 'textlayer' ELSE 'ocr' END AS parser FROM documents")
+def parser_route(spark, sf_dir):
+    n = F.length(F.trim("text"))
+    return t(spark, sf_dir, "documents").select("doc_id", (n > 50).alias("has_text"), S.parser_route(n).alias("parser"))
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 5 <> 4 THEN 'b' || user_id END AS bucket, CASE WHEN event_id % 5 <> 4 THEN event_type || CASE WHEN event_id % 3 = 0 THEN '.txt' ELSE '.pdf' END END AS name,
+  CASE WHEN event_id % 5 = 4 THEN 'reject' WHEN event_id % 3 = 0 THEN 'ack' ELSE 'take' END AS verdict FROM events"""
+)
+def json_envelope(spark, sf_dir):
+    """Every other message has attributes, the rest base64 JSON; every fifth has neither."""
+    e = t(spark, sf_dir, "events")
+    name, bucket = F.concat("event_type", F.when(F.col("event_id") % 3 == 0, ".txt").otherwise(".pdf")), F.concat(F.lit("b"), "user_id")
+    by_attr, none = F.col("event_id") % 2 == 0, F.col("event_id") % 5 == 4
+    data = F.base64(F.to_json(F.struct(bucket.alias("bucket"), name.alias("name"))).cast("binary"))
+    m = e.select("event_id", F.when(by_attr & ~none, bucket).alias("bucket_attr"), F.when(by_attr & ~none, name).alias("object_attr"), F.when(~by_attr & ~none, data).alias("data"))
+    return S.push_target(m).select("event_id", "bucket", "name", "verdict")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 20) WHERE json_valid(props)")
+def trace_tail(spark, sf_dir):
+    """The last 20 traces, the newest first; those that are no JSON fall away after the cut."""
+    last = t(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(20)
+    return last.filter(F.try_parse_json("props").isNotNull()).select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+# --- layout and chunks -------------------------------------------------------------------------------------------
+
+_LINES = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents),
+blocks AS (SELECT doc_id, (seq // 40 + 1)::INT AS page, seq::INT AS seq, seq::INT AS block_id, CASE WHEN length(content) <= 60 AND seq % 8 = 0 THEN 'title' ELSE 'text' END AS type, content,
+  50.0 AS x0, (seq % 40) * 20.0 AS y0, 545.0 AS x1, (seq % 40) * 20.0 + 12 AS y1, seq::INT AS ord FROM lines WHERE trim(content) <> '')"""
+_CHUNKS = """fl AS (SELECT *, trim(content) AS c, row_number() OVER (PARTITION BY doc_id ORDER BY page, ord, seq) AS rn FROM blocks),
+op AS (SELECT *, CASE WHEN type = 'title' OR row_number() OVER (PARTITION BY doc_id, page ORDER BY rn) = 1 THEN 1 ELSE 0 END AS opens,
+  last_value(CASE WHEN type = 'title' THEN nullif(c, '') END IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hd FROM fl),
+se AS (SELECT *, (sum(opens) OVER (PARTITION BY doc_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1)::INT AS section_id FROM op),
+sx AS (SELECT doc_id, section_id, max(CASE WHEN opens = 1 THEN coalesce(hd, '(top)') END) AS section_heading, string_agg(c, chr(10) ORDER BY rn) AS section_text FROM se GROUP BY ALL),
+chunks AS (SELECT doc_id || ':' || page || ':' || block_id AS chunk_id, doc_id, page, block_id, section_id, type, coalesce(hd, '(top)') AS heading,
+  CASE WHEN type = 'title' OR hd IS NULL THEN c ELSE hd || chr(10) || c END AS text, c AS content, left(section_text, 1500) AS parent_text, section_heading FROM se JOIN sx USING (doc_id, section_id))"""
+
+
+@query(f"WITH {_LINES}, {_CHUNKS} SELECT * FROM chunks")
+def section_chunks(spark, sf_dir):
+    return chunks.chunks(S.line_blocks(t(spark, sf_dir, "documents")))
+
+
+@query(f"WITH {_LINES} SELECT doc_id, left(arg_min(trim(content), seq), 120) AS label FROM blocks WHERE type = 'title' GROUP BY 1")
+def doc_label(spark, sf_dir):
+    return chunks.doc_labels(S.line_blocks(t(spark, sf_dir, "documents")))
+
+
+@query(
+    f"""WITH {_LINES}, {_CHUNKS}, b AS (SELECT doc_id, count(*) AS n_blocks, count(*) FILTER (type = 'table') AS n_tables FROM blocks GROUP BY 1), c AS (SELECT doc_id, count(*) AS n_chunks, count(DISTINCT section_id) AS n_sections FROM chunks GROUP BY 1)
+SELECT doc_id, n_blocks, n_tables, coalesce(n_chunks, 0) AS n_chunks, coalesce(n_sections, 0) AS n_sections FROM b LEFT JOIN c USING (doc_id)"""
+)
+def doc_stats(spark, sf_dir):
+    b = S.line_blocks(t(spark, sf_dir, "documents"))
+    return chunks.doc_stats(b, chunks.chunks(b))
+
+
+@query(
+    f"""WITH {_LINES}, {_CHUNKS}, l AS (SELECT doc_id, left(arg_min(trim(content), seq), 120) AS label FROM blocks WHERE type = 'title' GROUP BY 1)
+SELECT chunk_id, 'ctx1:' || left(sha256(coalesce(label, '') || '|' || heading || '|' || content), 32) AS cache_key, left(content, 1200) AS excerpt FROM chunks LEFT JOIN l USING (doc_id) WHERE type = 'table' OR length(content) >= 60"""
+)
+def context_keys(spark, sf_dir):
+    b = S.line_blocks(t(spark, sf_dir, "documents"))
+    return chunks.context_keys(chunks.chunks(b), chunks.doc_labels(b))
+
+
+@query(
+    f"""WITH {_LINES}, k AS (SELECT *, left(regexp_replace(lower(trim(content)), '[0-9]+', '#', 'g'), 60) AS key, CASE WHEN y1 <= 84.2 THEN 'top' WHEN y0 >= 757.8 THEN 'bottom' END AS band FROM blocks),
+n AS (SELECT doc_id, count(DISTINCT page) AS n_pages FROM blocks GROUP BY 1),
+o AS (SELECT doc_id, key, band FROM k JOIN n USING (doc_id) WHERE band IS NOT NULL AND key <> '' GROUP BY doc_id, key, band, n_pages HAVING n_pages >= 4 AND count(*) >= greatest(3, floor(0.3 * n_pages)))
+SELECT k.doc_id, k.seq, CASE WHEN o.band = 'top' THEN 'header' WHEN o.band = 'bottom' THEN 'footer' ELSE k.type END AS type, CASE WHEN o.band IS NULL THEN k.ord END AS ord FROM k LEFT JOIN o ON k.doc_id = o.doc_id AND k.key = o.key AND k.band = o.band"""
+)
+def furniture_mark(spark, sf_dir):
+    return layout.mark_furniture(S.line_blocks(t(spark, sf_dir, "documents"))).select("doc_id", "seq", "type", "ord")
+
+
+_BOXES = "boxes AS (SELECT l_orderkey AS page, l_linenumber AS seq, 'text' AS type, l_quantity * 10 AS x0, l_quantity * 10 + l_discount * 1000 AS x1, l_tax * 1000 + l_linenumber * 20.0 AS y0, l_tax * 1000 + l_linenumber * 20.0 + 18 AS y1 FROM lineitem)"
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = F.col("l_tax") * 1000 + F.col("l_linenumber") * 20.0
+    return t(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("seq"), F.lit("text").alias("type"), (F.col("l_quantity") * 10).alias("x0"), (F.col("l_quantity") * 10 + F.col("l_discount") * 1000).alias("x1"), low.alias("y0"), (low + 18).alias("y1"),
+    )
+
+
+@query(
+    f"""WITH {_BOXES}, a AS (SELECT *, max(y1) OVER (PARTITION BY page ORDER BY y0, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM boxes),
+b AS (SELECT *, sum(CASE WHEN y0 - m > 14 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY y0, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS band FROM a),
+c AS (SELECT *, max(x1) OVER (PARTITION BY page, band ORDER BY x0, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx FROM b),
+d AS (SELECT *, sum(CASE WHEN x0 - mx > 14 THEN 1 ELSE 0 END) OVER (PARTITION BY page, band ORDER BY x0, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS col FROM c)
+SELECT page, seq, (row_number() OVER (PARTITION BY page ORDER BY band, col, y0, x0, seq) - 1)::INT AS ord FROM d"""
+)
+def reading_order_gap(spark, sf_dir):
+    return layout.reading_order(_boxes(spark, sf_dir), ["page"]).select("page", "seq", "ord")
+
+
+@query()
+def xy_cut_full(spark, sf_dir):
+    """Cuts to any depth have no SQL form."""
+    return layout.recursive_order(_boxes(spark, sf_dir), ["page"]).select("page", "seq", "ord")
+
+
+@query(
+    f"""WITH {_BOXES} SELECT page, seq FROM boxes a WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.page = a.page AND b.seq < a.seq AND
+greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) / greatest(1, greatest(0, a.x1 - a.x0) * greatest(0, a.y1 - a.y0)) > 0.5)"""
+)
+def overlap_antijoin(spark, sf_dir):
+    """Boxes that no earlier box of the page covers by half."""
+    b = _boxes(spark, sf_dir)
+    later = b.alias("a").join(b.alias("b"), (F.col("a.page") == F.col("b.page")) & (F.col("b.seq") < F.col("a.seq")) & (layout.overlap_share(*[{k: F.col(f"{s}.{k}") for k in ("x0", "y0", "x1", "y1")} for s in "ab"]) > 0.5), "left_anti")
+    return later.select("page", "seq")
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey, round_even(l_quantity / 4 * 2, 0) / 2 AS size, length(l_returnflag || l_linestatus) AS n, l_linenumber AS seq FROM lineitem),
+g AS (SELECT l_orderkey, size, sum(n) AS n, min(seq) AS f FROM s GROUP BY ALL)
+SELECT l_orderkey, size AS body_size FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n DESC, f, size) AS r FROM g) WHERE r = 1"""
+)
+def body_mode(spark, sf_dir):
+    s = t(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_quantity") / 4).alias("size"), F.concat("l_returnflag", "l_linestatus").alias("text"), F.col("l_linenumber").alias("seq"))
+    return layout.body_size(s, ["l_orderkey"])
+
+
+_GRID = "grid AS (SELECT l_orderkey, string_agg(l_partkey || ' ' || l_quantity::INT || CASE WHEN l_linenumber % 2 = 0 THEN ' units' ELSE '' END, chr(10) ORDER BY l_linenumber) AS content FROM lineitem GROUP BY 1)"
+
+
+@query(
+    f"""WITH {_GRID}, l AS (SELECT l_orderkey, list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '') AS ls FROM grid)
+SELECT l_orderkey, len(ls) >= 4 AND len(list_filter(ls, lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: regexp_full_match(w, '[-(]?[0-9][0-9,.]*\\)?%?'))) >= 2)) >= 0.5 * len(ls) AS is_table FROM l"""
+)
+def borderless_tables(spark, sf_dir):
+    line = F.concat("l_partkey", F.lit(" "), F.col("l_quantity").cast("int"), F.when(F.col("l_linenumber") % 2 == 0, " units").otherwise(""))
+    g = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("s")))), lambda x: x["s"]), "\n").alias("content"))
+    return g.select("l_orderkey", layout.borderless_table(F.col("content")).alias("is_table"))
+
+
+@query(
+    """SELECT doc_id, page, seq FROM (SELECT o_custkey AS doc_id, month(o_orderdate)::INT AS page, o_orderkey AS seq, row_number() OVER (PARTITION BY o_custkey ORDER BY month(o_orderdate), o_orderkey) AS r FROM orders WHERE o_orderkey % 3 <> 0 AND o_totalprice / 1000 >= 30) WHERE r <= 10"""
+)
+def enrich_cap(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("doc_id"), F.month("o_orderdate").alias("page"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderkey") % 3 != 0, "figure").otherwise("text").alias("type"),
+        F.lit("").alias("content"), F.lit(0.0).alias("x0"), (F.col("o_totalprice") / 1000).alias("x1"), F.lit(0.0).alias("y0"), F.lit(50.0).alias("y1"),
+    )
+    return layout.enrich_selection(o, 10).select("doc_id", "page", "seq")
+
+
+# --- evidence, claims and figures --------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {EVIDENCE}, f AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id, section_id ORDER BY pos) AS r FROM evidence),
+e AS (SELECT qid, pos, '[page ' || page || ' | block ' || block_id || '] ' || section_heading || chr(10) || left(parent_text, 1400) || chr(10) || '…' || chr(10) || left(content, 1400) AS entry FROM f WHERE r = 1),
+b AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY qid ORDER BY pos) = 1 OR sum(length(entry)) OVER (PARTITION BY qid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 300 THEN 1 ELSE 0 END AS fits FROM e),
+k AS (SELECT *, min(fits) OVER (PARTITION BY qid ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS keep FROM b)
+SELECT qid, string_agg(entry, chr(10) || chr(10) ORDER BY pos) AS context FROM k WHERE keep = 1 GROUP BY 1"""
+)
+def tag_evidence_budget(spark, sf_dir):
+    return answer.context(evidence(spark, sf_dir), max_chars=300)
+
+
+@query(
+    f"""WITH {EVIDENCE}, f AS (SELECT *, row_number() OVER (PARTITION BY qid, section_id ORDER BY pos) AS r FROM evidence), n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos) AS i FROM f WHERE r = 1)
+SELECT qid, 'Based on the document (extractive — set a cloud key for synthesized answers):' || chr(10) || chr(10) || string_agg('- ' || parent_text, chr(10) || chr(10) ORDER BY i) AS answer, string_agg(content || '@' || page || ':' || block_id, ';' ORDER BY i) AS claims FROM n WHERE i <= 2 GROUP BY 1"""
+)
+def extractive_answer(spark, sf_dir):
+    e = answer.extracts(evidence(spark, sf_dir))
+    line = F.transform("claims", lambda c: F.concat(c["text"], F.lit("@"), c["citations"][0]["page"], F.lit(":"), c["citations"][0]["block_id"]))
+    return e.select("qid", "answer", F.array_join(line, ";").alias("claims"))
+
+
+@query(f"WITH {EVIDENCE}, {CLAIMS} SELECT qid, claim, page, block_id FROM claims c WHERE (block_id IS NULL OR EXISTS (SELECT 1 FROM evidence e WHERE e.qid = c.qid AND e.page = c.page AND e.block_id = c.block_id))")
+def validate_citations(spark, sf_dir):
+    c = claims(spark, sf_dir).select("qid", "claim", "page", "block_id")
+    return verify.validate(c, evidence(spark, sf_dir)).select("qid", "claim", "page", "block_id")
+
+
+_NUMS = """nums AS (SELECT qid, claim, cite, page, block_id, text, list_transform(regexp_extract_all(text, '[0-9][0-9,]*(?:\\.[0-9]+)?'), lambda x: replace(x, ',', '')) AS ns FROM claims),
+vals AS (SELECT *, list_filter(ns, lambda n: NOT regexp_full_match(n, '(19|20)[0-9]{2}')) AS vs FROM nums)"""
+_HAS = "regexp_matches(replace({c}, ',', ''), '(^|[^0-9.])' || regexp_escape({n}) || '($|[^0-9.]|\\.($|[^0-9]))')"
+
+
+@query(
+    f"""WITH {EVIDENCE}, {CLAIMS}, {_NUMS},
+j AS (SELECT v.qid, v.claim, v.cite, v.page, v.block_id AS cited, e.block_id AS b, e.pos, len(ns) AS n, len(vs) AS nv, len(list_filter(vs, lambda n: {_HAS.format(c="e.content", n="n")})) AS vh, len(list_filter(ns, lambda n: {_HAS.format(c="e.content", n="n")})) AS ah
+  FROM vals v JOIN evidence e ON v.qid = e.qid AND v.page = e.page),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid, claim, cite ORDER BY vh DESC, ah DESC, coalesce(b = cited, false) DESC, pos) AS k FROM j)
+SELECT qid, claim, cite, page, CASE WHEN n = 0 THEN cited WHEN vh > 0 THEN b WHEN ah > 0 AND nv = 0 THEN cited END AS block_id FROM r WHERE k = 1"""
+)
+def snap_citations(spark, sf_dir):
+    return verify.snap(claims(spark, sf_dir), evidence(spark, sf_dir))
+
+
+_SHOWN = """shown AS (SELECT c.qid, c.claim, string_agg(replace(s, ',', ''), ' ') AS shown FROM claims c JOIN (SELECT qid, page, block_id, arg_max(content || ' ' || parent_text, pos) AS s FROM evidence GROUP BY ALL) e
+  ON c.qid = e.qid AND c.page = e.page AND (c.block_id IS NULL OR c.block_id = e.block_id) GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {EVIDENCE}, {CLAIMS}, {_NUMS}, {_SHOWN}, b AS (SELECT v.qid, v.claim, list_filter(vs, lambda n: NOT {_HAS.format(c="coalesce(shown, '')", n="n")}) AS bad FROM vals v LEFT JOIN shown s ON v.qid = s.qid AND v.claim = s.claim)
+SELECT qid, claim, len(bad) = 0 AS verified, array_to_string(bad, ';') AS unverified FROM b"""
+)
+def check_claims(spark, sf_dir):
+    c = claims(spark, sf_dir)
+    return verify.check(c.select("qid", "claim", "text"), c, evidence(spark, sf_dir)).select("qid", "claim", "verified", F.array_join("unverified", ";").alias("unverified"))
+
+
+@query(
+    f"""WITH x AS (SELECT o_orderkey, 'Total ' || floor(o_totalprice)::BIGINT || ' [page 3] of ' || o_custkey || ' in ' || year(o_orderdate) AS a, 'It was ' || floor(o_totalprice)::BIGINT AS c FROM orders),
+n AS (SELECT o_orderkey, c, list_transform(regexp_extract_all(regexp_replace(a, '(?i)\\[page\\s+[0-9]+\\]', '', 'g'), '[0-9][0-9,]*(?:\\.[0-9]+)?'), lambda x: replace(x, ',', '')) AS ns FROM x)
+SELECT o_orderkey, array_to_string(list_filter(ns, lambda n: NOT regexp_full_match(n, '(19|20)[0-9]{{2}}') AND NOT {_HAS.format(c="c", n="n")}), ';') AS unsupported FROM n"""
+)
+def verify_numbers(spark, sf_dir):
+    amount = F.floor("o_totalprice").cast("string")
+    o = t(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("Total "), amount, F.lit(" [page 3] of "), "o_custkey", F.lit(" in "), F.year("o_orderdate")).alias("a"), F.concat(F.lit("It was "), amount).alias("c"))
+    return o.select("o_orderkey", F.array_join(verify.unsupported("a", "c"), ";").alias("unsupported"))
+
+
+@query(
+    f"""WITH {EVIDENCE}, {CLAIMS}, s AS (SELECT qid, page, block_id, arg_max(content, pos) AS s FROM evidence GROUP BY ALL),
+j AS (SELECT c.*, s.s, regexp_extract_all(text, '[0-9]{{1,3}}(?:,[0-9]{{3}})+(?:\\.[0-9]+)?|[0-9]+(?:\\.[0-9]+)?') AS raws FROM claims c JOIN s ON c.qid = s.qid AND c.page = s.page AND c.block_id = s.block_id),
+u AS (SELECT *, unnest(raws) AS raw, generate_subscripts(raws, 1) AS i FROM j),
+w AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY claim, i) AS r FROM u WHERE NOT regexp_full_match(replace(raw, ',', ''), '(19|20)[0-9]{{2}}') AND {_HAS.format(c="s", n="replace(raw, ',', '')")})
+SELECT qid, replace(raw, ',', '')::DOUBLE AS value, raw, 'million' AS unit, page, block_id, left(text, 160) AS text FROM w WHERE r = 1"""
+)
+def verified_figure(spark, sf_dir):
+    c = claims(spark, sf_dir)
+    return verify.verified_figures(c.select("qid", "claim", "text"), c, evidence(spark, sf_dir))
+
+
+_SIDES = """y AS (SELECT year(o_orderdate) AS y, o_orderpriority AS heading, round(sum(o_totalprice), 2) AS value FROM orders GROUP BY ALL),
+a AS (SELECT * FROM y WHERE y = 1997), b AS (SELECT * FROM y WHERE y = 1996)"""
+
+
+@query(
+    f"""WITH {_SIDES} SELECT coalesce(a.heading, b.heading) AS heading, CASE WHEN a.value IS NULL OR b.value IS NULL THEN 'partial' ELSE 'compared' END AS status, round(a.value - b.value, 2) AS abs,
+round(CASE WHEN b.value <> 0 THEN (a.value - b.value) / b.value * 100 END, 4) AS pct, CASE WHEN a.value > b.value THEN 'up' WHEN a.value < b.value THEN 'down' WHEN a.value = b.value THEN 'flat' END AS direction FROM a FULL JOIN b ON a.heading = b.heading"""
+)
+def compare_delta(spark, sf_dir):
+    y = t(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y"), F.col("o_orderpriority").alias("heading")).agg(F.round(F.sum("o_totalprice"), 2).alias("value")).withColumn("unit", F.lit("bare"))
+    c = verify.compare(y.filter("y = 1997"), y.filter("y = 1996"))
+    return c.select("heading", "status", F.round("abs", 2).alias("abs"), F.round("pct", 4).alias("pct"), "direction")
+
+
+_BRIEF_ROWS = "brief(i, heading, question) AS (VALUES " + ", ".join(f"({i}, '{h}', '{q}')" for i, (h, q) in enumerate(answer.BRIEF)) + ")"
+
+
+@query(
+    f"""WITH {_BRIEF_ROWS}, p AS (SELECT i, heading, list_distinct(list_filter(regexp_extract_all(lower(question), '[a-z0-9$%.]+'), lambda w: NOT list_contains({_STOPS}, w) AND length(w) > 2)) AS qt FROM brief)
+SELECT source, heading, count(*) AS n_docs, count(*) FILTER (len(list_filter(qt, lambda w: contains(lower(coalesce(text, '')), w))) >= 0.5 * len(qt)) AS n_relevant FROM documents, p GROUP BY ALL"""
+)
+def brief_grid(spark, sf_dir):
+    """Each question of the first reading against each document: how many could answer it, by source."""
+    d = t(spark, sf_dir, "documents")
+    marks = F.array(*[F.struct(F.lit(h).alias("heading"), answer.grade(F.lit(q), F.col("text"), F.lit("qa")).alias("grade")) for h, q in answer.BRIEF])
+    return d.select("source", F.explode(marks).alias("m")).groupBy("source", F.col("m.heading").alias("heading")).agg(F.count("*").alias("n_docs"), F.count_if(F.col("m.grade") == "relevant").alias("n_relevant"))
+
+
+# --- evaluation --------------------------------------------------------------------------------------------------
+
+_GOLD = "gold AS (SELECT b.item_id AS qid, d.doc_id AS page FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item word for word; the items are few, and broadcast only below Spark's own size limit."""
+    b, d = t(spark, sf_dir, "benchmark"), t(spark, sf_dir, "documents")
+    return d.join(b.select(F.col("item_id").alias("qid"), F.col("text").alias("item")), F.contains(F.col("text"), F.col("item"))).select("qid", F.col("doc_id").alias("page"))
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sparse_topk(spark, sf_dir).select("qid", F.col("chunk_id").alias("page"), "rank")
+
+
+@query(
+    f"""WITH {_SPARSE}, {_GOLD}, h AS (SELECT g.qid, min(s.rank) + 1 AS hit_rank FROM (SELECT DISTINCT qid FROM gold) g LEFT JOIN (SELECT s.* FROM sparse s JOIN gold g2 ON s.qid = g2.qid AND s.chunk_id = g2.page) s ON g.qid = s.qid GROUP BY 1)
+SELECT count(*) AS n, round(avg((hit_rank IS NOT NULL)::INT), 6) AS hit_rate, round(avg(coalesce(1.0 / hit_rank, 0)), 6) AS mrr FROM h"""
+)
+def hit_mrr(spark, sf_dir):
+    gold = _gold(spark, sf_dir).groupBy("qid").agg(F.collect_set("page").alias("pages"))
+    return evals.hit_and_mrr(evals.first_hits(_ranked(spark, sf_dir), gold))
+
+
+@query(
+    f"""WITH {_SPARSE}, {_GOLD}, c AS (SELECT qid, chunk_id AS page FROM sparse WHERE rank < 5), n AS (SELECT qid, (SELECT count(*) FROM c WHERE c.qid = q.qid) AS nc, (SELECT count(*) FROM gold g WHERE g.qid = q.qid) AS ng, (SELECT count(*) FROM c JOIN gold g ON c.qid = g.qid AND c.page = g.page WHERE c.qid = q.qid) AS b FROM questions q)
+SELECT qid, round(CASE WHEN nc > 0 THEN b / nc END, 6) AS precision, round(CASE WHEN ng > 0 THEN b / ng END, 6) AS recall FROM n"""
+)
+def recall_citation_pr(spark, sf_dir):
+    return evals.citation_quality(_ranked(spark, sf_dir).filter("rank < 5"), _gold(spark, sf_dir), questions(spark, sf_dir))
+
+
+@query("SELECT d.lang, count(*) AS n, round(avg(l.quality::DOUBLE), 6) AS hit_rate FROM documents d JOIN labels l USING (doc_id) GROUP BY 1")
+def category_rates(spark, sf_dir):
+    return evals.category_rates(t(spark, sf_dir, "documents").select("doc_id", "lang").join(t(spark, sf_dir, "labels"), "doc_id"), "lang", "quality")
+
+
+_RUNS = """runs AS (SELECT o_orderkey AS qid, CASE WHEN o_orderkey % 7 = 0 THEN 'I couldn''t find it' ELSE 'x' END AS answer, CASE o_orderkey % 3 WHEN 0 THEN 'calc' ELSE 'qa' END AS task, CASE o_orderkey % 4 WHEN 0 THEN 'calc' ELSE 'qa' END AS expected_lane,
+  CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice END AS computed, o_orderkey % 6 AS n_retrieved, o_orderkey % 2 AS n_cited, CASE WHEN o_orderkey % 9 <> 0 THEN '' END AS unverified, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 5 END AS attempts, o_orderkey % 8 AS n_gold FROM orders)"""
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return t(spark, sf_dir, "orders").select(
+        k.alias("qid"), F.when(k % 7 == 0, "I couldn't find it").otherwise("x").alias("answer"), F.when(k % 3 == 0, "calc").otherwise("qa").alias("task"), F.when(k % 4 == 0, "calc").otherwise("qa").alias("expected_lane"),
+        F.when(k % 5 == 0, F.col("o_totalprice")).alias("computed"), (k % 6).alias("n_retrieved"), (k % 2).alias("n_cited"), F.when(k % 9 != 0, "").alias("unverified"), F.when(k % 11 != 0, k % 5).alias("attempts"), (k % 8).alias("n_gold"),
+    )
+
+
+_CHECKS = """checks AS (SELECT CASE WHEN task = expected_lane THEN 1.0 ELSE 0.0 END AS lane_routed_correctly, CASE WHEN task = 'calc' AND NOT q THEN (computed IS NOT NULL)::INT END AS calculator_ran_when_routed, CASE WHEN NOT q THEN (n_retrieved > 0)::INT END AS retrieved_before_answering,
+  CASE WHEN NOT q THEN (n_cited > 0)::INT END AS citations_attached, CASE WHEN NOT q THEN (unverified IS NOT NULL)::INT END AS verification_rail_ran, CASE WHEN attempts IS NOT NULL THEN (attempts <= 3)::INT END AS retry_budget_respected,
+  CASE WHEN n_gold = 0 THEN q::INT END AS abstained_when_unanswerable, CASE WHEN n_gold > 0 THEN (NOT q)::INT END AS answered_when_answerable FROM (SELECT *, starts_with(answer, 'I couldn''t find') AS q FROM runs))"""
+_MEANS = " UNION ALL ".join(f"SELECT '{m}' AS metric, round(avg({m}), 6) AS score FROM checks" for m in ("lane_routed_correctly", "calculator_ran_when_routed", "retrieved_before_answering", "citations_attached", "verification_rail_ran", "retry_budget_respected", "abstained_when_unanswerable", "answered_when_answerable"))
+
+
+@query(f"WITH {_RUNS}, {_CHECKS} {_MEANS}")
+def trajectory_metrics(spark, sf_dir):
+    return evals.means(evals.trajectory(_runs(spark, sf_dir)))
+
+
+_GATE = """floors AS (SELECT 'nation.' || n_name AS metric, n_nationkey / 25 AS floor FROM nation WHERE n_nationkey % 3 <> 0),
+scores AS (SELECT 'nation.' || n_name AS metric, (n_nationkey % 7) / 7 AS got FROM nation WHERE n_nationkey % 4 <> 0)"""
+
+
+def _gate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    n = t(spark, sf_dir, "nation").withColumn("metric", F.concat(F.lit("nation."), "n_name"))
+    return n.filter("n_nationkey % 3 <> 0").select("metric", (F.col("n_nationkey") / 25).alias("floor")), n.filter("n_nationkey % 4 <> 0").select("metric", (F.col("n_nationkey") % 7 / 7).alias("got"))
+
+
+@query(f"WITH {_GATE} SELECT metric, round(floor, 6) AS floor, round(got, 6) AS got, CASE WHEN floor IS NULL THEN 'new' WHEN got IS NULL THEN 'SKIPPED' WHEN got + 1e-9 < floor THEN 'REGRESSED' WHEN got <= floor + 1e-9 THEN 'ok' ELSE 'IMPROVED' END AS verdict FROM floors FULL JOIN scores USING (metric)")
+def gate_verdicts(spark, sf_dir):
+    return evals.gate(*_gate(spark, sf_dir)).select("metric", F.round("floor", 6).alias("floor"), F.round("got", 6).alias("got"), "verdict")
+
+
+@query(f"WITH {_GATE} SELECT metric, floor(greatest(got - 0.1, floor) * 10000) / 10000 AS floor FROM floors FULL JOIN scores USING (metric)")
+def ratchet_floors(spark, sf_dir):
+    return evals.ratchet(*_gate(spark, sf_dir))
+
+
+@query("SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def failed_doc_antijoin(spark, sf_dir):
+    failed = t(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("item_id"))
+    return t(spark, sf_dir, "benchmark").select("item_id").join(failed, "item_id", "left_anti")
+
+
+@query()
+def seeded_sample(spark, sf_dir):
+    """A sample that depends on the keys and the seed alone."""
+    return evals.seeded_sample(questions(spark, sf_dir), 20)
+
+
+@query("SELECT o_orderkey, round(floor(o_totalprice) / (o_custkey + 1) * 100 - 3, 6) AS value, NULL::VARCHAR AS error FROM orders")
+def calculator_values(spark, sf_dir):
+    e = t(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.floor("o_totalprice").cast("string"), F.lit("/("), "o_custkey", F.lit("+1)*100-3")).alias("expr"))
+    return e.select("o_orderkey", calculator.evaluate("expr").alias("r")).select("o_orderkey", F.round("r.value", 6).alias("value"), "r.error")
+
+
+@query("SELECT left(sha256(coalesce(text, '')), 16) AS doc_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def stream_ingest(spark, sf_dir):
+    """Documents taken by a stream, each content once."""
+    return ingest.run_once(spark, f"{sf_dir}/documents.parquet")
