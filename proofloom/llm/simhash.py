@@ -17,6 +17,7 @@ a bucket the task emits a spanning forest of the links, never all pairs.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -161,19 +162,11 @@ def links(distinct: DataFrame, radius: int = 3, bucket_rows: int = BUCKET_ROWS)
     while True:
         nxt, arms = {}, []
         for path, mask in masks.items():
-            free = _free(mask)
-            if not free:
-                continue
-            own = [m | mask for m in covering_masks(radius, free)]
-            arms.append((path, [(path * (2 << radius) + 1 + i, m) for i, m in enumerate(own)]))
-            nxt |= dict(arms[-1][1])
-        if len(arms) == 1:
-            pairs = F.array(*[F.struct(F.lit(p).cast("long").alias("path"), F.lit(_signed(m)).alias("mask")) for p, m in arms[0][1]])
-        else:
-            pairs = F.lit(None)
-            for path, own in arms:
-                pairs = F.when(F.col("path") == path, F.array(*[F.struct(F.lit(p).cast("long").alias("path"), F.lit(_signed(m)).alias("mask")) for p, m in own])).otherwise(pairs)
-        dealt = rows.select("fp", F.explode(pairs).alias("t")).select("t.path", F.col("fp").bitwiseAND(F.col("t.mask")).alias("key"), "fp")
+            for i, m in enumerate(covering_masks(radius, _free(mask))):
+                arms.append((path, path * (2 << radius) + 1 + i, _signed(m | mask)))
+                nxt[arms[-1][1]] = m | mask
+        tables = distinct.sparkSession.createDataFrame(arms, "path long, to long, mask long")  # at most 2^(radius+1) for each split table
+        dealt = rows.join(F.broadcast(tables), "path").select(F.col("to").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         out = saved(
             dealt.repartition(parts(distinct), "path", "key").sortWithinPartitions("path", "key").mapInArrow(_runs(radius, bucket_rows), "path long, u long, v long"),
             "links",
@@ -208,13 +201,206 @@ def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def deduplicated(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` with one document of each component: that of the smallest doc_id.
+#: For copies alike in four fifths of their five-word shingles: fingerprints of the words, radius in each, most differing bits in all, and partners for each row of a bucket.
+PRINTS, PRINT_RADIUS, PRINT_BITS, NEAR = 4, 3, 30, 3
+SHINGLE, LEAST_ALIKE, SAMPLE = 5, 0.8, 0.25
 
-    Rows that repeat that doc_id are one document: the first in the order of
-    all columns stays. A null doc_id stays only where its component has no other.
+
+def word_prints(batch: list[bytes], prints: int = PRINTS) -> tuple[list[bytes], np.ndarray]:
+    """Of each text, a digest of its word sequence and ``prints`` independent fingerprints of its words (uint64)."""
+    split = [words(t) for t in batch]
+    place: dict[bytes, int] = {}
+    ids = [np.array([place.setdefault(w, len(place)) for w in ws], np.int64) for ws in split]
+    raw = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8 * prints).digest() for w in place), np.uint8).reshape(len(place), 8 * prints)
+    out = np.zeros((len(batch), 8 * prints), np.uint8)
+    for k, own in enumerate(ids):
+        bits = np.zeros(64 * prints, np.int64)
+        for at in range(0, len(own), 4096):
+            bits += np.unpackbits(raw[own[at : at + 4096]], axis=1).sum(0, dtype=np.int64)
+        out[k] = np.packbits(bits * 2 > len(own))
+    return [hashlib.md5(b" ".join(ws)).digest() for ws in split], out.view(np.uint64)
+
+
+def hubs(prints: np.ndarray, most: int = PRINT_BITS, each: int = NEAR) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(pairs of rows to compare, the hubs): each row with its ``each`` nearest, and with the ``each`` rows that most others are near to.
+
+    An original is nearer to its copies than they are to each other, so it is
+    among the nearest of a copy in a small group and a hub in a large one.
+    """
+    n = len(prints)
+    d = sum(np.bitwise_count(prints[:, None, k] ^ prints[None, :, k]).astype(np.int16) for k in range(prints.shape[1]))
+    np.fill_diagonal(d, most + 1)
+    total = np.where(d <= most, most + 1 - d, 0).sum(1)
+    top = np.lexsort((np.arange(n), -total))[:each]
+    close = np.argsort(d, axis=1, kind="stable")[:, :each]
+    i = np.repeat(np.arange(n), close.shape[1] + len(top))
+    j = np.concatenate([close, np.broadcast_to(top, (n, len(top)))], axis=1).ravel()
+    good = d[i, j] <= most
+    return sorted({(min(x, y), max(x, y)) for x, y in zip(i[good].tolist(), j[good].tolist())}), top
+
+
+def _hub_runs(most_rows: int, prints: int, split: bool):
+    """Reads rows (path, key, node, print...) sorted by path and key; emits pairs (null, u, v) of a bucket's nodes, and rows (path, node, null).
+
+    ``split``: the rows of larger buckets, to be dealt again. Otherwise larger
+    buckets are taken in runs of ``most_rows`` that hand on their hubs, and the
+    rows are a bucket's hubs, which stand for it.
+    """
+    schema = pa.schema([("path", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, size, over = None, [], 0, False
+
+        def judge() -> tuple[list[tuple], np.ndarray]:
+            rows = np.concatenate(held)
+            rows = rows[np.argsort(rows[:, 0], kind="stable")]
+            found, top = hubs(np.ascontiguousarray(rows[:, 1:]).view(np.uint64)) if len(rows) > 1 else ([], np.zeros(1, np.int64))
+            return [(None, int(rows[i, 0]), int(rows[j, 0])) for i, j in found if rows[i, 0] != rows[j, 0]], rows[top]
+
+        def flush() -> list[tuple]:
+            if at is None or over or (split and size < 2):
+                return []
+            found, top = judge()
+            return found if split else found + [(int(at[0]), x, None) for x in sorted(set(top[:, 0].tolist()))]
+
+        def pack(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+        for b in batches:
+            path, key = b.column(0).to_numpy(), b.column(1).to_numpy()
+            body = np.stack([b.column(i).to_numpy() for i in range(2, prints + 3)], axis=1)
+            new = np.flatnonzero((path[1:] != path[:-1]) | (key[1:] != key[:-1])) + 1
+            starts, ends = np.append(0, new), np.append(new, len(path))
+            own = (ends - starts > 1) | (not split)
+            own[[0, -1]] = True  # a run of one row matters only where it may go on in another batch, or stands for itself
+            rows: list[tuple] = []
+            for i, j in zip(starts[own].tolist(), ends[own].tolist()):
+                if i == j:
+                    continue
+                if (path[i], key[i]) != at:
+                    rows += flush()
+                    at, held, size, over = (path[i], key[i]), [], 0, False
+                for k in range(i, j, most_rows):
+                    part = body[k : min(k + most_rows, j)]
+                    if split and (over or size + len(part) > most_rows):
+                        rows += [(int(path[i]), x, None) for p in (*held, part) for x in p[:, 0].tolist()]
+                        held, over = [], True
+                        continue
+                    if size + len(part) > most_rows:
+                        found, top = judge()
+                        rows += found
+                        held, size = [top], len(top)
+                    held.append(part)
+                    size += len(part)
+            if rows:
+                yield pack(rows)
+        if rows := flush():
+            yield pack(rows)
+
+    return run
+
+
+def _shingle_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, set, few) of the documents among ``nodes``: sorted 32-bit hashes of their distinct five-word shingles, and those divisible by 8 where they are many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for t in texts(b.column(1)):
+                w = words(t)
+                grams = [b" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))]
+                sets.append(np.unique(np.fromiter((xxhash.xxh32_intdigest(g) for g in grams), np.uint32, len(grams))))
+            few = [(s[s % 8 == 0] if len(s) > 256 else s).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(few, pa.binary())], ["node", "set", "few"])
+        trim()
+
+    return docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").select("doc_id", "text").mapInArrow(run, "node long, set binary, few binary")
+
+
+def _similar(edges: DataFrame, sets: DataFrame, column: str, least: float) -> DataFrame:
+    """The edges (u, v) whose ends' sets have a Jaccard similarity of ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
+                good.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    a, b = (sets.select(F.col("node").alias(n), F.col(column).alias(f"set_{n}")) for n in "uv")
+    return edges.join(a, "u").join(b, "v").select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long")
+
+
+def alike(docs: DataFrame, least: float = LEAST_ALIKE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(doc_id, root) for each distinct doc_id of ``docs``: documents of one root are copies of each other.
+
+    Two documents are linked if their words are the same, or if at least
+    ``least`` of their distinct five-word shingles are shared, exactly. Pairs to
+    compare come from covering tables over several word fingerprints (see
+    :func:`hubs`); root is the smallest doc_id of a component. Documents
+    without a doc_id are left out; of rows with one doc_id and different texts
+    the first text in binary order counts. Wordless texts are all the same.
+    """
+    small_batches(docs.sparkSession)
+    cols = [f"p{k}" for k in range(PRINTS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digest, prints = word_prints(texts(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), *[pa.array(prints[:, k].view(np.int64)) for k in range(PRINTS)]], ["doc_id", "digest", *cols])
+        trim()
+
+    own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = own.mapInArrow(run, "doc_id long, digest binary, " + ", ".join(f"{c} long" for c in cols))
+    found = saved(found.groupBy("doc_id").agg(F.min(F.struct("digest", *cols)).alias("x")).select("doc_id", "x.*"), "prints")
+    same = saved(found.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in cols]), "nodes")
+    bucket_rows = max(bucket_rows, NEAR << (PRINT_RADIUS + 2))  # more than the buckets hold whose masks could not shrink
+
+    def dealt_to(rows: DataFrame, split: bool) -> DataFrame:
+        run = _hub_runs(bucket_rows, PRINTS, split)
+        return saved(rows.repartition(parts(docs), "path", "key").sortWithinPartitions("path", "key").mapInArrow(run, "path int, u long, v long"), "pairs")
+
+    # nodes with one fingerprint are compared among themselves, and their hubs stand for them in the covering tables
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("path"), F.col(c).alias("key")) for k, c in enumerate(cols)]))
+    out = dealt_to(same.select(each.alias("t"), "node", *cols).select("t.path", "t.key", "node", *cols), split=False)
+    pairs = [out.filter("v is not null").select("u", "v")]
+    nodes = out.filter("v is null").select(F.col("path").alias("only"), F.col("u").alias("node")).join(same.select("node", *cols), "node")
+    # table v of fingerprint k is path PRINTS + k * size^6 + v; the tables that split it are known by their paths
+    size = 2 << PRINT_RADIUS
+    arms = [(k, PRINTS + k * size**6 + v, k, m) for k in range(PRINTS) for v, m in enumerate(covering_masks(PRINT_RADIUS))]
+    while arms:
+        masks = docs.sparkSession.createDataFrame([(o, p, k, _signed(m)) for o, p, k, m in arms], "only int, path int, k int, mask long")  # at most 15 for each split table
+        key = F.element_at(F.array(*cols), F.col("k") + 1).bitwiseAND(F.col("mask"))
+        out = dealt_to(nodes.join(F.broadcast(masks), "only").select("path", key.alias("key"), "node", *cols), split=True)
+        pairs.append(out.filter("path is null").select("u", "v"))
+        over = out.filter("path is not null").select("path", F.col("u").alias("node")).distinct()
+        mask_of = {p: (k, m) for _, p, k, m in arms}
+        arms = []
+        for (p,) in over.select("path").distinct().collect():  # at most the masks of a level
+            k, m = mask_of[p]
+            free = _free(m)
+            for v, more in enumerate(covering_masks(PRINT_RADIUS, free) if len(free) > PRINT_RADIUS else []):
+                arms.append((p, PRINTS + k * size**6 + (p - PRINTS - k * size**6 + 1) * size + v, k, m | more))
+        nodes = over.withColumnRenamed("path", "only").join(same.select("node", *cols), "node")
+    edges = saved(reduce(DataFrame.union, pairs).distinct(), "edges")
+    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
+    sets = saved(_shingle_sets(ends, own).groupBy("node").agg(F.min(F.struct("set", "few")).alias("x")).select("node", "x.*"), "sets")
+    # the share among every eighth shingle is within SAMPLE of that among all, but for a few in ten thousand
+    linked = _similar(_similar(edges, sets, "few", least - SAMPLE), sets, "set", least)
+    roots = components(linked)
+    reps = same.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    return found.join(reps, "digest").select("doc_id", "root")
+
+
+def deduplicated(docs: DataFrame, least: float = LEAST_ALIKE) -> DataFrame:
+    """The rows of ``docs`` with one document of each group of copies (see :func:`alike`): that of the smallest doc_id.
+
+    Rows that repeat that doc_id are one document, of which one row stays. Rows
+    without a doc_id can't be told apart and stay.
     """
-    found = classes(docs.select("doc_id", "text"), width, radius)
-    keep = found.groupBy("component_id").count().select(F.col("component_id").alias("kept_id"))
-    joined = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept_id"]), "left_semi")
-    return joined.dropDuplicates(["doc_id"])
+    roots = alike(docs.select("doc_id", "text"), least)
+    keep = roots.filter("doc_id = root").select(F.col("doc_id").alias("kept_id"))
+    one = docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
