@@ -16,7 +16,7 @@ from math import erf, exp, pi, sqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import saved, small_batches, texts, trim
@@ -173,10 +173,12 @@ def mcd(x: np.ndarray, w: np.ndarray, share: float = 0.75, floor: np.ndarray = F
     return m, (s - np.diag(floor**2)) * (share / _chi2_cdf(q, p + 2)) + np.diag(floor**2)
 
 
-def _judge(share: float, tail: float):
+def _judge(share: float, tail: float, least: int):
     cut = chi2_quantile(1 - tail, len(CELL))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["n"].sum() < least:
+            return pdf.loc[[], ["pool", *CELL]]
         pdf = pdf.sort_values(CELL)
         x = pdf[CELL].to_numpy(np.float64) / STEP
         m, s = mcd(x, pdf["n"].to_numpy(np.float64), share)
@@ -194,20 +196,12 @@ def rejected_cells(counts: DataFrame, lang: Column, source: Column, share: float
     """
     own = counts.filter(~base_failed()).select(lang.alias("lang"), source.alias("source"), *cells())
     found = saved(own.groupBy("lang", "source", *CELL).agg(F.count("*").alias("n")), "cells")
-    sized = found.groupBy("lang", "source").agg(F.sum("n").alias("of_source"))
-    langs = sized.groupBy("lang").agg(F.sum("of_source").alias("of_lang"))
-    level = F.when(F.col("of_source") >= least, 0).when(F.col("of_lang") >= least, 1).otherwise(2)
-    groups = sized.alias("s").join(langs.alias("l"), F.col("s.lang").eqNullSafe(F.col("l.lang"))).select("s.lang", "s.source", level.alias("level"))
     key = lambda k: F.to_json(F.struct(F.lit(k).alias("level"), *([F.col("lang")] if k < 2 else []), *([F.col("source")] if k < 1 else [])))
-    pool = F.when(F.col("level") == 0, key(0)).when(F.col("level") == 1, key(1)).otherwise(key(2))
-    groups = groups.withColumn("pool", pool)
-    used = groups.select("pool").distinct()
-    fits = found.select(key(0).alias("pool"), *CELL, "n").union(found.select(key(1), *CELL, "n")).union(found.select(key(2), *CELL, "n")).join(used, "pool", "left_semi")
-    bad = (
-        fits.groupBy("pool", *CELL).agg(F.sum("n").alias("n"))
-        .join(fits.groupBy("pool").agg(F.sum("n").alias("total")).filter(F.col("total") >= least), "pool", "left_semi")
-        .groupBy("pool").applyInPandas(_judge(share, tail), "pool string, " + ", ".join(f"{q} int" for q in CELL))
-    )
+    sized = found.groupBy("lang", "source").agg(F.sum("n").alias("of_source")).withColumn("of_lang", F.sum("of_source").over(Window.partitionBy("lang")))
+    pool = F.when(F.col("of_source") >= least, key(0)).when(F.col("of_lang") >= least, key(1)).otherwise(key(2))
+    groups = saved(sized.select("lang", "source", pool.alias("pool")), "groups")
+    fits = found.select(F.explode(F.array(key(0), key(1), key(2))).alias("pool"), *CELL, "n").join(groups.select("pool"), "pool", "left_semi")
+    bad = fits.groupBy("pool", *CELL).agg(F.sum("n").alias("n")).groupBy("pool").applyInPandas(_judge(share, tail, least), "pool string, " + ", ".join(f"{q} int" for q in CELL))
     return saved(bad.join(groups, "pool").select("lang", "source", *CELL), "rejected")
 
 
