@@ -1,13 +1,16 @@
 """Language-model scores by a probabilistic suffix tree over the bytes of the token sequence.
 
-A text is its words, A-Z lowered, joined by one space and closed by a newline,
+A text is its words, A-Z lowered, each with one space after it, and a newline,
 which is the end token; no word holds either byte, so texts and byte sequences
 match one to one. A state is a context of up to ``DEPTH`` bytes. It is retained
 if its next-byte distribution diverges from its parent's (the longest proper
 suffix) by ``min_gain`` nats over all its occurrences, or if a longer retained
 context needs it. Each retained state's distribution is smoothed towards its
 parent's by the number of distinct next bytes it has seen; a byte is scored by
-the longest retained suffix of what stands before it.
+the longest retained suffix of what stands before it. So the tree spells the
+next token with a probability, whether training had the token or not, and a
+share of ``OWN`` goes to the token's own relative frequency, which tells more
+than the tree where training is short: P(t) = OWN * c(t) / N + (1 - OWN) * tree(t).
 
 Work is by blocks of documents, as a task reads them. A block asks for each of its
 distinct words and (DEPTH+1)-byte grams once, the counts are summed over all
@@ -19,7 +22,6 @@ collected but the counts of single bytes after single bytes, 65,536 at most.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,10 @@ from .common import parts, saved, small_batches, texts, trim, words
 
 DEPTH = 5
 END = b"\n"
-BLOCK = 32 << 20
-CHUNK = 1 << 20  # bytes whose grams are in memory at once
+BLOCK = 16 << 20
+OWN = 0.2
+LN10 = float(np.log(10))
+CHUNK = 2 << 20  # bytes whose grams are in memory at once
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -49,16 +53,22 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         block = (part << 24) + seq
-        blob = zstandard.ZstdCompressor(level=3).compress(b"".join(lines))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, lines))], pa.list_(pa.int64())), pa.array([blob], pa.binary())],
-            ["block", "ids", "sizes", "blob"],
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        vocab: set = set()
+        for at in range(0, len(lines), 256):
+            vocab.update(b"".join(lines[at : at + 256]).split())
+        out = pa.RecordBatch.from_arrays(
+            [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, lines))], pa.list_(pa.int64())), pa.array([squeeze(b"".join(lines))], pa.binary()), pa.array([squeeze(b" ".join(sorted(vocab)))], pa.binary())],
+            ["block", "ids", "sizes", "blob", "vocab"],
         )
+        del vocab
+        trim()
+        return out
 
     for b in batches:
         for d, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
             ids.append(d)
-            lines.append(b" ".join(words(t)) + END)
+            lines.append(b" ".join([*words(t), END]))
             size += len(lines[-1])
             if size >= BLOCK:
                 yield flush()
@@ -78,15 +88,14 @@ def _parts(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _grams(lines: list[bytes]) -> np.ndarray:
-    """(DEPTH+1 bytes, number of the document) of each byte of each document, as one number of 48 + 16 bits."""
+    """DEPTH+1 bytes up to each byte of each document, in order; before a document stand ends."""
     pad = END * DEPTH
     raw = b"".join(x for line in lines for x in (pad, line))
     n = len(raw) - DEPTH
     wide = np.frombuffer(raw + bytes(8), np.uint8)
     eight = np.lib.stride_tricks.as_strided(wide[:8].view(np.uint64), (n,), (1,))
-    g = (eight.byteswap() >> np.uint64(8 * (7 - DEPTH))) << np.uint64(16)
+    g = eight.byteswap() >> np.uint64(8 * (7 - DEPTH))
     sizes = np.fromiter(map(len, lines), np.int64, len(lines)) + DEPTH
-    g |= np.repeat(np.arange(len(lines), dtype=np.uint64), sizes)[:n]
     first = np.cumsum(sizes)[:-1]
     keep = np.ones(n, bool)
     for k in range(DEPTH):  # those that end in the next document's pad
@@ -104,8 +113,9 @@ def _counts(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Block:
     """A block's documents, of which only a run is in pieces at a time."""
 
-    def __init__(self, ids: list, sizes: list, blob: bytes):
+    def __init__(self, ids: list, sizes: list, blob: bytes, vocab: bytes):
         self.raw = zstandard.ZstdDecompressor().decompress(blob)
+        self.vocab = zstandard.ZstdDecompressor().decompress(vocab).split()  # distinct words in order
         self.sizes = np.array(sizes, np.int64)
         self.ends = np.cumsum(self.sizes)
         self.held_out = np.array([held_out(x) for x in ids], bool)
@@ -116,36 +126,60 @@ class _Block:
             yield i, j, [self.raw[b - n : b] for b, n in zip(self.ends[i:j].tolist(), self.sizes[i:j].tolist())]
 
 
+def _tokens(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """(document, code, length) of each token of some byte sequences in order, and the distinct tokens by code; the end is empty."""
+    raw = b"".join(lines).replace(END, b" ")
+    ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1  # every token stands before one space
+    offsets = np.append(0, ends).astype(np.int32)
+    d = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+    codes, vocab = d.indices.to_numpy(), [w[:-1] for w in d.dictionary.to_pylist()]
+    return np.searchsorted(np.cumsum([len(x) for x in lines]), ends), codes, np.diff(offsets), vocab
+
+
+def _block_words(own: _Block, block: int) -> Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]:
+    """Batches of (block, number, word, count in training documents) of a block's distinct words in order."""
+    place = {w: k for k, w in enumerate(own.vocab)}
+    place[b""] = len(place)
+    train = np.zeros(len(place), np.int64)
+    for i, j, lines in own.runs():
+        doc, codes, _, vocab = _tokens(lines)
+        at = np.fromiter(map(place.__getitem__, vocab), np.int64, len(vocab))
+        train[at] += np.bincount(codes, weights=~own.held_out[i:j][doc], minlength=len(vocab)).astype(np.int64)
+    for at in range(0, len(own.vocab), 1 << 15):
+        v = own.vocab[at : at + (1 << 15)]
+        yield pa.array(np.full(len(v), block)), pa.array(np.arange(at, at + len(v), dtype=np.int32)), pa.array(v, pa.binary()).cast(pa.string()), pa.array(train[at : at + len(v)])
+
+
+def _block_grams(own: _Block) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct grams in order, and their counts in training documents."""
+    u, c = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for i, j, lines in own.runs():
+        for held in (False, True):
+            some = [x for x, o in zip(lines, own.held_out[i:j]) if o == held]
+            if not some:
+                continue
+            more, n = _counts(_grams(some))
+            at = np.searchsorted(u, more)
+            known = at < len(u)
+            known[known] = u[at[known]] == more[known]
+            if not held:
+                c[at[known]] += n[known]
+            new = ~known
+            u, c = np.insert(u, at[new], more[new]), np.insert(c, at[new], 0 if held else n[new])
+    return u, c
+
+
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What each block asks for: its distinct words, numbered in order, and grams, with their counts in training documents."""
     schema = pa.schema([("block", pa.int64()), ("i", pa.int32()), ("word", pa.string()), ("gram", pa.int64()), ("c", pa.int64())])
     for b in batches:
-        for block, ids, sizes, blob in zip(*(c.to_pylist() for c in b.columns)):
-            own_block = _Block(ids, sizes, blob)
-            train: Counter = Counter()
-            every: set = set()
-            keys, counts = [], []
-            for i, j, lines in own_block.runs():
-                for held in (False, True):
-                    own = [x for x, o in zip(lines, own_block.held_out[i:j]) if o == held]
-                    if not own:
-                        continue
-                    w = b" ".join(own).split()
-                    every.update(w) if held else train.update(w)
-                    u, c = _counts(_grams(own) >> np.uint64(16))
-                    keys.append(u)
-                    counts.append(c * (not held))
-            every.update(train)
-            vocab = sorted(every)
-            del every, own_block
-            u, inv = np.unique(np.concatenate(keys), return_inverse=True)
-            c = np.bincount(inv, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
-            del keys, counts, inv
+        for block, *packed in zip(*(c.to_pylist() for c in b.columns)):
+            own = _Block(*packed)
+            yield from (pa.RecordBatch.from_arrays([*x, pa.nulls(len(x[0]), pa.int64()), c], schema=schema) for *x, c in _block_words(own, block))
+            trim()
+            u, c = _block_grams(own)
+            del own
             trim()
-            for at in range(0, len(vocab), 1 << 15):
-                v = vocab[at : at + (1 << 15)]
-                n = len(v)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(at, at + n, dtype=np.int32)), pa.array(v, pa.binary()).cast(pa.string()), pa.nulls(n, pa.int64()), pa.array(np.fromiter((train.get(x, 0) for x in v), np.int64, n))], schema=schema)
             for at in range(0, len(u), 1 << 15):
                 n = len(u[at : at + (1 << 15)])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.array(u[at : at + n].astype(np.int64)), pa.array(c[at : at + n])], schema=schema)
@@ -211,6 +245,64 @@ def _answer(pairs: np.ndarray, min_gain: float):
     return run
 
 
+def _bundled(kind: int):
+    """Reads rows (block, number or gram, value); emits a compressed bundle of a task's rows for each block: differences of the sorted keys, then values."""
+    schema = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())])
+    value = "<f4" if kind else "<f8"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            block, key, x = (np.concatenate(c) for c in zip(*held))
+            order = np.lexsort((key, block))
+            block, key, x = block[order], key[order], x[order]
+            new = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist()
+            squeeze = zstandard.ZstdCompressor(level=1).compress
+            rows = [(int(block[i]), kind, j - i, squeeze(np.diff(key[i:j], prepend=0).tobytes() + x[i:j].astype(value).tobytes())) for i, j in zip(new, [*new[1:], len(block)])]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+        for b in batches:
+            if b.num_rows:
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64), b.column(2).to_numpy().astype(np.float64)))
+                size += b.num_rows
+            if size >= 1 << 20:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
+        trim()
+
+    return run
+
+
+def _unbundled(told: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, values) of all bundles of a kind."""
+    keys, values = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for k, n, blob in zip(*(told.column(c) for c in ("kind", "n", "blob"))):
+        if k.as_py() == kind:
+            raw, n = zstandard.ZstdDecompressor().decompress(blob.as_py()), n.as_py()
+            keys.append(np.cumsum(np.frombuffer(raw, "<i8", n)))
+            values.append(np.frombuffer(raw, "<f4" if kind else "<f8", n, 8 * n).astype(np.float64))
+    key, value = np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(key, kind="stable")
+    return key[order], value[order]
+
+
+def _spelt(g: np.ndarray, lengths: np.ndarray, gram: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """log10 P of each token, of ``lengths`` bytes, from the grams of all bytes; ``gram`` is sorted, ``logp`` beside it."""
+    out, ends = np.zeros(len(lengths)), np.cumsum(lengths)
+    for i in range(0, len(lengths), 1 << 16):  # a gram and the number of its token make one number, which sorts quickly
+        j = min(i + (1 << 16), len(lengths))
+        own = np.repeat(np.arange(j - i, dtype=np.uint64), lengths[i:j])
+        s = np.sort((g[ends[i] - lengths[i] : ends[j - 1]] << np.uint64(16)) | own)
+        key = (s >> np.uint64(16)).astype(np.int64)
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        value = np.repeat(logp[np.searchsorted(gram, key[new])], np.diff(np.append(new, len(key))))
+        out[i:j] = np.bincount((s & np.uint64(65535)).astype(np.int64), weights=value, minlength=j - i)
+    return out
+
+
 def _scored(n_train: int, v: int, ends: int):
     per = np.log10(n_train + v + 1)
 
@@ -218,38 +310,28 @@ def _scored(n_train: int, v: int, ends: int):
         schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         if not packed.num_rows:
             return schema.empty_table()
-        ids, sizes, blob = (packed.column(c)[0].as_py() for c in ("ids", "sizes", "blob"))
-        own = _Block(ids, sizes, blob)
-        i, gram, x = (told.column(c).to_numpy() for c in ("i", "gram", "x"))
-        of_words = i >= 0
-        counts = np.zeros(int(of_words.sum()))
-        counts[i[of_words]] = x[of_words]
-        gram, logp = gram[~of_words], x[~of_words]
-        order = np.argsort(gram)
-        gram, logp = gram[order], logp[order]
-        gain, end = np.log10(counts + 1), np.log10(ends + 1)
+        ids, *rest = (packed.column(c)[0].as_py() for c in ("ids", "sizes", "blob", "vocab"))
+        own = _Block(ids, *rest)
+        counts = _unbundled(told, 0)[1]
+        gram, logp = _unbundled(told, 1)
+        place = {w: k for k, w in enumerate(own.vocab)}
+        place[b""] = len(counts)
+        counts = np.append(counts, ends)
+        gain = np.log10(counts + 1)
+        with np.errstate(divide="ignore"):
+            own_log = np.log(counts * OWN / max(n_train, 1))
+        rest = np.log(1 - OWN) if n_train else 0.0
         n, known, base, score = (np.zeros(len(ids), t) for t in (np.int64, np.int64, np.float64, np.float64))
-        vocab: set = set()
-        for _, _, lines in own.runs():
-            vocab.update(b" ".join(lines).split())
-        place = {w: k for k, w in enumerate(sorted(vocab))}
-        del vocab
         for a, b, lines in own.runs():
-            split = [x.split() for x in lines]
-            n[a:b] = [len(w) for w in split]
-            doc = np.repeat(np.arange(b - a), n[a:b])
-            at = np.fromiter((place[w] for d in split for w in d), np.int64, len(doc))
+            doc, codes, lengths, vocab = _tokens(lines)
+            at = np.fromiter(map(place.__getitem__, vocab), np.int64, len(vocab))[codes]
+            n[a:b] = np.bincount(doc, minlength=b - a)
             base[a:b] = np.bincount(doc, weights=gain[at], minlength=b - a)
             known[a:b] = np.bincount(doc, weights=counts[at] > 0, minlength=b - a)
-            g = np.sort(_grams(lines))
-            key = (g >> np.uint64(16)).astype(np.int64)
-            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            value = np.repeat(logp[np.searchsorted(gram, key[new])], np.diff(np.append(new, len(key))))
-            score[a:b] = np.bincount((g & np.uint64(65535)).astype(np.int64), weights=value, minlength=b - a)
-        n += 1
-        base += end - n * per
-        known += ends > 0
-        del place, told, i, gram, x, logp, counts
+            spelt = _spelt(_grams(lines), lengths, gram, logp) * LN10
+            score[a:b] = np.bincount(doc, weights=np.logaddexp(own_log[at], rest + spelt), minlength=b - a) / LN10
+        base -= n * per
+        del place, told, gram, logp, counts
         trim()
         return pa.table([pa.array(ids, pa.int64()), pa.array(own.held_out), pa.array(n), pa.array(known), pa.array(np.full(len(ids), n_train, np.int64)), pa.array(base), pa.array(score)], schema=schema)
 
@@ -267,7 +349,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_gain
     """
     small_batches(docs.sparkSession)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = saved(own.mapInArrow(_packed, "block long, ids array<long>, sizes array<long>, blob binary"), "blocks")
+    blocks = saved(own.mapInArrow(_packed, "block long, ids array<long>, sizes array<long>, blob binary, vocab binary"), "blocks")
     asked = saved(blocks.mapInArrow(_asked, "block long, i int, word string, gram long, c long"), "asked")
     w, g = asked.filter("word is not null"), asked.filter("gram is not null")
     by_word = Window.partitionBy("word")
@@ -281,6 +363,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_gain
     ends = int(pairs[:, 10].sum())  # one end for each training document
     n_train, v = (n_words or 0) + ends, (v_words or 0) + (ends > 0)
     model = totals.repartition(parts(docs), F.shiftright("gram", 8).bitwiseAND(F.lit(65535))).mapInArrow(_answer(pairs, min_gain), "gram long, x double")
-    told = counted.select("block", "i", F.lit(0).cast("long").alias("gram"), F.col("c").cast("double").alias("x"))
-    told = told.union(g.select("block", "gram").join(model, "gram").select("block", F.lit(-1), "gram", "x"))
+    bundle = "block long, kind int, n long, blob binary"
+    told = counted.select("block", "i", F.col("c").cast("double").alias("x")).mapInArrow(_bundled(0), bundle)
+    told = told.union(g.select("block", "gram").join(model, "gram").select("block", "gram", "x").mapInArrow(_bundled(1), bundle))
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored(n_train, v, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
