@@ -202,7 +202,7 @@ def hex_digits(fp: str = "fp"):
 
 
 #: For copies alike in four fifths of their five-word shingles: fingerprints of the words, radius in each, most differing bits in all, and partners for each row of a bucket.
-PRINTS, PRINT_RADIUS, PRINT_BITS, NEAR = 4, 3, 30, 3
+PRINTS, PRINT_RADIUS, PRINT_BITS, NEAR = 4, 3, 28, 2
 SHINGLE, LEAST_ALIKE, SAMPLE = 5, 0.8, 0.25
 
 
@@ -300,21 +300,11 @@ def _hub_runs(most_rows: int, prints: int, split: bool):
     return run
 
 
-def _shingle_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, set, few) of the documents among ``nodes``: sorted 32-bit hashes of their distinct five-word shingles, and those divisible by 8 where they are many."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = []
-            for t in texts(b.column(1)):
-                w = words(t)
-                grams = [b" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))]
-                sets.append(np.unique(np.fromiter((xxhash.xxh32_intdigest(g) for g in grams), np.uint32, len(grams))))
-            few = [(s[s % 8 == 0] if len(s) > 256 else s).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(few, pa.binary())], ["node", "set", "few"])
-        trim()
-
-    return docs.join(nodes, docs["doc_id"] == nodes["node"], "left_semi").select("doc_id", "text").mapInArrow(run, "node long, set binary, few binary")
+def _shingle_set(text: bytes) -> np.ndarray:
+    """Sorted 32-bit hashes of the distinct five-word shingles; fewer words are one shingle."""
+    w = words(text)
+    grams = [b" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))]
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(g) for g in grams), np.uint32, len(grams)))
 
 
 def _similar(edges: DataFrame, sets: DataFrame, column: str, least: float) -> DataFrame:
@@ -348,13 +338,19 @@ def alike(docs: DataFrame, least: float = LEAST_ALIKE, bucket_rows: int = BUCKET
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digest, prints = word_prints(texts(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), *[pa.array(prints[:, k].view(np.int64)) for k in range(PRINTS)]], ["doc_id", "digest", *cols])
+            batch = texts(b.column(1))
+            digest, prints = word_prints(batch)
+            sets = [_shingle_set(t) for t in batch]
+            few = [(s[s % 8 == 0] if len(s) > 128 else s).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(digest, pa.binary()), *[pa.array(prints[:, k].view(np.int64)) for k in range(PRINTS)], pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(few, pa.binary())],
+                ["doc_id", "digest", *cols, "set", "few"],
+            )
         trim()
 
     own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = own.mapInArrow(run, "doc_id long, digest binary, " + ", ".join(f"{c} long" for c in cols))
-    found = saved(found.groupBy("doc_id").agg(F.min(F.struct("digest", *cols)).alias("x")).select("doc_id", "x.*"), "prints")
+    rows = saved(own.mapInArrow(run, "doc_id long, digest binary, " + ", ".join(f"{c} long" for c in cols) + ", set binary, few binary"), "prints")
+    found = saved(rows.groupBy("doc_id").agg(F.min(F.struct("digest", *cols)).alias("x")).select("doc_id", "x.*"), "prints")
     same = saved(found.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in cols]), "nodes")
     bucket_rows = max(bucket_rows, NEAR << (PRINT_RADIUS + 2))  # more than the buckets hold whose masks could not shrink
 
@@ -385,10 +381,12 @@ def alike(docs: DataFrame, least: float = LEAST_ALIKE, bucket_rows: int = BUCKET
                 arms.append((p, PRINTS + k * size**6 + (p - PRINTS - k * size**6 + 1) * size + v, k, m | more))
         nodes = over.withColumnRenamed("path", "only").join(same.select("node", *cols), "node")
     edges = saved(reduce(DataFrame.union, pairs).distinct(), "edges")
-    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    sets = saved(_shingle_sets(ends, own).groupBy("node").agg(F.min(F.struct("set", "few")).alias("x")).select("node", "x.*"), "sets")
+    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().join(found, F.col("node") == found["doc_id"]).select("node", "digest")
+    mine = (rows["doc_id"] == ends["node"]) & (rows["digest"] == ends["digest"])
+    sets = saved(rows.join(ends, mine).groupBy("node").agg(F.first("set").alias("set"), F.first("few").alias("few")), "sets")
     # the share among every eighth shingle is within SAMPLE of that among all, but for a few in ten thousand
-    linked = _similar(_similar(edges, sets, "few", least - SAMPLE), sets, "set", least)
+    maybe = saved(_similar(edges, sets, "few", least - SAMPLE), "maybe")
+    linked = _similar(maybe, sets, "set", least)
     roots = components(linked)
     reps = same.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return found.join(reps, "digest").select("doc_id", "root")

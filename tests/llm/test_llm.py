@@ -162,7 +162,7 @@ def near_copies(data, n=25, seed=11):
         for i in range(n):
             w = t.split(" ")
             for at in range(rnd.randint(0, 40), len(w), rnd.randint(60, 70)):
-                w[at] = rnd.choice(["quux", "zork", "plugh"])
+                w[at] = f"edit{rnd.randrange(10**6)}"
             rows.append((1000 + 100 * k + i, " ".join(w)))
     return rows + [(3000 + d, t.upper() if t else t) for d, t in rows[:10]]
 
@@ -466,7 +466,7 @@ def test_tree_scores_against_dictionaries(spark, data):
     rows = [(d, (t or "")[:400]) for d, t in sample_texts(data, 40)] + [(500, ""), (501, None)]
     out = {r.doc_id: r.score for r in suffix_tree.scores(docs_frame(spark, rows).repartition(2)).collect()}
     for (d, _), want in zip(rows, slow_tree(rows, suffix_tree.DEPTH, 4.0)):
-        assert out[d] == pytest.approx(want, rel=1e-9)
+        assert out[d] == pytest.approx(want, rel=1e-6)
 
 
 def test_held_out_texts_score_above_the_base(spark):
