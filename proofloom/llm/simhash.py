@@ -201,42 +201,57 @@ def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-#: For copies alike in four fifths of their five-word shingles: fingerprints of the words, radius in each, most differing bits in all, and partners for each row of a bucket.
-PRINTS, PRINT_RADIUS, PRINT_BITS, NEAR = 4, 3, 28, 2
-SHINGLE, LEAST_ALIKE, SAMPLE = 5, 0.8, 0.25
+#: Copies alike in four fifths of their five-word shingles: word fingerprints that the covering tables are over, radius in each, most differing
+#: bits of all of them, and most differing bits of the 256-bit fingerprint of the shingles. Jaccard 0.8 is a cosine of 0.89, an angle of 0.15 pi.
+PRINTS, PRINT_RADIUS, PRINT_BITS = 4, 3, 40
+SHINGLE, SHINGLE_BITS = 5, 42
+HUBS = 3
 
 
-def word_prints(batch: list[bytes], prints: int = PRINTS) -> tuple[list[bytes], np.ndarray]:
-    """Of each text, a digest of its word sequence and ``prints`` independent fingerprints of its words (uint64)."""
+def _majority(raw: np.ndarray, at: np.ndarray | None, n: int) -> np.ndarray:
+    """Bits set in over half of ``n`` hashes, rows of ``raw`` (those at ``at``)."""
+    bits = np.zeros(8 * raw.shape[1], np.int64)
+    for i in range(0, n, 4096):
+        bits += np.unpackbits(raw[at[i : i + 4096]] if at is not None else raw[i : i + 4096], axis=1).sum(0, dtype=np.int64)
+    return np.packbits(bits * 2 > n)
+
+
+def wide_prints(batch: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """Of each text, a digest of its word sequence and 8 words of 64 bits: 4 fingerprints of its words, and one of 256 bits of its five-word shingles."""
     split = [words(t) for t in batch]
     place: dict[bytes, int] = {}
     ids = [np.array([place.setdefault(w, len(place)) for w in ws], np.int64) for ws in split]
-    raw = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8 * prints).digest() for w in place), np.uint8).reshape(len(place), 8 * prints)
-    out = np.zeros((len(batch), 8 * prints), np.uint8)
-    for k, own in enumerate(ids):
-        bits = np.zeros(64 * prints, np.int64)
-        for at in range(0, len(own), 4096):
-            bits += np.unpackbits(raw[own[at : at + 4096]], axis=1).sum(0, dtype=np.int64)
-        out[k] = np.packbits(bits * 2 > len(own))
+    raw = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8 * PRINTS).digest() for w in place), np.uint8).reshape(len(place), 8 * PRINTS)
+    out = np.zeros((len(batch), 8 * PRINTS + 32), np.uint8)
+    h = xxhash.xxh3_128_digest
+    for k, (own, ws) in enumerate(zip(ids, split)):
+        line = b" ".join(ws)
+        ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)
+        cuts = zip([0, *ends[:-SHINGLE].tolist()], (ends[SHINGLE - 1 :] - 1).tolist()) if len(ws) >= SHINGLE else [(0, len(line))]
+        grams = [line[i:j] for i, j in cuts]
+        hashes = np.frombuffer(b"".join(x for g in grams for x in (h(g), h(g, 1))), np.uint8).reshape(len(grams), 32)
+        out[k] = np.concatenate([_majority(raw, own, len(own)), _majority(hashes, None, len(grams))])
     return [hashlib.md5(b" ".join(ws)).digest() for ws in split], out.view(np.uint64)
 
 
-def hubs(prints: np.ndarray, most: int = PRINT_BITS, each: int = NEAR) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """(pairs of rows to compare, the hubs): each row with its ``each`` nearest, and with the ``each`` rows that most others are near to.
-
-    An original is nearer to its copies than they are to each other, so it is
-    among the nearest of a copy in a small group and a hub in a large one.
-    """
+def judged_pairs(prints: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(a spanning forest of the rows that are copies of each other, the rows that most others are copies of). All pairs of a bucket are compared."""
     n = len(prints)
-    d = sum(np.bitwise_count(prints[:, None, k] ^ prints[None, :, k]).astype(np.int16) for k in range(prints.shape[1]))
-    np.fill_diagonal(d, most + 1)
-    total = np.where(d <= most, most + 1 - d, 0).sum(1)
-    top = np.lexsort((np.arange(n), -total))[:each]
-    close = np.argsort(d, axis=1, kind="stable")[:, :each]
-    i = np.repeat(np.arange(n), close.shape[1] + len(top))
-    j = np.concatenate([close, np.broadcast_to(top, (n, len(top)))], axis=1).ravel()
-    good = d[i, j] <= most
-    return sorted({(min(x, y), max(x, y)) for x, y in zip(i[good].tolist(), j[good].tolist())}), top
+    apart = lambda cols: sum(np.bitwise_count(prints[:, None, k] ^ prints[None, :, k]).astype(np.int16) for k in cols)
+    near = (apart(range(PRINTS)) <= PRINT_BITS) & (apart(range(PRINTS, prints.shape[1])) <= SHINGLE_BITS)
+    np.fill_diagonal(near, False)
+    top = np.lexsort((np.arange(n), -near.sum(1)))[:HUBS]
+    left, out = np.ones(n, bool), []
+    for first in np.flatnonzero(near.any(1)).tolist():
+        queue = [first] if left[first] else []
+        left[first] = False
+        while queue:
+            i = queue.pop()
+            more = np.flatnonzero(near[i] & left)
+            left[more] = False
+            queue.extend(more.tolist())
+            out.extend((i, j) for j in more.tolist())
+    return out, top
 
 
 def _hub_runs(most_rows: int, prints: int, split: bool):
@@ -254,7 +269,7 @@ def _hub_runs(most_rows: int, prints: int, split: bool):
         def judge() -> tuple[list[tuple], np.ndarray]:
             rows = np.concatenate(held)
             rows = rows[np.argsort(rows[:, 0], kind="stable")]
-            found, top = hubs(np.ascontiguousarray(rows[:, 1:]).view(np.uint64)) if len(rows) > 1 else ([], np.zeros(1, np.int64))
+            found, top = judged_pairs(np.ascontiguousarray(rows[:, 1:]).view(np.uint64)) if len(rows) > 1 else ([], np.zeros(1, np.int64))
             return [(None, int(rows[i, 0]), int(rows[j, 0])) for i, j in found if rows[i, 0] != rows[j, 0]], rows[top]
 
         def flush() -> list[tuple]:
@@ -300,66 +315,39 @@ def _hub_runs(most_rows: int, prints: int, split: bool):
     return run
 
 
-def _shingle_set(text: bytes) -> np.ndarray:
-    """Sorted 32-bit hashes of the distinct five-word shingles; fewer words are one shingle."""
-    w = words(text)
-    grams = [b" ".join(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))]
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(g) for g in grams), np.uint32, len(grams)))
-
-
-def _similar(edges: DataFrame, sets: DataFrame, column: str, least: float) -> DataFrame:
-    """The edges (u, v) whose ends' sets have a Jaccard similarity of ``least`` or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) else 0
-                good.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    a, b = (sets.select(F.col("node").alias(n), F.col(column).alias(f"set_{n}")) for n in "uv")
-    return edges.join(a, "u").join(b, "v").select("u", "v", "set_u", "set_v").mapInArrow(run, "u long, v long")
-
-
-def alike(docs: DataFrame, least: float = LEAST_ALIKE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def alike(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, root) for each distinct doc_id of ``docs``: documents of one root are copies of each other.
 
-    Two documents are linked if their words are the same, or if at least
-    ``least`` of their distinct five-word shingles are shared, exactly. Pairs to
-    compare come from covering tables over several word fingerprints (see
-    :func:`hubs`); root is the smallest doc_id of a component. Documents
+    Two documents are linked if their words are the same, or if the 256-bit
+    SimHash of their five-word shingles differs in at most SHINGLE_BITS bits,
+    as it does from a Jaccard similarity of about 0.8 on. Pairs come from
+    covering tables over four fingerprints of the words, which edits move much
+    less than shingles. root is the smallest doc_id of a component. Documents
     without a doc_id are left out; of rows with one doc_id and different texts
-    the first text in binary order counts. Wordless texts are all the same.
+    the one of the least digest counts. Wordless texts are all the same.
     """
     small_batches(docs.sparkSession)
-    cols = [f"p{k}" for k in range(PRINTS)]
+    wide = PRINTS + 4
+    cols = [f"p{k}" for k in range(wide)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            batch = texts(b.column(1))
-            digest, prints = word_prints(batch)
-            sets = [_shingle_set(t) for t in batch]
-            few = [(s[s % 8 == 0] if len(s) > 128 else s).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(digest, pa.binary()), *[pa.array(prints[:, k].view(np.int64)) for k in range(PRINTS)], pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(few, pa.binary())],
-                ["doc_id", "digest", *cols, "set", "few"],
-            )
+            digest, prints = wide_prints(texts(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), *[pa.array(prints[:, k].view(np.int64)) for k in range(wide)]], ["doc_id", "digest", *cols])
         trim()
 
     own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = saved(own.mapInArrow(run, "doc_id long, digest binary, " + ", ".join(f"{c} long" for c in cols) + ", set binary, few binary"), "prints")
-    found = saved(rows.groupBy("doc_id").agg(F.min(F.struct("digest", *cols)).alias("x")).select("doc_id", "x.*"), "prints")
+    found = own.mapInArrow(run, "doc_id long, digest binary, " + ", ".join(f"{c} long" for c in cols))
+    found = saved(found.groupBy("doc_id").agg(F.min(F.struct("digest", *cols)).alias("x")).select("doc_id", "x.*"), "prints")
     same = saved(found.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in cols]), "nodes")
-    bucket_rows = max(bucket_rows, NEAR << (PRINT_RADIUS + 2))  # more than the buckets hold whose masks could not shrink
+    bucket_rows = max(bucket_rows, HUBS << (PRINT_RADIUS + 2))  # more than the buckets hold whose masks could not shrink
 
     def dealt_to(rows: DataFrame, split: bool) -> DataFrame:
-        run = _hub_runs(bucket_rows, PRINTS, split)
+        run = _hub_runs(bucket_rows, wide, split)
         return saved(rows.repartition(parts(docs), "path", "key").sortWithinPartitions("path", "key").mapInArrow(run, "path int, u long, v long"), "pairs")
 
     # nodes with one fingerprint are compared among themselves, and their hubs stand for them in the covering tables
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("path"), F.col(c).alias("key")) for k, c in enumerate(cols)]))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("path"), F.col(c).alias("key")) for k, c in enumerate(cols[:PRINTS])]))
     out = dealt_to(same.select(each.alias("t"), "node", *cols).select("t.path", "t.key", "node", *cols), split=False)
     pairs = [out.filter("v is not null").select("u", "v")]
     nodes = out.filter("v is null").select(F.col("path").alias("only"), F.col("u").alias("node")).join(same.select("node", *cols), "node")
@@ -368,7 +356,7 @@ def alike(docs: DataFrame, least: float = LEAST_ALIKE, bucket_rows: int = BUCKET
     arms = [(k, PRINTS + k * size**6 + v, k, m) for k in range(PRINTS) for v, m in enumerate(covering_masks(PRINT_RADIUS))]
     while arms:
         masks = docs.sparkSession.createDataFrame([(o, p, k, _signed(m)) for o, p, k, m in arms], "only int, path int, k int, mask long")  # at most 15 for each split table
-        key = F.element_at(F.array(*cols), F.col("k") + 1).bitwiseAND(F.col("mask"))
+        key = F.element_at(F.array(*cols[:PRINTS]), F.col("k") + 1).bitwiseAND(F.col("mask"))
         out = dealt_to(nodes.join(F.broadcast(masks), "only").select("path", key.alias("key"), "node", *cols), split=True)
         pairs.append(out.filter("path is null").select("u", "v"))
         over = out.filter("path is not null").select("path", F.col("u").alias("node")).distinct()
@@ -380,25 +368,18 @@ def alike(docs: DataFrame, least: float = LEAST_ALIKE, bucket_rows: int = BUCKET
             for v, more in enumerate(covering_masks(PRINT_RADIUS, free) if len(free) > PRINT_RADIUS else []):
                 arms.append((p, PRINTS + k * size**6 + (p - PRINTS - k * size**6 + 1) * size + v, k, m | more))
         nodes = over.withColumnRenamed("path", "only").join(same.select("node", *cols), "node")
-    edges = saved(reduce(DataFrame.union, pairs).distinct(), "edges")
-    ends = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().join(found, F.col("node") == found["doc_id"]).select("node", "digest")
-    mine = (rows["doc_id"] == ends["node"]) & (rows["digest"] == ends["digest"])
-    sets = saved(rows.join(ends, mine).groupBy("node").agg(F.first("set").alias("set"), F.first("few").alias("few")), "sets")
-    # the share among every eighth shingle is within SAMPLE of that among all, but for a few in ten thousand
-    maybe = saved(_similar(edges, sets, "few", least - SAMPLE), "maybe")
-    linked = _similar(maybe, sets, "set", least)
-    roots = components(linked)
+    roots = components(reduce(DataFrame.union, pairs))
     reps = same.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return found.join(reps, "digest").select("doc_id", "root")
 
 
-def deduplicated(docs: DataFrame, least: float = LEAST_ALIKE) -> DataFrame:
+def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each group of copies (see :func:`alike`): that of the smallest doc_id.
 
     Rows that repeat that doc_id are one document, of which one row stays. Rows
     without a doc_id can't be told apart and stay.
     """
-    roots = alike(docs.select("doc_id", "text"), least)
+    roots = alike(docs.select("doc_id", "text"))
     keep = roots.filter("doc_id = root").select(F.col("doc_id").alias("kept_id"))
     one = docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -131,13 +131,11 @@ def shingles(t, n=5):
     return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))
 
 
-def slow_roots(rows):
-    """Components of documents that share four fifths of their five-word shingles, or all words."""
-    own = {}
-    for d, t in rows:
-        if d is not None:
-            own.setdefault(d, (shingles(t), tuple(split(low(t)))))
+def slow_roots(rows, alike):
+    """Components of documents of the same words, or of which ``alike`` holds."""
+    own = {d: t or "" for d, t in reversed(rows) if d is not None}
     ids, root = sorted(own), {d: d for d in own}
+    words, prints = {d: split(low(own[d])) for d in ids}, dict(zip(ids, simhash.wide_prints([own[d].encode() for d in ids])[1]))
 
     def find(d):
         while root[d] != d:
@@ -146,8 +144,7 @@ def slow_roots(rows):
 
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            x, y = own[a], own[b]
-            if x[1] == y[1] or len(x[0] & y[0]) >= 0.8 * len(x[0] | y[0]):
+            if words[a] == words[b] or alike(np.bitwise_count(prints[a] ^ prints[b]).astype(int), shingles(own[a]), shingles(own[b])):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     return {d: find(d) for d in ids}
@@ -171,15 +168,16 @@ def near_copies(data, n=25, seed=11):
 def test_copies_against_brute_force(spark, data, bucket_rows):
     rows = near_copies(data) + [(9000, None), (9001, ""), (9002, " \n"), (9003, "one word more"), (9003, "one word more"), (None, "no id"), (None, "no id")]
     out = simhash.alike(docs_frame(spark, rows), bucket_rows=bucket_rows).collect()
-    got, want = {r.doc_id: r.root for r in out}, slow_roots(rows)
-    assert got.keys() == want.keys()
-    assert all(want[d] == want[r] for d, r in got.items())  # nothing is linked that should not be
-    assert np.mean([got[d] == want[d] for d in want]) > 0.9  # fingerprints of some edited copies are too far apart
-    same = {}
-    for d, t in rows:
-        if d is not None:
-            same.setdefault(tuple(split(low(t))), set()).add(got[d])
-    assert all(len(x) == 1 for x in same.values())  # copies of all words always are
+    got = {r.doc_id: r.root for r in out}
+    judged = lambda d: d[:4].sum() <= simhash.PRINT_BITS and d[4:].sum() <= simhash.SHINGLE_BITS
+    least = slow_roots(rows, lambda d, x, y: judged(d) and min(d[:4]) <= simhash.PRINT_RADIUS)  # what the covering tables guarantee
+    most = slow_roots(rows, lambda d, x, y: judged(d))
+    assert got.keys() == most.keys()
+    assert all(got[d] == got[r] for d, r in least.items()) and all(most[d] == most[r] for d, r in got.items())
+    exact = slow_roots(rows, lambda d, x, y: len(x & y) >= 0.8 * len(x | y))
+    assert np.mean([got[d] == got[r] for d, r in exact.items()]) > 0.95
+    loose = slow_roots(rows, lambda d, x, y: len(x & y) >= 0.4 * len(x | y))
+    assert all(loose[d] == loose[r] for d, r in got.items())
 
 
 def test_many_copies_with_one_fingerprint(spark):
