@@ -34,16 +34,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_blocks, scratch, small_batches, trim, worker_cache
+from .common import scratch, small_batches, trim, worker_cache
 
 MAGIC, VERSION = b"PLTK", 1
 HEAD = "<4sHH32sQ"
 END_ID = 2
 SHARD_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_DOCS = 4096
+BATCH_BYTES = 3 << 20  # a batch looks each of its pieces up once
 #: Documents the dictionary is trained on, those of the least keyed hash, and its size in bytes. The documented bound of a sample.
 DICT_DOCS, DICT_BYTES = 1000, 64 << 10
-CACHED_PIECES = 600_000
+CACHED_UNITS = 300_000
+FEW_BUCKETS = 100_000
 
 
 def _plain(c: str) -> bool:
@@ -54,6 +56,8 @@ def _plain(c: str) -> bool:
 #: Latin letters, marks that end a word, and single line ends: pieces whose split into units is plain.
 _UNIT = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿĀ-ž]+|[.,;:!?%$&#*|(){}\[\]\"<>=+/~^_@-]+|\n(?=\S)")
 _SIMPLE = re.compile(rf"(?:{_UNIT.pattern})+")
+#: Most pieces: a word and what follows it.
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿĀ-ž]+)([.,;:!?%$&#*|(){}\[\]\"<>=+/~^_@-]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -64,7 +68,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library, asking it only once for each piece between single spaces.
+    """Ids of whole texts by the tokenizers library, asking it only once for each unit of the pieces between single spaces.
 
     A byte-level split never joins what stands before a white-space run to what
     stands after its start, so a text may be cut before a single space between
@@ -81,11 +85,10 @@ class Encoder:
         self.model = self.tokenizer.model
         self.byte_level = json.loads(self.tokenizer.to_str())["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.byte_level &= not any(re.search(r"\s", x) for x in self.added)
+        # a word with its marks holds no added token: those here have a mark before a letter, and a word has none
+        self.byte_level &= not any(re.search(r"\s", x) or _WORD.search(x) and _WORD.search(x).start() == 0 for x in self.added)
         self.letters = _byte_letters()
-        self.cache: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
-        self.odd: set[str] = set()
 
     def _encode(self, pieces: list[str]) -> Iterator[bytes]:
         for at in range(0, len(pieces), 2048):
@@ -95,21 +98,47 @@ class Encoder:
     def _unit(self, unit: str) -> bytes:
         out = self.units.get(unit)
         if out is None:
-            out = array("I", [t.id for t in self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))]).tobytes()
-            self.units[unit] = out
+            plain = unit.isascii() and unit != "\n"
+            letters = unit.replace(" ", self.letters[32]) if plain else unit.encode().decode("latin-1").translate(self.letters)
+            out = self.units[unit] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         return out
 
-    def _add(self, pieces: set[str]) -> None:
-        """Put the ids of each piece, after a space, into the cache."""
-        rest = []
+    def _known(self, pieces: set[str]) -> tuple[dict[str, bytes], set[str]]:
+        """The ids of each piece after a space, and the pieces at doubtful characters, which have none."""
+        found: dict[str, bytes] = {}
+        odd, rest = set(), []
+        unit, get, word = self._unit, self.units.get, _WORD.fullmatch
         for p in pieces:
-            if _SIMPLE.fullmatch(p) and not any(x in p for x in self.added):
+            if p.isascii() and p.isalpha():
+                p_ = " " + p
+                found[p] = get(p_) or unit(p_)
+            elif m := word(p):
+                core, tail = m.groups()
+                core = " " + core
+                ids = get(core) or unit(core)
+                found[p] = ids + (get(tail) or unit(tail)) if tail else ids
+            elif not p or not (_plain(p[0]) and _plain(p[-1])):
+                odd.add(p)
+            elif _SIMPLE.fullmatch(p) and not any(x in p for x in self.added):
                 units = _UNIT.findall(p)
                 units[0] = " " + units[0]
-                self.cache[p] = b"".join(map(self._unit, units))
+                found[p] = b"".join(map(unit, units))
             else:
                 rest.append(p)
-        self.cache.update(zip(rest, self._encode([" " + p for p in rest])))
+        found.update(zip(rest, self._encode([" " + p for p in rest])))
+        return found, odd
+
+    def _firsts(self, pieces: list[str]) -> list[bytes]:
+        """The ids of what stands before a text's first space."""
+        out: list[bytes | None] = []
+        rest = []
+        for p in pieces:
+            m = _WORD.fullmatch(p)
+            out.append(self._unit(m[1]) + (self._unit(m[2]) if m[2] else b"") if m else None)
+            if not m:
+                rest.append(p)
+        found = self._encode(rest)
+        return [next(found) if x is None else x for x in out]
 
     def __call__(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
@@ -119,19 +148,15 @@ class Encoder:
         seen: set[str] = set()
         for s in split:
             seen.update(s[1:])
-        if len(self.cache) > CACHED_PIECES:  # what this batch has, as the commonest pieces, stays
-            self.cache = {p: self.cache[p] for p in seen if p in self.cache}
-        if len(self.units) > CACHED_PIECES:
+        if len(self.units) > CACHED_UNITS:
             self.units.clear()
-        self.odd = {p for p in seen if not p or not (_plain(p[0]) and _plain(p[-1]))}
-        self._add(seen - self.cache.keys() - self.odd)
-        firsts = list(self._encode([s[0] for s in split]))
+        known, odd = self._known(seen)  # a table for the batch alone: small enough to be quick
         out = []
-        for s, first in zip(split, firsts):
+        for s, first in zip(split, self._firsts([s[0] for s in split])):
             if len(s) == 1:
                 out.append(first)
-            elif s[0] and _plain(s[0][-1]) and (not self.odd or self.odd.isdisjoint(s[1:])):
-                out.append(first + b"".join(map(self.cache.__getitem__, s[1:])))
+            elif s[0] and _plain(s[0][-1]) and (not odd or odd.isdisjoint(s[1:])):
+                out.append(first + b"".join(map(known.__getitem__, s[1:])))
             else:
                 out.append(b"".join(self._encode(self._joined(s))))
         return out
@@ -203,7 +228,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, id_bytes: int, end_id: int
     order = F.xxhash64("doc_id", F.lit(17))
     last = docs.select(order.alias("h")).orderBy("h").limit(dict_docs).agg(F.max("h")).first()[0]
     rows = docs.filter(order <= F.lit(last)).select("text").limit(dict_docs).collect() if last is not None else []  # dict_docs rows at most
-    samples = [_stored(x, id_bytes, end_id)[: 64 << 10] for x in encoder(tokenizer)([r[0] or "" for r in rows])]
+    samples = [_stored(x, id_bytes, end_id)[: 64 << 10] for x in Encoder(tokenizer)([r[0] or "" for r in rows])]
     try:
         return zstandard.train_dictionary(min(dict_bytes, sum(map(len, samples)) // 8), samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -219,19 +244,19 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, doc_
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, BATCH_BYTES)
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     id_bytes = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     dictionary = train_dictionary(own, tokenizer, id_bytes, end_id)
     digest = hashlib.sha256(dictionary).digest()
     spark.createDataFrame([(dictionary, digest.hex(), id_bytes, end_id)], "dictionary binary, sha256 string, id_bytes int, end_id int").coalesce(1).write.parquet(f"{path}/dictionary")
-    n = n_blocks(own, size=BUCKET_BYTES)
+    n = own.count() // BUCKET_DOCS + 1
     bounds = sorted(set(own.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
     bucket = F.coalesce(_bucket(bounds), F.lit(0))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = encoder(tokenizer)
-        pack_up = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
+        pack_up = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         for b in batches:
             ids = [_stored(x, id_bytes, end_id) for x in run([t or "" for t in b.column(2).to_pylist()])]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // id_bytes for x in ids], pa.int64()), pa.array([pack_up.compress(x) for x in ids], pa.binary())], ["bucket", "doc_id", "n", "frame"])
@@ -282,8 +307,8 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
     ``digest``: ids_crc32 instead of ids, the unsigned crc32 of the ids as little-endian unsigned 32-bit integers.
     """
     found, dictionary = spark.read.parquet(f"{path}/shards"), _dictionary(spark, path)
-    sizes = found.groupBy("bucket").agg(F.sum("n_ids").alias("n"))
-    starts = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("bucket_start"))
+    starts = found.groupBy("bucket").agg(F.sum("n_ids").alias("n")).select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("bucket_start"))
+    few = starts.limit(FEW_BUCKETS + 1).collect()
     last, kind = ("ids_crc32", pa.int64()) if digest else ("ids", pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,6 +322,8 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                     got = [zlib.crc32(s.ids(k).tobytes()) if digest else s.ids(k).tobytes() for k in own]
                     yield pa.RecordBatch.from_arrays([pa.array(s.doc_ids[at : at + 256], pa.int64()), pa.array(first[at : at + 256]), pa.array(sizes[at : at + 256]), pa.array(got, kind)], ["doc_id", "start", "n_tokens", last])
 
+    if len(few) <= FEW_BUCKETS:  # 16 bytes each: sent to every task, so that the shards stay where they are
+        starts = F.broadcast(spark.createDataFrame(few, starts.schema))
     placed = found.select("bucket", "local_start", "blob").join(starts, "bucket").select((F.col("local_start") + F.col("bucket_start")).alias("start"), "blob")
     return placed.mapInArrow(run, f"doc_id long, start long, n_tokens long, {last} {'long' if digest else 'binary'}")
 
