@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import parts, saved
 
 #: Titles by the gender they tell; a name takes it from its title.
 FEMALE, MALE, ANY = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"), ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"), ("Dr", "Prof")
@@ -125,7 +125,8 @@ def mapping(entities: DataFrame, key: str) -> DataFrame:
     own = saved(entities.select("kind", "canonical").distinct(), "entities")
     done, todo, attempt = [], own, 0
     while True:
-        made = todo.withColumn("replacement", surrogate(key, F.col("kind"), F.col("canonical"), F.lit(attempt)))
+        # dealt out evenly: deriving costs far more than the few bytes of an entity tell
+        made = todo.repartition(parts(entities), "kind", "canonical").withColumn("replacement", surrogate(key, F.col("kind"), F.col("canonical"), F.lit(attempt)))
         taken = own.select("kind", F.col("canonical").alias("replacement"))
         if done:
             taken = taken.union(reduce(DataFrame.union, done).select("kind", "replacement"))
