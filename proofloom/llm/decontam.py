@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Both passes read every whole document. The first counts, for each n-gram of the
-test items, the documents that hold it. An item's seeds are its n-grams held by
-at most ``rare_docs`` documents, and in any case the rarer half of them, so
-that an item leaked into very many documents keeps seeds. The second pass joins
-documents to items by their seeds and aligns each item with the words around:
-match 2, other 1 off, gap 1 off, as a share of a full match of the item.
+One pass reads every whole document. All n-grams of an item are its seeds,
+however many documents hold them, so that a verdict depends on the document and
+the item alone. Each item is aligned with the words around its seeds: match 2,
+other 1 off, gap 1 off, as a share of a full match of the item. A stretch that
+holds too few of the item's words to reach the least score is not aligned.
 
 Test items are shipped to the tasks in slices of ``SLICE_BYTES``; a larger set
 means more passes, never a larger broadcast.
@@ -13,7 +12,7 @@ means more passes, never a larger broadcast.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,7 +25,6 @@ from .common import small_batches, texts
 
 WIDTH = 4
 SLICE_BYTES = 16 << 20
-RARE_DOCS = 100
 LEAST_SCORE = 0.5
 #: A-Z lowered; digits, a-z and all beyond ASCII are word characters.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -67,9 +65,9 @@ class Items:
     def ids(self, text: bytes) -> list[int]:
         return [self.vocab.get(w, 0) for w in plain_words(text)]
 
-    def hits(self, batch: list[bytes], grams: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each text with a gram of ``grams``: its number, its ids, the places, the grams there."""
-        ids = [self.ids(t) for t in batch]
+    def hits(self, batch: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text with a gram of an item: its number, its ids, the places, the grams there."""
+        ids, grams = [self.ids(t) for t in batch], self.grams
         if not len(grams) or not ids:
             return
         flat = np.array([x for d in ids for x in (*d, 0)], np.int64)  # the 0 keeps documents apart
@@ -117,12 +115,12 @@ def windows(diagonals: list[int], size: int, slack: int) -> list[tuple[int, int]
     return [(a, b) for a, b in out]
 
 
-def matches(items: Items, seeds: np.ndarray, seed_at: dict[int, list], batch: list[bytes], least: float) -> Iterator[tuple[int, int, float, int]]:
+def matches(items: Items, batch: list[bytes], least: float) -> Iterator[tuple[int, int, float, int]]:
     """(number of the text, item id, score, word where the alignment ends) of each pair at ``least`` or more."""
-    for d, ids, places, grams in items.hits(batch, seeds):
+    for d, ids, places, grams in items.hits(batch):
         diagonals: dict[int, set[int]] = defaultdict(set)
         for p, g in zip(places.tolist(), grams.tolist()):
-            for k, q in seed_at[g]:
+            for k, q in items.at[g]:
                 diagonals[k].add(p - q)
         for k, own in sorted(diagonals.items()):
             item_id, item = items.items[k]
@@ -134,6 +132,8 @@ def matches(items: Items, seeds: np.ndarray, seed_at: dict[int, list], batch: li
             else:
                 for a, b in windows(list(own), size, max(4, size // 4)):
                     a = max(a, 0)
+                    if np.isin(item, ids[a:b]).sum() < least * size:  # no word but these can match, each for 2 of 2 * size
+                        continue
                     score, end = smith_waterman(item.tolist(), ids[a:b].tolist())
                     if score / (2 * size) > best[0]:
                         best = (score / (2 * size), a + end)
@@ -150,50 +150,28 @@ def _slices(benchmark: DataFrame) -> Iterator[Items]:
         yield Items([(r[0], bytes(r[1])) for r in rows])
 
 
-class Seeds:
-    """The seeds of a slice of items against a table of documents."""
+def _sent(docs: DataFrame, items: Items):
+    small_batches(docs.sparkSession)
+    return docs.sparkSession.sparkContext.broadcast(items)
 
-    def __init__(self, docs: DataFrame, items: Items, rare_docs: int):
-        spark = docs.sparkSession
-        small_batches(spark)
-        sent = spark.sparkContext.broadcast(items)
 
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n: Counter = Counter()
-            own = sent.value
-            for b in batches:
-                for _, _, _, grams in own.hits(texts(b.column(0)), own.grams):
-                    n.update(np.unique(grams).tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(n), np.uint64).view(np.int64)), pa.array(list(n.values()), pa.int64())], ["gram", "n"])
-
-        found = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        held = {int(np.int64(r[0]).view(np.uint64)): r[1] for r in found.collect()}  # at most the grams of a slice
-        seed_at: dict[int, list] = defaultdict(list)
-        for k, (_, ids) in enumerate(items.items):
-            keys = gram_keys(ids).tolist()
-            most = max(rare_docs, sorted(held.get(g, 0) for g in keys)[len(keys) // 2]) if keys else 0
-            for p, g in enumerate(keys):
-                if held.get(g, 0) <= most:
-                    seed_at[g].append((k, p))
-        self.sent = spark.sparkContext.broadcast((items, np.array(sorted(seed_at), np.uint64), dict(seed_at)))
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, rare_docs: int = RARE_DOCS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, rare_docs: int | None = None) -> DataFrame:
     """(doc_id, item_id, score, end_word): each document and test item whose alignment scores ``least`` or more.
 
     Null and empty texts match nothing, and neither do items of under WIDTH
-    words, which chance would find anywhere. Repeated rows give repeated
+    words, which chance would find anywhere. ``rare_docs`` is accepted and
+    changes nothing: grams of any frequency are seeds. Repeated rows give repeated
     results; repeated items count once; equal scores keep the first place.
     Empty tables: no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     arms = []
     for items in _slices(benchmark):
-        sent = Seeds(own, items, rare_docs).sent
+        sent = _sent(own, items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = list(matches(*sent.value, texts(b.column(1)), least))
+                rows = list(matches(sent.value, texts(b.column(1)), least))
                 if rows:
                     d, i, s, e = zip(*rows)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(d)), pa.array(i, pa.int64()), pa.array(s, pa.float64()), pa.array(e, pa.int64())], ["doc_id", "item_id", "score", "end_word"])
@@ -202,15 +180,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
     return reduce(DataFrame.union, arms)
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, rare_docs: int = RARE_DOCS) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE, rare_docs: int | None = None) -> DataFrame:
     """The rows of ``docs`` that no test item aligns with; their columns as they are. Each row is judged by its own text, without a join."""
     out = docs
     for items in _slices(benchmark):
-        sent = Seeds(docs, items, rare_docs).sent
+        sent = _sent(docs, items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, at=docs.columns.index("text")) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                bad = {x[0] for x in matches(*sent.value, texts(b.column(at)), least)}
+                bad = {x[0] for x in matches(sent.value, texts(b.column(at)), least)}
                 yield b.filter(pa.array([k not in bad for k in range(b.num_rows)], pa.bool_())) if bad else b
 
         out = out.mapInArrow(run, docs.schema)

@@ -515,6 +515,18 @@ def test_alignment_finds_copies_and_edits(spark, data):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.clean_documents(docs.limit(0), bench).count() == 0
 
 
+def test_an_edited_copy_is_found_however_many_documents_hold_it(spark):
+    rnd = random.Random(18)
+    item = [f"w{i}" for i in range(20)]
+    edited = [f"x{i}" if i in (5, 10, 15) else w for i, w in enumerate(item)]
+    rows = [(i, f"n{rnd.random()} " + " ".join(edited)) for i in range(130)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    docs = docs_frame(spark, rows)
+    out = {r.doc_id: r.score for r in decontam.contaminated(docs, bench).collect()}
+    assert out == {i: pytest.approx(0.775) for i in range(130)}
+    assert decontam.clean_documents(docs, bench).count() == 0
+
+
 # --- op9
 
 
