@@ -205,7 +205,10 @@ def hex_digits(fp: str = "fp"):
 #: bits of all of them, and most differing bits of the 256-bit fingerprint of the shingles. Jaccard 0.8 is a cosine of 0.89, an angle of 0.15 pi.
 PRINTS, PRINT_RADIUS, PRINT_BITS = 4, 3, 40
 SHINGLE, SHINGLE_BITS = 5, 42
-HUBS = 3
+#: Paths kept for the tables of each fingerprint, those that split them included.
+PATHS = (2 << PRINT_RADIUS) ** 6
+#: Rows up to which all pairs of a bucket are compared at once.
+DENSE_ROWS = 2048
 
 
 def _majority(raw: np.ndarray, at: np.ndarray | None, n: int) -> np.ndarray:
@@ -234,49 +237,44 @@ def wide_prints(batch: list[bytes]) -> tuple[list[bytes], np.ndarray]:
     return [hashlib.md5(b" ".join(ws)).digest() for ws in split], out.view(np.uint64)
 
 
-def judged_pairs(prints: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """(a spanning forest of the rows that are copies of each other, the rows that most others are copies of). All pairs of a bucket are compared."""
-    n = len(prints)
-    apart = lambda cols: sum(np.bitwise_count(prints[:, None, k] ^ prints[None, :, k]).astype(np.int16) for k in cols)
-    near = (apart(range(PRINTS)) <= PRINT_BITS) & (apart(range(PRINTS, prints.shape[1])) <= SHINGLE_BITS)
-    np.fill_diagonal(near, False)
-    top = np.lexsort((np.arange(n), -near.sum(1)))[:HUBS]
-    left, out = np.ones(n, bool), []
-    for first in np.flatnonzero(near.any(1)).tolist():
-        queue = [first] if left[first] else []
-        left[first] = False
-        while queue:
+def judged_pairs(prints: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the rows that are copies of each other, whatever their number; room for a few columns of the rows."""
+    n, wide = prints.shape
+    apart = lambda x, y, cols: sum(np.bitwise_count(x[..., k] ^ y[..., k]).astype(np.int16) for k in cols)
+    copies = lambda x, y: (apart(x, y, range(PRINTS)) <= PRINT_BITS) & (apart(x, y, range(PRINTS, wide)) <= SHINGLE_BITS)
+    near = copies(prints[:, None], prints[None]) if n <= DENSE_ROWS else None
+    rest, out = np.arange(n), []  # rows that no tree has yet
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
             i = queue.pop()
-            more = np.flatnonzero(near[i] & left)
-            left[more] = False
-            queue.extend(more.tolist())
-            out.extend((i, j) for j in more.tolist())
-    return out, top
+            found = near[i, rest] if near is not None else copies(prints[rest], prints[i])
+            if found.any():
+                more = rest[found].tolist()
+                rest = rest[~found]
+                queue.extend(more)
+                out.extend((i, j) for j in more)
+    return out
 
 
-def _hub_runs(most_rows: int, prints: int, split: bool):
+def _print_runs(most: int, prints: int):
     """Reads rows (path, key, node, print...) sorted by path and key; emits pairs (null, u, v) of a bucket's nodes, and rows (path, node, null).
 
-    ``split``: the rows of larger buckets, to be dealt again. Otherwise larger
-    buckets are taken in runs of ``most_rows`` that hand on their hubs, and the
-    rows are a bucket's hubs, which stand for it.
+    The rows are those of buckets of more than ``most`` distinct fingerprints,
+    to be dealt again. Nodes of one fingerprint can't be dealt apart, so any
+    number of them is judged together, a few words of memory each.
     """
     schema = pa.schema([("path", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, size, over = None, [], 0, False
-
-        def judge() -> tuple[list[tuple], np.ndarray]:
-            rows = np.concatenate(held)
-            rows = rows[np.argsort(rows[:, 0], kind="stable")]
-            found, top = judged_pairs(np.ascontiguousarray(rows[:, 1:]).view(np.uint64)) if len(rows) > 1 else ([], np.zeros(1, np.int64))
-            return [(None, int(rows[i, 0]), int(rows[j, 0])) for i, j in found if rows[i, 0] != rows[j, 0]], rows[top]
+        at, held, size, seen, over = None, [], 0, None, False
 
         def flush() -> list[tuple]:
-            if at is None or over or (split and size < 2):
+            if over or size < 2:
                 return []
-            found, top = judge()
-            return found if split else found + [(int(at[0]), x, None) for x in sorted(set(top[:, 0].tolist()))]
+            rows = np.concatenate(held)
+            rows = rows[np.argsort(rows[:, 0], kind="stable")]
+            return [(None, int(rows[i, 0]), int(rows[j, 0])) for i, j in judged_pairs(np.ascontiguousarray(rows[:, 1:]).view(np.uint64))]
 
         def pack(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
@@ -286,27 +284,24 @@ def _hub_runs(most_rows: int, prints: int, split: bool):
             body = np.stack([b.column(i).to_numpy() for i in range(2, prints + 3)], axis=1)
             new = np.flatnonzero((path[1:] != path[:-1]) | (key[1:] != key[:-1])) + 1
             starts, ends = np.append(0, new), np.append(new, len(path))
-            own = (ends - starts > 1) | (not split)
-            own[[0, -1]] = True  # a run of one row matters only where it may go on in another batch, or stands for itself
+            own = ends - starts > 1
+            own[[0, -1]] = True  # a run of one row matters only where it may go on in another batch
             rows: list[tuple] = []
             for i, j in zip(starts[own].tolist(), ends[own].tolist()):
                 if i == j:
                     continue
                 if (path[i], key[i]) != at:
                     rows += flush()
-                    at, held, size, over = (path[i], key[i]), [], 0, False
-                for k in range(i, j, most_rows):
-                    part = body[k : min(k + most_rows, j)]
-                    if split and (over or size + len(part) > most_rows):
-                        rows += [(int(path[i]), x, None) for p in (*held, part) for x in p[:, 0].tolist()]
-                        held, over = [], True
-                        continue
-                    if size + len(part) > most_rows:
-                        found, top = judge()
-                        rows += found
-                        held, size = [top], len(top)
-                    held.append(part)
-                    size += len(part)
+                    at, held, size, seen, over = (path[i], key[i]), [], 0, None, False
+                held.append(body[i:j])
+                size += j - i
+                if size > most and not over:
+                    k = 1 + (int(path[i]) - PRINTS) // PATHS
+                    seen = np.unique(np.concatenate([x[:, k] for x in held] if seen is None else [seen, body[i:j, k]]))
+                    over = len(seen) > most
+                if over:
+                    rows += [(int(path[i]), x, None) for part in held for x in part[:, 0].tolist()]
+                    held = []
             if rows:
                 yield pack(rows)
         if rows := flush():
@@ -340,24 +335,17 @@ def alike(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     found = own.mapInArrow(run, "doc_id long, digest binary, " + ", ".join(f"{c} long" for c in cols))
     found = saved(found.groupBy("doc_id").agg(F.min(F.struct("digest", *cols)).alias("x")).select("doc_id", "x.*"), "prints")
     same = saved(found.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in cols]), "nodes")
-    bucket_rows = max(bucket_rows, HUBS << (PRINT_RADIUS + 2))  # more than the buckets hold whose masks could not shrink
-
-    def dealt_to(rows: DataFrame, split: bool) -> DataFrame:
-        run = _hub_runs(bucket_rows, wide, split)
-        return saved(rows.repartition(parts(docs), "path", "key").sortWithinPartitions("path", "key").mapInArrow(run, "path int, u long, v long"), "pairs")
-
-    # nodes with one fingerprint are compared among themselves, and their hubs stand for them in the covering tables
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("path"), F.col(c).alias("key")) for k, c in enumerate(cols[:PRINTS])]))
-    out = dealt_to(same.select(each.alias("t"), "node", *cols).select("t.path", "t.key", "node", *cols), split=False)
-    pairs = [out.filter("v is not null").select("u", "v")]
-    nodes = out.filter("v is null").select(F.col("path").alias("only"), F.col("u").alias("node")).join(same.select("node", *cols), "node")
-    # table v of fingerprint k is path PRINTS + k * size^6 + v; the tables that split it are known by their paths
+    bucket_rows = max(bucket_rows, 2 << (PRINT_RADIUS + 1))  # more than the buckets hold whose masks could not shrink
+    run_pairs = _print_runs(bucket_rows, wide)
+    pairs, nodes = [], same.withColumn("only", F.explode(F.array(*[F.lit(k) for k in range(PRINTS)])))
+    # table v of fingerprint k is path PRINTS + k * PATHS + v; the tables that split it are known by their paths
     size = 2 << PRINT_RADIUS
-    arms = [(k, PRINTS + k * size**6 + v, k, m) for k in range(PRINTS) for v, m in enumerate(covering_masks(PRINT_RADIUS))]
+    arms = [(k, PRINTS + k * PATHS + v, k, m) for k in range(PRINTS) for v, m in enumerate(covering_masks(PRINT_RADIUS))]
     while arms:
         masks = docs.sparkSession.createDataFrame([(o, p, k, _signed(m)) for o, p, k, m in arms], "only int, path int, k int, mask long")  # at most 15 for each split table
         key = F.element_at(F.array(*cols[:PRINTS]), F.col("k") + 1).bitwiseAND(F.col("mask"))
-        out = dealt_to(nodes.join(F.broadcast(masks), "only").select("path", key.alias("key"), "node", *cols), split=True)
+        dealt = nodes.join(F.broadcast(masks), "only").select("path", key.alias("key"), "node", *cols)
+        out = saved(dealt.repartition(parts(docs), "path", "key").sortWithinPartitions("path", "key").mapInArrow(run_pairs, "path int, u long, v long"), "pairs")
         pairs.append(out.filter("path is null").select("u", "v"))
         over = out.filter("path is not null").select("path", F.col("u").alias("node")).distinct()
         mask_of = {p: (k, m) for _, p, k, m in arms}
@@ -366,7 +354,7 @@ def alike(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
             k, m = mask_of[p]
             free = _free(m)
             for v, more in enumerate(covering_masks(PRINT_RADIUS, free) if len(free) > PRINT_RADIUS else []):
-                arms.append((p, PRINTS + k * size**6 + (p - PRINTS - k * size**6 + 1) * size + v, k, m | more))
+                arms.append((p, PRINTS + k * PATHS + (p - PRINTS - k * PATHS + 1) * size + v, k, m | more))
         nodes = over.withColumnRenamed("path", "only").join(same.select("node", *cols), "node")
     roots = components(reduce(DataFrame.union, pairs))
     reps = same.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))

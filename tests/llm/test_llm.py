@@ -193,6 +193,31 @@ def test_many_copies_with_one_fingerprint(spark):
     assert {r.root for r in out} == {0} and len(out) == 400
 
 
+def test_star_of_copies_with_one_fingerprint(spark):
+    """Copies with the words of a text in other places: near to the text, mostly not to each other, and far beyond a bucket."""
+    rnd = random.Random(13)
+    text = [f"{rnd.choice('bcdfg')}{i}" for i in range(1500)]
+    rows = [(1000, " ".join(text))]
+    for i in range(400):
+        w = list(text)
+        for at in rnd.sample(range(0, 1490, 8), 25):
+            w[at], w[at + 1] = w[at + 1], w[at]
+        rows.append((i, " ".join(w)))
+    prints = simhash.wide_prints([t.encode() for _, t in rows])[1]
+    assert (prints[:, :4] == prints[0, :4]).all()
+    near = np.bitwise_count(prints[:, None, 4:] ^ prints[None, :, 4:]).sum(2, dtype=np.int64) <= simhash.SHINGLE_BITS
+    ids = [d for d, _ in rows]
+    root = np.array(ids)
+    for _ in rows:
+        root = np.where(near, root, 9999).min(1)
+    want = dict(zip(ids, root.tolist()))
+    out = {r.doc_id: r.root for r in simhash.alike(docs_frame(spark, rows), bucket_rows=96).collect()}
+    assert Counter(want.values()).most_common(1)[0][1] > 300
+    assert out == want
+    several = np.concatenate([prints] * 6)  # beyond what is compared at once
+    assert len(simhash.judged_pairs(several)) == len(several) - len(set(want.values()))
+
+
 def test_deduplicated_keeps_one_of_each(spark, data):
     rows = near_copies(data) + [(9003, "one word more"), (9003, "one word more"), (None, "no id"), (None, "no id")]
     d = docs_frame(spark, rows)
