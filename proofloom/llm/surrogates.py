@@ -34,7 +34,7 @@ PATTERNS = {
 }
 ANY_ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has, so that most texts are passed over quickly.
-HINT = rf"@|[0-9]{{2}}|(?:{_TITLE}) \p{{Lu}}"
+HINT = rf"@|[0-9][ .()-]{{0,3}}[0-9]|[0-9a-fA-F]{{32}}|(?:{_TITLE}) \p{{Lu}}"
 
 
 def _type(entity: Column) -> Column:

@@ -381,6 +381,13 @@ def test_surrogates(spark):
     assert surrogates.replaced(docs_frame(spark, []), "key").count() == 0
 
 
+def test_shortest_entities_alone(spark):
+    rows = list(enumerate(["a@b.cc", "a1b2c3d4e5f6" * 2 + "a1b2c3d4", "8.8.8.8", "4 1 1 1 1 1 1 1 1 1 1 1 1", "+1(2)(3)", "Dr Xu"]))
+    out = {r.doc_id: r for r in surrogates.replaced(docs_frame(spark, rows), "key").collect()}
+    assert [out[i].n_entities for i, _ in rows] == [1] * len(rows)
+    assert all(out[i].text != t for i, t in rows)
+
+
 def test_surrogates_stay_distinct_where_they_clash(spark):
     """More entities than one attempt could keep apart: all 13-digit numbers that differ in one digit, and two-digit space for addresses."""
     rows = [("ip", f"10.0.{i // 250}.{i % 250}") for i in range(3000)] + [("card", f"{4000000000000 + i}") for i in range(500)]
