@@ -47,7 +47,7 @@ gpl-2.0|9|general june|gnu general public license version 2 june 1991
 gpl-2.0|7|general|gnu general public licen[sc]e (?:as published by the free software foundation )?version 2(?: 0)?
 gpl-2.0|7|general|(?:gnu )?general public licen[sc]e v2
 gpl-2.0|5|gpl|gpl ?(?:version )?v?2(?: 0)?
-gpl-2.0-classpath|9|classpath|classpath exception (?:to the gpl )?
+gpl-2.0-classpath|9|classpath|classpath exception(?: to the gpl)?
 gpl-2.0-linux-note|9|linux syscall|linux syscall note
 gpl-1.0|7|general february|gnu general public license version 1 february 1989
 gpl|5|general|gnu general public licen[sc]e
@@ -61,7 +61,7 @@ lgpl-2.1|9|spdx lgpl|spdx license identifier lgpl 2 1(?: only| or later)?
 lgpl-2.1|9|lesser february|gnu lesser general public license version 2 1 february 1999
 lgpl-2.1|7|lesser|(?:gnu )?lesser general public licen[sc]e (?:version )?v?2 1
 lgpl-2.1|5|lgpl|lgpl ?v?2 1
-lgpl-2.0|7|library general|gnu library general public licen[sc]e (?:version 2)?
+lgpl-2.0|7|library general|gnu library general public licen[sc]e(?: version 2)?
 lgpl|7|lesser|(?:gnu )?lesser general public licen[sc]e
 lgpl|5|lgpl|(?:gnu )?lgpl
 agpl-3.0|9|spdx agpl|spdx license identifier agpl 3 0(?: only| or later)?

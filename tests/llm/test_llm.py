@@ -244,6 +244,12 @@ def test_license_base(spark):
     assert out[31].labels == "apache,apache-2.0" and out[1].labels == "mit"
 
 
+def test_license_names_without_their_optional_tails():
+    label = lambda t: licenses.scan(t.encode())["labels"]
+    assert "gpl-2.0-classpath" in label("GPL v2 with the Classpath Exception.") and "gpl-2.0-classpath" in label("Classpath Exception to the GPL applies")
+    assert "lgpl-2.0" in label("GNU Library General Public License") and "lgpl-2.0" in label("GNU Library General Public License version 2 or so")
+
+
 def test_license_suppression():
     label = lambda t: licenses.scan(t.encode())["labels"]
     assert label("Licensed under CC BY-NC 4.0") == "cc-by-nc-4.0"
