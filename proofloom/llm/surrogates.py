@@ -1,13 +1,24 @@
 """Surrogates for personal data, by DataFrame functions only.
 
-Entities are e-mail addresses, IPv4 addresses, card-like and phone-like numbers,
-long hexadecimal secrets and names after a title. Each distinct entity gets a
-replacement derived from a secret key, of its own type and shape: separators,
-lengths, letter case, script, a name's gender and a card's check digit are kept.
-Replacements are checked against each other and against all entities of the
-table; those that clash are derived again with the next attempt number, until
-distinct entities have distinct replacements. One entity, however it is written
-(case of an address, separators of a number), has one replacement everywhere.
+Units are e-mail addresses, IPv4 addresses, card-like and phone-like numbers,
+long hexadecimal secrets and the words of names. A document's names are those
+that stand after a title in it; their words are then replaced wherever the
+document has them, with or without the title. Each distinct unit of the table
+gets one replacement derived from a secret key, whatever its spelling (case of
+an address or name, separators of a number) and wherever it stands, so that
+coreference holds within and across documents.
+
+Numbers and IPv4 addresses go through a keyed Feistel permutation of all bodies
+of their length: country code, first digit of a card, first octet and a card's
+check digit stay valid, and distinct numbers stay distinct by construction. A
+name word keeps its script and letter case. One that stands as a given name
+(first of two words) anywhere in the table ends by the gender of its titles.
+
+All replacements are then checked against each other and against the units of
+the table. Those that clash are derived again with the next attempt number, and
+each attempt has a wider space (more letters, more digits), so that the
+attempts come to an end. Only IPv4 has no wider form: after IP_ATTEMPTS an
+address takes its first replacement, which no other has, though the table may.
 """
 
 from __future__ import annotations
@@ -19,10 +30,12 @@ from pyspark.sql import functions as F
 
 from .common import parts, saved
 
-#: Titles by the gender they tell; a name takes it from its title.
+#: Titles by the gender they tell.
 FEMALE, MALE, ANY = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа", "Κυρία"), ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"), ("Dr", "Prof")
 _TITLE = "(?:" + "|".join((*FEMALE, *MALE, *ANY)) + r")\.?"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
+#: A title and one or two names.
+TITLED = rf"(?<!\p{{L}})({_TITLE}) ({_NAME})(?: ({_NAME}))?"
 #: type -> pattern, in the order in which they are tried at a place. Possessive runs keep long texts linear.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
@@ -30,38 +43,34 @@ PATTERNS = {
     "ip": r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9+])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])",
-    "name": rf"(?<!\p{{L}}){_TITLE} {_NAME}(?: {_NAME})?",
 }
-ANY_ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+NUMBERED = "|".join(f"(?:{p})" for p in PATTERNS.values())
+ANY_ENTITY = f"{NUMBERED}|{TITLED}"
 #: What every entity has, so that most texts are passed over quickly.
 HINT = rf"@|[0-9][ .()-]{{0,3}}[0-9]|[0-9a-fA-F]{{32}}|(?:{_TITLE}) \p{{Lu}}"
+#: The country codes of one and two digits; all others have three.
+COUNTRY = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+ROUNDS, IP_ATTEMPTS = 4, 6
+#: Attempts before numbers get longer.
+SAME_LENGTH = 3
 
 
-def _type(entity: Column) -> Column:
-    digits = F.length(F.regexp_replace(entity, r"[^0-9]", ""))
-    out = F.when(entity.contains("@"), "email").when(entity.rlike(rf"^{_TITLE} "), "name").when(entity.rlike(f"^{PATTERNS['ip']}$"), "ip").when(entity.rlike("^[0-9a-fA-F]{32,}$") & entity.rlike("[a-fA-F]"), "secret")
-    return out.when(entity.rlike(r"^[0-9]") & (digits >= 13) & entity.rlike(r"^[0-9](?:[ -]?[0-9]){12,18}$"), "card").otherwise("phone")
+def _type(unit: Column) -> Column:
+    digits = F.length(F.regexp_replace(unit, r"[^0-9]", ""))
+    out = F.when(unit.contains("@"), "email").when(unit.rlike(r"^\p{L}+$") & (~unit.rlike("^[0-9a-fA-F]{32,}$")), "word")
+    out = out.when(unit.rlike(f"^{PATTERNS['ip']}$"), "ip").when(unit.rlike("^[0-9a-fA-F]{32,}$") & unit.rlike("[a-fA-F]"), "secret")
+    return out.when(unit.rlike(r"^[0-9]") & (digits >= 13) & unit.rlike(r"^[0-9](?:[ -]?[0-9]){12,18}$"), "card").otherwise("phone")
 
 
-def _canonical(kind: Column, entity: Column) -> Column:
-    """What all spellings of an entity share."""
-    digits = F.regexp_replace(entity, r"[^0-9]", "")
-    return F.when(kind.isin("email", "secret"), F.lower(entity)).when(kind.isin("card", "phone"), digits).otherwise(entity)
+def _canonical(kind: Column, unit: Column) -> Column:
+    """What all spellings of a unit share."""
+    octets = F.array_join(F.transform(F.split(unit, r"\."), lambda x: x.cast("int").cast("string")), ".")
+    return F.when(kind.isin("email", "secret", "word"), F.lower(unit)).when(kind.isin("card", "phone"), F.regexp_replace(unit, r"(?<=.)\+|[^0-9+]", "")).otherwise(octets)
 
 
-def _digest(key: str, *parts: Column) -> Column:
+def _digest(key: str, *values: Column) -> Column:
     """64 hexadecimal digits that can't be foretold without the key."""
-    return F.sha2(F.concat_ws("\u0001", F.lit(key), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts], F.lit(key)), 256)
-
-
-def _stream(key: str, *parts: Column) -> Column:
-    """256 hexadecimal digits."""
-    return F.concat(*[_digest(key, F.lit(k), *parts) for k in range(4)])
-
-
-def _digit(stream: Column, i: Column) -> Column:
-    """A decimal digit from four hexadecimal ones, the i-th from 0; the stream is used again after 63."""
-    return F.pmod(F.conv(F.substr(stream, F.pmod(i, F.lit(63)) * 4 + 1, F.lit(4)), 16, 10).cast("long"), F.lit(10)).cast("string")
+    return F.sha2(F.concat_ws("\u0001", F.lit(key), *[F.coalesce(v.cast("string"), F.lit("")) for v in values], F.lit(key)), 256)
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -71,106 +80,139 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, v: a + F.when(v > 9, v - 9).otherwise(v))
 
 
-def _digits(stream: Column, like: Column, first: int) -> Column:
-    """Digits of the length of ``like``, of which the first ``first`` are kept."""
-    made = F.array_join(F.transform(F.sequence(F.lit(0), F.length(like) - 1), lambda i: _digit(stream, i)), "")
-    return F.concat(F.substring(like, 1, first), F.substr(made, F.lit(first + 1)))
-
-
-def _letters(stream: Column, at: int, n: int, consonants: str, vowels: str) -> Column:
-    """n syllables, each of 8 bits."""
-    hexes = "0123456789abcdef"
-    one = lambda k: F.concat(F.translate(F.substring(stream, at + 2 * k, 1), hexes, consonants), F.translate(F.substring(stream, at + 2 * k + 1, 1), hexes, vowels))
-    return F.concat(*[one(k) for k in range(n)])
-
-
-def _name_word(stream: Column, word: Column, ending: Column, at: int) -> Column:
-    """An invented name in the script of ``word``."""
-    latin = F.concat(F.initcap(_letters(stream, at, 3, "bdfgklmnprstvzhj", "aeiouaeiouaeioua")), ending)
-    cyrillic = F.concat(F.initcap(_letters(stream, at, 3, "бдфгклмнпрствзхж", "аеиоуаеиоуаеиоуа")), F.translate(ending, "anose", "анесе"))
-    greek = F.concat(F.initcap(_letters(stream, at, 3, "βδφγκλμνπρστθζχξ", "αειουαειουαειουα")), F.translate(ending, "anose", "ανοσε"))
-    made = F.when(word.rlike(r"\p{IsCyrillic}"), cyrillic).when(word.rlike(r"\p{IsGreek}"), greek).otherwise(latin)
-    return F.when(word == F.upper(word), F.upper(made)).otherwise(made)
-
-
-def surrogate(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
-    """The replacement of a canonical entity at an attempt."""
-    s = _stream(key, kind, canonical, attempt)
-    domain = F.substring_index(canonical, "@", -1)
-    d = _stream(key, F.lit("domain"), domain)
-    email = F.concat(_letters(s, 1, 4, "bcdfghjklmnpqrst", "aeiouaeiouaeioua"), F.lit("."), F.conv(F.substring(s, 17, 4), 16, 10), F.lit("@"), _letters(d, 1, 4, "bcdfghjklmnpqrst", "aeiouaeiouaeioua"), F.lit(".example"))
-    octet = lambda k: F.conv(F.substring(s, 2 * k + 1, 2), 16, 10)
-    ip = F.concat_ws(".", F.lit("10"), octet(0), octet(1), octet(2))
-    secret = F.substr(F.concat(s, s), F.lit(1), F.length(canonical))
-    card = _digits(s, canonical, 1)
-    body = F.substr(card, F.lit(1), F.length(card) - 1)
-    check = F.pmod(10 - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
-    card = F.when(F.pmod(luhn_sum(canonical), F.lit(10)) == 0, F.concat(body, check)).otherwise(card)
-    phone = _digits(s, canonical, 1)
-    parts = F.split(canonical, " ")
-    gender = F.regexp_replace(parts[0], r"\.$", "")
-    ending = F.when(gender.isin(*FEMALE), "a").when(gender.isin(*MALE), "o").otherwise("e")
-    # a word of a name has one replacement, so that a surname stays one surname
-    word = lambda i, end, at: _name_word(_stream(key, F.lit("word"), parts[i], attempt), parts[i], end, at)
-    name = F.when(F.size(parts) > 2, F.concat_ws(" ", parts[0], word(1, ending, 1), word(2, F.lit("n"), 1))).otherwise(F.concat_ws(" ", parts[0], word(1, F.lit("n"), 1)))
-    return F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "secret", secret).when(kind == "card", card).when(kind == "name", name).otherwise(phone)
-
-
-def mapping(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, canonical, replacement) of the distinct (kind, canonical) rows of ``entities``.
-
-    Distinct entities of a kind get distinct replacements, none of which is an
-    entity of the table. A written table.
+def _syllables(digest: Column, n: int, consonants: str, vowels: str) -> Column:
+    """n syllables of 8 bits each."""
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.translate(F.substr(digest, 2 * i + 1, F.lit(1)), "0123456789abcdef", consonants), F.translate(F.substr(digest, 2 * i + 2, F.lit(1)), "0123456789abcdef", vowels)))
+    return F.array_join(pairs, "")
+
+
+def derived(units: DataFrame, key: str, attempt: int) -> DataFrame:
+    """``units`` (kind, canonical, ending) with ``replacement``, in canonical form, at an attempt.
+
+    Every step is a column of its own, so that the plan, and the code made of
+    it, stay small. ending is the last letter of a name word: a, o, e or n.
     """
-    own = saved(entities.select("kind", "canonical").distinct(), "entities")
-    done, todo, attempt = [], own, 0
+    kind, canonical, wider = F.col("kind"), F.col("canonical"), max(0, attempt - SAME_LENGTH + 1)
+    number, ip = kind.isin("card", "phone"), kind == "ip"
+    out = units.withColumn("s", _digest(key, kind, canonical, F.lit(attempt)))
+    # numbers: what is kept, and the two halves of the rest
+    out = out.withColumn("luhn", F.when(kind == "card", F.pmod(luhn_sum(canonical), F.lit(10)) == 0).otherwise(False))
+    code = F.regexp_extract(canonical, COUNTRY, 0)
+    head = F.when(canonical.startswith("+"), F.substr(code, F.lit(1), F.least(F.length(code), F.length(canonical) - 2))).otherwise(F.substring(canonical, 1, 1))
+    out = out.withColumn("head", F.when(number, head).when(ip, F.substring_index(canonical, ".", 1)))
+    body = F.substr(canonical, F.length("head") + 1, F.length(canonical) - F.length("head") - F.col("luhn").cast("int"))
+    out = out.withColumn("body", F.when(number, F.concat(body, F.lit("0" * wider))))
+    out = out.withColumn("left_digits", F.ceil(F.length("body") / 2).cast("int")).withColumn("right_digits", F.length("body") - F.col("left_digits"))
+    octet = lambda i: F.split(canonical, r"\.")[i].cast("long")
+    out = out.withColumn("x", F.when(ip, octet(1) * 16 + F.floor(octet(2) / 16)).otherwise(F.substr("body", F.lit(1), F.col("left_digits")).cast("long")))
+    out = out.withColumn("y", F.when(ip, F.pmod(octet(2), F.lit(16)) * 256 + octet(3)).otherwise(F.coalesce(F.substr("body", F.col("left_digits") + 1).try_cast("long"), F.lit(0))))
+    out = out.withColumn("mx", F.when(ip, F.lit(4096)).otherwise(F.pow(F.lit(10.0), "left_digits").cast("long"))).withColumn("my", F.when(ip, F.lit(4096)).otherwise(F.pow(F.lit(10.0), "right_digits").cast("long")))
+    for k in range(ROUNDS):
+        for name, other, size in (("x", "y", "mx"), ("y", "x", "my")):
+            drawn = F.conv(F.substring(_digest(key, kind, F.col("head"), F.col("luhn"), F.length("body"), F.lit(attempt), F.lit(f"{k}{name}"), F.col(other)), 1, 15), 16, 10).cast("long")
+            out = out.withColumn(name, F.when(F.col(size).isNotNull(), F.pmod(F.col(name) + F.pmod(drawn, F.col(size)), F.col(size))))
+    right = F.when(F.col("right_digits") > 0, F.lpad(F.col("y").cast("string"), F.col("right_digits"), F.lit("0"))).otherwise("")
+    out = out.withColumn("digits", F.when(number, F.concat("head", F.lpad(F.col("x").cast("string"), F.col("left_digits"), F.lit("0")), right)))
+    check = F.pmod(10 - F.pmod(luhn_sum(F.concat("digits", F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
+    made_number = F.when(F.col("luhn"), F.concat("digits", check)).otherwise(F.col("digits"))
+    made_ip = F.concat_ws(".", "head", F.floor(F.col("x") / 16), F.pmod("x", F.lit(16)) * 16 + F.floor(F.col("y") / 256), F.pmod("y", F.lit(256)))
+    # letters
+    domain = _syllables(_digest(key, F.lit("domain"), F.substring_index(canonical, "@", -1)), 4, "bcdfghjklmnpqrst", "aeiouaeiouaeioua")
+    email = F.concat(_syllables(F.col("s"), 4 + attempt, "bcdfghjklmnpqrst", "aeiouaeiouaeioua"), F.lit("."), F.conv(F.substring("s", 49, 4), 16, 10), F.lit("@"), domain, F.lit(".example"))
+    secret = F.substr(F.repeat("s", F.ceil((F.length(canonical) + wider) / 64).cast("int")), F.lit(1), F.length(canonical) + wider)
+    syllables = lambda c, v: _syllables(F.col("s"), 3 + attempt, c, v)
+    word = (
+        F.when(canonical.rlike(r"\p{IsCyrillic}"), F.concat(syllables("бдфгклмнпрствзхж", "аеиоуаеиоуаеиоуа"), F.translate("ending", "anoe", "аное")))
+        .when(canonical.rlike(r"\p{IsGreek}"), F.concat(syllables("βδφγκλμνπρστθζχξ", "αειουαειουαειουα"), F.translate("ending", "anoe", "ανοε")))
+        .otherwise(F.concat(syllables("bdfgklmnprstvzhj", "aeiouaeiouaeioua"), F.col("ending")))
+    )
+    made = F.when(number, made_number).when(ip, made_ip).when(kind == "email", email).when(kind == "secret", secret).otherwise(word)
+    return out.withColumn("replacement", made).select(*units.columns, "replacement")
+
+
+def mapping(units: DataFrame, key: str) -> DataFrame:
+    """(kind, canonical, replacement) of the distinct (kind, canonical) of ``units`` (kind, canonical, ending).
+
+    Distinct units of a kind get distinct replacements, none of which is a unit
+    of the table (but see the module on IPv4). A written table.
+    """
+    own = saved(units.dropDuplicates(["kind", "canonical"]), "units")
+    done, taken, todo, attempt = [], own.select("kind", F.col("canonical").alias("replacement")), own, 0
     while True:
-        # dealt out evenly: deriving costs far more than the few bytes of an entity tell
-        made = todo.repartition(parts(entities), "kind", "canonical").withColumn("replacement", surrogate(key, F.col("kind"), F.col("canonical"), F.lit(attempt)))
-        taken = own.select("kind", F.col("canonical").alias("replacement"))
-        if done:
-            taken = taken.union(reduce(DataFrame.union, done).select("kind", "replacement"))
+        # dealt out evenly: deriving costs far more than the few bytes of a unit tell
+        made = saved(derived(todo.repartition(parts(units), "kind", "canonical"), key, min(attempt, 20)), "derived")
         first = F.row_number().over(Window.partitionBy("kind", "replacement").orderBy("canonical")) == 1
         clash = taken.distinct().withColumn("clash", F.lit(True))
         judged = saved(made.withColumn("first", first).join(clash, ["kind", "replacement"], "left").withColumn("good", F.col("first") & F.col("clash").isNull()), "surrogates")
         done.append(judged.filter("good").select("kind", "canonical", "replacement"))
-        todo = judged.filter("not good").select("kind", "canonical")
+        todo = judged.filter("not good").select(*units.columns)
+        if attempt == 0:
+            zero = made.filter("kind = 'ip'").select("kind", "canonical", "replacement")
+            taken = taken.union(zero.select("kind", "replacement"))  # kept for those that take them at last
+        if attempt == IP_ATTEMPTS:
+            done.append(zero.join(todo, ["kind", "canonical"], "left_semi"))
+            todo = todo.filter("kind <> 'ip'")
         if todo.isEmpty():
             return reduce(DataFrame.union, done)
+        taken = taken.union(done[-1 if attempt != IP_ATTEMPTS else -2].select("kind", "replacement"))
         attempt += 1
 
 
-def _shaped(kind: Column, entity: Column, replacement: Column) -> Column:
-    """The replacement written as the entity is: its separators, or its letter case."""
-    chars = F.split(entity, "")
-    digit = lambda i: F.length(F.regexp_replace(F.substr(entity, F.lit(1), i + 1), r"[^0-9]", ""))
-    laid = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("^[0-9]$"), F.substr(replacement, digit(i), F.lit(1))).otherwise(c)), "")
-    upper = kind.isin("secret", "email") & (entity == F.upper(entity))
-    return F.when(kind.isin("card", "phone"), laid).when(upper, F.upper(replacement)).otherwise(replacement)
+def _shaped(kind: Column, unit: Column, replacement: Column) -> Column:
+    """The replacement written as the unit is: its separators, or its letter case. Digits beyond the unit's follow at its end."""
+    digits = F.regexp_replace(replacement, r"[^0-9]", "")
+    digit = lambda i: F.length(F.regexp_replace(F.substr(unit, F.lit(1), i + 1), r"[^0-9]", ""))
+    laid = F.array_join(F.transform(F.split(unit, ""), lambda c, i: F.when(c.rlike("^[0-9]$"), F.substr(digits, digit(i), F.lit(1))).otherwise(c)), "")
+    laid = F.concat(laid, F.substr(digits, F.length(F.regexp_replace(unit, r"[^0-9]", "")) + 1))
+    upper = F.when((unit == F.upper(unit)) & (unit != F.lower(unit)), F.upper(replacement))
+    lower = F.when(kind == "word", F.initcap(replacement)).otherwise(replacement)
+    return F.when(kind.isin("card", "phone"), laid).otherwise(F.coalesce(upper, lower))
+
+
+def _roles(found: DataFrame) -> DataFrame:
+    """(canonical, ending) of each name word: by the titles of the names that it is the first of two words of."""
+    titled = found.select(F.explode("titled").alias("n")).select(*[F.regexp_extract("n", TITLED, k).alias(c) for k, c in enumerate(("title", "one", "two"), 1)]).filter("two <> ''")
+    title = F.regexp_replace("title", r"\.$", "")
+    each = titled.select(F.explode(F.regexp_extract_all(F.lower("one"), F.lit(r"\p{L}{2,}"), F.lit(0))).alias("canonical"), title.isin(*FEMALE).alias("f"), title.isin(*MALE).alias("m"))
+    told = each.groupBy("canonical").agg(F.max("f").alias("f"), F.max("m").alias("m"))
+    return told.select("canonical", F.when(F.col("f") & ~F.col("m"), "a").when(F.col("m") & ~F.col("f"), "o").otherwise("e").alias("ending"))
+
+
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, or the first of wanted_2, wanted_3 ... that no column has in any letter case."""
+    have = {c.lower() for c in columns}
+    return next(n for k in range(1, len(have) + 2) if (n := wanted if k == 1 else f"{wanted}_{k}").lower() not in have)
 
 
 def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` with ``text`` rewritten, and ``n_entities``, the entities replaced in it.
+    """The columns of ``docs`` with ``text`` rewritten, and ``n_entities``, the units replaced in it (a name's words count each).
 
     Null text stays null with 0 entities; a text without entities stays as it
-    is, byte for byte. Repeated rows stay and are rewritten alike. Other columns
-    may have any name but n_entities. Empty input: no rows.
+    is, byte for byte, however long. Repeated rows stay and are rewritten alike.
+    Other columns may have any name: where one is called n_entities, the count
+    is n_entities_2. Empty input: no rows.
     """
-    names = docs.columns
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("t"))
+    names, count = docs.columns, free_name(docs.columns, "n_entities")
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names) if c != text]
+    own = docs.select(F.struct(F.lit(0).alias("none"), *rest).alias("row"), F.col(f"`{text}`").alias("t"))
     hinted = F.coalesce(F.col("t").rlike(HINT) & F.col("t").rlike(ANY_ENTITY), F.lit(False))
-    found = own.filter(hinted).select("row", "t", F.regexp_extract_all("t", F.lit(ANY_ENTITY), F.lit(0)).alias("entities"))
-    found = saved(found.withColumn("id", F.sha2("t", 256)), "found")
+    found = own.filter(hinted).withColumn("titled", F.regexp_extract_all("t", F.lit(TITLED), F.lit(0)))
+    # the words of a document's names, in the spellings that other mentions may have
+    words = F.flatten(F.transform("titled", lambda n: F.regexp_extract_all(F.regexp_replace(n, f"^{_TITLE} ", ""), F.lit(r"\p{L}{2,}"), F.lit(0))))
+    words = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, F.upper(w), F.initcap(w)))))
+    pattern = F.when(F.size(words) == 0, F.lit(NUMBERED)).otherwise(F.concat(F.lit(NUMBERED + r"|(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})")))
+    found = saved(found.withColumn("id", F.sha2("t", 256)).withColumn("pattern", pattern), "found")
     # equal texts are rewritten alike, so one of them is worked out
-    places = saved(
-        found.groupBy("id").agg(F.first("entities").alias("entities")).select("id", F.posexplode("entities").alias("pos", "entity")).withColumn("kind", _type(F.col("entity"))).withColumn("canonical", _canonical(F.col("kind"), F.col("entity"))),
-        "places",
-    )
-    told = places.join(mapping(places, key), ["kind", "canonical"]).select("id", F.struct("pos", _shaped(F.col("kind"), F.col("entity"), F.col("replacement")).alias("r")).alias("x"))
-    lists = told.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]).alias("made"))
-    gaps = F.split("t", ANY_ENTITY, -1)
+    once = found.select("id", F.regexp_extract_all("t", F.col("pattern"), F.lit(0)).alias("units"), "titled").groupBy("id").agg(F.first(F.struct("units", "titled")).alias("x"))
+    once = saved(once.select("id", "x.*"), "once")
+    typed = once.select("id", F.posexplode("units").alias("pos", "unit")).withColumn("kind", _type(F.col("unit")))
+    places = saved(typed.withColumn("canonical", _canonical(F.col("kind"), F.col("unit"))), "places")
+    units = places.select("kind", "canonical").distinct().join(_roles(once).withColumn("kind", F.lit("word")), ["kind", "canonical"], "left").withColumn("ending", F.coalesce("ending", F.lit("n")))
+    told = places.join(mapping(units, key), ["kind", "canonical"]).select("id", F.struct("pos", _shaped(F.col("kind"), F.col("unit"), F.col("replacement")).alias("r")).alias("x"))
+    # written, so that the join below can split the partition of a much copied text
+    lists = saved(told.groupBy("id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["r"]).alias("made")), "made")
+    gaps = F.split("t", F.col("pattern"), -1)
     new = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("made")), F.col("made"), lambda g, m: F.concat(g, m)), ""), F.element_at(gaps, -1))
-    changed = found.join(lists, "id").select("row", new.alias("t"), F.size("made").alias("n_entities"))
-    same = own.filter(~hinted).select("row", "t", F.lit(0).alias("n_entities"))
-    out = same.union(changed)
-    return out.select(*[(F.col("t") if c == text else F.col(f"row.`{c}`")).alias(c) for c in names], "n_entities")
+    changed = found.join(lists, "id").select("row", new.alias("t"), F.size("made").alias("n"))
+    out = own.filter(~hinted).select("row", "t", F.lit(0).alias("n")).union(changed)
+    return out.select(*[(F.col("t") if c == text else F.col(f"row.c{i}")).alias(c) for i, c in enumerate(names)], F.col("n").alias(count))
