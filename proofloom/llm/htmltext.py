@@ -1,16 +1,22 @@
 """Main text of web pages by equivalence-class template deduction.
 
-A page is a sequence of tokens: tags with the path they open, and runs of text
-with the path they stand in. Over the pages of a host, tokens with the same
-occurrence vector (how often each page has them) form an equivalence class; the
-vector of a token is kept as sums of keyed hashes over pages, so that classes
-are found by two aggregations however many pages a host has. A class is valid if
-it has enough tokens and pages; valid classes nest by the order of their first
-places, and together they are the host's template. What stands between template
-tokens are slots. A slot is main text or not by the elements around it; text of
-the template itself outside the main element is left out as well.
-
-Hosts with too few pages to tell template from content use the elements alone.
+A page is a sequence of tokens: elements, known by the path they open, and runs
+of text, known by their path and words. Over the pages of a host, tokens with
+the same occurrence vector (how often each page has them) form an equivalence
+class; the vector of a token is kept as two sums of keyed hashes over pages, so
+that classes are found by aggregations, however many pages a host has. A class
+is valid if it has enough tokens and pages, and if its span nests with those of
+the classes that more pages have. The valid classes are the host's template.
+
+What stands between template tokens are slots. The main element of a page is the
+deepest template element, of those that can hold an article, in whose slots the
+host's pages have at least half of their text. A page's text is what its slots
+hold there: not the runs that are template tokens themselves, and not what is
+furniture by its tag (menus, forms ...) or, unless it holds the article, by its
+class. A heading of its own around the main element belongs to the text as well.
+
+Tags alone decide on hosts of too few pages to tell template from content, and
+on pages that have no main element of the template.
 """
 
 from __future__ import annotations
@@ -20,14 +26,16 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved, small_batches, trim
 
-LEAST_PAGES = 8  # of a host, for its classes to count
-LEAST_SHARE = 0.9  # of a host's pages that a template text is on
-LEAST_CLASS = 3  # tokens of a valid class
+LEAST_PAGES = 8  # with a token, for it to count
+LEAST_SHARE = 0.1  # of a host's pages that a token is on
+LEAST_CLASS = 3  # tokens of a valid class, an element's two tags being two
+MAIN_SHARE = 0.5  # of the text of the pages that have it, for an element to be the main one
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|title|xmp|noembed|noframes)\b(?P<rawattrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
@@ -43,136 +51,173 @@ ENDS_P = BLOCK - {"caption", "dd", "dt", "li", "summary", "tbody", "td", "tfoot"
 #: Elements whose text is never main text.
 OUT = {"nav", "footer", "aside", "form", "button", "select", "option", "menu", "dialog", "head", "label", "input", "object", "audio", "video", "canvas", "map"}
 MAIN = {"article", "main"}
-#: Words of class, id and role that tell the same of any element.
+#: Elements that can hold an article, told apart by their number among their like.
+HOLDERS = {"article", "main", "section", "div", "td", "tr", "table", "tbody", "center", "body"}
+#: Words of class, id and role that tell the same of an element that does not hold the article.
 OUT_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "gdpr", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promotion", "related", "replies", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "complementary", "alert", "alertdialog", "disclaimer", "responses", "discussion", "paywall", "login"}
 _WORD = re.compile(r"[a-z]+")
+#: With such words a furniture word tells of something else: no-sidebar, with-menu, comments-open.
+_NOT = re.compile(r"\b(?:no|has|with|without|not|hide|is)[-_][\w-]*|[\w-]*[-_](?:open|closed|enabled|disabled|on|off)(?![\w-])")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_DIGITS = re.compile(r"[0-9]+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _marks(attrs: str) -> tuple[str, bool]:
-    """Class, id and role of an element, and whether they tell that it is no main text."""
-    found, out = [], False
+def _marks(attrs: str) -> tuple[str, bool, bool]:
+    """Class, id and role of an element (numbers as #), whether it is hidden, and whether they hold a furniture word."""
+    found, hidden, word = [], False, False
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
-            found.append(f"{name}={value}")
-            out |= bool(OUT_WORDS.intersection(_WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())))
-        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            out = True
-    return " ".join(found), out
+            found.append(f"{name}={_DIGITS.sub('#', value)}")
+            word |= bool(OUT_WORDS.intersection(_WORD.findall(_NOT.sub(" ", _CAMEL.sub(" ", value).lower()))))
+        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN.search(value)):
+            hidden = True
+    return " ".join(found), hidden, word
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, str]]:
-    """(kind, path, value, role) in page order.
+class Page:
+    """A parsed page. Node 0 is above the first element.
 
-    kind ``<`` and ``>`` (an element opens or closes), ``-`` (a break between
-    blocks) or ``t`` (a run of text, references decoded). path is the open
-    elements with their class, id and role; role is ``main``, ``out`` or empty.
+    items holds (kind, node, value) in page order: ``<`` and ``>`` (an element
+    opens or closes), ``-`` (a break between blocks), ``s`` (an element within
+    a line) or ``t`` (a run of text, references decoded).
     """
-    stack: list[tuple[str, str, bool]] = []  # tag, path, out
-
-    def role() -> str:
-        """Out wins inside; an article inside an out element is out as well."""
-        if any(x[2] for x in stack):
-            return "out"
-        return "main" if any(x[0] in MAIN for x in stack) else ""
-
-    def path() -> str:
-        return stack[-1][1] if stack else ""
-
-    def text(s: str) -> tuple[str, str, str, str]:
-        return ("t", path(), html.unescape(s), role())
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            yield text(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            if m["raw"]:
-                yield ("r", path(), m["raw"].lower(), "out")
-            continue
-        if m["end"]:
-            if tag == "p" and not any(x[0] == "p" for x in stack):
-                yield ("-", path(), "p", role())
-            elif any(x[0] == tag for x in stack):
-                while stack:
-                    last = stack.pop()
-                    yield (">", last[1], last[0], role())
-                    if last[0] == tag:
-                        break
-            continue
-        if tag in ENDS_P and any(x[0] == "p" for x in stack):
-            k = max(i for i, x in enumerate(stack) if x[0] == "p")
-            if not any(x[0] in ("td", "th", "button", "object") for x in stack[k:]):
-                while len(stack) > k:
-                    last = stack.pop()
-                    yield (">", last[1], last[0], role())
-        if tag in CLOSES:
-            own, stop = CLOSES[tag]
-            while (near := next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in own | stop), None)) is not None and stack[near][0] in own:
-                while len(stack) > near:
-                    last = stack.pop()
-                    yield (">", last[1], last[0], role())
-        marks, out = _marks(m["attrs"])
-        here = f"{path()}/{tag}" + (f"[{marks}]" if marks else "")
-        if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCK:
-            yield ("-" if tag == "hr" else "s" if tag in ("br", "wbr", "img", "input") else "r", here, tag, role())
-            continue
-        out |= tag in OUT or tag == "header" and not any(x[0] in MAIN for x in stack)
-        stack.append((tag, here, out))
-        yield ("<", here, tag, role())
-    if at < len(page):
-        rest = page[at:]
-        cut = rest.find("<")
-        yield text(rest if cut < 0 or not re.match(r"<[a-zA-Z/!?]", rest[cut:]) else rest[:cut])
-
-
-def blocks(page: str) -> list[tuple[str, str, str]]:
-    """(path, role, text) of each block, white space collapsed; empty blocks are left out. A block has the role of its text."""
-    out: list[tuple[str, str, str]] = []
-    held: list[str] = []
-    key: tuple[str, str] | None = None
-    base = ""
-
-    def flush() -> None:
-        nonlocal held, key
-        s = _SPACE.sub(" ", "".join(held)).strip()
-        if s and key:
-            out.append((*key, s))
-        held, key = [], None
-
-    for kind, path, value, role in tokens(page):
-        if kind == "t":
-            if key is not None and key[1] != role:
-                flush()
-            if value.strip():
-                key = key or (base, role)
-            held.append(value)
-        elif kind in "<>":
-            if value in BLOCK:
-                flush()
-                base = path if kind == "<" else path.rpartition("/")[0]
-        elif kind == "s":
-            held.append(" " if value in ("br", "img", "input") else "")
-        elif kind == "-":
-            flush()
-    flush()
-    return out
-
-
-def signature(page: str) -> list[tuple[str, int, int]]:
-    """(token, how often the page has it, its first place) of tags and of the texts outside main elements."""
-    counts: dict[str, list[int]] = {}
-    for k, (kind, path, value, role) in enumerate(tokens(page)):
-        if kind in "<>":
-            key = kind + path
-        elif kind == "t" and role != "main" and (s := _SPACE.sub(" ", value).strip()):
-            key = f"t{path}\t{s}"
-        else:
+
+    def __init__(self, page: str):
+        self.tags, self.parents, self.paths, self.ruled, self.worded = [""], [0], [""], [False], [False]
+        self.items: list[tuple[str, int, str]] = []
+        self._parse(page)
+        self._roles()
+
+    def _parse(self, page: str) -> None:
+        tags, parents, paths, items, stack, number = self.tags, self.parents, self.paths, self.items, [0], {}
+
+        def close(k: int) -> None:
+            while len(stack) > k:
+                items.append((">", stack[-1], tags[stack[-1]]))
+                stack.pop()
+
+        at = 0
+        for m in _TOKEN.finditer(page):
+            if m.start() > at:
+                items.append(("t", stack[-1], html.unescape(page[at : m.start()])))
+            at = m.end()
+            tag = (m["tag"] or "").lower()
+            if not tag:
+                continue
+            if m["end"]:
+                k = next((i for i in range(len(stack) - 1, 0, -1) if tags[stack[i]] == tag), 0)
+                if k:
+                    close(k)
+                elif tag == "p":
+                    items.append(("-", stack[-1], "p"))
+                continue
+            if tag in ENDS_P and (k := next((i for i in range(len(stack) - 1, 0, -1) if tags[stack[i]] == "p"), 0)):
+                if not any(tags[x] in ("td", "th", "button", "object") for x in stack[k:]):
+                    close(k)
+            if tag in CLOSES:
+                own, stop = CLOSES[tag]
+                while (near := next((i for i in range(len(stack) - 1, 0, -1) if tags[stack[i]] in own | stop), 0)) and tags[stack[near]] in own:
+                    close(near)
+            marks, out, word = _marks(m["attrs"]) if m["attrs"].strip() else ("", False, False)
+            if tag in VOID or m["attrs"].endswith("/") and tag not in BLOCK:
+                if tag == "hr" or tag in ("br", "wbr", "img", "input"):
+                    items.append(("-" if tag == "hr" else "s", stack[-1], tag))
+                continue
+            path = f"{paths[stack[-1]]}/{tag}" + (f"[{marks}]" if marks else "")
+            if tag in HOLDERS:
+                number[stack[-1], path] = n = number.get((stack[-1], path), 0) + 1
+                path = f"{path}.{n}"
+            out |= tag in OUT or tag == "header" and not any(tags[x] in MAIN for x in stack)
+            tags.append(tag)
+            parents.append(stack[-1])
+            paths.append(path)
+            self.ruled.append(out)
+            self.worded.append(word)
+            stack.append(len(tags) - 1)
+            items.append(("<", stack[-1], tag))
+        if at < len(page):
+            rest = page[at:]
+            cut = rest.find("<")
+            items.append(("t", stack[-1], html.unescape(rest if cut < 0 or not re.match(r"<[a-zA-Z/!?]", rest[cut:]) else rest[:cut])))
+
+    def _above(self, node: int) -> Iterator[int]:
+        """The node and all around it, innermost first."""
+        while node:
+            yield node
+            node = self.parents[node]
+        yield 0
+
+    def _summed(self, out: list[bool]) -> list[int]:
+        """Characters of the text of each node, inner elements included, without what is out."""
+        chars = [0] * len(self.tags)
+        for kind, node, value in self.items:
+            if kind == "t" and not out[node]:
+                chars[node] += len(value.strip())
+        for k in range(len(chars) - 1, 0, -1):
+            chars[self.parents[k]] += chars[k]
+        return chars
+
+    def _roles(self) -> None:
+        """out: the node is furniture or within it. main: within an article or main element. chars: of the text that is not out."""
+        out = list(self.ruled)
+        self.main = [tag in MAIN for tag in self.tags]
+        for k in range(1, len(out)):
+            out[k] |= out[self.parents[k]]
+            self.main[k] |= self.main[self.parents[k]]
+        self.chars = self._summed(out)
+        if any(self.worded):
+            # what holds the article is no furniture, whatever its class; where nothing is marked as one, what holds most of the text
+            main = max((k for k in range(1, len(out)) if self.tags[k] in MAIN and not out[k]), key=lambda k: (-sum(self.worded[x] for x in self._above(k)), self.chars[k], -k), default=0)
+            kept = set(self._above(main)) if main else {k for k in range(len(out)) if 2 * self.chars[k] > self.chars[0]}
+            for k in range(1, len(out)):
+                out[k] |= out[self.parents[k]] or self.worded[k] and k not in kept and self.tags[k] not in ("html", "body")
+            self.chars = self._summed(out)
+        self.out = out
+
+    def run_key(self, node: int, value: str) -> int:
+        return _hash(f"t{self.paths[node]}\t{_SPACE.sub(' ', value).strip()}")
+
+    def element_key(self, node: int) -> int:
+        return _hash("<" + self.paths[node])
+
+    def blocks(self) -> Iterator[tuple[str, list[tuple[int, str]]]]:
+        """(text, runs) of each block that is not out, white space collapsed; runs are (node, text). Empty blocks are left out."""
+        held: list[str] = []
+        runs: list[tuple[int, str]] = []
+        for kind, node, value in [*self.items, ("-", 0, "")]:
+            if kind == "t":
+                if not self.out[node]:
+                    held.append(value)
+                    if value.strip():
+                        runs.append((node, value))
+            elif kind == "s":
+                held.append("" if value == "wbr" or self.out[node] else " ")
+            elif kind == "-" or value in BLOCK:
+                if runs:
+                    yield _SPACE.sub(" ", "".join(held)).strip(), runs
+                held, runs = [], []
+
+
+def _hash(token: str) -> int:
+    return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+ELEMENT, HOLDER, TEXT = 0, 1, 2
+
+
+def signature(page: Page) -> Iterator[tuple[int, int, int, int, int]]:
+    """(token, kind, how often the page has it, its first place, characters of the text in it) of elements and runs of text that are not out."""
+    counts: dict[int, list[int]] = {}
+    for k, (kind, node, value) in enumerate(page.items):
+        if page.out[node]:
             continue
-        counts.setdefault(key, [0, k])[0] += 1
-    return [(k, n, at) for k, (n, at) in counts.items()]
+        if kind == "<":
+            counts.setdefault(page.element_key(node), [HOLDER if value in HOLDERS else ELEMENT, 0, k, page.chars[node]])[1] += 1
+        elif kind == "t" and value.strip():
+            counts.setdefault(page.run_key(node, value), [TEXT, 0, k, 0])[1] += 1
+    return ((t, *x) for t, x in counts.items())
 
 
 def host_column(url: str = "url"):
@@ -180,79 +225,121 @@ def host_column(url: str = "url"):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+def nested(classes: list[dict]) -> list[dict]:
+    """The classes whose spans nest or lie apart, each with ``depth``, the classes around it.
+
+    Classes of more pages come first, then wider ones; one that crosses a class
+    before it is not valid.
+    """
+    kept: list[dict] = []
+    for c in sorted(classes, key=lambda c: (-c["pages"], c["first"] - c["last"], c["first"], c["v1"])):
+        if all(c["last"] < k["first"] or c["first"] > k["last"] or k["first"] <= c["first"] and c["last"] <= k["last"] or c["first"] <= k["first"] and k["last"] <= c["last"] for k in kept):
+            kept.append(c)
+    return [{**c, "depth": sum(k is not c and k["first"] <= c["first"] and c["last"] <= k["last"] for k in kept)} for c in kept]
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, token, class_id, depth, place) of the tokens of each host's valid equivalence classes.
+    """(host, holders, texts) of each host that has valid classes: tokens of its template.
 
-    depth counts the valid classes around a class: those that more pages have
-    and that start earlier. Hosts of under LEAST_PAGES pages have no classes.
+    holders are the elements that may hold an article and that no page has
+    twice, each with its share of the text of the pages that have it; texts are
+    runs of text. A token counts from LEAST_PAGES pages and LEAST_SHARE of the
+    host's pages on, so that a host's template is no more than a few pages long.
     """
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.string()), ("n", pa.int32()), ("place", pa.int32())])
+        schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("place", pa.int32()), ("chars", pa.int64()), ("of_page", pa.int64())])
         for b in batches:
-            rows = [(h, p, *x) for h, p, t in zip(*(c.to_pylist() for c in b.columns)) for x in signature(t or "")]
+            rows = [(h, p, *x, page.chars[0]) for h, p, t in zip(*(c.to_pylist() for c in b.columns)) for page in (Page(t or ""),) for x in signature(page)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+        trim()
 
-    own = pages.select(host_column().alias("host"), F.xxhash64("page_id", "url").alias("page"), "html").mapInArrow(run, "host string, page long, token string, n int, place int")
-    # the occurrence vector, as sums over pages of two hashes of (page, count)
-    each = own.groupBy("host", "token").agg(
-        F.count("*").alias("pages"), F.sum("n").alias("total"),
-        F.sum(F.pmod(F.xxhash64("page", "n"), F.lit(1 << 31))).alias("v1"), F.bit_xor(F.xxhash64("n", "page")).alias("v2"), F.avg("place").alias("place"),
+    own = pages.select(host_column().alias("host"), F.xxhash64("page_id", "url").alias("page"), F.col("html").cast("string").alias("html"))
+    seen = own.mapInArrow(run, "host string, page long, token long, kind int, n int, place int, chars long, of_page long")
+    # the occurrence vector: sums over pages of two hashes of (page, count), to which a repeated row adds like any other
+    each = seen.groupBy("host", "token").agg(
+        F.max("kind").alias("kind"), F.count("*").alias("pages"), F.sum("n").alias("total"), F.sum("chars").alias("chars"), F.sum("of_page").alias("of_page"),
+        F.sum(F.pmod(F.xxhash64("page", "n"), F.lit(1 << 31))).alias("v1"), F.sum(F.pmod(F.xxhash64("n", "page"), F.lit(1 << 31))).alias("v2"), F.avg("place").alias("place"),
     )
-    sizes = pages.groupBy(host_column().alias("host")).agg(F.count("*").alias("of_host")).filter(F.col("of_host") >= LEAST_PAGES)
-    frequent = saved(each.join(sizes, "host").filter(F.col("pages") >= F.lit(LEAST_SHARE) * F.col("of_host")), "frequent")
-    vector = ["host", "pages", "total", "v1", "v2"]
-    valid = frequent.groupBy(*vector).agg(F.count("*").alias("size"), F.min("place").alias("first"), F.max("place").alias("last")).filter(F.col("size") >= LEAST_CLASS)
-    valid = valid.withColumn("class_id", F.xxhash64(*vector))
-    a, b = valid.alias("a"), valid.select("host", "class_id", "first", "last", "pages").alias("b")
-    around = a.join(b, (F.col("a.host") == F.col("b.host")) & (F.col("b.first") < F.col("a.first")) & (F.col("b.last") > F.col("a.last")) & (F.col("b.pages") >= F.col("a.pages")), "left")
-    nested = around.groupBy(*[F.col(f"a.{c}").alias(c) for c in [*vector, "class_id"]]).agg(F.count("b.class_id").alias("depth"))
-    return frequent.join(nested, vector).select("host", "token", "class_id", "depth", "place")
-
-
-def slots(page: str, template: set[str]) -> list[tuple[str, str, list[str]]]:
-    """(template element around, role, texts) of each stretch between template tokens, in page order.
-
-    A text that is itself a template token outside a main element is no part of
-    a slot. Without a template the page is one stretch for each role.
-    """
-    out: list[tuple[str, str, list[str]]] = []
-    for path, role, text in blocks(page):
-        if role != "main" and f"t{path}\t{text}" in template:
-            continue
-        around = path
-        while around and f"<{around}" not in template:
-            around = around.rpartition("/")[0]
-        if not out or out[-1][:2] != (around, role):
-            out.append((around, role, []))
-        out[-1][2].append(text)
-    return out
+    sizes = pages.groupBy(host_column().alias("host")).agg(F.count("*").alias("of_host"))
+    frequent = each.filter(F.col("pages") >= LEAST_PAGES).join(sizes, "host").filter(F.col("pages") >= F.lit(LEAST_SHARE) * F.col("of_host"))
+    share = F.when((F.col("kind") == HOLDER) & (F.col("total") == F.col("pages")), F.col("chars") / F.greatest("of_page", F.lit(1)))
+    tokens = F.collect_list(F.struct("token", "kind", share.alias("share")))
+    size = F.sum(F.when(F.col("kind") == TEXT, 1).otherwise(2))
+    classes = frequent.groupBy("host", "pages", "total", "v1", "v2").agg(tokens.alias("tokens"), size.alias("size"), F.min("place").alias("first"), F.max("place").alias("last")).filter(F.col("size") >= LEAST_CLASS)
+    hosts = classes.groupBy("host").agg(F.collect_list(F.struct("pages", "v1", "first", "last", "tokens")).alias("classes"))
+
+    def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            holders, texts = [], []
+            for classes in b.column(1).to_pylist():
+                tokens = [t for c in nested(classes) for t in c["tokens"]]
+                holders.append(sorted(((t["token"], t["share"]) for t in tokens if (t["share"] or 0) >= MAIN_SHARE)))
+                texts.append(sorted(t["token"] for t in tokens if t["kind"] == TEXT))
+            kind = pa.list_(pa.struct([("token", pa.int64()), ("share", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[{"token": t, "share": s} for t, s in x] for x in holders], kind), pa.array(texts, pa.list_(pa.int64()))], ["host", "holders", "texts"])
 
+    return hosts.mapInArrow(nest, "host string, holders array<struct<token:long,share:double>>, texts array<long>")
 
-def extract(page: str, template: set[str]) -> str:
-    """Main text of a page: the slots of its main elements, or those that no element rules out where it has none."""
-    found = slots(page, template)
-    wanted = "main" if any(role == "main" for _, role, _ in found) else ""
-    return "\n".join(t for _, role, texts in found if role == wanted for t in texts)
+
+def main_element(page: Page, holders: set[int]) -> int:
+    """The page's node that its host's template says is the main element; 0 if it has none.
+
+    The deepest of the template's elements; where an article or main element of
+    the template is around it, that one.
+    """
+    found = [k for k in range(1, len(page.tags)) if page.tags[k] in HOLDERS and not page.out[k] and page.element_key(k) in holders]
+    if not found:
+        return 0
+    deepest = max(found, key=lambda k: (sum(1 for _ in page._above(k)), page.chars[k], -k))
+    return next((k for k in page._above(deepest) if page.tags[k] in MAIN and k in found), deepest)
+
+
+def extract(html_text: str, holders: set[int] = frozenset(), texts: set[int] = frozenset()) -> str:
+    """Main text of a page, given the template of its host (see :func:`templates`)."""
+    page = Page(html_text)
+    blocks = list(page.blocks())
+    main = main_element(page, holders) if holders else 0
+    if main:
+        around = set(page._above(main))
+        inside = [False] * len(page.tags)
+        for k in range(1, len(inside)):
+            inside[k] = k == main or inside[page.parents[k]] or page.tags[k] == "h1" and page.parents[k] in around
+        own = [(text, runs) for text, runs in blocks if any(inside[node] for node, _ in runs)]
+        slots = [text for text, runs in own if not all(page.run_key(*r) in texts for r in runs)]
+        if slots or own:  # a page with nothing but template in it is a copy of the others, not an empty one
+            return "\n".join(slots or [text for text, _ in own])
+    marked = [text for text, runs in blocks if any(page.main[node] for node, _ in runs)]
+    return "\n".join(marked or [text for text, _ in blocks])
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of ``pages`` (page_id, url, html).
 
     Null or empty html: empty text. Null url: the empty host. Repeated rows
-    stay. Pages of one host that repeat a paragraph keep it. Empty input: no
-    rows.
+    stay. Very long pages are read whole; extra columns may have any name.
+    White space is what Python's ``\\s`` matches, no-break spaces included. A
+    text of an article that all pages of a kind have, at the same place, is
+    template; one that only some of them share is not. Empty input: no rows.
     """
     small_batches(pages.sparkSession)
-    found = saved(templates(pages).groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("template")), "templates")
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    found = saved(templates(own), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[set[int], set[int]]] = {}
         for b in batches:
-            texts = [extract(h or "", set(t or ())) for h, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            texts = []
+            for k, (page, host) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
+                if host not in known:
+                    if len(known) > 200:
+                        known.clear()
+                    known[host] = ({x["token"] for x in b.column(4)[k].as_py() or ()}, set(b.column(5)[k].as_py() or ()))
+                texts.append(extract(page or "", *known[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
         trim()
 
-    joined = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_column().alias("host")).join(found, "host", "left")
-    return joined.select("page_id", "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    joined = own.withColumn("host", host_column()).join(found, "host", "left")
+    return joined.select("page_id", "url", "html", "host", "holders", "texts").mapInArrow(run, "page_id long, url string, text string, n_chars long")

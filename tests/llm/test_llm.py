@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from proofloom.llm import components, decontam, htmltext, licenses, mixing, outliers, rollups, simhash, suffix_tree, tokenfile
+from proofloom.llm import components, decontam, licenses, mixing, outliers, rollups, simhash, suffix_tree, tokenfile
 from proofloom.llm.common import scratch, tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, block int, fp string"
@@ -318,42 +318,6 @@ def test_encoder_cuts_are_exact():
         assert np.frombuffer(raw, "<u4").tolist() == tk.encode(t, add_special_tokens=False).ids, t
 
 
-# --- op4
-
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header><p>Site</p></header><nav><ul><li><a>Home</a></li></ul></nav>
-<div class="cookie-notice"><p>We use cookies</p></div><!-- ad --><div class="ad">Buy</div><article><h1>One &amp; two</h1><p><b>First
- line<br>goes on.<p>Second &lt;b&gt; &eacute;</p><ul><li>a<li>b</ul><form><input><p>f</p></form><section id="comments"><p>Nice!</p></section></article><aside>Side</aside><footer>&copy; x</footer>"""
-
-
-def test_main_text():
-    assert htmltext.extract(PAGE, set()) == "One & two\nFirst line goes on.\nSecond <b> é\na\nb"
-    assert htmltext.extract("<p>plain</p>a < b<div>x", set()) == "plain\na < b\nx"
-    assert htmltext.extract("", set()) == ""
-
-
-def test_pages_without_main_element_lose_their_template(spark):
-    page = lambda i: f"<html><body><div>Welcome to the site</div><div><p>Text {i} of its own.</p><p>Shared paragraph.</p></div><div>All rights reserved by us</div></body></html>" if i % 4 else f"<html><body><div>Welcome to the site</div><div><p>Text {i} of its own.</p></div><div>All rights reserved by us</div></body></html>"
-    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(20)] + [(50, None, None), (51, "http://h.example/x", ""), (52, "http://other.example/", "<div>Welcome to the site</div>")]
-    out = {r.page_id: r for r in htmltext.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert len(out) == len(rows)
-    assert out[1].text == "Text 1 of its own.\nShared paragraph." and out[4].text == "Text 4 of its own."
-    assert out[50].text == "" and out[51].n_chars == 0 and out[52].text == "Welcome to the site"
-    assert out[1].n_chars == len(out[1].text)
-    classes = htmltext.templates(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    assert {r.token for r in classes if r.token.startswith("t")} == {"t/html/body/div\tWelcome to the site", "t/html/body/div\tAll rights reserved by us"}
-
-
-def test_given_pages(spark, data):
-    import html
-
-    pages = spark.read.parquet(f"{data}/pages.parquet")
-    out = {r.page_id: r.text for r in htmltext.main_texts(pages).collect()}
-    for r in pages.collect():
-        inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
-        parts = (" ".join(html.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner))
-        assert out[r.page_id] == "\n".join(x for x in parts if x)
-
-
 # --- op6
 
 
