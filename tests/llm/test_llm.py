@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from proofloom.llm import components, decontam, licenses, mixing, outliers, rollups, simhash, suffix_tree, tokenfile
+from proofloom.llm import components, licenses, mixing, outliers, rollups, simhash, suffix_tree, tokenfile
 from proofloom.llm.common import scratch, tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, block int, fp string"
@@ -431,55 +431,6 @@ def test_scores_of_nothing(spark):
     assert suffix_tree.scores(docs_frame(spark, [])).count() == 0
 
 
-# --- op8
-
-
-def slow_align(item, text):
-    a, b = decontam.plain_words(item.encode()), decontam.plain_words((text or "").encode())
-    h = np.zeros((len(a) + 1, len(b) + 1))
-    for i in range(len(a)):
-        for j in range(len(b)):
-            h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
-    return h.max() / (2 * len(a))
-
-
-def test_alignment_finds_copies_and_edits(spark, data):
-    import duckdb
-
-    items = duckdb.connect().sql(f"SELECT item_id, text FROM '{data}/benchmark.parquet' ORDER BY item_id").fetchall()
-    rnd = random.Random(8)
-    rows = sample_texts(data, 80)
-    for k, (i, t) in enumerate(items[:12]):
-        w = t.split()
-        for at in range(5, len(w), 9):  # an edit every nine words
-            w[at] = rnd.choice(["zzz", "qqq", w[at] + " extra"])
-        rows += [(1000 + k, rows[k][1] + " " + t), (2000 + k, "Before. " + " ".join(w) + " after."), (3000 + k, t.upper().replace(" ", "\n"))]
-    rows += [(4000 + i, items[0][1]) for i in range(150)] + [(None if i is None else 5000 + i, t) for i, t in AWKWARD[:8]]  # an item in very many documents keeps its seeds
-    bench = spark.createDataFrame([*items, (900, None), (901, "of the"), (902, "")], "item_id long, text string")
-    docs = docs_frame(spark, rows)
-    out = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(docs, bench, rare_docs=5).collect()}
-    want = {(d, i): slow_align(t, x) for d, x in rows for i, t in items if d is not None and len(decontam.plain_words(t.encode())) >= 4}
-    want = {k: v for k, v in want.items() if v >= decontam.LEAST_SCORE}
-    assert out.keys() == want.keys()
-    assert all(out[k] == pytest.approx(want[k]) for k in want)
-    kept = decontam.clean_documents(docs, bench, rare_docs=5)
-    assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _ in rows if not any(k[0] == d for k in want))
-    assert decontam.contaminated(docs, bench.limit(0)).count() == 0 and decontam.clean_documents(docs.limit(0), bench).count() == 0
-
-
-def test_an_edited_copy_is_found_however_many_documents_hold_it(spark):
-    rnd = random.Random(18)
-    item = [f"w{i}" for i in range(20)]
-    edited = [f"x{i}" if i in (5, 10, 15) else w for i, w in enumerate(item)]
-    rows = [(i, f"n{rnd.random()} " + " ".join(edited)) for i in range(130)]
-    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
-    docs = docs_frame(spark, rows)
-    out = {r.doc_id: r.score for r in decontam.contaminated(docs, bench).collect()}
-    assert out == {i: pytest.approx(0.775) for i in range(130)}
-    assert decontam.clean_documents(docs, bench).count() == 0
-
-
 # --- op9
 
 
