@@ -1,8 +1,10 @@
 """Connected components of a distributed edge table.
 
-Alternating large-star and small-star steps: every step is one shuffle by node
-of an edge table that never grows beyond its first size, each result is written
-to the shared folder, and the driver sees only counts.
+Alternating large-star and small-star steps: every step aggregates an edge table
+that never grows beyond its first size by node and joins the result to it, each
+result is written to the shared folder, and the driver sees only counts. A node
+with a large share of all links is aggregated before the shuffle, and its
+partition of the join is split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -16,7 +18,8 @@ from .common import drop, saved
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """``edges``: (u, v), u > v. Each node's neighbours on one side are linked to the node's least neighbour."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # written, so that the join can split the partition of a node with very many neighbours
+    least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     joined = both.join(least, "u")
     moved = joined.filter("v > u") if large else joined
     out = moved.select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -24,7 +24,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts, saved, small_batches, texts, trim, words
@@ -201,47 +201,55 @@ def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-#: Copies alike in four fifths of their five-word shingles: word fingerprints that the covering tables are over, radius in each, most differing
-#: bits of all of them, and most differing bits of the 256-bit fingerprint of the shingles. Jaccard 0.8 is a cosine of 0.89, an angle of 0.15 pi.
-PRINTS, PRINT_RADIUS, PRINT_BITS = 4, 3, 40
-SHINGLE, SHINGLE_BITS = 5, 42
+#: Copies alike in four fifths of their five-word shingles: fingerprints of the words that the covering tables are over, radius in each, and
+#: most differing bits of the 256-bit fingerprint of the shingles. Jaccard 0.8 is a cosine of 0.89, an angle of 0.15 pi, 39 bits of 256.
+PRINTS, PRINT_RADIUS = 6, 3
+SHINGLE, SHINGLE_WORDS, SHINGLE_BITS = 5, 4, 46
 #: Paths kept for the tables of each fingerprint, those that split them included.
 PATHS = (2 << PRINT_RADIUS) ** 6
 #: Rows up to which all pairs of a bucket are compared at once.
 DENSE_ROWS = 2048
 
 
-def _majority(raw: np.ndarray, at: np.ndarray | None, n: int) -> np.ndarray:
-    """Bits set in over half of ``n`` hashes, rows of ``raw`` (those at ``at``)."""
-    bits = np.zeros(8 * raw.shape[1], np.int64)
-    for i in range(0, n, 4096):
-        bits += np.unpackbits(raw[at[i : i + 4096]] if at is not None else raw[i : i + 4096], axis=1).sum(0, dtype=np.int64)
-    return np.packbits(bits * 2 > n)
+def _majority(raw: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Bits set in hashes (rows of ``raw``) of over half of the total weight."""
+    bits = np.zeros(8 * raw.shape[1])  # whole numbers, far below 2^53
+    for i in range(0, len(raw), 4096):  # bounded memory, however long the text
+        bits += weights[i : i + 4096].astype(np.float64) @ np.unpackbits(raw[i : i + 4096], axis=1).astype(np.float64)
+    return np.packbits(bits * 2 > weights.sum())
 
 
 def wide_prints(batch: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Of each text, a digest of its word sequence and 8 words of 64 bits: 4 fingerprints of its words, and one of 256 bits of its five-word shingles."""
+    """Of each text, a digest of its word sequence, and words of 64 bits: PRINTS fingerprints of its words, and one of 256 bits of its shingles.
+
+    A word counts as often as it stands in shingles, so that an edit moves the
+    fingerprints of a short text no more than its shingles.
+    """
     split = [words(t) for t in batch]
-    place: dict[bytes, int] = {}
-    ids = [np.array([place.setdefault(w, len(place)) for w in ws], np.int64) for ws in split]
-    raw = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8 * PRINTS).digest() for w in place), np.uint8).reshape(len(place), 8 * PRINTS)
-    out = np.zeros((len(batch), 8 * PRINTS + 32), np.uint8)
-    h = xxhash.xxh3_128_digest
-    for k, (own, ws) in enumerate(zip(ids, split)):
+    out = np.zeros((len(batch), 8 * (PRINTS + SHINGLE_WORDS)), np.uint8)
+    h, known = xxhash.xxh3_128_digest, {}
+    for k, ws in enumerate(split):
+        n = len(ws)
+        times = np.minimum(np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)), min(SHINGLE, max(n - SHINGLE + 1, 1)))
+        place: dict[bytes, int] = {}
+        ids = np.fromiter((place.setdefault(w, len(place)) for w in ws), np.int64, n)
+        for w in place:
+            if w not in known:
+                known[w] = hashlib.blake2b(w, digest_size=8 * PRINTS).digest()
+        raw = np.frombuffer(b"".join(map(known.__getitem__, place)), np.uint8).reshape(len(place), 8 * PRINTS)
         line = b" ".join(ws)
-        ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)
-        cuts = zip([0, *ends[:-SHINGLE].tolist()], (ends[SHINGLE - 1 :] - 1).tolist()) if len(ws) >= SHINGLE else [(0, len(line))]
+        ends = np.cumsum(np.fromiter(map(len, ws), np.int64, n) + 1)
+        cuts = zip([0, *ends[:-SHINGLE].tolist()], (ends[SHINGLE - 1 :] - 1).tolist()) if n >= SHINGLE else [(0, len(line))]
         grams = [line[i:j] for i, j in cuts]
-        hashes = np.frombuffer(b"".join(x for g in grams for x in (h(g), h(g, 1))), np.uint8).reshape(len(grams), 32)
-        out[k] = np.concatenate([_majority(raw, own, len(own)), _majority(hashes, None, len(grams))])
+        hashes = np.frombuffer(b"".join(x for g in grams for x in (h(g), h(g, 1))), np.uint8).reshape(len(grams), 8 * SHINGLE_WORDS)
+        out[k] = np.concatenate([_majority(raw, np.bincount(ids, times, len(place)).astype(np.int64)), _majority(hashes, np.ones(len(grams), np.int64))])
     return [hashlib.md5(b" ".join(ws)).digest() for ws in split], out.view(np.uint64)
 
 
 def judged_pairs(prints: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the rows that are copies of each other, whatever their number; room for a few columns of the rows."""
+    """A spanning forest of the rows (fingerprints of shingles) that are copies of each other, whatever their number; room for a few columns of the rows."""
     n, wide = prints.shape
-    apart = lambda x, y, cols: sum(np.bitwise_count(x[..., k] ^ y[..., k]).astype(np.int16) for k in cols)
-    copies = lambda x, y: (apart(x, y, range(PRINTS)) <= PRINT_BITS) & (apart(x, y, range(PRINTS, wide)) <= SHINGLE_BITS)
+    copies = lambda x, y: sum(np.bitwise_count(x[..., k] ^ y[..., k]).astype(np.int16) for k in range(wide)) <= SHINGLE_BITS
     near = copies(prints[:, None], prints[None]) if n <= DENSE_ROWS else None
     rest, out = np.arange(n), []  # rows that no tree has yet
     while len(rest):
@@ -257,8 +265,8 @@ def judged_pairs(prints: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _print_runs(most: int, prints: int):
-    """Reads rows (path, key, node, print...) sorted by path and key; emits pairs (null, u, v) of a bucket's nodes, and rows (path, node, null).
+def _print_runs(most: int):
+    """Reads rows (path, key, node, print, shingle fingerprint...) sorted by path and key; emits pairs (null, u, v) of a bucket's nodes, and rows (path, node, null).
 
     The rows are those of buckets of more than ``most`` distinct fingerprints,
     to be dealt again. Nodes of one fingerprint can't be dealt apart, so any
@@ -274,14 +282,14 @@ def _print_runs(most: int, prints: int):
                 return []
             rows = np.concatenate(held)
             rows = rows[np.argsort(rows[:, 0], kind="stable")]
-            return [(None, int(rows[i, 0]), int(rows[j, 0])) for i, j in judged_pairs(np.ascontiguousarray(rows[:, 1:]).view(np.uint64))]
+            return [(None, int(rows[i, 0]), int(rows[j, 0])) for i, j in judged_pairs(np.ascontiguousarray(rows[:, 2:]).view(np.uint64))]
 
         def pack(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
         for b in batches:
             path, key = b.column(0).to_numpy(), b.column(1).to_numpy()
-            body = np.stack([b.column(i).to_numpy() for i in range(2, prints + 3)], axis=1)
+            body = np.stack([b.column(i).to_numpy() for i in range(2, 4 + SHINGLE_WORDS)], axis=1)
             new = np.flatnonzero((path[1:] != path[:-1]) | (key[1:] != key[:-1])) + 1
             starts, ends = np.append(0, new), np.append(new, len(path))
             own = ends - starts > 1
@@ -296,8 +304,7 @@ def _print_runs(most: int, prints: int):
                 held.append(body[i:j])
                 size += j - i
                 if size > most and not over:
-                    k = 1 + (int(path[i]) - PRINTS) // PATHS
-                    seen = np.unique(np.concatenate([x[:, k] for x in held] if seen is None else [seen, body[i:j, k]]))
+                    seen = np.unique(np.concatenate([x[:, 1] for x in held] if seen is None else [seen, body[i:j, 1]]))
                     over = len(seen) > most
                 if over:
                     rows += [(int(path[i]), x, None) for part in held for x in part[:, 0].tolist()]
@@ -311,40 +318,40 @@ def _print_runs(most: int, prints: int):
 
 
 def alike(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, root) for each distinct doc_id of ``docs``: documents of one root are copies of each other.
+    """(doc_id, text_key, group, root) for each row of ``docs`` that has a doc_id: documents of one group are copies of each other.
 
     Two documents are linked if their words are the same, or if the 256-bit
     SimHash of their five-word shingles differs in at most SHINGLE_BITS bits,
     as it does from a Jaccard similarity of about 0.8 on. Pairs come from
-    covering tables over four fingerprints of the words, which edits move much
-    less than shingles. root is the smallest doc_id of a component. Documents
-    without a doc_id are left out; of rows with one doc_id and different texts
-    the one of the least digest counts. Wordless texts are all the same.
+    covering tables over fingerprints of the words, which edits move much less
+    than shingles. root is the smallest doc_id of the group; text_key is the
+    MD5 of the text. Rows of one doc_id and different texts are documents
+    apart. Wordless texts are all the same. Empty input: no rows.
     """
     small_batches(docs.sparkSession)
-    wide = PRINTS + 4
+    wide = PRINTS + SHINGLE_WORDS
     cols = [f"p{k}" for k in range(wide)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digest, prints = wide_prints(texts(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest, pa.binary()), *[pa.array(prints[:, k].view(np.int64)) for k in range(wide)]], ["doc_id", "digest", *cols])
+            digest, prints = wide_prints(texts(b.column(2)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary()), *[pa.array(prints[:, k].view(np.int64)) for k in range(wide)]], ["doc_id", "text_key", "digest", *cols])
         trim()
 
-    own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = own.mapInArrow(run, "doc_id long, digest binary, " + ", ".join(f"{c} long" for c in cols))
-    found = saved(found.groupBy("doc_id").agg(F.min(F.struct("digest", *cols)).alias("x")).select("doc_id", "x.*"), "prints")
-    same = saved(found.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in cols]), "nodes")
+    own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
+    found = saved(own.mapInArrow(run, "doc_id long, text_key string, digest binary, " + ", ".join(f"{c} long" for c in cols)), "prints")
+    # a node is a sequence of words; its number tells nothing but that it is the same
+    same = saved(found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in cols]).withColumn("node", F.xxhash64("digest")), "nodes")
     bucket_rows = max(bucket_rows, 2 << (PRINT_RADIUS + 1))  # more than the buckets hold whose masks could not shrink
-    run_pairs = _print_runs(bucket_rows, wide)
+    run_pairs = _print_runs(bucket_rows)
     pairs, nodes = [], same.withColumn("only", F.explode(F.array(*[F.lit(k) for k in range(PRINTS)])))
     # table v of fingerprint k is path PRINTS + k * PATHS + v; the tables that split it are known by their paths
     size = 2 << PRINT_RADIUS
     arms = [(k, PRINTS + k * PATHS + v, k, m) for k in range(PRINTS) for v, m in enumerate(covering_masks(PRINT_RADIUS))]
     while arms:
         masks = docs.sparkSession.createDataFrame([(o, p, k, _signed(m)) for o, p, k, m in arms], "only int, path int, k int, mask long")  # at most 15 for each split table
-        key = F.element_at(F.array(*cols[:PRINTS]), F.col("k") + 1).bitwiseAND(F.col("mask"))
-        dealt = nodes.join(F.broadcast(masks), "only").select("path", key.alias("key"), "node", *cols)
+        dealt = nodes.join(F.broadcast(masks), "only").withColumn("print", F.element_at(F.array(*cols[:PRINTS]), F.col("k") + 1))
+        dealt = dealt.select("path", F.col("print").bitwiseAND(F.col("mask")).alias("key"), "node", "print", *cols[PRINTS:])
         out = saved(dealt.repartition(parts(docs), "path", "key").sortWithinPartitions("path", "key").mapInArrow(run_pairs, "path int, u long, v long"), "pairs")
         pairs.append(out.filter("path is null").select("u", "v"))
         over = out.filter("path is not null").select("path", F.col("u").alias("node")).distinct()
@@ -357,17 +364,27 @@ def alike(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
                 arms.append((p, PRINTS + k * PATHS + (p - PRINTS - k * PATHS + 1) * size + v, k, m | more))
         nodes = over.withColumnRenamed("path", "only").join(same.select("node", *cols), "node")
     roots = components(reduce(DataFrame.union, pairs))
-    reps = same.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    return found.join(reps, "digest").select("doc_id", "root")
+    reps = same.select("digest", "node", "first_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = saved(reps.groupBy("root").agg(F.min("first_doc").alias("least")), "roots")
+    reps = saved(reps.join(named, "root").select("digest", F.col("root").alias("group"), F.col("least").alias("root")), "reps")
+    return found.select("doc_id", "text_key", "digest").join(reps, "digest").select("doc_id", "text_key", "group", "root")
+
+
+def text_key(text: str = "text") -> Column:
+    return F.md5(F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary")))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with one document of each group of copies (see :func:`alike`): that of the smallest doc_id.
 
-    Rows that repeat that doc_id are one document, of which one row stays. Rows
-    without a doc_id can't be told apart and stay.
+    Rows of one doc_id and text are one document, of which one row stays; where
+    a doc_id has several texts in a group, that of the least text_key. Rows
+    without a doc_id can't be told apart and stay. Other columns may have any
+    name and stay as they are. Empty input: no rows.
     """
-    roots = alike(docs.select("doc_id", "text"))
-    keep = roots.filter("doc_id = root").select(F.col("doc_id").alias("kept_id"))
-    one = docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    names = docs.columns
+    firsts = alike(docs.select("doc_id", "text")).filter("doc_id = root").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
+    kept = saved(firsts.select(F.col("x.doc_id").alias("i"), F.col("x.text_key").alias("k")).distinct(), "kept")
+    own = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(names)]).alias("row"), F.col("doc_id").cast("long").alias("i"), text_key().alias("k"))
+    out = own.filter("i is not null").join(kept, ["i", "k"], "left_semi").dropDuplicates(["i", "k"]).unionByName(own.filter("i is null"))
+    return out.select(*[F.col(f"row.c{n}").alias(c) for n, c in enumerate(names)])

@@ -126,108 +126,6 @@ def test_components_of_a_long_chain(spark):
     assert components.components(e.limit(0)).count() == 0
 
 
-def shingles(t, n=5):
-    w = split(low(t))
-    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))
-
-
-def slow_roots(rows, alike):
-    """Components of documents of the same words, or of which ``alike`` holds."""
-    own = {d: t or "" for d, t in reversed(rows) if d is not None}
-    ids, root = sorted(own), {d: d for d in own}
-    words, prints = {d: split(low(own[d])) for d in ids}, dict(zip(ids, simhash.wide_prints([own[d].encode() for d in ids])[1]))
-
-    def find(d):
-        while root[d] != d:
-            d = root[d]
-        return d
-
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            if words[a] == words[b] or alike(np.bitwise_count(prints[a] ^ prints[b]).astype(int), shingles(own[a]), shingles(own[b])):
-                p, q = sorted((find(a), find(b)))
-                root[q] = p
-    return {d: find(d) for d in ids}
-
-
-def near_copies(data, n=25, seed=11):
-    """Texts with edits every 60 to 70 words, so that copies are near to their text rather than to each other."""
-    rnd = random.Random(seed)
-    rows = [r for r in sample_texts(data, 120)]
-    long = [t for _, t in rows if 130 < len(split(t)) < 800][:4]
-    for k, t in enumerate(long):
-        for i in range(n):
-            w = t.split(" ")
-            for at in range(rnd.randint(0, 40), len(w), rnd.randint(60, 70)):
-                w[at] = f"edit{rnd.randrange(10**6)}"
-            rows.append((1000 + 100 * k + i, " ".join(w)))
-    return rows + [(3000 + d, t.upper() if t else t) for d, t in rows[:10]]
-
-
-@pytest.mark.parametrize("bucket_rows", [2048, 96])
-def test_copies_against_brute_force(spark, data, bucket_rows):
-    rows = near_copies(data) + [(9000, None), (9001, ""), (9002, " \n"), (9003, "one word more"), (9003, "one word more"), (None, "no id"), (None, "no id")]
-    out = simhash.alike(docs_frame(spark, rows), bucket_rows=bucket_rows).collect()
-    got = {r.doc_id: r.root for r in out}
-    judged = lambda d: d[:4].sum() <= simhash.PRINT_BITS and d[4:].sum() <= simhash.SHINGLE_BITS
-    least = slow_roots(rows, lambda d, x, y: judged(d) and min(d[:4]) <= simhash.PRINT_RADIUS)  # what the covering tables guarantee
-    most = slow_roots(rows, lambda d, x, y: judged(d))
-    assert got.keys() == most.keys()
-    assert all(got[d] == got[r] for d, r in least.items()) and all(most[d] == most[r] for d, r in got.items())
-    exact = slow_roots(rows, lambda d, x, y: len(x & y) >= 0.8 * len(x | y))
-    assert np.mean([got[d] == got[r] for d, r in exact.items()]) > 0.95
-    loose = slow_roots(rows, lambda d, x, y: len(x & y) >= 0.4 * len(x | y))
-    assert all(loose[d] == loose[r] for d, r in got.items())
-
-
-def test_many_copies_with_one_fingerprint(spark):
-    """A group far beyond a bucket: a long text and copies with one edit each, most of which have the fingerprints of the text."""
-    rnd = random.Random(12)
-    text = [f"{rnd.choice('bcdfg')}{i % 397}" for i in range(1500)]
-    rows = [(0, " ".join(text))]
-    for i in range(1, 400):
-        w = list(text)
-        w[rnd.randrange(len(w))] = f"edit{i}"
-        rows.append((i, " ".join(w)))
-    out = simhash.alike(docs_frame(spark, rows), bucket_rows=96).collect()
-    assert {r.root for r in out} == {0} and len(out) == 400
-
-
-def test_star_of_copies_with_one_fingerprint(spark):
-    """Copies with the words of a text in other places: near to the text, mostly not to each other, and far beyond a bucket."""
-    rnd = random.Random(13)
-    text = [f"{rnd.choice('bcdfg')}{i}" for i in range(1500)]
-    rows = [(1000, " ".join(text))]
-    for i in range(400):
-        w = list(text)
-        for at in rnd.sample(range(0, 1490, 8), 25):
-            w[at], w[at + 1] = w[at + 1], w[at]
-        rows.append((i, " ".join(w)))
-    prints = simhash.wide_prints([t.encode() for _, t in rows])[1]
-    assert (prints[:, :4] == prints[0, :4]).all()
-    near = np.bitwise_count(prints[:, None, 4:] ^ prints[None, :, 4:]).sum(2, dtype=np.int64) <= simhash.SHINGLE_BITS
-    ids = [d for d, _ in rows]
-    root = np.array(ids)
-    for _ in rows:
-        root = np.where(near, root, 9999).min(1)
-    want = dict(zip(ids, root.tolist()))
-    out = {r.doc_id: r.root for r in simhash.alike(docs_frame(spark, rows), bucket_rows=96).collect()}
-    assert Counter(want.values()).most_common(1)[0][1] > 300
-    assert out == want
-    several = np.concatenate([prints] * 6)  # beyond what is compared at once
-    assert len(simhash.judged_pairs(several)) == len(several) - len(set(want.values()))
-
-
-def test_deduplicated_keeps_one_of_each(spark, data):
-    rows = near_copies(data) + [(9003, "one word more"), (9003, "one word more"), (None, "no id"), (None, "no id")]
-    d = docs_frame(spark, rows)
-    kept = simhash.deduplicated(d)
-    assert kept.columns == d.columns
-    roots = {r.doc_id: r.root for r in simhash.alike(d).collect()}
-    assert Counter(r.doc_id for r in kept.collect()) == Counter({r: 1 for r in roots.values()} | {None: 2})
-    assert simhash.deduplicated(d.limit(0)).count() == 0
-
-
 # --- op2
 
 
