@@ -6,8 +6,10 @@ the source table) until the weights' entropy, or the repetition of the most
 repeated source, meets its target. A source's token budget is then spent on
 epochs: whole passes over its documents, and a last pass over blocks in a keyed
 order until the budget is used. Blocks are hash classes of a source's documents,
-``BLOCKS`` for each source whatever its size, so that no step orders a whole
-source in one task; only the block where the budget runs out is cut inside.
+``BLOCKS`` for each source. The one block where the budget runs out is cut by a
+key: sums over 65536 parts of the block in key order tell the part, and sums
+over the keys of that part the last key that is used. Both passes read ids and
+counts only; texts are never moved, each row then decides by its own key.
 """
 
 from __future__ import annotations
@@ -86,14 +88,16 @@ def mixed(docs: DataFrame, entropy: float | None = None, max_repeats: float | No
 
     ``place`` orders a source's rows within an epoch and block. A source whose
     documents have no tokens costs nothing and is used once. Null source: a
-    source of its own. Null text: no tokens. Rows of equal doc_id go to the same
-    block; where the budget ends between equal rows, the first in the order of
-    their texts are used. Empty input: no rows.
+    source of its own. Null text: no tokens, and equal to the empty one. Rows of
+    equal doc_id and text are used alike, also where the budget ends among them.
+    Extra columns may have any name. Empty input: no rows.
     """
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), source_key().alias("skey"), n_tokens(text).alias("n_tokens"))
-    digest = _digest(F.lit(seed), "row.doc_id")
-    own = own.withColumn("block", F.pmod(_number(digest), F.lit(BLOCKS)).cast("int"))
-    blocks = saved(own.groupBy("skey", "block").agg(F.sum("n_tokens").alias("tokens")), "blocks")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    key = _digest(F.lit(seed), "doc_id", f"`{text}`")
+    parts = [source_key().alias("skey"), key.alias("key"), n_tokens(text).alias("n_tokens")]
+    block = F.pmod(_number(F.col("key")), F.lit(BLOCKS)).cast("int").alias("block")
+    keyed = saved(docs.select(*parts).select("*", block), "keyed")
+    blocks = saved(keyed.groupBy("skey", "block").agg(F.sum("n_tokens").alias("tokens")), "blocks")
     totals = saved(blocks.groupBy("skey").agg(F.sum("tokens").alias("tokens")), "sources")
     some = totals.filter("tokens > 0")
     power = exponent(some, entropy, max_repeats)
@@ -109,21 +113,32 @@ def mixed(docs: DataFrame, entropy: float | None = None, max_repeats: float | No
         .select("skey", "block", "weight", "full", F.greatest(F.lit(0.0), F.least(F.col("rest") - F.col("before"), F.col("tokens").cast("double"))).alias("left"), F.col("tokens").alias("of_block"))
     )
     plan = saved(plan, "plan")
-    joined = own.join(plan, ["skey", "block"])
-    place = _digest(F.lit(seed), "full", "row.doc_id")
-    cut = joined.filter("left > 0 and left < of_block")
-    inside = Window.partitionBy("skey", "block").orderBy(place, F.col("row.doc_id"), F.col(f"row.`{text}`"))
-    cut = cut.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("uses", F.col("full") + (F.col("before") < F.col("left")).cast("int")).drop("before")
-    whole = joined.filter("not (left > 0 and left < of_block)").withColumn("uses", F.col("full") + (F.col("left") > 0).cast("int"))
-    used = whole.unionByName(cut).filter("uses > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)))
-    return used.select("row", "n_tokens", "skey", "weight", "epoch", "block", _digest(F.lit(seed), "epoch", "row.doc_id").alias("place"))
+    last = _last_keys(keyed, plan.filter("left > 0 and left < of_block"), seed)
+    plan = saved(plan.join(last, ["skey", "block"], "left"), "plan")
+    place = lambda epoch: _digest(F.lit(seed), epoch, "key")
+    more = F.when(F.col("left") <= 0, 0).when(F.col("left") >= F.col("of_block"), 1).otherwise((place("full") <= F.col("last_place")).cast("int"))
+    own = docs.select(F.struct(*names).alias("row"), *parts).select("*", block)
+    used = own.join(plan, ["skey", "block"]).withColumn("uses", F.col("full") + more).filter("uses > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)))
+    return used.select("row", "n_tokens", "skey", "weight", "epoch", "block", place("epoch").alias("place"))
+
+
+def _last_keys(keyed: DataFrame, cuts: DataFrame, seed: str) -> DataFrame:
+    """(skey, block, last_place): of each cut block (one a source at most), the last place whose tokens before it are under ``left``."""
+    before = lambda by: F.coalesce(F.sum("tokens").over(Window.partitionBy("skey", "block").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = keyed.join(cuts.select("skey", "block", "full", "left"), ["skey", "block"]).select("skey", "block", "left", "n_tokens", _digest(F.lit(seed), "full", "key").alias("place"))
+    inner = inner.withColumn("part", F.substring("place", 1, 4))
+    sums = inner.groupBy("skey", "block", "left", "part").agg(F.sum("n_tokens").alias("tokens")).withColumn("before", before("part")).filter("before < left")
+    part = saved(sums.groupBy("skey", "block").agg(F.max(F.struct("part", (F.col("left") - F.col("before")).alias("rest"))).alias("x")).select("skey", "block", "x.*"), "cut")
+    keys = inner.drop("left").join(part, ["skey", "block", "part"]).groupBy("skey", "block", "rest", "place").agg(F.sum("n_tokens").alias("tokens"))
+    return keys.withColumn("before", before("place")).filter("before < rest").groupBy("skey", "block").agg(F.max("place").alias("last_place"))
 
 
 #: DuckDB's form of the registered query: with a repetition limit the exponent has a closed form.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, text, coalesce('=' || source, 'null') AS skey,
                   coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS n_tokens,
-                  CAST(('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 256 AS INTEGER) AS block
+                  md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS key,
+                  CAST(('0x' || substr(key, 1, 8))::BIGINT % 256 AS INTEGER) AS block
            FROM documents),
 b AS (SELECT skey, block, sum(n_tokens)::BIGINT AS tokens FROM d GROUP BY 1, 2),
 t AS (SELECT skey, sum(tokens)::BIGINT AS tokens FROM b GROUP BY 1),
@@ -136,12 +151,11 @@ f AS (SELECT b.*, weight, coalesce(floor(passes), 1)::INTEGER AS "full", coalesc
 o AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY skey ORDER BY md5('mix|' || skey || '|' || "full" || '|' || block), block
                                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f),
 q AS (SELECT skey, block, weight, "full", greatest(0, least(rest - before, tokens)) AS lft, tokens AS of_block FROM o),
-j AS (SELECT d.*, weight, "full", lft, of_block,
-             coalesce(sum(n_tokens) OVER (PARTITION BY d.skey, d.block ORDER BY md5('mix|' || "full" || '|' || coalesce(doc_id::VARCHAR, '')), doc_id, text
-                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
-      FROM d JOIN q USING (skey, block)),
+i AS (SELECT d.*, weight, "full", lft, of_block, md5('mix|' || "full" || '|' || key) AS last_place FROM d JOIN q USING (skey, block)),
+j AS (SELECT *, sum(n_tokens) OVER (PARTITION BY skey, block ORDER BY last_place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                - sum(n_tokens) OVER (PARTITION BY skey, block, last_place) AS used FROM i),
 u AS (SELECT *, "full" + CASE WHEN lft <= 0 THEN 0 WHEN lft >= of_block THEN 1 WHEN used < lft THEN 1 ELSE 0 END AS uses FROM j)
 SELECT doc_id, substr(skey, 2) AS source, n_tokens, epoch::INTEGER AS epoch, block,
-       md5('mix|' || epoch || '|' || coalesce(doc_id::VARCHAR, '')) AS place
+       md5('mix|' || epoch || '|' || key) AS place
 FROM u, unnest(range(0, uses)) AS e(epoch)
 """

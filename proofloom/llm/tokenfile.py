@@ -227,7 +227,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str, id_bytes: int, end_id: int
     """A dictionary from the serialized ids of ``dict_docs`` documents; empty (plain frames) if they are too few to train on."""
     order = F.xxhash64("doc_id", F.lit(17))
     last = docs.select(order.alias("h")).orderBy("h").limit(dict_docs).agg(F.max("h")).first()[0]
-    rows = docs.filter(order <= F.lit(last)).select("text").limit(dict_docs).collect() if last is not None else []  # dict_docs rows at most
+    # dict_docs beginnings of texts at most: what the ids of 64 KB take
+    rows = docs.filter(order <= F.lit(last)).select(F.substring("text", 1, 64 << 10)).limit(dict_docs).collect() if last is not None else []
     samples = [_stored(x, id_bytes, end_id)[: 64 << 10] for x in Encoder(tokenizer)([r[0] or "" for r in rows])]
     try:
         return zstandard.train_dictionary(min(dict_bytes, sum(map(len, samples)) // 8), samples).as_bytes()
@@ -251,15 +252,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, doc_
     digest = hashlib.sha256(dictionary).digest()
     spark.createDataFrame([(dictionary, digest.hex(), id_bytes, end_id)], "dictionary binary, sha256 string, id_bytes int, end_id int").coalesce(1).write.parquet(f"{path}/dictionary")
     n = own.count() // BUCKET_DOCS + 1
-    bounds = sorted(set(own.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n))) if n > 1 else []
-    bucket = F.coalesce(_bucket(bounds), F.lit(0))
+    # a doc_id that many rows have is several bounds; rows without one come first, in buckets of their own
+    bounds = np.array(own.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else [], np.int64)
+    nulls = own.filter("doc_id is null").count() // BUCKET_DOCS + 1 if n > 1 else 1
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = encoder(tokenizer)
         pack_up = zstandard.ZstdCompressor(level=1, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         for b in batches:
-            ids = [_stored(x, id_bytes, end_id) for x in run([t or "" for t in b.column(2).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // id_bytes for x in ids], pa.int64()), pa.array([pack_up.compress(x) for x in ids], pa.binary())], ["bucket", "doc_id", "n", "frame"])
+            ids = [_stored(x, id_bytes, end_id) for x in run([t or "" for t in b.column(1).to_pylist()])]
+            frames = [pack_up.compress(x) for x in ids]
+            buckets = buckets_of(b.column(0), np.array([zlib.crc32(x) for x in frames], np.int64), bounds, nulls)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), b.column(0), pa.array([len(x) // id_bytes for x in ids], pa.int64()), pa.array(frames, pa.binary())], ["bucket", "doc_id", "n", "frame"])
         trim()
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,17 +288,21 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, doc_
         if held:
             yield flush()
 
-    dealt = own.select(bucket.cast("int").alias("bucket"), "doc_id", "text").mapInArrow(encode, "bucket int, doc_id long, n long, frame binary").repartitionById(len(bounds) + 1, F.col("bucket"))
+    dealt = own.mapInArrow(encode, "bucket int, doc_id long, n long, frame binary").repartitionById(nulls + len(bounds) + 1, F.col("bucket"))
     out = dealt.sortWithinPartitions("bucket", "doc_id", "frame").mapInArrow(shards, "bucket int, shard int, first_doc long, last_doc long, local_start long, n_ids long, blob binary")
     out.write.parquet(f"{path}/shards")
 
 
-def _bucket(bounds: list[float]):
-    """How many of the sorted ``bounds`` are at most doc_id."""
-    if not bounds:
-        return F.lit(0)
-    edges = F.array(*[F.lit(int(b)) for b in bounds])
-    return F.size(F.filter(edges, lambda b: b <= F.col("doc_id")))
+def buckets_of(doc_ids: pa.Array, digests: np.ndarray, bounds: np.ndarray, nulls: int) -> np.ndarray:
+    """The bucket of each row: a number that ascends with doc_id, null ids first.
+
+    A doc_id that is a bound once or more may go to any of the buckets next to
+    these bounds, by its digest, so that one id with very many rows is split.
+    """
+    missing = np.asarray(doc_ids.is_null())
+    ids = doc_ids.fill_null(0).to_numpy()
+    low, high = np.searchsorted(bounds, ids, side="left"), np.searchsorted(bounds, ids, side="right")
+    return np.where(missing, digests % nulls, nulls + low + digests % (high - low + 1))
 
 
 def _dictionary(spark: SparkSession, path: str) -> bytes:

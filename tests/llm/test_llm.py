@@ -195,6 +195,21 @@ def test_token_files(spark, data):
     assert some == {d: tk.encode(t, add_special_tokens=False).ids + [2] for d, t in rows if d in (3, 7)}
 
 
+def test_token_files_split_an_id_of_many_rows(spark, monkeypatch):
+    """Buckets of ten rows; one id and null have most of the rows. Order and starts hold."""
+    monkeypatch.setattr(tokenfile, "BUCKET_DOCS", 10)
+    rnd = random.Random(31)
+    rows = [(rnd.choice([None, 7, 7, i]), f"text {i} " * rnd.randint(0, 5)) for i in range(400)]
+    path = tokenfile.written(docs_frame(spark, rows).repartition(3), tokenizer_file())
+    out = sorted(tokenfile.digests(spark, path).collect(), key=lambda r: r.start)
+    assert Counter(r.doc_id for r in out) == Counter(d for d, _ in rows)
+    ids = [r.doc_id for r in out]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x))
+    assert [r.start for r in out] == np.cumsum([0, *[r.n_tokens for r in out[:-1]]]).tolist()
+    shards = spark.read.parquet(f"{path}/shards").select("bucket", "first_doc", "last_doc").collect()
+    assert sum(r.first_doc == r.last_doc == 7 for r in shards) > 3 and sum(r.last_doc is None for r in shards) > 3
+
+
 def test_token_files_of_nothing(spark):
     path = tokenfile.written(docs_frame(spark, []), tokenizer_file())
     assert tokenfile.digests(spark, path).collect() == []
@@ -240,6 +255,12 @@ def test_mixing_targets(spark):
     assert -sum(x * math.log(x) for x in w.values()) == pytest.approx(goal, abs=1e-6)
     assert sum(r.n_tokens for r in used) == pytest.approx(2000, abs=4 * 40)
     assert mixing.mixed(d.limit(0), max_repeats=2.0).count() == 0
+    # equal rows are used alike, and a source of one id is cut between its texts
+    one = docs_frame(spark, [(1, f"{i % 200} w w") for i in range(400)])
+    kept = Counter(r.text for r in mixing.mixed(one, max_repeats=2.0).select("row.text").collect())
+    assert set(kept.values()) == {2}
+    part = Counter(r.text for r in mixing.mixed(one, entropy=0.0, budget=600.0).select("row.text").collect())
+    assert set(part.values()) == {2} and sum(part.values()) * 3 == pytest.approx(600, abs=6)
     plain = mixing.mixed(docs_frame(spark, AWKWARD), max_repeats=2.0)
     assert plain.count() == len(AWKWARD)
 
