@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import injections, intent, keywords, strip, wants_math
-from .retrieve import retrieve
+from ..streaming.ingest import shared_dir
+from . import verify
+from .calculator import evaluate, extracted
+from .retrieve import LocalRetriever, Retriever
 
+#: What an answer without evidence says, how extracts begin, what an unsupported figure adds, and how often a question is asked.
 ABSTAIN = "I couldn't find information to answer that in this document."
-MAX_ATTEMPTS = 3
+EXTRACTIVE = "Based on the document (extractive — set a cloud key for synthesized answers):\n\n"
+CAVEAT = ("\n\nNote — unverified figure(s) not traceable to the cited evidence: ", " — treat with caution.")
+MAX_ATTEMPTS, SOURCES = 3, 3
 #: The questions of a first reading, and of a comparison of two documents.
 BRIEF = (
     ("Revenue", "What were total revenues for the period?"),
@@ -81,7 +88,7 @@ def extracts(evidence: DataFrame) -> DataFrame:
     own = own.withColumn("_n", F.row_number().over(Window.partitionBy("qid").orderBy("pos"))).filter("_n <= 2")
     claim = F.struct("_n", F.left("_quote", F.lit(300)).alias("text"), "page", "block_id", F.coalesce(F.nullif("parent_text", F.lit("")), "_quote").alias("part"))
     out = own.groupBy("qid").agg(F.array_sort(F.collect_list(claim)).alias("_c"))
-    answer = F.concat(F.lit("Based on the document (extractive — set a cloud key for synthesized answers):\n\n"), F.array_join(F.transform("_c", lambda c: F.concat(F.lit("- "), c["part"])), "\n\n"))
+    answer = F.concat(F.lit(EXTRACTIVE), F.array_join(F.transform("_c", lambda c: F.concat(F.lit("- "), c["part"])), "\n\n"))
     claims = F.transform("_c", lambda c: F.struct(c["text"].alias("text"), F.array(F.struct(c["page"].alias("page"), c["block_id"].alias("block_id"))).alias("citations")))
     return out.select("qid", answer.alias("answer"), claims.alias("claims"))
 
@@ -92,24 +99,141 @@ def flags(evidence: DataFrame) -> DataFrame:
     return found.select("qid", "page", F.concat(F.lit("p"), F.col("page"), F.lit(":"), "hit").alias("flag"))
 
 
-def answer(questions: DataFrame, passages: DataFrame, k: int = 6, strict: bool = True) -> DataFrame:
-    """(qid, task, attempts, grade, answer, claims) of each question, without a model.
+def sources(evidence: DataFrame) -> DataFrame:
+    """(qid, sources): the first three pieces of evidence as they are shown beside an answer."""
+    snippet = F.left(F.replace(F.coalesce("content", F.lit("")), F.lit("\n"), F.lit(" ")), F.lit(200))
+    own = evidence.filter(F.col("pos") < SOURCES).select("qid", F.struct("pos", "page", F.coalesce(F.nullif("section_heading", F.lit("")), "heading").alias("heading"), "type", "block_id", "exact", snippet.alias("snippet")).alias("s"))
+    return own.groupBy("qid").agg(F.array_sort(F.collect_list("s")).alias("sources"))
+
+
+# --- replies of models
+
+_CITATION = "array<struct<page:variant,block_id:variant>>"
+
+
+def without_fences(reply: Column | str) -> Column:
+    """A reply without the lines that fence code."""
+    return F.regexp_replace(reply, r"(?m)^```[A-Za-z]*[ \t]*\n?|```[ \t]*$", "")
+
+
+def parse_reply(reply: Column | str) -> Column:
+    """struct(answer, claims, insufficient) of a structured reply: its outermost JSON object, fences and prose around it left out.
+
+    Null if there is no object or its answer is no string. Claims without text
+    and citations without a whole page number are dropped; a block id that is
+    not a whole number is null.
+    """
+    text = without_fences(F.trim(reply))
+    body = F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)(\{.*\})", 1), F.lit("")))
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    is_kind = lambda v, path, kind: F.schema_of_variant(F.variant_get(v, path, "variant")) == kind
+    whole = lambda v, path: F.when(is_kind(v, path, "BIGINT"), get(v, path, "long"))
+    claims = F.coalesce(get(body, "$.claims", "array<variant>"), F.array().cast("array<variant>"))
+    cites = lambda c: F.filter(
+        F.transform(F.coalesce(get(c, "$.citations", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.struct(whole(x, "$.page").alias("page"), whole(x, "$.block_id").alias("block_id"))),
+        lambda x: x["page"].isNotNull(),
+    )
+    told = F.transform(F.filter(claims, lambda c: is_kind(c, "$.text", "STRING") & (F.trim(get(c, "$.text", "string")) != "")), lambda c: F.struct(F.trim(get(c, "$.text", "string")).alias("text"), cites(c).alias("citations")))
+    flag = get(body, "$.insufficient", "string")
+    insufficient = F.coalesce(~F.lower(flag).isin("false", "0", "0.0", "", "null", "[]", "{}"), F.lit(False))
+    return F.when(is_kind(body, "$.answer", "STRING"), F.struct(F.trim(get(body, "$.answer", "string")).alias("answer"), told.alias("claims"), insufficient.alias("insufficient")))
+
+
+def cite_check(answers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``answers`` (qid, answer, claims, has_sources, computed) checked: answer with a caveat, verified, unverified.
+
+    Answers without sources, or empty ones, have nothing to check. Claims are
+    checked against what they cite; an answer without claims as a whole against
+    the contents of all its evidence. ``computed`` is a number or null.
+    """
+    own = answers.filter(F.col("has_sources") & (F.coalesce("answer", F.lit("")) != ""))
+    claims = own.select("qid", "computed", F.posexplode("claims").alias("claim", "c")).select("qid", "claim", "computed", F.col("c.text").alias("text"), F.col("c.citations").alias("citations"))
+    cited = claims.select("qid", "claim", F.posexplode("citations").alias("cite", "x")).select("qid", "claim", "cite", "x.page", "x.block_id")
+    checked = verify.check(claims, cited, evidence, "computed")
+    by_claims = checked.groupBy("qid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("claim", "unverified"))), lambda x: x["unverified"])).alias("bad"))
+    prose = own.filter(F.coalesce(F.size("claims"), F.lit(0)) == 0).join(evidence.groupBy("qid").agg(F.array_join(F.collect_list("content"), " ").alias("shown")), "qid", "left")
+    by_text = prose.select("qid", verify.unsupported("answer", "shown", F.col("computed").cast("double")).alias("bad"))
+    found = answers.join(by_claims.union(by_text), "qid", "left").withColumn("unverified", F.array_distinct(F.coalesce("bad", F.array().cast("array<string>")))).drop("bad")
+    note = F.concat(F.lit(CAVEAT[0]), F.array_join("unverified", ", "), F.lit(CAVEAT[1]))
+    return found.withColumn("answer", F.when(F.size("unverified") > 0, F.concat("answer", note)).otherwise(F.col("answer"))).withColumn("verified", F.size("unverified") == 0)
+
+
+def synthesized(shown: DataFrame, router) -> DataFrame:
+    """(qid, reply) of ``shown`` (qid, original, context, note) by the model of the role answer; asked once more where a reply does not parse."""
+    strict = "\n\nReturn ONLY the JSON object — no prose, no fences."
+    body = F.concat(F.lit("Evidence:\n"), "context", F.coalesce("note", F.lit("")), F.lit("\n\nQuestion: "), "original")
+    first = shown.select("qid", body.alias("body")).withColumn("reply", router.column("answer", "body"))
+    again = F.when(parse_reply("reply").isNull(), F.concat("body", F.lit(strict)))
+    return first.withColumn("second", router.column("answer", again)).select("qid", F.coalesce("second", "reply").alias("reply"))
+
+
+def computed(questions: DataFrame, router=None) -> DataFrame:
+    """(qid, expr, result) of the questions (qid, task, original, context) that ask for arithmetic and whose model names an expression that has a value."""
+    own = questions.filter(F.col("task").isin("calc", "compare"))
+    if router is None or not router.available("fast"):
+        return own.select("qid", F.lit(None).cast("string").alias("expr"), F.lit(None).cast("double").alias("result")).limit(0)
+    asked = own.withColumn("reply", router.column("fast", F.concat(F.lit("Evidence:\n"), "context", F.lit("\n\nWrite one arithmetic expression for: "), "original")))
+    found = asked.withColumn("expr", extracted("reply")).filter("expr is not null").withColumn("v", evaluate("expr"))
+    return found.filter("v.error is null").select("qid", "expr", F.col("v.value").alias("result"))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that what follows works on one result."""
+    path = f"{shared_dir(df.sparkSession)}/proofloom/answer-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def answer(questions: DataFrame, passages: DataFrame | None = None, k: int = 6, strict: bool = True, retriever: Retriever | None = None, router=None, doc_ids: list | None = None) -> DataFrame:
+    """(qid, task, attempts, grade, answer, claims, sources, flags, computed, verified, unverified) of each question.
 
     Weak retrieval is tried again with the question's keywords; a third attempt
     would ask the same again, so it only counts. ``strict`` grades figures by
-    the passages rather than by their tags.
+    the passages rather than by their tags. Without a model for the role
+    ``answer`` of ``router`` (see providers), answers are extracts. Questions
+    without evidence abstain: no claims, no sources. Each attempt's evidence is
+    written once.
     """
+    retriever = retriever or LocalRetriever(passages)
     asked = questions.select("qid", F.col("question").alias("original"), "question", lane("question").alias("task"))
-    done, evidence = [], []
+    done, evidence, contexts = [], [], []
     for attempt in (1, 2):
-        found = retrieve(asked.select("qid", "question"), passages, k)
+        found = _kept(located(retriever.retrieve(asked.select("qid", "question"), k, doc_ids)))
         shown = asked.join(context(found), "qid", "left").join(found.groupBy("qid").agg(F.array_join(F.collect_list("content"), " ").alias("bodies")), "qid", "left")
-        graded = shown.withColumn("grade", grade("original", "context", "task", F.coalesce("bodies", F.lit("")) if strict else None))
-        good = graded.filter("grade = 'relevant'").select("qid", "task", F.lit(attempt).alias("attempts"), "grade")
-        done.append(good)
+        graded = _kept(shown.withColumn("grade", grade("original", "context", "task", F.coalesce("bodies", F.lit("")) if strict else None)))
+        good = graded.filter("grade = 'relevant' and context is not null")
+        done.append(good.select("qid", "task", F.lit(attempt).alias("attempts"), "grade"))
+        contexts.append(good.select("qid", "task", "original", "context"))
         evidence.append(found.join(good.select("qid"), "qid", "left_semi"))
-        weak = graded.filter("grade = 'weak'")
+        weak = graded.join(good.select("qid"), "qid", "left_anti")
         asked = weak.select("qid", "original", rewrite("original", "question").alias("question"), "task")
     done.append(asked.select("qid", "task", F.lit(MAX_ATTEMPTS), F.lit("weak")))
-    out = reduce(DataFrame.union, done).join(extracts(reduce(DataFrame.unionByName, evidence)), "qid", "left")
-    return out.withColumn("answer", F.coalesce("answer", F.lit(ABSTAIN)))
+    evidence, shown = reduce(DataFrame.unionByName, evidence), reduce(DataFrame.union, contexts)
+    numbers = computed(shown, router)
+    answers = extracts(evidence)
+    if router is not None and router.available("answer"):
+        answers = _by_model(shown, numbers, evidence, answers, router)
+    out = reduce(DataFrame.union, done).join(answers, "qid", "left").join(numbers.select("qid", F.col("result").alias("computed")), "qid", "left").join(sources(evidence), "qid", "left")
+    warned = flags(evidence).groupBy("qid").agg(F.sort_array(F.collect_set("flag")).alias("flags"))
+    out = out.withColumn("answer", F.coalesce("answer", F.lit(ABSTAIN))).withColumn("has_sources", F.col("sources").isNotNull() & ~F.col("answer").startswith(ABSTAIN))
+    return cite_check(out.join(warned, "qid", "left"), evidence).drop("has_sources")
+
+
+def located(found: DataFrame) -> DataFrame:
+    """Evidence with all columns that answers need; what passages do not have is null."""
+    kinds = {"page": "int", "block_id": "int", "section_id": "int", "doc_id": "long", "section_heading": "string", "heading": "string", "parent_text": "string", "type": "string"}
+    return found.select(*found.columns, *[F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c not in found.columns])
+
+
+def _by_model(shown: DataFrame, numbers: DataFrame, evidence: DataFrame, plain: DataFrame, router) -> DataFrame:
+    """(qid, answer, claims) by the model: cited claims validated and snapped; prose where a reply does not parse; extracts where no model answers."""
+    note = F.concat(F.lit("\nA verified exact calculation: "), "expr", F.lit(" = "), F.col("result").cast("string"))
+    told = _kept(synthesized(shown.join(numbers, "qid", "left").withColumn("note", note), router).withColumn("r", parse_reply("reply")))
+    claims = told.filter("not r.insufficient").select("qid", F.posexplode("r.claims").alias("claim", "c")).select("qid", "claim", F.col("c.text").alias("text"), "c.citations")
+    cited = claims.select("qid", "claim", "text", F.posexplode("citations").alias("cite", "x")).select("qid", "claim", "cite", F.col("x.page").cast("int").alias("page"), F.col("x.block_id").cast("int").alias("block_id"), "text")
+    snapped = verify.snap(verify.validate(cited, evidence), evidence).groupBy("qid", "claim").agg(F.transform(F.array_sort(F.collect_list(F.struct("cite", "page", "block_id"))), lambda x: F.struct(x["page"].alias("page"), x["block_id"].alias("block_id"))).alias("citations"))
+    none = F.array().cast("array<struct<page:int,block_id:int>>")
+    whole = claims.select("qid", "claim", "text").join(snapped, ["qid", "claim"], "left").groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("claim", "text", F.coalesce("citations", none).alias("citations")))), lambda x: F.struct(x["text"].alias("text"), x["citations"].alias("citations"))).alias("claims"))
+    text = F.when(F.col("r").isNull(), F.nullif(F.trim("reply"), F.lit(""))).when(F.col("r.insufficient"), ABSTAIN).otherwise(F.col("r.answer"))
+    told = told.filter("reply is not null").select("qid", F.coalesce(text, F.lit(ABSTAIN)).alias("answer")).join(whole, "qid", "left")
+    return told.unionByName(plain.join(told, "qid", "left_anti"))

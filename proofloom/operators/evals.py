@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 TOL = 1e-9
 MARGIN = 0.10
+#: The scores that may not fall at all.
 DETERMINISTIC = (
     "retrieval.", "trajectory.retrieved_before_answering", "trajectory.citations_attached",
     "trajectory.verification_rail_ran", "trajectory.retry_budget_respected", "trajectory.lane_routed_correctly",

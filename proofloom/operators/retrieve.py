@@ -1,14 +1,25 @@
 """Retrieval for sets of questions: inverted index, vectors, rank fusion, lexical reranking, exact look-up, merge.
 
 Questions and their terms are small next to the corpus, but nothing here assumes
-it: joins are on terms or ids, with skew left to adaptive execution, and payload
-is joined after the top is taken. Every order ends in an id, so that ties are
-decided alike everywhere; scores are rounded before they are ranked.
+it: joins are on terms or ids, and payload is joined after the top is taken. An
+:class:`Index` is written once; a search filters its postings by the asked terms
+before anything is aggregated, so that a term in every passage is joined as two
+plain tables, whose partitions adaptive execution can split. Every order ends in
+an id, so that ties are decided alike everywhere; scores are rounded before they
+are ranked.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+from collections.abc import Iterator
+from typing import Protocol, runtime_checkable
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  used as pa.compute
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FUSION, VALUE, exact_terms, intent, is_period, keywords, terms
@@ -43,6 +54,41 @@ def sparse_scores(questions: DataFrame, index: DataFrame, weights: DataFrame, ke
     return asked.join(index, "term").groupBy("qid", key).agg(F.round(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")), SCALE).alias("score"))
 
 
+class Index:
+    """Postings and term weights as tables in the shared folder: tokenised once, read by every search.
+
+    ``build`` writes (chunk_id, doc_id, term, tf) sorted by term within files,
+    so that a filter on terms skips row groups, and (term, df, idf).
+    """
+
+    def __init__(self, postings: DataFrame, weights: DataFrame):
+        self.postings, self.weights = postings, weights
+
+    @classmethod
+    def build(cls, passages: DataFrame, path: str, text: str = "text") -> Index:
+        spark, doc = passages.sparkSession, "doc_id" if "doc_id" in passages.columns else "chunk_id"
+        own = passages.select("chunk_id", F.col(doc).alias("doc_id"), F.explode(terms(text)).alias("term")).groupBy("chunk_id", "doc_id", "term").agg(F.count("*").alias("tf"))
+        own.sortWithinPartitions("term").write.parquet(f"{path}/postings")
+        found = spark.read.parquet(f"{path}/postings")
+        term_weights(found, F.lit(passages.count())).write.parquet(f"{path}/weights")
+        return cls.open(spark, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Index:
+        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/weights"))
+
+    def scoped(self, doc_ids: list | None) -> Index:
+        """The index of some documents. Weights stay those of the whole, as in a filtered search of one collection."""
+        return self if doc_ids is None else Index(self.postings.filter(F.col("doc_id").isin(list(doc_ids))), self.weights)
+
+
+def temporary_index(passages: DataFrame) -> Index:
+    """An index in the shared folder, under a new name."""
+    from ..streaming.ingest import shared_dir
+
+    return Index.build(passages, f"{shared_dir(passages.sparkSession)}/proofloom/index-{uuid.uuid4().hex[:12]}")
+
+
 def sparse_top(questions: DataFrame, index: DataFrame, weights: DataFrame, n: int = WINDOW, key: str = "chunk_id") -> DataFrame:
     return top(sparse_scores(questions, index, weights, key), n, key)
 
@@ -53,10 +99,70 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def _vectors(column: pa.Array) -> np.ndarray:
+    """Rows of equal length as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
+
+
+#: Queries that one task holds at a time, whatever the number of all.
+QUERY_BLOCK = 4096
+
+
 def dense_top(queries: DataFrame, vectors: DataFrame, n: int = WINDOW, key: str = "vec_id") -> DataFrame:
-    """Exact nearest vectors by cosine: (qid, key, score, rank). ``queries``: qid, query. A stated query set goes past all vectors."""
-    scored = vectors.join(queries, F.lit(True)).select("qid", key, F.round(cosine("query", "embedding"), SCALE).alias("score"))
-    return top(scored.filter(F.col("score").isNotNull()), n, key)
+    """Exact nearest vectors by cosine: (qid, key, score, rank). ``queries``: qid, query. A stated query set goes past all vectors.
+
+    Blocks of vectors are multiplied with blocks of queries as matrices, and
+    only the ``n`` best of each query in a task leave it. Null vectors, vectors
+    of another length and zero vectors match nothing. Empty tables: no rows.
+    """
+    schema = f"qid {dict(queries.dtypes)['qid']}, {key} {dict(vectors.dtypes)[key]}, score double"
+    own = vectors.select(key, "embedding").filter("embedding is not null")
+    asked = queries.select("qid", "query").filter("query is not null")
+    blocks = asked.count() // QUERY_BLOCK + 1
+    arms = []
+    for k in range(blocks):  # the stated query set, in blocks
+        part = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k) if blocks > 1 else asked
+        rows = part.toArrow()
+        if not len(rows):
+            continue
+        length = max(map(len, rows.column("query").to_pylist()))
+        rows = rows.filter(pa.array([len(q) == length for q in rows.column("query").to_pylist()]))
+        matrix = _vectors(rows.column("query").combine_chunks())
+        norms = np.sqrt((matrix * matrix).sum(1))
+        rows, matrix = rows.filter(pa.array(norms > 0)), matrix[norms > 0] / norms[norms > 0, None]
+        ids = rows.column("qid").combine_chunks()
+
+        def run(batches: Iterator[pa.RecordBatch], matrix=matrix, ids=ids, length=length) -> Iterator[pa.RecordBatch]:
+            best, of = np.zeros((len(matrix), 0)), np.zeros((len(matrix), 0), np.int64)
+            held = None
+            for b in batches:
+                b = b.filter(pa.array([x == length for x in pa.compute.list_value_length(b.column(1)).to_pylist()]))
+                v = _vectors(b.column(1)) if len(b) else np.zeros((0, length))
+                size = np.sqrt((v * v).sum(1))
+                b, v = b.filter(pa.array(size > 0)), v[size > 0] / size[size > 0, None]
+                if not len(b) or not len(matrix):
+                    continue
+                held = b.column(0) if held is None else pa.concat_arrays([held, b.column(0)])
+                score = np.concatenate([best, np.round(matrix @ v.T, SCALE)], axis=1)
+                at = np.concatenate([of, np.broadcast_to(np.arange(len(held) - len(b), len(held)), (len(matrix), len(b)))], axis=1)
+                # by score, then by key: keys are ranked as they compare
+                rank = np.argsort(np.argsort(np.asarray(held.to_pylist(), dtype=object), kind="stable"), kind="stable")
+                order = np.lexsort((rank[at], -score), axis=1)[:, :n]
+                best, of = np.take_along_axis(score, order, 1), np.take_along_axis(at, order, 1)
+                used, back = np.unique(of, return_inverse=True)  # forget the vectors that no query keeps
+                held, of = held.take(pa.array(used)), back.reshape(of.shape)
+            if held is not None:
+                q = np.repeat(np.arange(len(matrix)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), held.take(pa.array(of.ravel())), pa.array(best.ravel())], ["qid", key, "score"])
+
+        arms.append(own.mapInArrow(run, schema))
+    if not arms:
+        return top(queries.sparkSession.createDataFrame([], schema), n, key)
+    out = arms[0]
+    for x in arms[1:]:
+        out = out.union(x)
+    return top(out, n, key)
 
 
 def fuse(questions: DataFrame, sparse: DataFrame, dense: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -102,19 +208,85 @@ def merge(exact: DataFrame, ranked: DataFrame, k: int = 6) -> DataFrame:
     return both.filter(F.col("pos") < F.greatest(F.lit(k), "n_exact")).select("qid", "chunk_id", "score", "exact", "pos")
 
 
-def retrieve(questions: DataFrame, passages: DataFrame, k: int = 6, window: int = WINDOW, dense: DataFrame | None = None) -> DataFrame:
+def model_rerank(questions: DataFrame, candidates: DataFrame, score=None) -> DataFrame:
+    """Candidates with the score that a model gives each (question, content); those it fails on, or all without one, by :func:`rerank`.
+
+    ``score``: a function of two lists of texts to a list of numbers. It is
+    called once for a batch; a batch in which it raises keeps lexical scores.
+    """
+    lexical = rerank(questions, candidates)
+    if score is None:
+        return lexical
+
+    @F.pandas_udf("double")
+    def run(q: pd.Series, c: pd.Series) -> pd.Series:
+        try:
+            return pd.Series([float(x) for x in score(q.tolist(), c.tolist())])
+        except Exception:  # a model that can't be asked is no reason to fail
+            return pd.Series([None] * len(q), dtype="float64")
+
+    judged = lexical.join(questions.select("qid", "question"), "qid").withColumn("_m", run("question", F.coalesce("content", F.lit(""))))
+    return judged.withColumn("score", F.coalesce(F.round("_m", SCALE), "score")).drop("_m", "question")
+
+
+def retrieve(questions: DataFrame, passages: DataFrame, k: int = 6, window: int = WINDOW, dense: DataFrame | None = None, doc_ids: list | None = None, index: Index | None = None, score=None) -> DataFrame:
     """Evidence of each question: the passages' columns with score, exact and pos.
 
     ``questions``: qid, question. ``passages``: chunk_id, type, heading,
     content, text and more. ``dense``: (qid, chunk_id, score, rank), if there is
-    an embedder. Payload is joined after each cut.
+    an embedder. ``doc_ids``: only passages of these documents. ``index``: one
+    built before over the passages. Payload is joined after each cut.
     """
     n = max(window, k)
-    index = postings(passages)
-    weights = term_weights(index, F.lit(passages.count()))
-    sparse = sparse_top(questions, index, weights, n)
+    index = (index or temporary_index(passages)).scoped(doc_ids)
+    if doc_ids is not None:
+        passages = passages.filter(F.col("doc_id").isin(list(doc_ids)))
+        dense = dense.join(passages.select("chunk_id"), "chunk_id", "left_semi") if dense is not None else None
+    sparse = sparse_top(questions, index.postings, index.weights, n)
     fused = top(fuse(questions, sparse, dense), n, "chunk_id") if dense is not None else sparse
     payload = passages.select("chunk_id", "type", "heading", "content")
-    ranked = top(rerank(questions, fused.select("qid", "chunk_id", "score").join(payload, "chunk_id")).select("qid", "chunk_id", "score"), k, "chunk_id")
-    merged = merge(exact_hits(questions, index, weights, passages), ranked, k)
+    ranked = top(model_rerank(questions, fused.select("qid", "chunk_id", "score").join(payload, "chunk_id"), score).select("qid", "chunk_id", "score"), k, "chunk_id")
+    merged = merge(exact_hits(questions, index.postings, index.weights, passages), ranked, k)
     return merged.join(passages, "chunk_id")
+
+
+@runtime_checkable
+class Retriever(Protocol):
+    """What answers questions with evidence: local tables, or a service behind the same call."""
+
+    def retrieve(self, questions: DataFrame, k: int = 6, doc_ids: list | None = None) -> DataFrame: ...
+
+
+class LocalRetriever:
+    """Over passages and their index, with vectors where an embedder (``dim``, ``embed_docs``, ``embed_query``) has made them."""
+
+    def __init__(self, passages: DataFrame, index: Index | None = None, embedder=None, score=None):
+        self.passages, self.index, self.embedder, self.score = passages, index or temporary_index(passages), embedder, score
+
+    def _dense(self, questions: DataFrame, n: int) -> DataFrame | None:
+        if self.embedder is None or "vector" not in self.passages.columns:
+            return None
+        try:
+            rows = [(r.qid, [float(x) for x in self.embedder.embed_query(r.question)]) for r in questions.select("qid", "question").collect()]  # the stated questions
+        except Exception:  # an embedder that fails leaves the search by terms
+            return None
+        queries = questions.sparkSession.createDataFrame(rows, f"qid {dict(questions.dtypes)['qid']}, query array<double>")
+        return dense_top(queries, self.passages.select("chunk_id", F.col("vector").alias("embedding")), n, "chunk_id")
+
+    def retrieve(self, questions: DataFrame, k: int = 6, doc_ids: list | None = None) -> DataFrame:
+        return retrieve(questions, self.passages, k, dense=self._dense(questions, max(WINDOW, k)), doc_ids=doc_ids, index=self.index, score=self.score)
+
+
+def make_retriever(passages: DataFrame, remote: Retriever | None = None, **local) -> Retriever:
+    """The remote retriever if there is one, else a local one."""
+    return remote if remote is not None else LocalRetriever(passages, **local)
+
+
+def search_document(retriever: Retriever, query: str, doc_id=None, k: int = 6) -> list[dict]:
+    """The tool: the evidence of one query as plain rows; an error is a row as well."""
+    try:
+        spark = SparkSession.active()
+        found = retriever.retrieve(spark.createDataFrame([(0, query)], "qid long, question string"), k, None if doc_id is None else [doc_id])
+        return [r.asDict(recursive=True) for r in found.drop("qid", "text").orderBy("pos").collect()]  # k, or three exact hits
+    except Exception as e:  # the caller is a model, which can read the message
+        return [{"error": f"{type(e).__name__}: {e}"[:300]}]
