@@ -47,36 +47,38 @@ OPENINGS = (
 )
 
 
-def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question for each turn of a conversation: one of the openings and the start of the turn."""
+def asked(spark: SparkSession, sf_dir: str, alone: int = 0) -> DataFrame:
+    """A question for each turn of a conversation: one of the openings and the whole turn; the opening alone in one of ``alone`` conversations."""
     c = t(spark, sf_dir, "conversations")
     i = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(OPENINGS))).cast("int")
-    start = F.when(i == 8, F.lit("")).when(F.pmod(F.col("conv_id"), F.lit(3)) == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.left("text", F.lit(80))))
+    start = F.when(i == 8, F.lit("")).when((F.pmod(F.col("conv_id"), F.lit(alone)) == 0) if alone else F.lit(False), F.lit("")).otherwise(F.concat(F.lit(" "), F.coalesce("text", F.lit(""))))
     return c.select("conv_id", "turn", F.concat(F.element_at(F.array(*[F.lit(o) for o in OPENINGS]), i + 1), start).alias("question"))
 
 
 ASKED = (
     "asked AS (SELECT conv_id, turn, ([" + ", ".join("'" + o + "'" for o in OPENINGS) + "])[((conv_id + turn) % 11)::INT + 1] || "
-    "CASE WHEN (conv_id + turn) % 11 = 8 THEN '' WHEN conv_id % 3 = 0 THEN '' ELSE ' ' || left(text, 80) END AS question FROM conversations)"
+    "CASE WHEN (conv_id + turn) % 11 = 8 THEN '' ELSE ' ' || coalesce(text, '') END AS question FROM conversations)"
 )
+ASKED_SHORT = ASKED.replace("WHEN (conv_id + turn) % 11 = 8", "WHEN (conv_id + turn) % 11 = 8 OR conv_id % 3 = 0")
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence for each customer: a block for each order, on the page of its month."""
     o = t(spark, sf_dir, "orders")
     pos = F.expr("row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1")
-    amount = F.floor("o_totalprice").cast("string")
+    amount, k = F.floor("o_totalprice").cast("string"), F.col("o_orderkey") % 5
+    unit = F.when(k == 0, " percent").when(k == 1, " per diluted share").when(k == 2, "").otherwise(" million")
     return o.select(
         F.col("o_custkey").alias("qid"), pos.alias("pos"), F.month("o_orderdate").alias("page"), F.pmod("o_orderkey", F.lit(7)).cast("int").alias("block_id"),
         F.pmod("o_orderkey", F.lit(3)).cast("int").alias("section_id"), F.pmod("o_orderkey", F.lit(2)).alias("doc_id"),
-        F.concat(F.lit("The total was "), amount, F.lit(" million in "), F.year("o_orderdate")).alias("content"), F.concat(F.lit("Priority "), "o_orderpriority").alias("parent_text"),
+        F.concat(F.lit("The total was "), amount, unit, F.lit(" in "), F.year("o_orderdate")).alias("content"), F.concat(F.lit("Priority "), "o_orderpriority").alias("parent_text"),
         F.lit("Orders").alias("section_heading"), F.col("o_orderpriority").alias("heading"),
     )
 
 
 EVIDENCE = """evidence AS (SELECT o_custkey AS qid, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos, month(o_orderdate)::INT AS page,
   (o_orderkey % 7)::INT AS block_id, (o_orderkey % 3)::INT AS section_id, o_orderkey % 2 AS doc_id,
-  'The total was ' || floor(o_totalprice)::BIGINT || ' million in ' || year(o_orderdate) AS content, 'Priority ' || o_orderpriority AS parent_text,
+  'The total was ' || floor(o_totalprice)::BIGINT || CASE o_orderkey % 5 WHEN 0 THEN ' percent' WHEN 1 THEN ' per diluted share' WHEN 2 THEN '' ELSE ' million' END || ' in ' || year(o_orderdate) AS content, 'Priority ' || o_orderpriority AS parent_text,
   'Orders' AS section_heading, o_orderpriority AS heading FROM orders)"""
 
 

@@ -81,9 +81,11 @@ def push_target(message: DataFrame) -> DataFrame:
 
 
 def longest_prefix(cases: DataFrame, stems: DataFrame) -> DataFrame:
-    """``cases`` (qid) with the longest file stem that, with an underscore, begins the id. Stems are a file listing: broadcast by size."""
-    a, b = cases.alias("a"), stems.alias("b")
-    found = a.join(b, F.col("a.qid").startswith(F.concat(F.col("b.stem"), F.lit("_")))).groupBy("a.qid").agg(F.max_by("b.stem", F.length("b.stem")).alias("stem"))
+    """``cases`` (qid) with the longest file stem that, with an underscore, begins the id: what stands before each of its underscores is looked up."""
+    pieces = F.split("qid", "_")
+    before = F.transform(F.sequence(F.lit(1), F.size(pieces) - 1), lambda n: F.array_join(F.slice(pieces, F.lit(1), n), "_"))
+    tried = cases.select("qid").distinct().filter(F.contains("qid", F.lit("_"))).select("qid", F.explode(before).alias("stem"))
+    found = tried.join(stems.select("stem").distinct(), "stem").groupBy("qid").agg(F.max_by("stem", F.length("stem")).alias("stem"))
     return cases.join(found, "qid", "left")
 
 
