@@ -56,6 +56,11 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(F.col(c) if isinstance(c, str) else c, r"^[\s\x0B\x1C-\x1F]+|[\s\x0B\x1C-\x1F]+$", "")
 
 
+def once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it (also within lambdas, which work out what they name for each element)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def terms(c: Column | str) -> Column:
     """Lower-case runs of letters, digits, ``$``, ``%`` and ``.``, repeats included."""
     return F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(1))

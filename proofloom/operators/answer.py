@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import injections, intent, keywords, strip, wants_math
+from ..functions.text import injections, intent, keywords, once, strip, wants_math
 from ..streaming.ingest import shared_dir
 from . import verify
 from .calculator import evaluate, extracted
@@ -70,7 +70,7 @@ def grade(question: Column | str, text: Column | str, task: Column | str, bodies
     """``relevant`` or ``weak``. For figures, whether ``bodies`` has a digit (default: the context with its tags, which always do)."""
     text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
     wanted = F.array_distinct(keywords(question, 2))
-    hits = F.size(F.filter(wanted, lambda t: F.contains(F.lower(text), t)))
+    hits = once(F.lower(text), lambda body: F.size(F.filter(wanted, lambda t: F.contains(body, t))))
     qa = F.when(text == "", "weak").when(F.size(wanted) == 0, "relevant").when(hits >= 0.5 * F.size(wanted), "relevant").otherwise("weak")
     calc = F.when((bodies if bodies is not None else text).rlike("[0-9]"), "relevant").otherwise("weak")
     return F.when(F.col(task).isin("calc", "compare") if isinstance(task, str) else task.isin("calc", "compare"), calc).otherwise(qa)

@@ -22,7 +22,7 @@ import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import FUSION, VALUE, exact_terms, intent, is_period, keywords, terms
+from ..functions.text import FUSION, VALUE, exact_terms, intent, is_period, keywords, once, terms
 
 SCALE = 6
 WINDOW = 30
@@ -82,11 +82,22 @@ class Index:
         return self if doc_ids is None else Index(self.postings.filter(F.col("doc_id").isin(list(doc_ids))), self.weights)
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    from ..streaming.ingest import shared_dir
+
+    return f"{shared_dir(spark)}/proofloom/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def temporary_index(passages: DataFrame) -> Index:
     """An index in the shared folder, under a new name."""
-    from ..streaming.ingest import shared_dir
+    return Index.build(passages, _scratch(passages.sparkSession, "index"))
+
 
-    return Index.build(passages, f"{shared_dir(passages.sparkSession)}/proofloom/index-{uuid.uuid4().hex[:12]}")
+def _kept(df: DataFrame) -> DataFrame:
+    """A small table that is used more than once, written and read back."""
+    path = _scratch(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sparse_top(questions: DataFrame, index: DataFrame, weights: DataFrame, n: int = WINDOW, key: str = "chunk_id") -> DataFrame:
@@ -176,15 +187,29 @@ def fuse(questions: DataFrame, sparse: DataFrame, dense: DataFrame, key: str = "
     return both.groupBy("qid", key).agg(F.round(F.when(F.max("has_dense") == 1, F.sum("part")).otherwise(F.max("score")), SCALE).alias("score"))
 
 
+def payload(passages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(chunk_id, type, heading, content, _text, _terms_of) of the passages that ``wanted`` names: each is tokenised once, however many questions it may answer.
+
+    Written, because generated code would put off the terms until after a join, and then work them out for each of its rows.
+    """
+    own = passages.join(wanted.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "type", "heading", "content").repartition("chunk_id")
+    own = own.withColumn("_text", F.lower(F.coalesce("content", F.lit(""))))
+    return _kept(own.withColumn("_terms_of", F.array_distinct(terms("_text"))))
+
+
 def rerank(questions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates (qid, chunk_id, type, heading, content, score) with a lexical score: shared terms, values, heading and table."""
+    """Candidates (qid, chunk_id, type, heading, content, score) with a lexical score: shared terms, values, heading and table.
+
+    With the columns of :func:`payload` texts are not tokenised again.
+    """
     q = questions.select("qid", F.array_distinct(keywords("question", 2)).alias("_terms"), F.array_distinct(F.regexp_extract_all("question", F.lit(VALUE), F.lit(0))).alias("_values"))
-    text = F.lower(F.coalesce("content", F.lit("")))
-    shared = F.size(F.array_intersect("_terms", terms(text)))
-    values = F.size(F.filter("_values", lambda v: F.contains(text, v)))
-    in_heading = F.exists("_terms", lambda t: F.contains(F.lower(F.coalesce("heading", F.lit(""))), t))
+    if "_terms_of" not in candidates.columns:
+        candidates = candidates.withColumn("_text", F.lower(F.coalesce("content", F.lit("")))).withColumn("_terms_of", terms("_text"))
+    shared = F.size(F.array_intersect("_terms", "_terms_of"))
+    values = F.size(F.filter("_values", lambda v: F.contains("_text", v)))
+    in_heading = once(F.lower(F.coalesce("heading", F.lit(""))), lambda h: F.exists("_terms", lambda t: F.contains(h, t)))
     score = F.col("score") + 0.4 * shared + 1.2 * values + F.when(in_heading, 0.6).otherwise(0.0) + F.when((F.size("_values") > 0) & (F.col("type") == "table"), 0.4).otherwise(0.0)
-    return candidates.join(q, "qid").withColumn("score", F.round(score, SCALE)).drop("_terms", "_values")
+    return candidates.join(q, "qid").withColumn("score", F.round(score, SCALE)).drop("_terms", "_values", "_text", "_terms_of")
 
 
 def exact_hits(questions: DataFrame, index: DataFrame, weights: DataFrame, passages: DataFrame, pool: int = 12, limit: int = 3) -> DataFrame:
@@ -192,8 +217,8 @@ def exact_hits(questions: DataFrame, index: DataFrame, weights: DataFrame, passa
     asked = questions.select("qid", exact_terms("question").alias("et")).filter(F.size("et") > 0)
     near = sparse_top(asked.select("qid", F.array_join("et", " ").alias("question")), index, weights, pool)
     found = near.select("qid", "chunk_id", F.col("rank").alias("pool_rank")).join(asked, "qid").join(passages.select("chunk_id", "type", "content"), "chunk_id")
-    text = F.lower(F.coalesce("content", F.lit("")))
-    found = found.withColumn("hits", F.size(F.filter("et", lambda t: F.contains(text, F.lower(t))))).withColumn("values", F.size(F.filter("et", lambda t: ~is_period(t) & F.contains(text, F.lower(t)))))
+    held = once(F.lower(F.coalesce("content", F.lit(""))), lambda text: F.filter("et", lambda t: F.contains(text, F.lower(t))))
+    found = found.withColumn("held", held).withColumn("hits", F.size("held")).withColumn("values", F.size(F.filter("held", lambda t: ~is_period(t))))
     found = found.filter("values >= 1 or hits >= 2")
     order = Window.partitionBy("qid").orderBy(F.desc("hits"), F.desc(F.col("type") == "table"), "pool_rank")
     return found.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < limit).select("qid", "chunk_id", F.col("hits").cast("double").alias("score"), "rank")
@@ -244,8 +269,8 @@ def retrieve(questions: DataFrame, passages: DataFrame, k: int = 6, window: int
         dense = dense.join(passages.select("chunk_id"), "chunk_id", "left_semi") if dense is not None else None
     sparse = sparse_top(questions, index.postings, index.weights, n)
     fused = top(fuse(questions, sparse, dense), n, "chunk_id") if dense is not None else sparse
-    payload = passages.select("chunk_id", "type", "heading", "content")
-    ranked = top(model_rerank(questions, fused.select("qid", "chunk_id", "score").join(payload, "chunk_id"), score).select("qid", "chunk_id", "score"), k, "chunk_id")
+    fused = _kept(fused.select("qid", "chunk_id", "score"))
+    ranked = top(model_rerank(questions, fused.select("qid", "chunk_id", "score").join(payload(passages, fused), "chunk_id"), score).select("qid", "chunk_id", "score"), k, "chunk_id")
     merged = merge(exact_hits(questions, index.postings, index.weights, passages), ranked, k)
     return merged.join(passages, "chunk_id")
 

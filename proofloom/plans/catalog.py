@@ -143,8 +143,8 @@ rr AS (SELECT qid, chunk_id, round(score + 0.4 * len(list_intersect(qt, regexp_e
 @query(f"WITH {_SPARSE}, {PASSAGES}, {_RERANK} SELECT * FROM rr")
 def lexical_rerank(spark, sf_dir):
     q = questions(spark, sf_dir)
-    cands = _search(q, _written(spark, sf_dir)).select("qid", "chunk_id", "score").join(passages(spark, sf_dir), "chunk_id")
-    return retrieve.rerank(q, cands).select("qid", "chunk_id", "score")
+    found = retrieve._kept(_search(q, _written(spark, sf_dir)).select("qid", "chunk_id", "score"))
+    return retrieve.rerank(q, found.join(retrieve.payload(passages(spark, sf_dir), found), "chunk_id")).select("qid", "chunk_id", "score")
 
 
 _EXACT = f"""et AS (SELECT qid, question, list_sort(list_distinct(regexp_extract_all(question, '[0-9][0-9.,]{{2,}}'))) AS ts FROM questions),
