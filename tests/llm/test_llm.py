@@ -433,7 +433,7 @@ def test_rollups(spark):
         state.pop((None, v))
     assert totals() == want()
     # a batch that broke off before its commit leaves rows that nobody reads, and is written anew
-    frame([(5, "q", "q", "q", 5)]).withColumn("n_docs", F.lit(1).cast("long")).write.parquet(f"{store.path}/rows/three")
+    frame([(5, "q", "q", "q", 5)]).withColumn("n_docs", F.lit(1).cast("long")).write.parquet(f"{store.path}/rows/batch=three")
     assert totals() == want()
     assert store.apply("three", deletes=spark.createDataFrame([(2, "a")], "doc_id long, version string")) and not store.apply("two", inserts=frame(facts))
     state.pop((2, "a"))
@@ -441,6 +441,48 @@ def test_rollups(spark):
     assert store.apply("four", inserts=frame([])) and totals() == want()
 
 
+def test_rollups_read_the_buckets_of_a_batch_alone(spark, monkeypatch):
+    monkeypatch.setattr(rollups, "FACTS", 8)
+    store = rollups.Rollup(spark, scratch(spark, "rollup"))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, source string, lang string, version string, n_tokens long")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "doc_id long")
+    store.apply("b1", inserts=frame([(i, "s", "en", "a", i or 0) for i in [*range(200), None]]))
+    store.apply("b2", revisions=frame([(i, "t", "en", "a", 1) for i in range(0, 200, 10)]))
+    folders = lambda df: {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+    assert len(folders(store._facts())) == 32 and store._live() == {"b1": 32, "b2": 8}
+    one = store._facts(ids(7))
+    scans = [x for x in one._jdf.queryExecution().executedPlan().toString().split("\n") if "PartitionFilters" in x and "bucket" in x]
+    assert len(scans) == 2 and [(r.doc_id, r.n_tokens) for r in one.collect()] == [(7, 7)]
+    assert [(r.doc_id, r.source) for r in store.standing(ids(None, 20)).orderBy("doc_id").collect()] == [(None, "s"), (20, "t")]
+    # what a batch both deletes and revises goes once
+    store.apply("b3", deletes=ids(20, 21, None), revisions=frame([(20, "u", "en", "a", 5)]))
+    want = {("s", 179, sum(i for i in range(200) if i % 10 and i != 21)), ("t", 19, 19), ("u", 1, 5)}
+    got = lambda: {(r.source, r.n_docs, r.n_tokens) for r in store.totals().collect()}
+    stands = sorted(map(str, store.standing().collect()))
+    assert got() == want and len(stands) == 199
+    # folded batches stay known
+    assert store.compact("all") and not store.compact("all") and not store.apply("b1", inserts=frame([(1, "s", "en", "a", 1)]))
+    assert list(store._live()) == ["all"] and got() == want and sorted(map(str, store.standing().collect())) == stands
+    store.apply("b4", deletes=ids(20, 30))
+    assert got() == (want - {("t", 19, 19), ("u", 1, 5)}) | {("t", 18, 18)}
+
+
+def test_rollups_of_real_tokenizers(spark, data):
+    from tokenizers import Tokenizer
+
+    rows = sample_texts(data, 60) + [(None if i is None else 1000 + i, t) for i, t in AWKWARD]
+    files = {"bpe-50k": tokenizer_file()}
+    out = rollups.encoded(docs_frame(spark, rows), files)
+    whole = Tokenizer.from_file(files["bpe-50k"])
+    want = Counter((d, "s", "en", "bpe-50k", len(whole.encode(t or "", add_special_tokens=False).ids)) for d, t in rows)
+    assert Counter(map(tuple, out.collect())) == want
+    store = rollups.Rollup(spark, scratch(spark, "rollup"))
+    store.apply("all", inserts=out)
+    assert [tuple(r) for r in store.totals().collect()] == [("s", "en", "bpe-50k", len(rows), sum(k[4] * n for k, n in want.items()))]
+    assert rollups.encoded(docs_frame(spark, []), files).count() == 0
+    assert {(r.doc_id, r.version): r.n_tokens for r in rollups.counted(docs_frame(spark, AWKWARD)).collect()}[7, "words-1"] == 30000
+
+
 def test_registered_queries(spark, data):
     """Those with SQL against it, the others run."""
     import os
