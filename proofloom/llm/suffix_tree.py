@@ -2,10 +2,10 @@
 
 A text is its words, A-Z lowered, each with one space after it, and a newline,
 which is the end token; no word holds either byte, so texts and byte sequences
-match one to one. A state is a context of up to ``DEPTH`` bytes. It is retained
-if its next-byte distribution diverges from its parent's (the longest proper
-suffix) by ``min_gain`` nats over all its occurrences, or if a longer retained
-context needs it. Each retained state's distribution is smoothed towards its
+match one to one. A state is a context of up to ``DEPTH`` bytes. Those of up to
+two bytes are retained as they are; a longer one is if its next-byte distribution
+diverges from its parent's (the longest proper suffix) by ``min_gain`` nats over
+all its occurrences, or if a longer retained context needs it. Each retained state's distribution is smoothed towards its
 parent's by the number of distinct next bytes it has seen; a byte is scored by
 the longest retained suffix of what stands before it. So the tree spells the
 next token with a probability, whether training had the token or not, and a
@@ -14,9 +14,11 @@ than the tree where training is short: P(t) = OWN * c(t) / N + (1 - OWN) * tree(
 
 Work is by blocks of documents, as a task reads them. A block asks for each of its
 distinct words and (DEPTH+1)-byte grams once, the counts are summed over all
-blocks, contexts are split over tasks by their last two bytes, and the answers
-return to the block by joins. No vocabulary, gram table or model is broadcast or
-collected but the counts of single bytes after single bytes, 65,536 at most.
+blocks, contexts are split over tasks by their last two bytes, or three where
+one pair has over 1/``PAIRS`` of all grams, and the answers return to the block
+by joins. No vocabulary, gram table or model is broadcast or collected but the
+counts of single bytes after single bytes, 65,536 at most, and of those after
+the split pairs, fewer than 256 * ``PAIRS``.
 """
 
 from __future__ import annotations
@@ -37,6 +39,7 @@ DEPTH = 5
 END = b"\n"
 BLOCK = 16 << 20
 OWN = 0.2
+PAIRS = 256
 LN10 = float(np.log(10))
 CHUNK = 2 << 20  # bytes whose grams are in memory at once
 
@@ -185,8 +188,13 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.array(u[at : at + n].astype(np.int64)), pa.array(c[at : at + n])], schema=schema)
 
 
-def _levels(grams: np.ndarray, c: np.ndarray, pairs: np.ndarray, min_gain: float) -> np.ndarray:
-    """log10 P of the last byte of each gram. ``grams`` hold all grams of their two-byte contexts; pairs: 256 x 256 counts over the corpus."""
+def _levels(grams: np.ndarray, c: np.ndarray, pairs: np.ndarray, min_gain: float, hot: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """log10 P of the last byte of each gram.
+
+    pairs: 256 x 256 counts over the corpus. ``grams`` hold all grams of their
+    two-byte contexts, or for the contexts in ``hot``, which have the counts of
+    the 256 next bytes over the corpus, all of their three-byte contexts.
+    """
     single = pairs.sum(0)
     p0 = (single + 1) / (single.sum() + 256)
     total, kinds = pairs.sum(1, keepdims=True), (pairs > 0).sum(1, keepdims=True)
@@ -205,7 +213,14 @@ def _levels(grams: np.ndarray, c: np.ndarray, pairs: np.ndarray, min_gain: float
         ctx, ctx_of[k] = np.unique(keys[k] >> 8, return_inverse=True)
         n_of[k] = np.bincount(ctx_of[k], weights=counts[k], minlength=len(ctx))
         t_of[k] = np.bincount(ctx_of[k], weights=counts[k] > 0, minlength=len(ctx))
-        if k > 2:
+        if k == 2:
+            for pair, nexts in (hot or {}).items():
+                at = np.searchsorted(ctx, pair)
+                if at < len(ctx) and ctx[at] == pair:
+                    own = ctx_of[2] == at
+                    counts[2][own] = nexts[keys[2][own] & 255]
+                    n_of[2][at], t_of[2][at] = nexts.sum(), (nexts > 0).sum()
+        else:
             ctx_up[k] = np.zeros(len(ctx), np.int64)
             ctx_up[k][ctx_of[k]] = ctx_of[k - 1][up[k]]
     # the divergence test is against the parent with all shorter contexts in place
@@ -215,7 +230,7 @@ def _levels(grams: np.ndarray, c: np.ndarray, pairs: np.ndarray, min_gain: float
         ml = np.divide(counts[k], n, out=np.zeros_like(counts[k]), where=n > 0)
         mix[k] = np.where(n > 0, (counts[k] + t * parent[k]) / np.where(n > 0, n + t, 1), parent[k])
         gain = np.bincount(ctx_of[k], weights=np.where(counts[k] > 0, counts[k] * np.log(np.where(ml > 0, ml, 1) / parent[k]), 0), minlength=len(n_of[k]))
-        need[k] = gain >= min_gain
+        need[k] = (gain >= min_gain) | ((k == 2) & (n_of[k] > 0))
         if k < DEPTH:
             parent[k + 1] = mix[k][up[k + 1]]
     for k in range(DEPTH, 2, -1):  # a retained context keeps its suffixes
@@ -230,7 +245,7 @@ def _levels(grams: np.ndarray, c: np.ndarray, pairs: np.ndarray, min_gain: float
     return np.log10(cur)
 
 
-def _answer(pairs: np.ndarray, min_gain: float):
+def _answer(pairs: np.ndarray, min_gain: float, hot: dict[int, np.ndarray]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
         if not rows:
@@ -238,7 +253,7 @@ def _answer(pairs: np.ndarray, min_gain: float):
         g, c = (np.concatenate(x) for x in zip(*rows))
         order = np.argsort(g)
         g, c = g[order], c[order]
-        p = _levels(g, c, pairs, min_gain)
+        p = _levels(g, c, pairs, min_gain, hot)
         for at in range(0, len(g), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(g[at : at + (1 << 16)]), pa.array(p[at : at + (1 << 16)])], ["gram", "x"])
 
@@ -338,6 +353,12 @@ def _scored(n_train: int, v: int, ends: int):
     return run
 
 
+def _hot(after: DataFrame) -> DataFrame:
+    """The two-byte contexts with over 1/PAIRS of all grams."""
+    each = after.groupBy(F.shiftright("three", 8).alias("pair")).agg(F.sum("n").alias("n"))
+    return each.join(F.broadcast(after.agg(F.sum("n").alias("of"))), F.col("n") * PAIRS > F.col("of")).select("pair")
+
+
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_gain: float = 4.0) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -357,12 +378,18 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_gain
     counted = saved(counted, "words")
     n_words, v_words = counted.filter("once").agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     totals = saved(g.groupBy("gram").agg(F.sum("c").alias("c")), "grams")
+    after = saved(totals.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFFFF)).alias("three")).agg(F.sum("c").alias("c"), F.count("*").alias("n")), "after")  # what follows each pair
     pairs = np.zeros((256, 256))
-    for pair, c in totals.groupBy(F.col("gram").bitwiseAND(F.lit(65535)).alias("pair")).agg(F.sum("c")).collect():  # 65,536 rows at most
+    for pair, c in after.groupBy(F.col("three").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("c")).collect():  # 65,536 rows at most
         pairs[pair >> 8, pair & 255] = c
+    hot = {r[0]: np.zeros(256) for r in _hot(after).collect()}
+    for three, c in after.filter(F.shiftright("three", 8).isin(list(hot))).select("three", "c").collect():
+        hot[three >> 8][three & 255] = c
     ends = int(pairs[:, 10].sum())  # one end for each training document
     n_train, v = (n_words or 0) + ends, (v_words or 0) + (ends > 0)
-    model = totals.repartition(parts(docs), F.shiftright("gram", 8).bitwiseAND(F.lit(65535))).mapInArrow(_answer(pairs, min_gain), "gram long, x double")
+    pair, three = (F.shiftright("gram", 8).bitwiseAND(F.lit(m)) for m in (0xFFFF, 0xFFFFFF))
+    dealt = F.when(pair.isin(list(hot)), three).otherwise(-1 - pair)
+    model = totals.repartition(parts(docs), dealt).mapInArrow(_answer(pairs, min_gain, hot), "gram long, x double")
     bundle = "block long, kind int, n long, blob binary"
     told = counted.select("block", "i", F.col("c").cast("double").alias("x")).mapInArrow(_bundled(0), bundle)
     told = told.union(g.select("block", "gram").join(model, "gram").select("block", "gram", "x").mapInArrow(_bundled(1), bundle))

@@ -305,7 +305,7 @@ def slow_tree(rows, depth, min_gain):
         if not ctx:
             return (count.get(b"", {}).get(y, 0) + 1) / (total.get(b"", 0) + 256)
         p = mixed(ctx[1:], y, keep)
-        if ctx not in count or (keep is not None and len(ctx) > 1 and ctx not in keep):
+        if ctx not in count or (keep is not None and len(ctx) > 2 and ctx not in keep):
             return p
         x = count[ctx]
         return (x.get(y, 0) + len(x) * p) / (total[ctx] + len(x))
@@ -332,7 +332,10 @@ def slow_tree(rows, depth, min_gain):
     return out
 
 
-def test_tree_scores_against_dictionaries(spark, data):
+@pytest.mark.parametrize("pairs", [1, 256, 1 << 20])
+def test_tree_scores_against_dictionaries(spark, data, monkeypatch, pairs):
+    """No pair of bytes is split by the third, some are, all are."""
+    monkeypatch.setattr(suffix_tree, "PAIRS", pairs)
     rows = [(d, (t or "")[:400]) for d, t in sample_texts(data, 40)] + [(500, ""), (501, None)]
     out = {r.doc_id: r.score for r in suffix_tree.scores(docs_frame(spark, rows).repartition(2)).collect()}
     for (d, _), want in zip(rows, slow_tree(rows, suffix_tree.DEPTH, 4.0)):
