@@ -40,6 +40,8 @@ END = b"\n"
 BLOCK = 16 << 20
 OWN = 0.2
 PAIRS = 256
+#: A task holds all its grams, and reads its blocks one by one: what is beyond the session's partitions gets more of them.
+TASK_GRAMS, TASK_BLOCKS = 2 << 20, 8
 LN10 = float(np.log(10))
 CHUNK = 2 << 20  # bytes whose grams are in memory at once
 
@@ -53,25 +55,26 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of about BLOCK bytes: each document's byte sequence, compressed together."""
     part, seq = TaskContext.get().partitionId(), 0
     ids, lines, size = [], [], 0
+    vocab: set[bytes] = set()
 
     def flush() -> pa.RecordBatch:
         block = (part << 24) + seq
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        vocab: set = set()
-        for at in range(0, len(lines), 256):
-            vocab.update(b"".join(lines[at : at + 256]).split())
         out = pa.RecordBatch.from_arrays(
             [pa.array([block], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, lines))], pa.list_(pa.int64())), pa.array([squeeze(b"".join(lines))], pa.binary()), pa.array([squeeze(b" ".join(sorted(vocab)))], pa.binary())],
             ["block", "ids", "sizes", "blob", "vocab"],
         )
-        del vocab
+        vocab.clear()
         trim()
         return out
 
     for b in batches:
         for d, t in zip(b.column(0).to_pylist(), texts(b.column(1))):
             ids.append(d)
-            lines.append(b" ".join([*words(t), END]))
+            w = words(t)
+            vocab.update(w)
+            w.append(END)
+            lines.append(b" ".join(w))
             size += len(lines[-1])
             if size >= BLOCK:
                 yield flush()
@@ -389,8 +392,12 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_gain
     n_train, v = (n_words or 0) + ends, (v_words or 0) + (ends > 0)
     pair, three = (F.shiftright("gram", 8).bitwiseAND(F.lit(m)) for m in (0xFFFF, 0xFFFFFF))
     dealt = F.when(pair.isin(list(hot)), three).otherwise(-1 - pair)
-    model = totals.repartition(parts(docs), dealt).mapInArrow(_answer(pairs, min_gain, hot), "gram long, x double")
+    n_grams = after.agg(F.sum("n")).first()[0] or 0
+    model = totals.repartition(max(parts(docs), n_grams // TASK_GRAMS + 1), dealt).mapInArrow(_answer(pairs, min_gain, hot), "gram long, x double")
     bundle = "block long, kind int, n long, blob binary"
     told = counted.select("block", "i", F.col("c").cast("double").alias("x")).mapInArrow(_bundled(0), bundle)
     told = told.union(g.select("block", "gram").join(model, "gram").select("block", "gram", "x").mapInArrow(_bundled(1), bundle))
+    n = blocks.count() // TASK_BLOCKS + 1
+    if n > parts(docs):
+        blocks, told = blocks.repartition(n, "block"), told.repartition(n, "block")
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_scored(n_train, v, ends), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

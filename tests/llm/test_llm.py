@@ -334,8 +334,11 @@ def slow_tree(rows, depth, min_gain):
 
 @pytest.mark.parametrize("pairs", [1, 256, 1 << 20])
 def test_tree_scores_against_dictionaries(spark, data, monkeypatch, pairs):
-    """No pair of bytes is split by the third, some are, all are."""
+    """No pair of bytes is split by the third, some are, all are; the last also over more tasks than the session's."""
     monkeypatch.setattr(suffix_tree, "PAIRS", pairs)
+    if pairs > 256:
+        for name, value in (("BLOCK", 1000), ("TASK_BLOCKS", 1), ("TASK_GRAMS", 100)):
+            monkeypatch.setattr(suffix_tree, name, value)
     rows = [(d, (t or "")[:400]) for d, t in sample_texts(data, 40)] + [(500, ""), (501, None)]
     out = {r.doc_id: r.score for r in suffix_tree.scores(docs_frame(spark, rows).repartition(2)).collect()}
     for (d, _), want in zip(rows, slow_tree(rows, suffix_tree.DEPTH, 4.0)):
