@@ -138,7 +138,7 @@ def mcd(x: np.ndarray, w: np.ndarray, share: float = 0.75, floor: np.ndarray = F
     """Centre and scatter of the ``share`` of the weight whose covariance has the least determinant.
 
     Deterministic starts (median with scaled median deviations, spatial signs,
-    plain moments, the nearer half), each followed by concentration steps to a
+    plain moments), each followed by concentration steps to a
     fixed point; the best one counts. A cell on the border takes part with the
     weight that is missing. ``floor`` squared is added to each variance.
     """

@@ -142,6 +142,13 @@ def test_license_base(spark):
     assert out[31].labels == "apache,apache-2.0" and out[1].labels == "mit"
 
 
+def test_licenses_of_nothing(spark):
+    none = licenses.scanned(docs_frame(spark, []))
+    assert none.count() == 0 and {"doc_id", "n_words", "n_base", "labels", "score"} <= set(none.columns)
+    twice = licenses.scanned(docs_frame(spark, [(None, None), (1, "MIT License"), (1, "MIT License")])).collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.base_labels) for r in twice) == [(0, 0, ""), (1, 2, "mit"), (1, 2, "mit")]
+
+
 def test_license_names_without_their_optional_tails():
     label = lambda t: licenses.scan(t.encode())["labels"]
     assert "gpl-2.0-classpath" in label("GPL v2 with the Classpath Exception.") and "gpl-2.0-classpath" in label("Classpath Exception to the GPL applies")
@@ -405,6 +412,53 @@ def test_outliers_go_and_clean_texts_stay(spark):
     assert same.columns == d.columns and sorted(r.doc_id for r in same.collect()) == sorted(k for k, v in kept.items() if v)
 
 
+def slow_distances(x, rnd):
+    """Squared distances of plain rows from the best of 60 random starts, each concentrated on whole rows."""
+    floor, p, h = np.diag(outliers.FLOOR**2), x.shape[1], int(0.75 * len(x))
+    best = None
+    for _ in range(60):
+        part, before = x[rnd.choice(len(x), p + 1, replace=False)], None
+        for _ in range(60):
+            m, s = part.mean(0), np.cov(part.T, bias=True) + floor
+            near = np.sort(np.argsort(outliers._distances(x, m, s), kind="stable")[:h])
+            if before is not None and (near == before).all():
+                break
+            part, before = x[near], near
+        det = np.linalg.det(s)
+        if best is None or det < best[0]:
+            best = det, m, s
+    _, m, s = best
+    scale = 0.75 / outliers._chi2_cdf(outliers.chi2_quantile(0.75, p), p + 2)
+    return outliers._distances(x, m, (s - floor) * scale + floor)
+
+
+def test_verdicts_against_a_slow_search(spark):
+    """Whole rows and unrounded statistics give the same verdicts, but within a tenth of the limit."""
+    import duckdb
+
+    rows = duckdb.connect().sql("SELECT doc_id, text, lang, source FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()
+    d = spark.createDataFrame([(*r, None, "r", 1, "x") for r in rows], DOCS)
+    kept = {r.doc_id: r.kept for r in outliers.judged(d).collect()}
+    stats, pools, langs = {}, {}, {}
+    for i, t, lang, source in rows:
+        n, chars, symbols, lines, repeats = slow_counts(t)
+        if n >= 10 and 100 * repeats <= 20 * n:
+            stats[i] = [math.log2(1 + n), math.log2(1 + chars / n), *(math.log2(1 + 1000 * c / n) for c in (symbols, lines, repeats))]
+            pools.setdefault((lang, source), []).append(i)
+            langs.setdefault(lang, []).append(i)
+        else:
+            assert not kept[i]
+    cut, rnd, seen = outliers.chi2_quantile(1 - 1e-6, 5), np.random.default_rng(3), Counter()
+    for (lang, _), ids in pools.items():
+        pool = next(x for x in (ids, langs[lang], list(stats)) if len(x) >= 100 or len(x) == len(stats))
+        far = dict(zip(pool, slow_distances(np.array([stats[i] for i in pool]), rnd)))
+        for i in ids:
+            if abs(far[i] / cut - 1) > 0.1:
+                assert kept[i] == (far[i] <= cut), (i, far[i], cut)
+                seen[kept[i]] += 1
+    assert sum(seen.values()) > 0.97 * len(stats), seen
+
+
 # --- op10
 
 
