@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, licenses, mixing, outliers, rollups, simhash, suffix_tree, surrogates, tokenfile
+from . import decontam, htmltext, licenses, mixing, negatives, outliers, ppm, rollups, simhash, suffix_tree, surrogates, tokenfile, trie
 from .common import scratch, table, tokenizer_file
 
 MAX_REPEATS = 1.5
@@ -74,10 +74,26 @@ def op10_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.totals()
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each node of the trie of rebuilt conversations, with its preorder interval."""
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document."""
+    return ppm.predicted(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """anchor_id, positive_id, rank, negative_id and both scores, for every anchor and positive."""
+    return negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_simhash_near_dedup, op2_license_scan, op3_token_files, op4_html_main_text, op5_pii_surrogates, op6_temperature_mixing,
         op7_suffix_tree_scores, op8_benchmark_alignment, op9_robust_outliers, op10_token_rollups,
+        op11_conversation_trie, op12_language_id, op13_hard_negatives,
     )
     return {f.__name__: f for f in own}
 
@@ -87,4 +103,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_temperature_mixing": mixing.ORACLE.replace("{repeats}", str(MAX_REPEATS)),
         "op10_token_rollups": rollups.ORACLE,
+        "op11_conversation_trie": trie.ORACLE,
+        "op13_hard_negatives": negatives.ORACLE,
     }
