@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import answer, brief, evals, layout, pages, retrieve, verify
 from ..sources import blocks as S
-from ..sources import stores
+from ..sources import pdf, stores
 from ..streaming.ingest import shared_dir
 from .catalog import _HAS, _top, query
 from .inputs import CLAIMS, EVIDENCE, claims, evidence, t
@@ -46,6 +46,15 @@ def text_layer_sample(spark, sf_dir):
     return pages.text_layer(_paged(spark, sf_dir))
 
 
+@query("SELECT doc_id::VARCHAR AS doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x09-\\x0D\\x20]+', '', 'g')) AS text_sha256, false AS failed FROM documents")
+def pdf_round_trip(spark, sf_dir):
+    """Every document written as a PDF file and read back page by page: the hash of its characters that are not white space."""
+    rows = pdf.from_files(pdf.render(t(spark, sf_dir, "documents")))
+    runs = F.array_sort(F.collect_list(F.when(F.col("kind") == "span", F.struct("page", "seq", "text"))))
+    whole = rows.groupBy("doc_id").agg(F.array_join(F.transform(runs, lambda r: r["text"]), "").alias("text"), F.bool_or(F.col("kind") == "error").alias("failed"))
+    return whole.select("doc_id", F.sha2(F.regexp_replace("text", r"[\x09-\x0D\x20]+", ""), 256).alias("text_sha256"), "failed")
+
+
 _STROKES = "strokes AS (SELECT l_suppkey AS doc_id, l_orderkey % 8 AS page, CASE l_returnflag WHEN 'A' THEN 'l' WHEN 'R' THEN 're' ELSE 'c' END AS op FROM lineitem)"
 
 
