@@ -184,7 +184,7 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def answer(questions: DataFrame, passages: DataFrame | None = None, k: int = 6, strict: bool = True, retriever: Retriever | None = None, router=None, doc_ids: list | None = None) -> DataFrame:
+def answer(questions: DataFrame, passages: DataFrame | None = None, k: int = 6, strict: bool = True, retriever: Retriever | None = None, router=None, doc_ids: list | None = None, scope: DataFrame | None = None, with_evidence: bool = False):
     """(qid, task, attempts, grade, answer, claims, sources, flags, computed, verified, unverified) of each question.
 
     Weak retrieval is tried again with the question's keywords; a third attempt
@@ -198,7 +198,7 @@ def answer(questions: DataFrame, passages: DataFrame | None = None, k: int = 6,
     asked = questions.select("qid", F.col("question").alias("original"), "question", lane("question").alias("task"))
     done, evidence, contexts = [], [], []
     for attempt in (1, 2):
-        found = _kept(located(retriever.retrieve(asked.select("qid", "question"), k, doc_ids)))
+        found = _kept(located(retriever.retrieve(asked.select("qid", "question"), k, doc_ids, **({} if scope is None else {"scope": scope}))))
         shown = asked.join(context(found), "qid", "left").join(found.groupBy("qid").agg(F.array_join(F.collect_list("content"), " ").alias("bodies")), "qid", "left")
         graded = _kept(shown.withColumn("grade", grade("original", "context", "task", F.coalesce("bodies", F.lit("")) if strict else None)))
         good = graded.filter("grade = 'relevant' and context is not null")
@@ -216,7 +216,8 @@ def answer(questions: DataFrame, passages: DataFrame | None = None, k: int = 6,
     out = reduce(DataFrame.union, done).join(answers, "qid", "left").join(numbers.select("qid", F.col("result").alias("computed")), "qid", "left").join(sources(evidence), "qid", "left")
     warned = flags(evidence).groupBy("qid").agg(F.sort_array(F.collect_set("flag")).alias("flags"))
     out = out.withColumn("answer", F.coalesce("answer", F.lit(ABSTAIN))).withColumn("has_sources", F.col("sources").isNotNull() & ~F.col("answer").startswith(ABSTAIN))
-    return cite_check(out.join(warned, "qid", "left"), evidence).drop("has_sources")
+    out = cite_check(out.join(warned, "qid", "left"), evidence).drop("has_sources")
+    return (out, evidence) if with_evidence else out
 
 
 def located(found: DataFrame) -> DataFrame:

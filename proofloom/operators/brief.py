@@ -42,6 +42,22 @@ def run_brief(retriever: Retriever, doc_ids: list | None = None, router=None) ->
     return sections(answer(items.select("qid", "question"), retriever=retriever, router=router, doc_ids=doc_ids), items)
 
 
+def run_briefs(documents: DataFrame, retriever: Retriever, items: Iterable[tuple[str, str]] = BRIEF, router=None) -> DataFrame:
+    """The sections of a brief of each of any number of ``documents`` (doc_id): doc_id and the columns of :func:`sections`.
+
+    Every item of the checklist is a question of its own for every document,
+    asked of that document alone; all go through the loop together. A document
+    without passages has every item not disclosed. Repeated and null doc_ids
+    count once and not at all.
+    """
+    listed = checklist(documents.sparkSession, items).withColumnRenamed("qid", "item")  # a few rows
+    docs = documents.filter("doc_id is not null").select("doc_id").distinct()
+    rows = F.array(*[F.struct(F.lit(i).cast("long").alias("item"), F.lit(h).alias("heading"), F.lit(q).alias("question")) for i, h, q in sorted(map(tuple, listed.collect()))])
+    asked = docs.select("doc_id", F.inline(rows)).withColumn("qid", F.concat_ws(":", "doc_id", "item"))
+    found = answer(asked.select("qid", "question"), retriever=retriever, router=router, scope=asked.select("qid", "doc_id"))
+    return sections(found, asked).join(asked.select("qid", "doc_id", "item"), "qid").drop("qid").withColumnRenamed("item", "qid")
+
+
 def cite_marks(claims: list | None) -> str:
     """The places that claims cite, each once, in their order."""
     places = dict.fromkeys((c["page"], c["block_id"]) for claim in claims or () for c in claim["citations"] or ())
@@ -77,12 +93,12 @@ def compare_rows(a: DataFrame, b: DataFrame, items: DataFrame) -> DataFrame:
     return items.select("qid", "heading").join(shown(a, "a"), "qid", "left").join(shown(b, "b"), "qid", "left").join(told, "heading")
 
 
-def run_compare(one: Retriever, other: Retriever, evidence_one: DataFrame, evidence_other: DataFrame, router=None) -> DataFrame:
-    """The rows of a comparison: each item asked of both sides; figures count as far as their own citations show them."""
+def run_compare(one: Retriever, other: Retriever, router=None) -> DataFrame:
+    """The rows of a comparison: each item asked of both sides; a figure counts as far as the evidence of its own answer shows it."""
     items = checklist(SparkSession.active(), COMPARED)
     asked = items.select("qid", "question")
-    side = lambda r, e: figures_of(answer(asked, retriever=r, router=router), asked.select("qid").crossJoin(F.broadcast(e)) if "qid" not in e.columns else e)
-    return compare_rows(side(one, evidence_one), side(other, evidence_other), items)
+    side = lambda r: figures_of(*answer(asked, retriever=r, router=router, with_evidence=True))
+    return compare_rows(side(one), side(other), items)
 
 
 def compare_markdown(rows: DataFrame, label_a: str, label_b: str) -> str:

@@ -2,16 +2,14 @@
 
 Questions and their terms are small next to the corpus, but nothing here assumes
 it: joins are on terms or ids, and payload is joined after the top is taken. An
-:class:`Index` is written once; a search filters its postings by the asked terms
-before anything is aggregated, so that a term in every passage is joined as two
-plain tables, whose partitions adaptive execution can split. Every order ends in
-an id, so that ties are decided alike everywhere; scores are rounded before they
-are ranked.
+:class:`~.search_index.Index` is written once and shared by searches. A scope, a
+table of (qid, doc_id), says of which documents each question is asked, so that a
+checklist over many documents is one plan. Every order ends in an id, so that ties
+are decided alike everywhere; scores are rounded before they are ranked.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import Protocol, runtime_checkable
 
@@ -23,8 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import FUSION, VALUE, exact_terms, intent, is_period, keywords, once, terms
+from .search_index import SCALE, Index, kept, top
 
-SCALE = 6
 WINDOW = 30
 RRF = 60
 
@@ -41,12 +39,6 @@ def term_weights(index: DataFrame, n: int | Column, key: str = "chunk_id") -> Da
     return df.withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
 
 
-def top(scored: DataFrame, n: int | Column, key: str, by: str = "qid") -> DataFrame:
-    """The ``n`` best of each question with their 0-based ``rank``."""
-    order = Window.partitionBy(by).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < n)
-
-
 def sparse_scores(questions: DataFrame, index: DataFrame, weights: DataFrame, key: str = "chunk_id", question: str = "question") -> DataFrame:
     """(qid, key, score): sum over shared terms of both counts and the term's weight. Terms that no passage has fall away in the join."""
     asked = questions.select("qid", F.explode(terms(question)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
@@ -54,50 +46,9 @@ def sparse_scores(questions: DataFrame, index: DataFrame, weights: DataFrame, ke
     return asked.join(index, "term").groupBy("qid", key).agg(F.round(F.sum(F.col("qtf") * F.col("tf") * F.col("idf")), SCALE).alias("score"))
 
 
-class Index:
-    """Postings and term weights as tables in the shared folder: tokenised once, read by every search.
-
-    ``build`` writes (chunk_id, doc_id, term, tf) sorted by term within files,
-    so that a filter on terms skips row groups, and (term, df, idf).
-    """
-
-    def __init__(self, postings: DataFrame, weights: DataFrame):
-        self.postings, self.weights = postings, weights
-
-    @classmethod
-    def build(cls, passages: DataFrame, path: str, text: str = "text") -> Index:
-        spark, doc = passages.sparkSession, "doc_id" if "doc_id" in passages.columns else "chunk_id"
-        own = passages.select("chunk_id", F.col(doc).alias("doc_id"), F.explode(terms(text)).alias("term")).groupBy("chunk_id", "doc_id", "term").agg(F.count("*").alias("tf"))
-        own.sortWithinPartitions("term").write.parquet(f"{path}/postings")
-        found = spark.read.parquet(f"{path}/postings")
-        term_weights(found, F.lit(passages.count())).write.parquet(f"{path}/weights")
-        return cls.open(spark, path)
-
-    @classmethod
-    def open(cls, spark: SparkSession, path: str) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/weights"))
-
-    def scoped(self, doc_ids: list | None) -> Index:
-        """The index of some documents. Weights stay those of the whole, as in a filtered search of one collection."""
-        return self if doc_ids is None else Index(self.postings.filter(F.col("doc_id").isin(list(doc_ids))), self.weights)
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    from ..streaming.ingest import shared_dir
-
-    return f"{shared_dir(spark)}/proofloom/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def temporary_index(passages: DataFrame) -> Index:
     """An index in the shared folder, under a new name."""
-    return Index.build(passages, _scratch(passages.sparkSession, "index"))
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """A small table that is used more than once, written and read back."""
-    path = _scratch(df.sparkSession, "kept")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Index.temporary(passages)
 
 
 def sparse_top(questions: DataFrame, index: DataFrame, weights: DataFrame, n: int = WINDOW, key: str = "chunk_id") -> DataFrame:
@@ -194,7 +145,7 @@ def payload(passages: DataFrame, wanted: DataFrame) -> DataFrame:
     """
     own = passages.join(wanted.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "type", "heading", "content").repartition("chunk_id")
     own = own.withColumn("_text", F.lower(F.coalesce("content", F.lit(""))))
-    return _kept(own.withColumn("_terms_of", F.array_distinct(terms("_text"))))
+    return kept(own.withColumn("_terms_of", F.array_distinct(terms("_text"))))
 
 
 def rerank(questions: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -212,10 +163,10 @@ def rerank(questions: DataFrame, candidates: DataFrame) -> DataFrame:
     return candidates.join(q, "qid").withColumn("score", F.round(score, SCALE)).drop("_terms", "_values", "_text", "_terms_of")
 
 
-def exact_hits(questions: DataFrame, index: DataFrame, weights: DataFrame, passages: DataFrame, pool: int = 12, limit: int = 3) -> DataFrame:
+def exact_hits(questions: DataFrame, index: Index, passages: DataFrame, pool: int = 12, limit: int = 3, scope: DataFrame | None = None) -> DataFrame:
     """Passages with a question's values or two of its exact terms: (qid, chunk_id, score, rank), score being the terms found."""
     asked = questions.select("qid", exact_terms("question").alias("et")).filter(F.size("et") > 0)
-    near = sparse_top(asked.select("qid", F.array_join("et", " ").alias("question")), index, weights, pool)
+    near = index.search(asked.select("qid", F.array_join("et", " ").alias("question")), pool, scope)
     found = near.select("qid", "chunk_id", F.col("rank").alias("pool_rank")).join(asked, "qid").join(passages.select("chunk_id", "type", "content"), "chunk_id")
     held = once(F.lower(F.coalesce("content", F.lit(""))), lambda text: F.filter("et", lambda t: F.contains(text, F.lower(t))))
     found = found.withColumn("held", held).withColumn("hits", F.size("held")).withColumn("values", F.size(F.filter("held", lambda t: ~is_period(t))))
@@ -254,24 +205,31 @@ def model_rerank(questions: DataFrame, candidates: DataFrame, score=None) -> Dat
     return judged.withColumn("score", F.coalesce(F.round("_m", SCALE), "score")).drop("_m", "question")
 
 
-def retrieve(questions: DataFrame, passages: DataFrame, k: int = 6, window: int = WINDOW, dense: DataFrame | None = None, doc_ids: list | None = None, index: Index | None = None, score=None) -> DataFrame:
+def retrieve(
+    questions: DataFrame, passages: DataFrame, k: int = 6, window: int = WINDOW, dense: DataFrame | None = None, doc_ids: list | None = None, index: Index | None = None, score=None, scope: DataFrame | None = None
+) -> DataFrame:
     """Evidence of each question: the passages' columns with score, exact and pos.
 
     ``questions``: qid, question. ``passages``: chunk_id, type, heading,
     content, text and more. ``dense``: (qid, chunk_id, score, rank), if there is
-    an embedder. ``doc_ids``: only passages of these documents. ``index``: one
-    built before over the passages. Payload is joined after each cut.
+    an embedder. ``doc_ids``: only passages of these documents. ``scope``: a
+    table (qid, doc_id) instead, for questions that are each asked of their own
+    documents. ``index``: one built before over the passages. Payload is joined
+    after each cut.
     """
     n = max(window, k)
     index = (index or temporary_index(passages)).scoped(doc_ids)
     if doc_ids is not None:
         passages = passages.filter(F.col("doc_id").isin(list(doc_ids)))
         dense = dense.join(passages.select("chunk_id"), "chunk_id", "left_semi") if dense is not None else None
-    sparse = sparse_top(questions, index.postings, index.weights, n)
+    if scope is not None and dense is not None:
+        own = dense.join(passages.select("chunk_id", "doc_id"), "chunk_id")
+        dense = top(own.join(scope, ["qid", "doc_id"], "left_semi").drop("doc_id", "rank"), n, "chunk_id")
+    sparse = index.search(questions, n, scope)
     fused = top(fuse(questions, sparse, dense), n, "chunk_id") if dense is not None else sparse
-    fused = _kept(fused.select("qid", "chunk_id", "score"))
+    fused = kept(fused.select("qid", "chunk_id", "score"))
     ranked = top(model_rerank(questions, fused.select("qid", "chunk_id", "score").join(payload(passages, fused), "chunk_id"), score).select("qid", "chunk_id", "score"), k, "chunk_id")
-    merged = merge(exact_hits(questions, index.postings, index.weights, passages), ranked, k)
+    merged = merge(exact_hits(questions, index, passages, scope=scope), ranked, k)
     return merged.join(passages, "chunk_id")
 
 
@@ -279,7 +237,7 @@ def retrieve(questions: DataFrame, passages: DataFrame, k: int = 6, window: int
 class Retriever(Protocol):
     """What answers questions with evidence: local tables, or a service behind the same call."""
 
-    def retrieve(self, questions: DataFrame, k: int = 6, doc_ids: list | None = None) -> DataFrame: ...
+    def retrieve(self, questions: DataFrame, k: int = 6, doc_ids: list | None = None, scope: DataFrame | None = None) -> DataFrame: ...
 
 
 class LocalRetriever:
@@ -298,8 +256,8 @@ class LocalRetriever:
         queries = questions.sparkSession.createDataFrame(rows, f"qid {dict(questions.dtypes)['qid']}, query array<double>")
         return dense_top(queries, self.passages.select("chunk_id", F.col("vector").alias("embedding")), n, "chunk_id")
 
-    def retrieve(self, questions: DataFrame, k: int = 6, doc_ids: list | None = None) -> DataFrame:
-        return retrieve(questions, self.passages, k, dense=self._dense(questions, max(WINDOW, k)), doc_ids=doc_ids, index=self.index, score=self.score)
+    def retrieve(self, questions: DataFrame, k: int = 6, doc_ids: list | None = None, scope: DataFrame | None = None) -> DataFrame:
+        return retrieve(questions, self.passages, k, dense=self._dense(questions, max(WINDOW, k)), doc_ids=doc_ids, index=self.index, score=self.score, scope=scope)
 
 
 def make_retriever(passages: DataFrame, remote: Retriever | None = None, **local) -> Retriever:

@@ -70,7 +70,7 @@ def _written(spark: SparkSession, sf_dir: str) -> retrieve.Index:
 
 
 def _search(questions: DataFrame, index: retrieve.Index) -> DataFrame:
-    return retrieve.sparse_top(questions, index.postings, index.weights)
+    return index.search(questions)
 
 
 @query(f"WITH {_POSTINGS} SELECT chunk_id AS doc_id, term, tf FROM postings")
@@ -88,6 +88,12 @@ def sparse_topk(spark, sf_dir):
     return _search(questions(spark, sf_dir), _written(spark, sf_dir)).select("qid", "chunk_id", "score", "rank")
 
 
+@query(f"WITH {_SPARSE} SELECT qid, chunk_id, score, rank FROM sparse")
+def sparse_pruned(spark, sf_dir):
+    """The same, passing over all ranges of passages that can't reach a question's 30 best."""
+    return _written(spark, sf_dir).search(questions(spark, sf_dir), prune=True)
+
+
 _DENSE = """vq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS query FROM embeddings WHERE {which}),
 ds AS (SELECT qid, vec_id AS chunk_id, round(list_dot_product(query, embedding::DOUBLE[]) / (sqrt(list_dot_product(query, query)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS score FROM embeddings, vq)"""
 
@@ -143,7 +149,7 @@ rr AS (SELECT qid, chunk_id, round(score + 0.4 * len(list_intersect(qt, regexp_e
 @query(f"WITH {_SPARSE}, {PASSAGES}, {_RERANK} SELECT * FROM rr")
 def lexical_rerank(spark, sf_dir):
     q = questions(spark, sf_dir)
-    found = retrieve._kept(_search(q, _written(spark, sf_dir)).select("qid", "chunk_id", "score"))
+    found = retrieve.kept(_search(q, _written(spark, sf_dir)).select("qid", "chunk_id", "score"))
     return retrieve.rerank(q, found.join(retrieve.payload(passages(spark, sf_dir), found), "chunk_id")).select("qid", "chunk_id", "score")
 
 
@@ -160,7 +166,7 @@ exact AS (SELECT qid, chunk_id, hits::DOUBLE AS score, r - 1 AS rank FROM (SELEC
 def exact_lookup(spark, sf_dir):
     """Questions with values only, in which every hit is a value."""
     index = _written(spark, sf_dir)
-    return retrieve.exact_hits(value_questions(spark, sf_dir), index.postings, index.weights, passages(spark, sf_dir))
+    return retrieve.exact_hits(value_questions(spark, sf_dir), index, passages(spark, sf_dir))
 
 
 _MERGED = f"""{_POSTINGS}, {_WEIGHTS}, {VALUE_QUESTIONS}, {PASSAGES}, {_ASKED_TERMS}, {_SCORES}, {_top("sparse", "scores", 30)}, {_RERANK}, {_top("ranked", "rr", 6)}, {_EXACT},

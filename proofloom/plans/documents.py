@@ -197,7 +197,7 @@ def scoped_topk(spark, sf_dir):
     one = d.agg(F.min("source")).first()[0]
     index = retrieve.temporary_index(d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), "text")).scoped([one])
     q = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    return retrieve.sparse_top(q, index.postings, index.weights).select("qid", "chunk_id", "score", "rank")
+    return index.search(q)
 
 
 # --- replies, answers and reports --------------------------------------------------------------------------------

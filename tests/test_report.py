@@ -195,7 +195,7 @@ def test_comparison(spark):
 
 def test_compared_reports(spark, retriever, chunks):
     chunks = chunks.withColumn("pos", F.lit(0))
-    rows = brief.run_compare(retriever, retriever, chunks, chunks).orderBy("qid").collect()
+    rows = brief.run_compare(retriever, retriever).orderBy("qid").collect()
     assert [r.heading for r in rows] == [h for h, _ in brief.COMPARED] and all(r.status in ("compared", "not_disclosed") for r in rows)
 
 
