@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import answer, brief, evals, layout, pages, retrieve, verify
+from ..operators import answer, brief, evals, layout, pages, retrieve, search_index, verify
 from ..sources import blocks as S
 from ..sources import pdf, stores
 from ..streaming.ingest import shared_dir
@@ -200,6 +200,40 @@ def scoped_topk(spark, sf_dir):
     return index.search(q)
 
 
+_SCOPE = "scope AS (SELECT item_id AS qid, source FROM benchmark, (SELECT DISTINCT source FROM documents) WHERE (item_id + ascii(right(source, 1))) % 3 = 0)"
+_SCOPED_EACH = _SCOPED.replace("one AS (SELECT min(source) AS source FROM documents)", _SCOPE).replace("WHERE source = (SELECT source FROM one)", "SEMI JOIN scope USING (qid, source)")
+
+
+@query(f"WITH {_SCOPED_EACH}, {_top('sparse', 'scores', 10)} SELECT qid, chunk_id, score, rank FROM sparse")
+def scope_table_topk(spark, sf_dir):
+    """The 10 best passages for each question among the documents (here: sources) that it is asked of, all in one plan."""
+    d, b = t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark")
+    third = F.explode(F.array(*[F.lit(k) for k in range(3)]))
+    sources = d.select(F.col("source").alias("doc_id")).distinct().withColumn("k", F.pmod(F.lit(3) - F.ascii(F.right("doc_id", F.lit(1))) % 3, F.lit(3)))
+    scope = b.select(F.col("item_id").alias("qid"), third.alias("k")).filter(F.col("qid") % 3 == F.col("k")).join(sources, "k").select("qid", "doc_id")
+    index = search_index.Index.temporary(d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), "text"))
+    return index.search(b.select(F.col("item_id").alias("qid"), F.col("text").alias("question")), 10, scope, prune=True)
+
+
+_VERSIONED = """held AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 5 = 0 THEN 'renewed ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 5 = 0),
+postings AS (SELECT chunk_id, term, count(*) AS tf FROM (SELECT chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9$%.]+')) AS term FROM held) GROUP BY ALL),
+weights AS (SELECT term, ln(((SELECT count(*) FROM held) - count(*) + 0.5) / (count(*) + 0.5) + 1) AS idf FROM postings GROUP BY term),
+aterms AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest(regexp_extract_all(lower('renewed ' || text), '[a-z0-9$%.]+')) AS term FROM benchmark) GROUP BY ALL),
+scores AS (SELECT qid, chunk_id, round(sum(qtf * tf * idf), 6) AS score FROM aterms JOIN weights USING (term) JOIN postings USING (term) GROUP BY ALL)"""
+
+
+@query(f"WITH {_VERSIONED}, {_top('sparse', 'scores', 10)} SELECT qid, chunk_id, score, rank FROM sparse")
+def index_versions(spark, sf_dir):
+    """A search of an index of all documents, after every seventh was taken out and every fifth indexed anew."""
+    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "doc_id", "text")
+    index = search_index.VersionedIndex(spark, search_index.scratch(spark, "versions"))
+    index.upsert(d)
+    index.delete(d.filter("doc_id % 7 = 0").select("doc_id"))
+    index.upsert(d.filter("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("renewed "), F.coalesce("text", F.lit("")))))
+    q = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("renewed "), "text").alias("question"))
+    return index.open().search(q, 10)
+
+
 # --- replies, answers and reports --------------------------------------------------------------------------------
 
 _REPLIES = """replies AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'It is ' || o_custkey WHEN 1 THEN '{"answer": ' || o_custkey || '}' ELSE

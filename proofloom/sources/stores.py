@@ -1,16 +1,19 @@
 """Stores as tables on any file system that Spark reaches: caches, blobs, index, traces, prompts, floors, reports.
 
-A keyed store is a folder of appended batches; the row of the highest version of
-a key holds. Appending is one committed write, so a lost executor costs a retry,
-and a reader sees whole batches only.
+A keyed store is a folder of sorted puts; the row of the highest version of a key
+holds. A put is one committed write and one small file that names it, so a lost
+executor costs a retry, and a reader sees whole puts only.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,39 +23,124 @@ TRACES = 20
 
 
 class KeyedStore:
-    """Rows of ``schema`` by ``keys``; what is put last for a key holds."""
+    """Rows of ``schema`` by ``keys``; what is put last for a key holds.
+
+    A put is a folder of sorted files and one small manifest entry with its
+    version and each file's interval of first keys, which only one writer can
+    create; so two writers lose nothing, and readers see whole puts. A look-up of
+    some keys, or a scan of a prefix, opens the files whose interval has them. A
+    removed key is a row of its own. Once a level has ``FANOUT`` puts they are
+    merged, as files of an interval of keys each, into one of the next level, so
+    that a key is in few files however many puts there were, and nothing is
+    rewritten more than once a level. Files of merged puts stay for their readers.
+    """
+
+    FANOUT = 8
 
     def __init__(self, spark: SparkSession, path: str, schema: str, keys: tuple[str, ...]):
         self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, list(keys)
-
-    def _all(self) -> DataFrame:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        schema = f"{self.schema}, _version long"
-        found = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
-        return self.spark.read.schema(schema).parquet(self.path) if found else self.spark.createDataFrame([], schema)
+        self.names = spark.createDataFrame([], schema).columns
+        self.stored = f"{schema}, _gone boolean, _version long"
+
+    def _fs(self):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def entries(self) -> list[dict]:
+        """What holds now: a row for each put or merge, oldest first."""
+        fs, p = self._fs()
+        if not fs.exists(p):
+            return []
+        found = [json.loads(r[0]) for r in self.spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(f"{self.path}/manifest").collect()]
+        merged = {v for e in found for v in e.get("of", [])}
+        return sorted((e for e in found if e["id"] not in merged), key=lambda e: e["version"])
+
+    def _add(self, rows: DataFrame, version: int | None, level: int, of: list[int]) -> dict:
+        """Write rows, and their entry under the next free id."""
+        name, first = f"data/{uuid.uuid4().hex}", F.col(self.keys[0]).cast("string")
+        own = rows.repartitionByRange(*self.keys) if level else rows  # a put may be costly to work out, and ranges look at it twice
+        own.sortWithinPartitions(*self.keys).write.parquet(f"{self.path}/{name}")
+        told = self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}").groupBy(F.input_file_name().alias("f")).agg(F.min(first), F.max(first)).collect()  # a row for each file
+        files = sorted([f.rsplit("/", 1)[1], a, b] for f, a, b in told)
+        fs, p = self._fs()
+        while True:
+            new = 1 + max((int(f.getPath().getName()[:-5]) for f in fs.listStatus(p) if f.getPath().getName().endswith(".json")), default=0) if fs.exists(p) else 1
+            try:
+                out = fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(p, f"{new}.json"), False)  # fails where another writer was first
+            except Py4JJavaError as e:
+                if "exist" not in str(e.java_exception).lower():
+                    raise
+                continue
+            entry = {"id": new, "version": new if version is None else version, "level": level, "of": of, "path": name, "files": files}
+            out.write(bytearray(json.dumps(entry).encode()))
+            out.close()
+            return entry
+
+    def _read(self, entries: list[dict], wanted=lambda low, high: True) -> DataFrame:
+        """Rows of the files whose interval of first keys is ``wanted``, with the version of their put."""
+        parts = []
+        for e in entries:
+            found = [f"{self.path}/{e['path']}/{f}" for f, low, high in e["files"] if wanted(low, high)]
+            if found:
+                own = self.spark.read.schema(self.stored).parquet(*found)
+                parts.append(own.withColumn("_version", F.coalesce("_version", F.lit(e["version"]).cast("long"))))
+        out = self.spark.createDataFrame([], self.stored)
+        for part in parts:
+            out = out.unionByName(part)
+        return out
+
+    def _put(self, rows: DataFrame, gone: bool) -> int:
+        rest = [c for c in self.names if c not in self.keys]
+        own = rows.select(*self.keys, *(F.lit(None).alias(c) if gone else F.col(c) for c in rest))
+        one = own.groupBy(*self.keys).agg(F.max(F.struct(*rest)).alias("_x")).select(*self.keys, "_x.*") if rest else own.distinct()
+        kinds = {f.name: f.dataType for f in self.spark.createDataFrame([], self.stored).schema}
+        entry = self._add(one.select(*(F.col(c).cast(kinds[c]).alias(c) for c in self.names), F.lit(gone).alias("_gone"), F.lit(None).cast("long").alias("_version")), None, 0, [])
+        self.compact()
+        return entry["version"]
 
     def put(self, rows: DataFrame) -> int:
-        """Add or replace rows; their version. Of rows of one key in a batch the largest in the order of columns holds."""
-        version = (self._all().agg(F.max("_version")).first()[0] or 0) + 1
-        names = self._all().drop("_version").columns
-        rest = [c for c in names if c not in self.keys]
-        one = rows.groupBy(*self.keys).agg(F.max(F.struct(*rest)).alias("_x")).select(*self.keys, "_x.*")
-        one.select(*names, F.lit(version).cast("long").alias("_version")).write.mode("append").parquet(self.path)
-        return version
+        """Add or replace rows; their version. Of rows of one key in a put the largest in the order of columns holds."""
+        return self._put(rows, gone=False)
+
+    def remove(self, keys: DataFrame) -> int:
+        """Take keys out; keys that are not there are no error."""
+        return self._put(keys, gone=True)
+
+    def _holds(self, rows: DataFrame) -> DataFrame:
+        return latest(rows, self.keys, "_version").filter("not _gone").select(self.names)
 
     def get(self) -> DataFrame:
         """The row that holds for each key."""
-        return latest(self._all(), self.keys, "_version").drop("_version")
+        return self._holds(self._read(self.entries()))
 
     def split(self, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """``wanted`` with the stored columns where the store has its keys, and the rest of ``wanted``."""
-        have = self.get()
+        """``wanted`` with the stored columns where the store has its keys, and the rest of ``wanted``. Files without any of its first keys' interval stay closed."""
+        low, high = wanted.agg(*(f(F.col(self.keys[0]).cast("string")) for f in (F.min, F.max))).first()
+        have = self._holds(self._read(self.entries(), lambda a, b: low is not None and a is not None and a <= high and b >= low))
         return wanted.join(have, self.keys), wanted.join(have, self.keys, "left_anti")
 
     def scan(self, prefix: str, literal: bool = True) -> DataFrame:
         """Rows whose first key begins with ``prefix``. Not ``literal``: ``_`` and ``%`` in it stand for any character and any text."""
-        key = F.col(self.keys[0])
-        return self.get().filter(key.startswith(prefix) if literal else key.like(prefix.replace("\\", "\\\\") + "%"))
+        key = F.col(self.keys[0]).cast("string")
+        if not literal:
+            fixed = re.split("[_%]", prefix)[0]
+            return self._scanned(fixed).filter(key.like(prefix.replace("\\", "\\\\") + "%"))
+        return self._scanned(prefix)
+
+    def _scanned(self, prefix: str) -> DataFrame:
+        key = F.col(self.keys[0]).cast("string")
+        found = self._read(self.entries(), lambda a, b: a is not None and b >= prefix and a[: len(prefix)] <= prefix)
+        return self._holds(found.filter(key.startswith(prefix)))  # what does not match is dropped before versions are compared
+
+    def compact(self) -> None:
+        """Merge the puts of each level that has FANOUT of them into one of the next. Removed keys go for good where nothing older is left."""
+        level = 0
+        while len(own := [e for e in self.entries() if e["level"] == level][: self.FANOUT]) == self.FANOUT:
+            older = any(e["version"] < own[0]["version"] and e["id"] not in {x["id"] for x in own} for e in self.entries())
+            rows = self._read(own)
+            kept = latest(rows, self.keys, "_version").select(*self.names, "_gone", "_version")
+            self._add(kept if older else kept.filter("not _gone"), own[-1]["version"], level + 1, [e["id"] for e in own])
+            level += 1
 
 
 def page_cache(spark: SparkSession, path: str) -> KeyedStore:
@@ -79,8 +167,14 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def upsert_index(index: DataFrame, chunks: DataFrame, by: str = "doc_id") -> DataFrame:
-    """``index`` with the documents of ``chunks`` indexed anew: what they had before goes. Of repeated chunk ids one row stays."""
-    return index.join(chunks.select(by).distinct(), by, "left_anti").select(index.columns).unionByName(chunks.select(index.columns)).dropDuplicates(["chunk_id"])
+    """``index`` with the documents of ``chunks`` indexed anew: what they had before goes, and so do old rows of a new chunk id.
+
+    Of new rows of one chunk id the first by document and the other columns stays.
+    """
+    rest = [c for c in index.columns if c != "chunk_id"]
+    new = chunks.groupBy("chunk_id").agg(F.min_by(F.struct(*rest), F.struct(by, F.to_json(F.struct(*rest)))).alias("_x")).select("chunk_id", "_x.*").select(index.columns)
+    old = index.join(chunks.select(by).distinct(), by, "left_anti").join(chunks.select("chunk_id").distinct(), "chunk_id", "left_anti")
+    return old.select(index.columns).unionByName(new)
 
 
 def has_vectors(index: DataFrame) -> bool:

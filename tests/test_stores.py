@@ -25,6 +25,58 @@ def test_keyed_store(spark, tmp_path):
     assert bytes(b.scan("doc/").first().content) == b"\x00pdf"
 
 
+def files_read(df):
+    return {f.rsplit("/data/", 1)[1] for f in df.inputFiles()}
+
+
+def test_keyed_store_levels(spark, tmp_path):
+    s = stores.text_cache(spark, f"file://{tmp_path}/texts")
+    s.FANOUT = 3
+    row = lambda *rows: spark.createDataFrame(rows, "key string, value string")
+    want = {}
+    for n in range(10):
+        put = {f"{'abc'[n % 3]}{k}": f"{n}" for k in range(n, n + 4)}
+        s.put(row(*put.items()))
+        want |= put
+        if n == 4:
+            s.remove(row(("b1", None), ("zz", None)).select("key"))
+            del want["b1"]
+        assert dict(map(tuple, s.get().collect())) == want, n
+    levels = [e["level"] for e in s.entries()]
+    assert max(levels) >= 2 and all(levels.count(k) < 3 for k in set(levels)) and len(levels) < 6
+    # of 11 puts a scan opens files with the prefix only
+    every, some = files_read(s.get()), files_read(s.scan("c1"))
+    assert {r.key for r in s.scan("c1").collect()} == {k for k in want if k.startswith("c1")} and some <= every
+    s.put(row(("x1", "x")))
+    assert files_read(s.scan("x")) == files_read(s.scan("x1")) and len(files_read(s.scan("x"))) == 1 < len(files_read(s.get()))
+    hit, miss = s.split(row(("x1", ""), ("x9", "")).select("key"))
+    assert [tuple(r) for r in hit.collect()] == [("x1", "x")] and [r.key for r in miss.collect()] == ["x9"] and len(files_read(hit)) == 1
+    s.put(row(("x1", None)))
+    assert s.scan("x1").first().value is None
+    s.remove(row(("x1", "")).select("key"))
+    assert s.scan("x1").count() == 0
+
+
+def test_keyed_store_of_two_writers(spark, tmp_path):
+    a, b = (stores.text_cache(spark, f"file://{tmp_path}/texts") for _ in range(2))
+    a.put(spark.createDataFrame([("k", "first")], "key string, value string"))
+    fs, p = b._fs()
+    listed, n = fs.listStatus(p), []
+
+    class Late:  # sees the folder as it was before the other writer's put
+        exists, create = fs.exists, fs.create
+
+        def listStatus(self, path):
+            n.append(1)
+            return listed if len(n) == 1 else fs.listStatus(path)
+
+    a.put(spark.createDataFrame([("a", "second")], "key string, value string"))
+    own, b._fs = b._fs, lambda: (Late(), p)
+    assert b.put(spark.createDataFrame([("b", "third")], "key string, value string")) == 3
+    b._fs = own
+    assert dict(map(tuple, a.get().collect())) == {"k": "first", "a": "second", "b": "third"}
+
+
 def test_prompts(spark):
     p = spark.createDataFrame([("grade", 1, "old"), ("grade", 2, "new"), ("other", 1, "x")], "name string, version int, template string")
     assert stores.prompt(p, "grade").first().template == "new" and stores.prompt(p, "grade", 1).first().template == "old" and stores.prompt(p).count() == 2
@@ -55,6 +107,8 @@ def test_upsert_replaces_documents(spark):
     index = spark.createDataFrame([("a1", "a", "x"), ("a2", "a", "y"), ("b1", "b", "z")], "chunk_id string, doc_id string, text string")
     new = spark.createDataFrame([("a1", "a", "n"), ("a1", "a", "n")], "chunk_id string, doc_id string, text string")
     assert sorted(map(tuple, stores.upsert_index(index, new).collect())) == [("a1", "a", "n"), ("b1", "b", "z")]
+    taken = spark.createDataFrame([("b1", "c", "w"), ("b1", "d", "v")], "chunk_id string, doc_id string, text string")
+    assert sorted(map(tuple, stores.upsert_index(index, taken).collect())) == [("a1", "a", "x"), ("a2", "a", "y"), ("b1", "c", "w")]
 
 
 def test_two_checkpoints_keep_each_others_rows(spark, tmp_path):
