@@ -42,6 +42,8 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 _PLACE, _ITEM = 28, 21
 #: Hits that are looked at together.
 _HITS = 1 << 20
+#: Texts that are searched together: their numbers take the bits that place and item leave.
+TEXTS = 1 << 13
 
 
 def plain_words(text: bytes) -> list[bytes]:
@@ -209,6 +211,13 @@ def _slices(docs: DataFrame, benchmark: DataFrame, least: float) -> Iterator[Ite
         yield items.without_common(keys[order], often[order])
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of TEXTS rows at most, whatever the session's are: a text's number shares 64 bits with an item and a place."""
+    for b in batches:
+        for at in range(0, b.num_rows, TEXTS):
+            yield b.slice(at, TEXTS)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """(doc_id, item_id, score, end_word): each document and test item whose alignment scores ``least`` or more.
 
@@ -225,7 +234,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_SCO
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _cut(batches):
                 rows = list(matches(sent.value, texts(b.column(1))))
                 if rows:
                     d, i, s, e = zip(*rows)
@@ -243,7 +252,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, least: float = LEAST_
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, at=docs.columns.index("text")) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _cut(batches):
                 bad = {x[0] for x in matches(sent.value, texts(b.column(at)))}
                 yield b.filter(pa.array([k not in bad for k in range(b.num_rows)], pa.bool_())) if bad else b
 

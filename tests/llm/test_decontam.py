@@ -114,3 +114,18 @@ def test_awkward_documents_and_items(spark, data):
     for a, b in ((docs, bench.limit(0)), (docs.limit(0), bench)):
         assert decontam.contaminated(a, b).collect() == [] and decontam.clean_documents(a, b).count() == a.count()
     assert decontam.contaminated(docs, bench.limit(0)).columns == ["doc_id", "item_id", "score", "end_word"]
+
+
+def test_batches_of_any_number_of_rows(spark):
+    item = "twelve quite unusual words that stand together in this one benchmark item"
+    rows = [(k, f"short text number {k}") for k in range(20_000)]
+    rows[5], rows[19_990] = (5, item), (19_990, f"before {item} after")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(1, item)], ITEMS)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
+    try:
+        assert {r.doc_id for r in decontam.contaminated(docs, bench).collect()} == {5, 19_990}
+        assert {r.doc_id for r in decontam.clean_documents(docs, bench).collect()} == {k for k, _ in rows} - {5, 19_990}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
