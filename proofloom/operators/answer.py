@@ -8,10 +8,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import injections, intent, keywords, once, strip, wants_math
+from ..functions.text import injections, intent, keywords, once, question_verdict, strip, wants_math
 from ..streaming.ingest import shared_dir
 from . import verify
 from .calculator import evaluate, extracted
+from .prompts import Prompts
 from .retrieve import LocalRetriever, Retriever
 
 #: What an answer without evidence says, how extracts begin, what an unsupported figure adds, and how often a question is asked.
@@ -158,25 +159,50 @@ def cite_check(answers: DataFrame, evidence: DataFrame) -> DataFrame:
     return found.withColumn("answer", F.when(F.size("unverified") > 0, F.concat("answer", note)).otherwise(F.col("answer"))).withColumn("verified", F.size("unverified") == 0)
 
 
-def synthesized(shown: DataFrame, router) -> DataFrame:
+def synthesized(shown: DataFrame, router, prompts: Prompts | None = None) -> DataFrame:
     """(qid, reply) of ``shown`` (qid, original, context, note) by the model of the role answer; asked once more where a reply does not parse."""
-    strict = "\n\nReturn ONLY the JSON object — no prose, no fences."
-    body = F.concat(F.lit("Evidence:\n"), "context", F.coalesce("note", F.lit("")), F.lit("\n\nQuestion: "), "original")
-    first = shown.select("qid", body.alias("body")).withColumn("reply", router.column("answer", "body"))
-    again = F.when(parse_reply("reply").isNull(), F.concat("body", F.lit(strict)))
-    return first.withColumn("second", router.column("answer", again)).select("qid", F.coalesce("second", "reply").alias("reply"))
+    prompts = prompts or Prompts()
+    body = prompts.text("generate_answer", context=F.col("context"), note=F.coalesce("note", F.lit("")), question=F.col("original"))
+    first = shown.select("qid", body.alias("body")).withColumn("reply", router.column(prompts.role("generate_answer"), "body"))
+    return first.withColumn("second", prompts.ask(router, "generate_again", parse_reply("reply").isNull(), prompt=F.col("body"))).select("qid", F.coalesce("second", "reply").alias("reply"))
 
 
-def computed(questions: DataFrame, router=None) -> DataFrame:
+def computed(questions: DataFrame, router=None, prompts: Prompts | None = None) -> DataFrame:
     """(qid, expr, result) of the questions (qid, task, original, context) that ask for arithmetic and whose model names an expression that has a value."""
     own = questions.filter(F.col("task").isin("calc", "compare"))
     if router is None or not router.available("fast"):
         return own.select("qid", F.lit(None).cast("string").alias("expr"), F.lit(None).cast("double").alias("result")).limit(0)
-    asked = own.withColumn("reply", router.column("fast", F.concat(F.lit("Evidence:\n"), "context", F.lit("\n\nWrite one arithmetic expression for: "), "original")))
+    asked = own.withColumn("reply", (prompts or Prompts()).ask(router, "calculate_expression", context=F.col("context"), question=F.col("original")))
     found = asked.withColumn("expr", extracted("reply")).filter("expr is not null").withColumn("v", evaluate("expr"))
     return found.filter("v.error is null").select("qid", "expr", F.col("v.value").alias("result"))
 
 
+def standalone(questions: DataFrame, router=None, prompts: Prompts | None = None) -> DataFrame:
+    """``questions`` (qid, question, conversation) with each follow-up put as a question of its own by the fast model; as it is where nothing was said before, or nothing answers."""
+    if router is None or not router.available("fast") or "conversation" not in questions.columns:
+        return questions
+    told = F.coalesce(F.trim("conversation"), F.lit("")) != ""
+    reply = (prompts or Prompts()).ask(router, "contextualize", told, conversation=F.coalesce("conversation", F.lit("")), question=F.coalesce("question", F.lit("")))
+    return questions.withColumn("_alone", reply).withColumn("question", F.coalesce(F.nullif(F.trim("_alone"), F.lit("")), "question")).drop("_alone")
+
+
+def graded_by_model(shown: DataFrame, router=None, prompts: Prompts | None = None) -> Column:
+    """The fast model's grade of plain questions with context; null for others, and where no model answers."""
+    if router is None or not router.available("fast"):
+        return F.lit(None).cast("string")
+    plain = ~F.col("task").isin("calc", "compare") & F.col("context").isNotNull()
+    verdict = (prompts or Prompts()).ask(router, "grade", plain, context=F.coalesce("context", F.lit("")), question=F.coalesce("original", F.lit("")))
+    return F.when(F.contains(F.lower(verdict), F.lit("relevant")), "relevant").when(verdict.isNotNull(), "weak")
+
+
+def rewritten(router=None, prompts: Prompts | None = None) -> Column:
+    """Other words for ``original``: the fast model's, else its keywords."""
+    plain = rewrite("original", "question")
+    if router is None or not router.available("fast"):
+        return plain
+    return F.coalesce(F.nullif(F.trim((prompts or Prompts()).ask(router, "rewrite_query", question=F.coalesce("original", F.lit("")))), F.lit("")), plain)
+
+
 def _kept(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back, so that what follows works on one result."""
     path = f"{shared_dir(df.sparkSession)}/proofloom/answer-{uuid.uuid4().hex[:12]}"
@@ -184,7 +210,7 @@ def _kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def answer(questions: DataFrame, passages: DataFrame | None = None, k: int = 6, strict: bool = True, retriever: Retriever | None = None, router=None, doc_ids: list | None = None, scope: DataFrame | None = None, with_evidence: bool = False):
+def answer(questions: DataFrame, passages: DataFrame | None = None, k: int = 6, strict: bool = True, retriever: Retriever | None = None, router=None, doc_ids: list | None = None, scope: DataFrame | None = None, with_evidence: bool = False, prompts: Prompts | None = None):
     """(qid, task, attempts, grade, answer, claims, sources, flags, computed, verified, unverified) of each question.
 
     Weak retrieval is tried again with the question's keywords; a third attempt
@@ -195,24 +221,31 @@ def answer(questions: DataFrame, passages: DataFrame | None = None, k: int = 6,
     written once.
     """
     retriever = retriever or LocalRetriever(passages)
-    asked = questions.select("qid", F.col("question").alias("original"), "question", lane("question").alias("task"))
-    done, evidence, contexts = [], [], []
+    prompts, keyed = prompts or Prompts(), router is not None and router.available("fast")
+    posed = questions.withColumn("_verdict", question_verdict("question"))
+    refused = posed.filter("_verdict <> 'ok'").select("qid", lane("question").alias("task"), F.lit(0).alias("attempts"), F.col("_verdict").alias("grade"))
+    posed = standalone(posed.filter("_verdict = 'ok'"), router, prompts)
+    asked = posed.select("qid", F.col("question").alias("original"), "question", lane("question").alias("task"))
+    asked = _kept(asked) if keyed else asked
+    done, evidence, contexts = [refused], [], []
     for attempt in (1, 2):
         found = _kept(located(retriever.retrieve(asked.select("qid", "question"), k, doc_ids, **({} if scope is None else {"scope": scope}))))
         shown = asked.join(context(found), "qid", "left").join(found.groupBy("qid").agg(F.array_join(F.collect_list("content"), " ").alias("bodies")), "qid", "left")
-        graded = _kept(shown.withColumn("grade", grade("original", "context", "task", F.coalesce("bodies", F.lit("")) if strict else None)))
+        plain = grade("original", "context", "task", F.coalesce("bodies", F.lit("")) if strict else None)
+        graded = _kept(shown.withColumn("grade", F.coalesce(graded_by_model(shown, router, prompts), plain)))
         good = graded.filter("grade = 'relevant' and context is not null")
         done.append(good.select("qid", "task", F.lit(attempt).alias("attempts"), "grade"))
         contexts.append(good.select("qid", "task", "original", "context"))
         evidence.append(found.join(good.select("qid"), "qid", "left_semi"))
         weak = graded.join(good.select("qid"), "qid", "left_anti")
-        asked = weak.select("qid", "original", rewrite("original", "question").alias("question"), "task")
+        asked = weak.select("qid", "original", rewritten(router, prompts).alias("question"), "task")
+        asked = _kept(asked) if keyed else asked
     done.append(asked.select("qid", "task", F.lit(MAX_ATTEMPTS), F.lit("weak")))
     evidence, shown = reduce(DataFrame.unionByName, evidence), reduce(DataFrame.union, contexts)
-    numbers = computed(shown, router)
+    numbers = computed(shown, router, prompts)
     answers = extracts(evidence)
     if router is not None and router.available("answer"):
-        answers = _by_model(shown, numbers, evidence, answers, router)
+        answers = _by_model(shown, numbers, evidence, answers, router, prompts)
     out = reduce(DataFrame.union, done).join(answers, "qid", "left").join(numbers.select("qid", F.col("result").alias("computed")), "qid", "left").join(sources(evidence), "qid", "left")
     warned = flags(evidence).groupBy("qid").agg(F.sort_array(F.collect_set("flag")).alias("flags"))
     out = out.withColumn("answer", F.coalesce("answer", F.lit(ABSTAIN))).withColumn("has_sources", F.col("sources").isNotNull() & ~F.col("answer").startswith(ABSTAIN))
@@ -226,10 +259,10 @@ def located(found: DataFrame) -> DataFrame:
     return found.select(*found.columns, *[F.lit(None).cast(t).alias(c) for c, t in kinds.items() if c not in found.columns])
 
 
-def _by_model(shown: DataFrame, numbers: DataFrame, evidence: DataFrame, plain: DataFrame, router) -> DataFrame:
+def _by_model(shown: DataFrame, numbers: DataFrame, evidence: DataFrame, plain: DataFrame, router, prompts: Prompts | None = None) -> DataFrame:
     """(qid, answer, claims) by the model: cited claims validated and snapped; prose where a reply does not parse; extracts where no model answers."""
     note = F.concat(F.lit("\nA verified exact calculation: "), "expr", F.lit(" = "), F.col("result").cast("string"))
-    told = _kept(synthesized(shown.join(numbers, "qid", "left").withColumn("note", note), router).withColumn("r", parse_reply("reply")))
+    told = _kept(synthesized(shown.join(numbers, "qid", "left").withColumn("note", note), router, prompts).withColumn("r", parse_reply("reply")))
     claims = told.filter("not r.insufficient").select("qid", F.posexplode("r.claims").alias("claim", "c")).select("qid", "claim", F.col("c.text").alias("text"), "c.citations")
     cited = claims.select("qid", "claim", "text", F.posexplode("citations").alias("cite", "x")).select("qid", "claim", "cite", F.col("x.page").cast("int").alias("page"), F.col("x.block_id").cast("int").alias("block_id"), "text")
     snapped = verify.snap(verify.validate(cited, evidence), evidence).groupBy("qid", "claim").agg(F.transform(F.array_sort(F.collect_list(F.struct("cite", "page", "block_id"))), lambda x: F.struct(x["page"].alias("page"), x["block_id"].alias("block_id"))).alias("citations"))

@@ -108,6 +108,17 @@ def judge_says_correct(verdict: Column) -> Column:
     return F.contains(v, F.lit("correct")) & ~F.contains(v, F.lit("incorrect"))
 
 
+def judged(answers: DataFrame, router=None, prompts=None) -> DataFrame:
+    """``answers`` (question, reference, answer) with ``correct`` by the model of the role judge; null without one, where it does not answer, and without a reference."""
+    if router is None or not router.available("judge"):
+        return answers.withColumn("correct", F.lit(None).cast("boolean"))
+    from .prompts import Prompts
+
+    text = {c: F.coalesce(c, F.lit("")) for c in ("question", "reference", "answer")}
+    verdict = (prompts or Prompts()).ask(router, "judge_correctness", F.col("reference").isNotNull(), **text)
+    return answers.withColumn("_v", verdict).withColumn("correct", judge_says_correct(F.col("_v"))).drop("_v")
+
+
 def seeded_sample(cases: DataFrame, n: int, seed: int = 42, key: str = "qid") -> DataFrame:
     """``n`` rows that depend on the seed and the keys alone."""
     return cases.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)

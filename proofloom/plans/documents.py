@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import answer, brief, evals, layout, pages, retrieve, search_index, verify
+from ..operators import answer, brief, enrich, evals, layout, pages, retrieve, search_index, verify
 from ..sources import blocks as S
 from ..sources import pdf, stores
 from ..streaming.ingest import shared_dir
@@ -321,6 +322,21 @@ def compare_rows(spark, sf_dir):
     return brief.compare_rows(side("BUILDING"), side("MACHINERY"), items).select("qid", "heading", "status", F.round("abs", 2).alias("abs"), "direction")
 
 
+@query(
+    """WITH c AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, floor(o_totalprice)::BIGINT % 97 AS k FROM orders),
+r AS (SELECT *, CASE WHEN k % 13 = 5 THEN NULL WHEN k % 3 = 0 THEN '' ELSE 'told ' || k END AS value FROM c),
+u AS (SELECT *, min(CASE WHEN value IS NULL THEN n END) OVER (PARTITION BY doc_id) AS stop, count(*) FILTER (value <> '') OVER (PARTITION BY doc_id ORDER BY n) AS so_far FROM r)
+SELECT doc_id, n, value AS content FROM u WHERE value <> '' AND (stop IS NULL OR n < stop) AND so_far <= 4"""
+)
+def provider_quota(spark, sf_dir):
+    """Up to four contents for each customer's orders, asked of a provider that fails by key and has nothing for others."""
+    n = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long")
+    c = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), n.alias("n"), (F.floor("o_totalprice") % 97).cast("string").alias("key"))
+    ask = lambda p: F.when(F.col(p).cast("int") % 13 != 5, F.when(F.col(p).cast("int") % 3 == 0, "").otherwise(F.concat(F.lit("told "), p)))
+    store = stores.text_cache(spark, f"{shared_dir(spark)}/proofloom/replies-{uuid.uuid4().hex[:12]}")
+    return enrich.within_quota(c.withColumn("prompt", F.col("key")), ask, store, cap=4)
+
+
 # --- measures ----------------------------------------------------------------------------------------------------
 
 
