@@ -67,38 +67,22 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-#: Queries that one task holds at a time, whatever the number of all.
-QUERY_BLOCK = 4096
-
-
-def dense_top(queries: DataFrame, vectors: DataFrame, n: int = WINDOW, key: str = "vec_id") -> DataFrame:
-    """Exact nearest vectors by cosine: (qid, key, score, rank). ``queries``: qid, query. A stated query set goes past all vectors.
-
-    Blocks of vectors are multiplied with blocks of queries as matrices, and
-    only the ``n`` best of each query in a task leave it. Null vectors, vectors
-    of another length and zero vectors match nothing. Empty tables: no rows.
-    """
-    schema = f"qid {dict(queries.dtypes)['qid']}, {key} {dict(vectors.dtypes)[key]}, score double"
-    own = vectors.select(key, "embedding").filter("embedding is not null")
-    asked = queries.select("qid", "query").filter("query is not null")
-    blocks = asked.count() // QUERY_BLOCK + 1
-    arms = []
-    for k in range(blocks):  # the stated query set, in blocks
-        part = asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k) if blocks > 1 else asked
-        rows = part.toArrow()
-        if not len(rows):
-            continue
-        length = max(map(len, rows.column("query").to_pylist()))
-        rows = rows.filter(pa.array([len(q) == length for q in rows.column("query").to_pylist()]))
-        matrix = _vectors(rows.column("query").combine_chunks())
-        norms = np.sqrt((matrix * matrix).sum(1))
-        rows, matrix = rows.filter(pa.array(norms > 0)), matrix[norms > 0] / norms[norms > 0, None]
-        ids = rows.column("qid").combine_chunks()
-
-        def run(batches: Iterator[pa.RecordBatch], matrix=matrix, ids=ids, length=length) -> Iterator[pa.RecordBatch]:
-            best, of = np.zeros((len(matrix), 0)), np.zeros((len(matrix), 0), np.int64)
-            held = None
-            for b in batches:
+#: Queries that one task holds at a time, whatever the number of all, and the products that it works out at once.
+QUERY_BLOCK, PRODUCTS = 4096, 1 << 22
+
+
+def _nearest(queries: pa.Table, key: str, length: int, n: int):
+    """Reads (key, embedding); emits the ``n`` best of a task's vectors of ``length`` for each query."""
+    matrix = _vectors(queries.column("query").combine_chunks())
+    norms = np.sqrt((matrix * matrix).sum(1))
+    ids, matrix = queries.column("qid").combine_chunks().filter(pa.array(norms > 0)), matrix[norms > 0] / norms[norms > 0, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, of, held = np.zeros((len(matrix), 0)), np.zeros((len(matrix), 0), np.int64), None
+        step = max(PRODUCTS // max(len(matrix), 1), 1)
+        for whole in batches:
+            for start in range(0, whole.num_rows, step):
+                b = whole.slice(start, step)
                 b = b.filter(pa.array([x == length for x in pa.compute.list_value_length(b.column(1)).to_pylist()]))
                 v = _vectors(b.column(1)) if len(b) else np.zeros((0, length))
                 size = np.sqrt((v * v).sum(1))
@@ -114,16 +98,33 @@ def dense_top(queries: DataFrame, vectors: DataFrame, n: int = WINDOW, key: str
                 best, of = np.take_along_axis(score, order, 1), np.take_along_axis(at, order, 1)
                 used, back = np.unique(of, return_inverse=True)  # forget the vectors that no query keeps
                 held, of = held.take(pa.array(used)), back.reshape(of.shape)
-            if held is not None:
-                q = np.repeat(np.arange(len(matrix)), best.shape[1])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), held.take(pa.array(of.ravel())), pa.array(best.ravel())], ["qid", key, "score"])
-
-        arms.append(own.mapInArrow(run, schema))
-    if not arms:
-        return top(queries.sparkSession.createDataFrame([], schema), n, key)
-    out = arms[0]
-    for x in arms[1:]:
-        out = out.union(x)
+        if held is not None:
+            q = np.repeat(np.arange(len(matrix)), best.shape[1])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), held.take(pa.array(of.ravel())), pa.array(best.ravel())], ["qid", key, "score"])
+
+    return run
+
+
+def dense_top(queries: DataFrame, vectors: DataFrame, n: int = WINDOW, key: str = "vec_id") -> DataFrame:
+    """Exact nearest vectors by cosine: (qid, key, score, rank). ``queries``: qid, query. A stated query set goes past all vectors.
+
+    Blocks of vectors are multiplied with blocks of queries as matrices, and
+    only the ``n`` best of each query in a task leave it. A query meets vectors of
+    its own length. Null vectors, zero vectors and null queries match nothing.
+    Empty tables: no rows.
+    """
+    schema = f"qid {dict(queries.dtypes)['qid']}, {key} {dict(vectors.dtypes)[key]}, score double"
+    own = vectors.select(key, "embedding").filter("embedding is not null")
+    asked = queries.select("qid", "query").filter("query is not null and size(query) > 0 and not exists(query, x -> x is null)")
+    own = own.filter("not exists(embedding, x -> x is null)")
+    out = queries.sparkSession.createDataFrame([], schema)
+    for length, count in asked.groupBy(F.size("query").alias("n")).count().orderBy("n").collect():  # a few lengths
+        blocks = count // QUERY_BLOCK + 1
+        for k in range(blocks):  # the stated query set, in blocks
+            part = asked.filter(F.size("query") == length)
+            rows = (part.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k) if blocks > 1 else part).toArrow()
+            if len(rows):
+                out = out.union(own.mapInArrow(_nearest(rows, key, length, n), schema))
     return top(out, n, key)
 
 
@@ -249,11 +250,17 @@ class LocalRetriever:
     def _dense(self, questions: DataFrame, n: int) -> DataFrame | None:
         if self.embedder is None or "vector" not in self.passages.columns:
             return None
+        embedder = self.embedder
+
+        @F.pandas_udf("array<double>")
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in parts:
+                yield s.map(lambda q: [float(x) for x in embedder.embed_query(q or "")])
+
         try:
-            rows = [(r.qid, [float(x) for x in self.embedder.embed_query(r.question)]) for r in questions.select("qid", "question").collect()]  # the stated questions
+            queries = kept(questions.select("qid", run("question").alias("query")))
         except Exception:  # an embedder that fails leaves the search by terms
             return None
-        queries = questions.sparkSession.createDataFrame(rows, f"qid {dict(questions.dtypes)['qid']}, query array<double>")
         return dense_top(queries, self.passages.select("chunk_id", F.col("vector").alias("embedding")), n, "chunk_id")
 
     def retrieve(self, questions: DataFrame, k: int = 6, doc_ids: list | None = None, scope: DataFrame | None = None) -> DataFrame:
