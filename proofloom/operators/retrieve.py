@@ -28,8 +28,9 @@ RRF = 60
 
 
 def postings(passages: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
-    """(key, term, tf): how often each term stands in a passage."""
-    return passages.select(key, F.explode(terms(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """(key, term, tf): how often each term stands in a passage. Texts are dealt out by key, so that terms are counted where they are found."""
+    own = passages.select(key, text).repartition(int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return own.select(key, F.explode(terms(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def term_weights(index: DataFrame, n: int | Column, key: str = "chunk_id") -> DataFrame:
