@@ -201,14 +201,22 @@ def hex_digits(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-#: Copies alike in four fifths of their five-word shingles: fingerprints of the words that the covering tables are over, radius in each, and
-#: most differing bits of the 256-bit fingerprint of the shingles. Jaccard 0.8 is a cosine of 0.89, an angle of 0.15 pi, 39 bits of 256.
+#: Copies alike in four fifths of their five-word shingles: fingerprints of the words that the covering tables are over, and radius in each.
 PRINTS, PRINT_RADIUS = 6, 3
-SHINGLE, SHINGLE_WORDS, SHINGLE_BITS = 5, 4, 46
+#: The 256-bit fingerprint of the shingles. Jaccard 0.8 is a cosine of 0.89, an angle of 0.15 pi, 39 bits of 256 (deviation 5.7): pairs of up to
+#: LOOSE_BITS are candidates, whose sets of shingles are compared; SHINGLE_BITS decide only in groups of candidates too large for one task.
+SHINGLE, SHINGLE_WORDS, SHINGLE_BITS, LOOSE_BITS = 5, 4, 46, 54
 #: Paths kept for the tables of each fingerprint, those that split them included.
 PATHS = (2 << PRINT_RADIUS) ** 6
+#: Texts of up to SHORT shingles, whose word fingerprints an edit moves far, also meet by BANDS keys of BAND_MINS least shingle hashes each:
+#: a pair of 0.8 has a key in common with probability 1 - (1 - 0.8^3)^10 = 0.9992.
+SHORT, BANDS, BAND_MINS = 64, 10, 3
+BAND_PATH = PRINTS * (PATHS + 1)
 #: Rows up to which all pairs of a bucket are compared at once.
 DENSE_ROWS = 2048
+#: A group of candidates whose sets are compared in one task: texts and their bytes.
+GROUP_TEXTS, GROUP_BYTES = 1 << 14, 32 << 20
+_SPREAD = np.random.default_rng(20).integers(0, 1 << 63, BANDS * BAND_MINS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _majority(raw: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -219,14 +227,38 @@ def _majority(raw: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.packbits(bits * 2 > weights.sum())
 
 
-def wide_prints(batch: list[bytes]) -> tuple[list[bytes], np.ndarray]:
-    """Of each text, a digest of its word sequence, and words of 64 bits: PRINTS fingerprints of its words, and one of 256 bits of its shingles.
+def _grams(ws: list[bytes]) -> list[bytes]:
+    """The shingles of a text's words, in order; fewer words: the whole sequence."""
+    line, n = b" ".join(ws), len(ws)
+    if n < SHINGLE:
+        return [line]
+    ends = np.cumsum(np.fromiter(map(len, ws), np.int64, n) + 1)
+    return [line[i:j] for i, j in zip([0, *ends[:-SHINGLE].tolist()], (ends[SHINGLE - 1 :] - 1).tolist())]
 
-    A word counts as often as it stands in shingles, so that an edit moves the
-    fingerprints of a short text no more than its shingles.
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """Keys (signed) of a set of shingle hashes: each of BAND_MINS least values under hash functions of its own."""
+    least = _mixed(hashes[None, :] * _SPREAD[:, None]).min(1).reshape(BANDS, BAND_MINS)
+    key = least[:, 0]
+    for k in range(1, BAND_MINS):
+        key = _mixed(key + least[:, k])
+    return key.view(np.int64).tolist()
+
+
+def wide_prints(batch: list[bytes]) -> tuple[list[bytes], np.ndarray, list[list[int] | None]]:
+    """Of each text, a digest of its word sequence, words of 64 bits, and the band keys of a short text.
+
+    The words of 64 bits are PRINTS fingerprints of its words, and one of 256
+    bits of its shingles. A word counts as often as it stands in shingles, so
+    that an edit moves the fingerprints no more than the shingles.
     """
     split = [words(t) for t in batch]
-    out = np.zeros((len(batch), 8 * (PRINTS + SHINGLE_WORDS)), np.uint8)
+    out, keys = np.zeros((len(batch), 8 * (PRINTS + SHINGLE_WORDS)), np.uint8), []
     h, known = xxhash.xxh3_128_digest, {}
     for k, ws in enumerate(split):
         n = len(ws)
@@ -237,19 +269,17 @@ def wide_prints(batch: list[bytes]) -> tuple[list[bytes], np.ndarray]:
             if w not in known:
                 known[w] = hashlib.blake2b(w, digest_size=8 * PRINTS).digest()
         raw = np.frombuffer(b"".join(map(known.__getitem__, place)), np.uint8).reshape(len(place), 8 * PRINTS)
-        line = b" ".join(ws)
-        ends = np.cumsum(np.fromiter(map(len, ws), np.int64, n) + 1)
-        cuts = zip([0, *ends[:-SHINGLE].tolist()], (ends[SHINGLE - 1 :] - 1).tolist()) if n >= SHINGLE else [(0, len(line))]
-        grams = [line[i:j] for i, j in cuts]
+        grams = _grams(ws)
         hashes = np.frombuffer(b"".join(x for g in grams for x in (h(g), h(g, 1))), np.uint8).reshape(len(grams), 8 * SHINGLE_WORDS)
         out[k] = np.concatenate([_majority(raw, np.bincount(ids, times, len(place)).astype(np.int64)), _majority(hashes, np.ones(len(grams), np.int64))])
-    return [hashlib.md5(b" ".join(ws)).digest() for ws in split], out.view(np.uint64)
+        keys.append(band_keys(hashes.view(np.uint64)[:, 0]) if len(grams) <= SHORT else None)
+    return [hashlib.md5(b" ".join(ws)).digest() for ws in split], out.view(np.uint64), keys
 
 
-def judged_pairs(prints: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the rows (fingerprints of shingles) that are copies of each other, whatever their number; room for a few columns of the rows."""
+def judged_pairs(prints: np.ndarray, most: int = SHINGLE_BITS) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of rows (fingerprints of shingles) that differ in ``most`` bits or fewer, whatever their number; room for a few columns of the rows."""
     n, wide = prints.shape
-    copies = lambda x, y: sum(np.bitwise_count(x[..., k] ^ y[..., k]).astype(np.int16) for k in range(wide)) <= SHINGLE_BITS
+    copies = lambda x, y: sum(np.bitwise_count(x[..., k] ^ y[..., k]).astype(np.int16) for k in range(wide)) <= most
     near = copies(prints[:, None], prints[None]) if n <= DENSE_ROWS else None
     rest, out = np.arange(n), []  # rows that no tree has yet
     while len(rest):
@@ -265,8 +295,75 @@ def judged_pairs(prints: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def shingle_set(text: bytes) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's shingles, sorted; never empty."""
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, _grams(words(text))), np.uint64))
+
+
+def exact_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of ``sets`` whose Jaccard similarity is 0.8 or more.
+
+    One set is compared with all that no tree has yet at once. A tree starts at
+    the set whose elements are the commonest ones, so that a text with many
+    copies takes most of them in one step.
+    """
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, local = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.append(0, np.cumsum(sizes))
+    often = np.bincount(local)
+    order = np.argsort(-np.add.reduceat(often[local], starts[:-1]) / sizes, kind="stable")
+    own = [local[starts[i] : starts[i + 1]].astype(np.int32) for i in range(n)]
+    mark = np.zeros(len(often), np.int8)
+    rest, out = order, []
+    while len(rest) > 1:
+        queue, rest = [int(rest[0])], rest[1:]
+        flat = None
+        while queue and len(rest):
+            if flat is None:
+                flat, at = np.concatenate([own[j] for j in rest]), np.append(0, np.cumsum(sizes[rest])[:-1])
+            i = queue.pop()
+            mark[own[i]] = 1
+            both = np.add.reduceat(mark[flat], at, dtype=np.int64)
+            mark[own[i]] = 0
+            found = 9 * both >= 4 * (sizes[i] + sizes[rest])  # both / (a + b - both) >= 4 / 5
+            if found.any():
+                more = rest[found].tolist()
+                rest, flat = rest[~found], None
+                queue.extend(more)
+                out.extend((i, j) for j in more)
+    return out
+
+
+def _exact_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads rows (group, node, text) sorted by group and node; emits links (u, v) of a group's nodes. Repeated nodes count once."""
+    group, nodes, sets = None, [], []
+
+    def flush() -> list[tuple[int, int]]:
+        return [(nodes[i], nodes[j]) for i, j in exact_pairs(sets)] if len(nodes) > 1 else []
+
+    def pack(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["u", "v"])
+
+    for b in batches:
+        rows: list[tuple[int, int]] = []
+        for g, node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2))):
+            if g != group:
+                rows += flush()
+                group, nodes, sets = g, [], []
+            if not nodes or node != nodes[-1]:
+                nodes.append(node)
+                sets.append(shingle_set(text))
+        if rows:
+            yield pack(rows)
+    if rows := flush():
+        yield pack(rows)
+    trim()
+
+
 def _print_runs(most: int):
-    """Reads rows (path, key, node, print, shingle fingerprint...) sorted by path and key; emits pairs (null, u, v) of a bucket's nodes, and rows (path, node, null).
+    """Reads rows (path, key, node, print, shingle fingerprint...) sorted by path and key; emits candidates (-1, u, v) of a bucket's nodes, of them
+    again as (-2, u, v) a forest of those of SHINGLE_BITS or fewer, and rows (path, node, null).
 
     The rows are those of buckets of more than ``most`` distinct fingerprints,
     to be dealt again. Nodes of one fingerprint can't be dealt apart, so any
@@ -282,7 +379,8 @@ def _print_runs(most: int):
                 return []
             rows = np.concatenate(held)
             rows = rows[np.argsort(rows[:, 0], kind="stable")]
-            return [(None, int(rows[i, 0]), int(rows[j, 0])) for i, j in judged_pairs(np.ascontiguousarray(rows[:, 2:]).view(np.uint64))]
+            prints = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+            return [(kind, int(rows[i, 0]), int(rows[j, 0])) for kind, bits in ((-1, LOOSE_BITS), (-2, SHINGLE_BITS)) for i, j in judged_pairs(prints, bits)]
 
         def pack(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
@@ -317,16 +415,64 @@ def _print_runs(most: int):
     return run
 
 
-def alike(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def _candidates(same: DataFrame, cols: list[str], n_parts: int, bucket_rows: int) -> DataFrame:
+    """(kind, u, v): forests of the nodes of each bucket, kind -1 at LOOSE_BITS and -2 at SHINGLE_BITS.
+
+    Buckets are those of the covering tables over each word fingerprint, split
+    as in :func:`links`, and those of the band keys of short texts. A band's
+    bucket of more than ``bucket_rows`` different fingerprints is split by the
+    keys of all other bands.
+    """
+    run_pairs = _print_runs(bucket_rows)
+    sketch = cols[PRINTS:]
+    out, nodes = [], same.withColumn("only", F.explode(F.array(*[F.lit(k) for k in range(PRINTS)])))
+    banded = same.filter("bands is not null").select("*", F.posexplode("bands").alias("band", "key"))
+    banded = banded.select((F.col("band") + BAND_PATH).alias("path"), "key", "node", F.col(cols[0]).alias("print"), *sketch)
+    # table v of fingerprint k is path PRINTS + k * PATHS + v; the tables that split it are known by their paths
+    size = 2 << PRINT_RADIUS
+    arms = [(k, PRINTS + k * PATHS + v, k, m) for k in range(PRINTS) for v, m in enumerate(covering_masks(PRINT_RADIUS))]
+    while arms or banded is not None:
+        masks = same.sparkSession.createDataFrame([(o, p, k, _signed(m)) for o, p, k, m in arms], "only int, path int, k int, mask long")  # at most 15 for each split table
+        dealt = nodes.join(F.broadcast(masks), "only").withColumn("print", F.element_at(F.array(*cols[:PRINTS]), F.col("k") + 1))
+        dealt = dealt.select("path", F.col("print").bitwiseAND(F.col("mask")).alias("key"), "node", "print", *sketch)
+        if banded is not None:
+            dealt = dealt.unionByName(banded)
+        found = saved(dealt.repartition(n_parts, "path", "key").sortWithinPartitions("path", "key").mapInArrow(run_pairs, "path int, u long, v long"), "pairs")
+        out.append(found.filter("path < 0").withColumnRenamed("path", "kind"))
+        over = found.filter("path >= 0").select(F.col("path").alias("only"), F.col("u").alias("node")).distinct()
+        mask_of = {p: (k, m) for _, p, k, m in arms}
+        arms, banded = [], None
+        nodes = over.join(same, "node")
+        for (p,) in over.select("only").distinct().collect():  # at most the masks of a level
+            if p >= BAND_PATH:
+                own = nodes.filter(F.col("only") >= BAND_PATH).withColumn("band", F.col("only") - BAND_PATH)
+                own = own.select("*", F.posexplode("bands").alias("other", "key2")).filter("other <> band")
+                key = F.xxhash64(F.element_at("bands", F.col("band") + 1), "key2")
+                path = F.lit(BAND_PATH + BANDS) + F.col("band") * BANDS + F.col("other")
+                banded = own.select(path.alias("path"), key.alias("key"), "node", key.alias("print"), *sketch)
+                continue
+            k, m = mask_of[p]
+            free = _free(m)
+            for v, more in enumerate(covering_masks(PRINT_RADIUS, free) if len(free) > PRINT_RADIUS else []):
+                arms.append((p, PRINTS + k * PATHS + (p - PRINTS - k * PATHS + 1) * size + v, k, m | more))
+    return reduce(DataFrame.union, out)
+
+
+def alike(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, group_texts: int = GROUP_TEXTS) -> DataFrame:
     """(doc_id, text_key, group, root) for each row of ``docs`` that has a doc_id: documents of one group are copies of each other.
 
-    Two documents are linked if their words are the same, or if the 256-bit
-    SimHash of their five-word shingles differs in at most SHINGLE_BITS bits,
-    as it does from a Jaccard similarity of about 0.8 on. Pairs come from
-    covering tables over fingerprints of the words, which edits move much less
-    than shingles. root is the smallest doc_id of the group; text_key is the
-    MD5 of the text. Rows of one doc_id and different texts are documents
-    apart. Wordless texts are all the same. Empty input: no rows.
+    Two documents are linked if their words are the same, or if the sets of
+    their five-word shingles have a Jaccard similarity of 0.8 or more.
+    Candidates are pairs whose 256-bit SimHash of the shingles differs in at
+    most LOOSE_BITS bits, taken from covering tables over fingerprints of the
+    words, which edits move much less than shingles, and for short texts from
+    bands of least shingle hashes. The texts of each connected group of
+    candidates are compared exactly in one task; only a group of more than
+    ``group_texts`` different texts or GROUP_BYTES is judged by SHINGLE_BITS.
+
+    root is the smallest doc_id of the group; text_key is the MD5 of the text.
+    Rows of one doc_id and different texts are documents apart. Wordless texts
+    are all the same. Empty input: no rows.
     """
     small_batches(docs.sparkSession)
     wide = PRINTS + SHINGLE_WORDS
@@ -334,37 +480,30 @@ def alike(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digest, prints = wide_prints(texts(b.column(2)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(digest, pa.binary()), *[pa.array(prints[:, k].view(np.int64)) for k in range(wide)]], ["doc_id", "text_key", "digest", *cols])
+            digest, prints, keys = wide_prints(texts(b.column(2)))
+            values = [pa.array(digest, pa.binary()), *[pa.array(prints[:, k].view(np.int64)) for k in range(wide)], pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *values], ["doc_id", "text_key", "size", "digest", *cols, "bands"])
         trim()
 
     own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), "text")
-    found = saved(own.mapInArrow(run, "doc_id long, text_key string, digest binary, " + ", ".join(f"{c} long" for c in cols)), "prints")
+    schema = "doc_id long, text_key string, size long, digest binary, " + ", ".join(f"{c} long" for c in cols) + ", bands array<long>"
+    found = saved(own.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).mapInArrow(run, schema), "prints")
     # a node is a sequence of words; its number tells nothing but that it is the same
-    same = saved(found.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in cols]).withColumn("node", F.xxhash64("digest")), "nodes")
+    firsts = [F.min(F.struct("doc_id", "text_key", "size")).alias("x"), *[F.first(c).alias(c) for c in [*cols, "bands"]]]
+    same = found.groupBy("digest").agg(*firsts).select("digest", "x.doc_id", "x.text_key", "x.size", *cols, "bands", F.xxhash64("digest").alias("node"))
+    same = saved(same, "nodes")
     bucket_rows = max(bucket_rows, 2 << (PRINT_RADIUS + 1))  # more than the buckets hold whose masks could not shrink
-    run_pairs = _print_runs(bucket_rows)
-    pairs, nodes = [], same.withColumn("only", F.explode(F.array(*[F.lit(k) for k in range(PRINTS)])))
-    # table v of fingerprint k is path PRINTS + k * PATHS + v; the tables that split it are known by their paths
-    size = 2 << PRINT_RADIUS
-    arms = [(k, PRINTS + k * PATHS + v, k, m) for k in range(PRINTS) for v, m in enumerate(covering_masks(PRINT_RADIUS))]
-    while arms:
-        masks = docs.sparkSession.createDataFrame([(o, p, k, _signed(m)) for o, p, k, m in arms], "only int, path int, k int, mask long")  # at most 15 for each split table
-        dealt = nodes.join(F.broadcast(masks), "only").withColumn("print", F.element_at(F.array(*cols[:PRINTS]), F.col("k") + 1))
-        dealt = dealt.select("path", F.col("print").bitwiseAND(F.col("mask")).alias("key"), "node", "print", *cols[PRINTS:])
-        out = saved(dealt.repartition(parts(docs), "path", "key").sortWithinPartitions("path", "key").mapInArrow(run_pairs, "path int, u long, v long"), "pairs")
-        pairs.append(out.filter("path is null").select("u", "v"))
-        over = out.filter("path is not null").select("path", F.col("u").alias("node")).distinct()
-        mask_of = {p: (k, m) for _, p, k, m in arms}
-        arms = []
-        for (p,) in over.select("path").distinct().collect():  # at most the masks of a level
-            k, m = mask_of[p]
-            free = _free(m)
-            for v, more in enumerate(covering_masks(PRINT_RADIUS, free) if len(free) > PRINT_RADIUS else []):
-                arms.append((p, PRINTS + k * PATHS + (p - PRINTS - k * PATHS + 1) * size + v, k, m | more))
-        nodes = over.withColumnRenamed("path", "only").join(same.select("node", *cols), "node")
-    roots = components(reduce(DataFrame.union, pairs))
-    reps = same.select("digest", "node", "first_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    pairs = _candidates(same.select("node", *cols, "bands"), cols, parts(docs), bucket_rows)
+    near = components(pairs.filter("kind = -1").select("u", "v")).withColumnRenamed("root", "near")
+    of_group = saved(same.select("node", "doc_id", "text_key", "size").join(near, "node"), "near")
+    fits = of_group.groupBy("near").agg(((F.count("*") <= group_texts) & (F.sum("size") <= GROUP_BYTES)).alias("fits"))
+    of_group = saved(of_group.join(fits, "near"), "groups")
+    held = own.join(of_group.filter("fits").select("doc_id", "text_key", "near", "node"), ["doc_id", "text_key"])
+    compared = held.select("near", "node", "text").repartition(parts(docs), "near").sortWithinPartitions("near", "node").mapInArrow(_exact_runs, "u long, v long")
+    large = of_group.filter("not fits").select(F.col("node").alias("u"))
+    judged = pairs.filter("kind = -2").select("u", "v").join(large, "u", "left_semi")
+    roots = components(saved(compared.union(judged), "links"))
+    reps = same.select("digest", "node", F.col("doc_id").alias("first_doc")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = saved(reps.groupBy("root").agg(F.min("first_doc").alias("least")), "roots")
     reps = saved(reps.join(named, "root").select("digest", F.col("root").alias("group"), F.col("least").alias("root")), "reps")
     return found.select("doc_id", "text_key", "digest").join(reps, "digest").select("doc_id", "text_key", "group", "root")

@@ -34,7 +34,7 @@ def slow_pairs(rows):
             bits = np.bitwise_count(prints[a] ^ prints[b]).astype(int)
             x, y = sets[a], sets[b]
             j = len(x & y) / len(x | y) if 2 * min(len(x), len(y)) >= 0.5 * max(len(x), len(y)) else 0.0
-            if words[a] == words[b] or bits[P:].sum() <= simhash.SHINGLE_BITS or j >= 0.5:
+            if words[a] == words[b] or bits[P:].sum() <= simhash.LOOSE_BITS or j >= 0.5:
                 out.append((a, b, words[a] == words[b], bits, j))
     return ids, out
 
@@ -92,23 +92,89 @@ def slow_wide_print(t):
 def test_prints_bit_by_bit():
     rnd = random.Random(4)
     texts = ["", " ", "a", "a b c d", "a b c d e", "a B c d e f", "a a a b a a", " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 2) for _ in range(60))]
-    digests, prints = simhash.wide_prints([t.encode() for t in texts])
+    digests, prints, keys = simhash.wide_prints([t.encode() for t in texts])
     assert [p.tobytes() for p in prints] == [slow_wide_print(t) for t in texts]
     assert digests[0] == digests[1] and len(set(digests)) == len(texts) - 1
+    assert all(len(k) == simhash.BANDS for k in keys) and simhash.wide_prints([b"a " * 69])[2] == [None]
 
 
 def test_copies_against_brute_force(spark, data):
     rows = near_copies(data) + [(9000, None), (9001, ""), (9002, " \n"), (9003, "one word more"), (9003, "one word more"), (None, "no id"), (None, "no id")]
     slow = slow_pairs(rows)
-    judged = lambda d: d[P:].sum() <= simhash.SHINGLE_BITS
-    least = slow_roots(*slow, lambda d, j: judged(d) and min(d[:P]) <= simhash.PRINT_RADIUS)  # what the covering tables guarantee
-    most, exact, loose = slow_roots(*slow, lambda d, j: judged(d)), slow_roots(*slow, lambda d, j: j >= 0.8), slow_roots(*slow, lambda d, j: j >= 0.5)
+    judged = lambda d: d[P:].sum() <= simhash.LOOSE_BITS
+    least = slow_roots(*slow, lambda d, j: j >= 0.8 and judged(d) and min(d[:P]) <= simhash.PRINT_RADIUS)  # what the covering tables guarantee
+    exact = slow_roots(*slow, lambda d, j: j >= 0.8)
     for bucket_rows in (2048, 96):
         got = {r.doc_id: r.root for r in simhash.alike(docs_frame(spark, rows), bucket_rows=bucket_rows).collect()}
-        assert got.keys() == most.keys()
-        assert all(got[d] == got[r] for d, r in least.items()) and all(most[d] == most[r] for d, r in got.items())
-        assert np.mean([got[d] == got[r] for d, r in exact.items()]) > 0.98
-        assert all(loose[d] == loose[r] for d, r in got.items())
+        assert got.keys() == exact.keys()
+        assert all(got[d] == got[r] for d, r in least.items())
+        assert all(exact[d] == exact[r] for d, r in got.items()), "no link under 0.8"
+        assert np.mean([got[d] == got[r] for d, r in exact.items()]) > 0.99
+    # groups too large for one task are judged by their fingerprints
+    tight, loose = slow_roots(*slow, lambda d, j: d[P:].sum() <= simhash.SHINGLE_BITS and min(d[:P]) <= simhash.PRINT_RADIUS), slow_roots(*slow, lambda d, j: j >= 0.5)
+    got = {r.doc_id: r.root for r in simhash.alike(docs_frame(spark, rows), group_texts=1).collect()}
+    assert all(got[d] == got[r] for d, r in tight.items()) and all(loose[d] == loose[r] for d, r in got.items())
+
+
+def test_exact_pairs_against_all_pairs():
+    rnd = random.Random(31)
+    for n, words in ((1, 30), (2, 30), (60, 40), (200, 90)):
+        base = [f"{i}" for i in range(words)]
+        texts = []
+        for _ in range(n):
+            w = list(base if rnd.random() < 0.7 else rnd.choices(base, k=words))
+            for _ in range(rnd.randint(0, 3)):
+                w[rnd.randrange(len(w))] = f"x{rnd.randrange(50)}"
+            texts.append(" ".join(w))
+        texts += ["", "a", "a b", texts[0]]
+        root = list(range(len(texts)))
+        for a in range(len(texts)):
+            for b in range(a):
+                if jaccard(texts[a], texts[b]) >= 0.8:
+                    root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        got = list(range(len(texts)))
+        pairs = simhash.exact_pairs([simhash.shingle_set(t.encode()) for t in texts])
+        for a, b in pairs:
+            assert got[a] != got[b], "a forest"
+            got = [min(got[a], got[b]) if r in (got[a], got[b]) else r for r in got]
+        assert got == root
+
+
+def test_no_document_is_lost_to_a_text_under_four_fifths(spark):
+    """Chains of texts, each alike to the next in 0.66 to 0.79 of its shingles, and short and long pairs just at either side."""
+    rnd, rows, kept = random.Random(41), [], 0
+    for c in range(12):
+        w = [f"{rnd.randrange(10**9)}" for _ in range(60)]
+        for i in range(6):
+            rows.append((100 * c + i, " ".join(w)))
+            w = list(w)
+            for at in (9 + 4 * i, 10 + 4 * i, 11 + 4 * i, 12 + 4 * i):
+                w[at] = f"{rnd.randrange(10**9)}"
+            assert 0.6 <= jaccard(rows[-1][1], " ".join(w)) < 0.8
+            kept += 1
+    assert simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).count() == kept
+
+
+def test_short_texts_with_words_in_front(spark):
+    """Two thousand pairs of 20 words, of which the copy has four words more: Jaccard 0.8."""
+    rnd, rows = random.Random(42), []
+    for k in range(2000):
+        w = [f"{rnd.randrange(10**9)}" for _ in range(20)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([f"new{i}{rnd.randrange(10**6)}" for i in range(4)] + w))]
+    assert jaccard(rows[0][1], rows[1][1]) == 0.8
+    roots = {r.doc_id: r.root for r in simhash.alike(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([roots[2 * k + 1] == 2 * k for k in range(2000)]) >= 0.97 and all(roots[2 * k] == 2 * k for k in range(2000))
+
+
+def test_hot_band_of_short_texts(spark):
+    """A band's bucket with more fingerprints than it may have is split by the other bands, without losing its pairs."""
+    rnd, rows = random.Random(43), []
+    base = [f"{rnd.randrange(10**9)}" for _ in range(50)]
+    for i in range(300):
+        rows.append((i, " ".join(base[:-6] + [f"{rnd.randrange(10**9)}" for _ in range(3)] + base[-3:])))
+    got = Counter(r.root for r in simhash.alike(spark.createDataFrame(rows, "doc_id long, text string"), bucket_rows=32).collect())
+    sets = [simhash.shingle_set(t.encode()) for _, t in rows]
+    assert sum(got.values()) == 300 and len(got) == 300 - len(simhash.exact_pairs(sets))
 
 
 def edits(rnd, w, kind):
@@ -126,7 +192,7 @@ def edits(rnd, w, kind):
 
 
 def test_recall_by_length_of_text():
-    """Pairs of two documents only, all words different: found if one covering table joins them and the fingerprints of their shingles agree."""
+    """Pairs of two documents only, all words different: candidates if a table or band joins them and the fingerprints of their shingles agree."""
     rnd, found = random.Random(5), {}
     for n, kinds in ((14, "last front"), (20, "last front"), (30, "last front"), (52, "middle"), (60, "middle inside"), (120, "middle inside"), (400, "middle inside")):
         for kind in kinds.split():
@@ -139,16 +205,14 @@ def test_recall_by_length_of_text():
                         b = edits(rnd, b, kind)
                     if jaccard(" ".join(a), " ".join(b)) < 0.8:
                         continue
-                    x, y = simhash.wide_prints([" ".join(a).encode(), " ".join(b).encode()])[1]
+                    _, (x, y), keys = simhash.wide_prints([" ".join(a).encode(), " ".join(b).encode()])
                     d = np.bitwise_count(x ^ y).astype(int)
                     total += 1
-                    hits += min(d[:P]) <= simhash.PRINT_RADIUS and d[P:].sum() <= simhash.SHINGLE_BITS
+                    bands = keys[0] and keys[1] and any(p == q for p, q in zip(*keys))
+                    hits += bool((min(d[:P]) <= simhash.PRINT_RADIUS or bands) and d[P:].sum() <= simhash.LOOSE_BITS)
                 if total >= 50:
                     found[n, kind, many] = round(hits / total, 3)
-    front = {k: v for k, v in found.items() if k[1] == "front" and k[2] > 1}  # several words in front of a short text move all weights: the weakest case
-    rest = [v for k, v in found.items() if k not in front]
-    assert len(rest) > 20 and min(rest) >= 0.9 and np.mean(rest) >= 0.98, found
-    assert np.mean(list(front.values())) >= 0.6, found
+    assert len(found) > 25 and min(found.values()) >= 0.9 and np.mean(list(found.values())) >= 0.98, found
 
 
 def test_many_copies_with_one_fingerprint(spark):
@@ -191,17 +255,18 @@ def test_star_of_copies_with_one_fingerprint(spark):
         rows.append((i, " ".join(w)))
     prints = simhash.wide_prints([t.encode() for _, t in rows])[1]
     assert (prints[:, :P] == prints[0, :P]).all()
-    near = np.bitwise_count(prints[:, None, P:] ^ prints[None, :, P:]).sum(2, dtype=np.int64) <= simhash.SHINGLE_BITS
+    sets = [shingles(t) for _, t in rows]
+    near = np.array([[len(x & y) >= 0.8 * len(x | y) for y in sets] for x in sets])
     ids = [d for d, _ in rows]
     root = np.array(ids)
     for _ in rows:
         root = np.where(near, root, 9999).min(1)
     want = dict(zip(ids, root.tolist()))
-    out = {r.doc_id: r.root for r in simhash.alike(docs_frame(spark, rows), bucket_rows=96).collect()}
-    assert Counter(want.values()).most_common(1)[0][1] > 300
-    assert out == want
+    assert Counter(want.values()).most_common(1)[0][1] > 200
+    assert {r.doc_id: r.root for r in simhash.alike(docs_frame(spark, rows), bucket_rows=96).collect()} == want
     several = np.ascontiguousarray(np.concatenate([prints[:, P:]] * 6))  # beyond what is compared at once
-    assert len(simhash.judged_pairs(several)) == len(several) - len(set(want.values()))
+    once = len(simhash.judged_pairs(np.ascontiguousarray(prints[:, P:])))
+    assert len(simhash.judged_pairs(several)) == once + 5 * len(prints)
 
 
 def test_deduplicated_keeps_one_of_each(spark, data):
