@@ -15,8 +15,11 @@ hold there: not the runs that are template tokens themselves, and not what is
 furniture by its tag (menus, forms ...) or, unless it holds the article, by its
 class. A heading of its own around the main element belongs to the text as well.
 
-Tags alone decide on hosts of too few pages to tell template from content, and
-on pages that have no main element of the template.
+Where its host tells no main element of a page that marks none by a tag, its
+pool does: the pages of all hosts with the same elements at the top, whose
+elements make a template in the same way. What is text is never template by a
+pool, since other hosts may well have the same article. Tags alone decide on
+pages that mark their article, and on pages of too few of a kind.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from .common import saved, small_batches, trim
 LEAST_PAGES = 8  # with a token, for it to count
 LEAST_SHARE = 0.1  # of a host's pages that a token is on
 LEAST_CLASS = 3  # tokens of a valid class, an element's two tags being two
+POOL_DEPTH = 4  # elements around and including those that pages of a pool have in common
 MAIN_SHARE = 0.5  # of the text of the pages that have it, for an element to be the main one
 
 _TOKEN = re.compile(
@@ -207,6 +211,18 @@ def _hash(token: str) -> int:
 ELEMENT, HOLDER, TEXT = 0, 1, 2
 
 
+def pool_of(page: Page) -> str | None:
+    """What the page shares with its pool, the holders at its top; null if it marks its article by a tag, or has no holders."""
+    if any(page.main):
+        return None
+    depth, top = [0] * len(page.tags), set()
+    for k in range(1, len(depth)):
+        depth[k] = depth[page.parents[k]] + 1
+        if depth[k] <= POOL_DEPTH and page.tags[k] in HOLDERS and not page.out[k]:
+            top.add(page.paths[k])
+    return xxhash.xxh3_128_hexdigest("\n".join(sorted(top)).encode("utf-8", "surrogatepass")) if top else None
+
+
 def signature(page: Page) -> Iterator[tuple[int, int, int, int, int]]:
     """(token, kind, how often the page has it, its first place, characters of the text in it) of elements and runs of text that are not out."""
     counts: dict[int, list[int]] = {}
@@ -239,49 +255,63 @@ def nested(classes: list[dict]) -> list[dict]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, holders, texts) of each host that has valid classes: tokens of its template.
+    """(host, holders, texts) of each host that has valid classes: tokens of its template (see :func:`deduced`)."""
+    return deduced(pages).filter("not pool").drop("pool")
+
+
+def deduced(pages: DataFrame) -> DataFrame:
+    """(pool, host, holders, texts) of each host, and of each pool (pool is true, host its name), that has valid classes: tokens of its template.
 
     holders are the elements that may hold an article and that no page has
     twice, each with its share of the text of the pages that have it; texts are
     runs of text. A token counts from LEAST_PAGES pages and LEAST_SHARE of the
     host's pages on, so that a host's template is no more than a few pages long.
+    A pool has elements only, so its texts are empty.
     """
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("place", pa.int32()), ("chars", pa.int64()), ("of_page", pa.int64())])
+        schema = pa.schema([("pool", pa.bool_()), ("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("place", pa.int32()), ("chars", pa.int64()), ("of_page", pa.int64())])
         for b in batches:
-            rows = [(h, p, *x, page.chars[0]) for h, p, t in zip(*(c.to_pylist() for c in b.columns)) for page in (Page(t or ""),) for x in signature(page)]
+            rows = []
+            for h, p, t in zip(*(c.to_pylist() for c in b.columns)):
+                page = Page(t or "")
+                found, pool = [(p, *x, page.chars[0]) for x in signature(page)], pool_of(page)
+                rows += [(False, h, *x) for x in found]
+                rows += [(True, pool, *x) for x in found if pool and x[2] != TEXT]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
         trim()
 
     own = pages.select(host_column().alias("host"), F.xxhash64("page_id", "url").alias("page"), F.col("html").cast("string").alias("html"))
-    seen = own.mapInArrow(run, "host string, page long, token long, kind int, n int, place int, chars long, of_page long")
+    seen = own.mapInArrow(run, "pool boolean, host string, page long, token long, kind int, n int, place int, chars long, of_page long")
     # the occurrence vector: sums over pages of two hashes of (page, count), to which a repeated row adds like any other
-    each = seen.groupBy("host", "token").agg(
+    each = seen.groupBy("pool", "host", "token").agg(
         F.max("kind").alias("kind"), F.count("*").alias("pages"), F.sum("n").alias("total"), F.sum("chars").alias("chars"), F.sum("of_page").alias("of_page"),
         F.sum(F.pmod(F.xxhash64("page", "n"), F.lit(1 << 31))).alias("v1"), F.sum(F.pmod(F.xxhash64("n", "page"), F.lit(1 << 31))).alias("v2"), F.avg("place").alias("place"),
     )
-    sizes = pages.groupBy(host_column().alias("host")).agg(F.count("*").alias("of_host"))
-    frequent = each.filter(F.col("pages") >= LEAST_PAGES).join(sizes, "host").filter(F.col("pages") >= F.lit(LEAST_SHARE) * F.col("of_host"))
+    often = saved(each.filter(F.col("pages") >= LEAST_PAGES), "tokens")
+    sizes = pages.groupBy(F.lit(False).alias("pool"), host_column().alias("host")).agg(F.count("*").alias("of_host"))
+    # every page of a pool has the elements that it is known by
+    sizes = sizes.union(often.filter("pool").groupBy("pool", "host").agg(F.max("pages").alias("of_host")))
+    frequent = often.join(sizes, ["pool", "host"]).filter(F.col("pages") >= F.lit(LEAST_SHARE) * F.col("of_host"))
     share = F.when((F.col("kind") == HOLDER) & (F.col("total") == F.col("pages")), F.col("chars") / F.greatest("of_page", F.lit(1)))
     tokens = F.collect_list(F.struct("token", "kind", share.alias("share")))
     size = F.sum(F.when(F.col("kind") == TEXT, 1).otherwise(2))
-    classes = frequent.groupBy("host", "pages", "total", "v1", "v2").agg(tokens.alias("tokens"), size.alias("size"), F.min("place").alias("first"), F.max("place").alias("last")).filter(F.col("size") >= LEAST_CLASS)
-    hosts = classes.groupBy("host").agg(F.collect_list(F.struct("pages", "v1", "first", "last", "tokens")).alias("classes"))
+    classes = frequent.groupBy("pool", "host", "pages", "total", "v1", "v2").agg(tokens.alias("tokens"), size.alias("size"), F.min("place").alias("first"), F.max("place").alias("last")).filter(F.col("size") >= LEAST_CLASS)
+    hosts = classes.groupBy("pool", "host").agg(F.collect_list(F.struct("pages", "v1", "first", "last", "tokens")).alias("classes"))
 
     def nest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             holders, texts = [], []
-            for classes in b.column(1).to_pylist():
+            for classes in b.column(2).to_pylist():
                 tokens = [t for c in nested(classes) for t in c["tokens"]]
                 holders.append(sorted(((t["token"], t["share"]) for t in tokens if (t["share"] or 0) >= MAIN_SHARE)))
                 texts.append(sorted(t["token"] for t in tokens if t["kind"] == TEXT))
             kind = pa.list_(pa.struct([("token", pa.int64()), ("share", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[{"token": t, "share": s} for t, s in x] for x in holders], kind), pa.array(texts, pa.list_(pa.int64()))], ["host", "holders", "texts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[{"token": t, "share": s} for t, s in x] for x in holders], kind), pa.array(texts, pa.list_(pa.int64()))], ["pool", "host", "holders", "texts"])
 
-    return hosts.mapInArrow(nest, "host string, holders array<struct<token:long,share:double>>, texts array<long>")
+    return hosts.mapInArrow(nest, "pool boolean, host string, holders array<struct<token:long,share:double>>, texts array<long>")
 
 
 def main_element(page: Page, holders: set[int]) -> int:
@@ -299,7 +329,11 @@ def main_element(page: Page, holders: set[int]) -> int:
 
 def extract(html_text: str, holders: set[int] = frozenset(), texts: set[int] = frozenset()) -> str:
     """Main text of a page, given the template of its host (see :func:`templates`)."""
-    page = Page(html_text)
+    return _read(Page(html_text), holders, texts)[0]
+
+
+def _read(page: Page, holders: set[int], texts: set[int]) -> tuple[str, bool]:
+    """The main text of a page, and whether the template told it."""
     blocks = list(page.blocks())
     main = main_element(page, holders) if holders else 0
     if main:
@@ -310,9 +344,9 @@ def extract(html_text: str, holders: set[int] = frozenset(), texts: set[int] = f
         own = [(text, runs) for text, runs in blocks if any(inside[node] for node, _ in runs)]
         slots = [text for text, runs in own if not all(page.run_key(*r) in texts for r in runs)]
         if slots or own:  # a page with nothing but template in it is a copy of the others, not an empty one
-            return "\n".join(slots or [text for text, _ in own])
+            return "\n".join(slots or [text for text, _ in own]), True
     marked = [text for text, runs in blocks if any(page.main[node] for node, _ in runs)]
-    return "\n".join(marked or [text for text, _ in blocks])
+    return "\n".join(marked or [text for text, _ in blocks]), False
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -326,20 +360,37 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """
     small_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = saved(templates(own), "templates")
+    found = saved(deduced(own), "templates")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def by_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[set[int], set[int]]] = {}
         for b in batches:
-            texts = []
+            texts, pools, rest = [], [], []
             for k, (page, host) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist())):
                 if host not in known:
                     if len(known) > 200:
                         known.clear()
                     known[host] = ({x["token"] for x in b.column(4)[k].as_py() or ()}, set(b.column(5)[k].as_py() or ()))
-                texts.append(extract(page or "", *known[host]))
+                parsed = Page(page or "")
+                text, told = _read(parsed, *known[host])
+                texts.append(text)
+                pools.append(None if told else pool_of(parsed))
+                rest.append(page if pools[-1] else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.string()) for c in (texts, pools, rest))], ["page_id", "url", "text", "host", "html"])
+        trim()
+
+    def by_pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            for k, (page, holders) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist())):
+                if page and holders:
+                    texts[k] = extract(page, {x["token"] for x in holders})
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
         trim()
 
-    joined = own.withColumn("host", host_column()).join(found, "host", "left")
-    return joined.select("page_id", "url", "html", "host", "holders", "texts").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    joined = own.withColumn("host", host_column()).join(found.filter("not pool").drop("pool"), "host", "left")
+    read = joined.select("page_id", "url", "html", "host", "holders", "texts").mapInArrow(by_host, "page_id long, url string, text string, host string, html string")
+    # pages that need no pool are dealt out evenly: no pool has such a name
+    read = read.withColumn("host", F.coalesce("host", F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    joined = read.join(found.filter("pool").select("host", "holders"), "host", "left")
+    return joined.select("page_id", "url", "text", "html", "holders").mapInArrow(by_pool, "page_id long, url string, text string, n_chars long")

@@ -144,3 +144,25 @@ def test_given_pages(spark, data):
         inner = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         parts = (" ".join(html.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inner))
         assert out[r.page_id] == "\n".join(x for x in parts if x)
+
+
+def test_small_hosts_go_by_their_pool(spark, data):
+    """With every landmark tag renamed, pages of small hosts are read by the elements that pages of their kind have on all hosts."""
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url", "html").collect()]
+    want = {i: extract(h) for i, _, h in rows}
+    bare = [(i, f"http://h{n // 3}.example/", re.sub(r"<(/?)(?:article|main|nav|footer|header|aside)\b", r"<\1div", h)) for n, (i, _, h) in enumerate(rows)]
+    out = {r.page_id: r.text for r in htmltext.main_texts(spark.createDataFrame(bare, PAGES)).collect()}
+    right = sum(out[i] == want[i] for i in want)
+    assert len(bare) >= htmltext.LEAST_PAGES and right >= 0.95 * len(want)
+    assert sum(extract(h) == want[i] for i, _, h in bare) == 0, "tags alone tell none of them"
+
+
+def test_a_pool_has_no_text_in_its_template(spark):
+    """What pages of different hosts share stays, though each host's own boilerplate would go; a kind of too few pages goes by tags."""
+    rows, want = plain_site(20, seed=5)
+    apart = [(i, f"http://h{i}.example/", h) for i, _, h in rows]
+    box = "Read all of it here"
+    out = {r.page_id: r.text for r in htmltext.main_texts(spark.createDataFrame(apart + [(99, None, "<body><div><p>a</p></div><div>b</div></body>")], PAGES)).collect()}
+    assert all(out[i] == want[i].replace("\n", f"\n{box}\n", 1) for i in want) and out[99] == "a\nb"
+    pools = [r for r in htmltext.deduced(spark.createDataFrame(apart, PAGES)).collect()]
+    assert len(pools) == 1 and pools[0].pool and pools[0].holders and not pools[0].texts
