@@ -11,8 +11,9 @@ coreference holds within and across documents.
 Numbers and IPv4 addresses go through a keyed Feistel permutation of all bodies
 of their length: country code, first digit of a card, first octet and a card's
 check digit stay valid, and distinct numbers stay distinct by construction. A
-name word keeps its script and letter case. One that stands as a given name
-(first of two words) anywhere in the table ends by the gender of its titles.
+name word keeps its script and letter case, and ends by the gender of all the
+titles that it stands after in the table: a given name (first of two words) in
+a, o or, where titles differ or tell none, e; another in a or n.
 
 All replacements are then checked against each other and against the units of
 the table. Those that clash are derived again with the next attempt number, and
@@ -170,12 +171,43 @@ def _shaped(kind: Column, unit: Column, replacement: Column) -> Column:
 
 
 def _roles(found: DataFrame) -> DataFrame:
-    """(canonical, ending) of each name word: by the titles of the names that it is the first of two words of."""
-    titled = found.select(F.explode("titled").alias("n")).select(*[F.regexp_extract("n", TITLED, k).alias(c) for k, c in enumerate(("title", "one", "two"), 1)]).filter("two <> ''")
+    """(canonical, ending) of each name word: by the titles of the names that it stands in.
+
+    A word that is the first of two anywhere is a given name and goes by the
+    names that it is the first of; others, surnames and lone names, go by all
+    their names. A surname of both genders ends as one of no gender does.
+    """
+    titled = found.select(F.explode("titled").alias("n")).select(*[F.regexp_extract("n", TITLED, k).alias(c) for k, c in enumerate(("title", "one", "two"), 1)])
     title = F.regexp_replace("title", r"\.$", "")
-    each = titled.select(F.explode(F.regexp_extract_all(F.lower("one"), F.lit(r"\p{L}{2,}"), F.lit(0))).alias("canonical"), title.isin(*FEMALE).alias("f"), title.isin(*MALE).alias("m"))
-    told = each.groupBy("canonical").agg(F.max("f").alias("f"), F.max("m").alias("m"))
-    return told.select("canonical", F.when(F.col("f") & ~F.col("m"), "a").when(F.col("m") & ~F.col("f"), "o").otherwise("e").alias("ending"))
+    split = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"\p{L}{2,}"), F.lit(0))
+    given = F.transform(split("one"), lambda w: F.struct(w.alias("canonical"), (F.col("two") != "").alias("given")))
+    last = F.transform(split("two"), lambda w: F.struct(w.alias("canonical"), F.lit(False).alias("given")))
+    each = titled.select(F.explode(F.concat(given, last)).alias("w"), title.isin(*FEMALE).alias("f"), title.isin(*MALE).alias("m")).select("w.*", "f", "m")
+    told = each.groupBy("canonical").agg(F.max("given").alias("given"), *[F.max(F.when(F.col("given") | (k == "all"), F.col(c))).alias(f"{k}_{c}") for k in ("first", "all") for c in "fm"])
+    first = F.when(F.col("first_f") & ~F.col("first_m"), "a").when(F.col("first_m") & ~F.col("first_f"), "o").otherwise("e")
+    other = F.when(F.col("all_f") & ~F.col("all_m"), "a").otherwise("n")
+    return told.select("canonical", F.when(F.col("given"), first).otherwise(other).alias("ending"))
+
+
+#: Leading letters by which the words of a text's names are told apart step by step.
+TREE_DEPTH = 3
+
+
+def word_tree(words: str) -> Column:
+    """A pattern of the words in an array column, sorted and not empty: a tree over their first letters, so that a place in a text tries few words, not all."""
+    ws, empty = F.col(words), F.lit("")
+
+    def piece(w: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.element_at(ws, F.greatest(i, F.lit(1)))).otherwise(empty)
+        letters = [F.substring(w, k, 1) for k in range(1, TREE_DEPTH + 1)]
+        rest = F.substr(w, F.lit(TREE_DEPTH + 1))
+        out = F.concat(F.lit("|"), rest)
+        for k in reversed(range(TREE_DEPTH)):  # the first letter that differs from the word before
+            opened = F.concat(*[x for c in letters[k:] for x in (c, F.lit("(?:"))], rest)
+            out = F.when(F.substring(w, 1, k + 1) != F.substring(before, 1, k + 1), F.concat(F.when(i > 0, F.lit(")" * (TREE_DEPTH - k) + "|")).otherwise(empty), opened)).otherwise(out)
+        return out
+
+    return F.concat(F.array_join(F.transform(ws, piece), ""), F.lit(")" * TREE_DEPTH))
 
 
 def free_name(columns: list[str], wanted: str) -> str:
@@ -199,9 +231,10 @@ def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     found = own.filter(hinted).withColumn("titled", F.regexp_extract_all("t", F.lit(TITLED), F.lit(0)))
     # the words of a document's names, in the spellings that other mentions may have
     words = F.flatten(F.transform("titled", lambda n: F.regexp_extract_all(F.regexp_replace(n, f"^{_TITLE} ", ""), F.lit(r"\p{L}{2,}"), F.lit(0))))
-    words = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, F.upper(w), F.initcap(w)))))
-    pattern = F.when(F.size(words) == 0, F.lit(NUMBERED)).otherwise(F.concat(F.lit(NUMBERED + r"|(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})")))
-    found = saved(found.withColumn("id", F.sha2("t", 256)).withColumn("pattern", pattern), "found")
+    words = F.array_sort(F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, F.upper(w), F.initcap(w))))))
+    found = found.withColumn("words", words)
+    pattern = F.when(F.size("words") == 0, F.lit(NUMBERED)).otherwise(F.concat(F.lit(NUMBERED + r"|(?<!\p{L})(?:"), word_tree("words"), F.lit(r")(?!\p{L})")))
+    found = saved(found.withColumn("id", F.sha2("t", 256)).withColumn("pattern", pattern).drop("words"), "found")
     # equal texts are rewritten alike, so one of them is worked out
     once = found.select("id", F.regexp_extract_all("t", F.col("pattern"), F.lit(0)).alias("units"), "titled").groupBy("id").agg(F.first(F.struct("units", "titled")).alias("x"))
     once = saved(once.select("id", "x.*"), "once")

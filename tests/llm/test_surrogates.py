@@ -1,6 +1,8 @@
 """Surrogates against a slow reading of the same rules: what is replaced, by what kind of thing, and how consistently."""
 
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -159,6 +161,45 @@ def test_given_documents_against_a_slow_scan(spark, data):
     assert n > 30
 
 
+def test_names_end_by_the_gender_that_titles_tell(spark):
+    rows = [
+        (1, "Госпожа Иванова, Господин Петров, Κυρία Παππά, Κύριος Νικολάου"), (2, "Mrs Jones; Mr Stone; Mr Smith, Mrs Smith and Dr Blank"),
+        (3, "Mrs Anna Kern met Dr Anna Kern, Mr Otto Busch, Dr Kim Lee"), (4, "Frau Maria. Herr Otto Maria Busch"),
+    ]
+    t = {r.doc_id: r.text for r in rewritten(spark, rows)}
+    last = lambda i: [w[-1] for w in re.findall(r"\w+", t[i])]
+    assert last(1)[1::2] == ["а", "н", "α", "ν"]
+    assert [w[-1] for w in re.fullmatch(r"Mrs (\w+); Mr (\w+); Mr (\w+), Mrs (\w+) and Dr (\w+)", t[2]).groups()] == ["a", "n", "n", "n", "n"]
+    names = re.fullmatch(r"Mrs (\w+) (\w+) met Dr (\w+) (\w+), Mr (\w+) (\w+), Dr (\w+) (\w+)", t[3]).groups()
+    assert names[:2] == names[2:4] and [w[-1] for w in names] == ["a", "a", "a", "a", "o", "n", "e", "n"]
+    maria, otto, again = re.fullmatch(r"Frau (\w+)\. Herr (\w+) (\w+) \w+", t[4]).groups()
+    assert maria == again and otto == names[4] and otto.endswith("o")
+
+
+def test_word_tree_is_the_alternation_of_its_words(spark):
+    rnd = random.Random(3)
+    sets = [sorted({"".join(rnd.choice("aбAXs") for _ in range(rnd.randint(2, 5))) for _ in range(n)}) for n in (1, 2, 40, 400)] + [["Xu", "Xua", "Xuan"], ["ab"]]
+    trees = [r.p for r in spark.createDataFrame([(i, ws) for i, ws in enumerate(sets)], "i int, ws array<string>").orderBy("i").select(surrogates.word_tree("ws").alias("p")).collect()]
+    for ws, tree in zip(sets, trees):
+        text = " ".join("".join(rnd.choice("aбAXsu") for _ in range(rnd.randint(1, 6))) for _ in range(3000)) + " " + " ".join(ws)
+        flat = regex.findall(r"(?<!\p{L})(?:" + "|".join(ws) + r")(?!\p{L})", text)
+        assert regex.findall(r"(?<!\p{L})(?:" + tree + r")(?!\p{L})", text) == flat and len(flat) >= len(ws)
+
+
+def test_long_texts_of_many_names(spark):
+    """Every name of a text of a megabyte is replaced, alone and after its title, one to one."""
+    rnd = random.Random(4)
+    names = sorted({"".join(rnd.choice("abcdefghiklmnoprstuvz") for _ in range(rnd.randint(4, 9))).capitalize() for _ in range(40_000)})
+    text = " ".join(f"Mr {n} and {n} went." for n in names)
+    assert len(text) > 10**6
+    start = time.monotonic()
+    (row,) = rewritten(spark, [(1, text)])
+    assert time.monotonic() - start < 120
+    found = re.findall(r"Mr (\w+) and (\w+) went\.", row.text)
+    assert len(found) == len(names) == len(set(found)) and all(a == b for a, b in found) and row.n_entities == 2 * len(names)
+    assert not {a for a, _ in found} & set(names)
+
+
 def test_no_python_in_the_plan(spark, capsys):
     surrogates.replaced(docs_frame(spark, PII), "key").explain("formatted")
     assert not re.search("EvalPython|MapIn|InPandas|InArrow", capsys.readouterr().out)
