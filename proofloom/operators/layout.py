@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,18 +55,63 @@ def xy_cut(boxes: list[tuple[float, float, float, float]], min_gap: float) -> li
     return out
 
 
+def xy_cuts(page: np.ndarray, boxes: np.ndarray, min_gap: float) -> np.ndarray:
+    """The boxes (rows x0, y0, x1, y1) of many pages in the order of :func:`xy_cut`, page by page: all groups are cut at once, level by level."""
+    n = len(boxes)
+    group, axis = page.astype(np.int64), np.ones(n, np.int8)  # a group is to be cut into bands (1), then columns (0), or is whole (2)
+    _, group = np.unique(group, return_inverse=True)
+    live = np.arange(n)
+    while len(live):
+        g, ax = group[live], axis[live]
+        low, high = boxes[live, ax], boxes[live, ax + 2]
+        order = np.lexsort((live, low, g))
+        g, low, high = g[order], low[order], high[order]
+        first = np.append(True, g[1:] != g[:-1])
+        # running maximum within a group: of ranks, lifted above those of all groups before
+        rank = np.empty(len(g), np.int64)
+        by_high = np.argsort(high, kind="stable")
+        rank[by_high] = np.arange(len(g))
+        most = np.maximum.accumulate((np.cumsum(first) - 1) * len(g) + rank) % len(g)
+        reach = high[by_high[most]]
+        opens = ~first
+        opens[1:] &= low[1:] - reach[:-1] > min_gap
+        cuts = np.add.reduceat(opens, np.flatnonzero(first))
+        which = np.cumsum(first) - 1
+        cut = cuts[which] > 0
+        run = np.cumsum(opens) - np.cumsum(opens)[first][which]
+        at = live[order]
+        # a group of k runs takes k numbers, so all groups after it move on
+        shift = np.zeros(group.max() + 2, np.int64)
+        np.add.at(shift, g[first] + 1, cuts)
+        moved = np.cumsum(shift)
+        group += moved[group]
+        group[at] += run
+        axis[at] = np.where(cut, 1, np.where(axis[at] == 1, 0, 2))
+        live = np.flatnonzero(axis < 2)
+    return np.lexsort((np.arange(n), boxes[:, 0], boxes[:, 1], group))
+
+
 def recursive_order(blocks: DataFrame, by: list[str], min_gap: float = 14.0, tie: str = "seq") -> DataFrame:
-    """``ord`` by cuts to any depth. A page's boxes are one array, which a page bounds; pages go to Python in batches."""
+    """``ord`` by cuts to any depth. A page's boxes are one array, which a page bounds; the pages of a batch are cut together."""
 
     @F.pandas_udf("array<int>")
-    def places(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda p: xy_cut([(b["x0"], b["y0"], b["x1"], b["y1"]) for b in p], min_gap))
+    def places(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
+        sizes = x0.map(len).to_numpy(np.int64)
+        if not sizes.sum():
+            return pd.Series([[] for _ in sizes])
+        boxes = np.stack([np.concatenate(c.to_numpy()).astype(np.float64) for c in (x0, y0, x1, y1)], axis=1)
+        starts = np.append(0, np.cumsum(sizes))
+        page = np.repeat(np.arange(len(sizes)), sizes)
+        if np.isnan(boxes).any():  # boxes without an edge are compared one by one
+            return pd.Series([xy_cut([tuple(b) for b in boxes[i:j].tolist()], min_gap) for i, j in zip(starts, starts[1:])])
+        order = xy_cuts(page, boxes, min_gap) - starts[page]
+        return pd.Series(np.split(order.astype(np.int32), starts[1:-1]))
 
     flow = blocks.filter(~F.col("type").isin(*FURNITURE))
     rest = [c for c in flow.columns if c not in by]
     pages = flow.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(tie, *[c for c in rest if c != tie]))).alias("_b"))
-    boxes = F.transform("_b", lambda b: F.struct(*[b[c].cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]))
-    ordered = pages.withColumn("_o", places(boxes)).select(*by, "_b", F.posexplode("_o").alias("ord", "_i"))
+    edges = [F.col(f"_b.{c}").cast("array<double>") for c in ("x0", "y0", "x1", "y1")]
+    ordered = pages.withColumn("_o", places(*edges)).select(*by, "_b", F.posexplode("_o").alias("ord", "_i"))
     return ordered.select(*by, F.get("_b", F.col("_i")).alias("_x"), "ord").select(*by, *[F.col(f"_x.{c}").alias(c) for c in rest], "ord")
 
 

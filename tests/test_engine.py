@@ -3,6 +3,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,15 @@ def test_stream_replay_adds_nothing(spark, tmp_path):
     spark.createDataFrame([(4, "b"), (5, "c")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(src))
     ingest.ingest(stream(), table, f"file://{tmp_path}/c1").awaitTermination()
     assert sorted(r.doc_id for r in spark.read.parquet(table).collect()) == [1, 3, 5]
+
+
+def test_cuts_of_many_pages_at_once_are_those_of_each():
+    rng = np.random.default_rng(4)
+    for k in range(12):
+        sizes = rng.integers(0, 14, 60)
+        page, n = np.repeat(np.arange(60), sizes), int(sizes.sum())
+        low = rng.integers(0, 40, (n, 2)) * 7.0
+        boxes = np.concatenate([low, low + rng.integers(-(k % 2), 8, (n, 2)) * 6.0], axis=1)
+        ends = np.cumsum(sizes)
+        want = [i + s for s, e in zip(ends - sizes, ends) for i in layout.xy_cut([tuple(b) for b in boxes[s:e].tolist()], 14.0)]
+        assert layout.xy_cuts(page, boxes, 14.0).tolist() == want
