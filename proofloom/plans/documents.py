@@ -212,8 +212,9 @@ def scope_table_topk(spark, sf_dir):
     third = F.explode(F.array(*[F.lit(k) for k in range(3)]))
     sources = d.select(F.col("source").alias("doc_id")).distinct().withColumn("k", F.pmod(F.lit(3) - F.ascii(F.right("doc_id", F.lit(1))) % 3, F.lit(3)))
     scope = b.select(F.col("item_id").alias("qid"), third.alias("k")).filter(F.col("qid") % 3 == F.col("k")).join(sources, "k").select("qid", "doc_id")
-    index = search_index.Index.temporary(d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), "text"))
-    return index.search(b.select(F.col("item_id").alias("qid"), F.col("text").alias("question")), 10, scope, prune=True)
+    q = b.select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    index = search_index.Index.temporary(d.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), "text"), asked=q)
+    return index.search(q, 10, scope, prune=True)
 
 
 _VERSIONED = """held AS (SELECT doc_id AS chunk_id, CASE WHEN doc_id % 5 = 0 THEN 'renewed ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 5 = 0),
