@@ -204,7 +204,7 @@ def hex_digits(fp: str = "fp"):
 #: Copies alike in four fifths of their five-word shingles: fingerprints of the words that the covering tables are over, and radius in each.
 PRINTS, PRINT_RADIUS = 6, 3
 #: The 256-bit fingerprint of the shingles. Jaccard 0.8 is a cosine of 0.89, an angle of 0.15 pi, 39 bits of 256 (deviation 5.7): pairs of up to
-#: LOOSE_BITS are candidates, whose sets of shingles are compared; SHINGLE_BITS decide only in groups of candidates too large for one task.
+#: LOOSE_BITS are candidates, whose sets of shingles are compared; SHINGLE_BITS decide only where a caller of :func:`alike` asks for it.
 SHINGLE, SHINGLE_WORDS, SHINGLE_BITS, LOOSE_BITS = 5, 4, 46, 54
 #: Paths kept for the tables of each fingerprint, those that split them included.
 PATHS = (2 << PRINT_RADIUS) ** 6
@@ -212,10 +212,12 @@ PATHS = (2 << PRINT_RADIUS) ** 6
 #: a pair of 0.8 has a key in common with probability 1 - (1 - 0.8^3)^10 = 0.9992.
 SHORT, BANDS, BAND_MINS = 64, 10, 3
 BAND_PATH = PRINTS * (PATHS + 1)
-#: Rows up to which all pairs of a bucket are compared at once.
-DENSE_ROWS = 2048
-#: A group of candidates whose sets are compared in one task: texts and their bytes.
-GROUP_TEXTS, GROUP_BYTES = 1 << 14, 32 << 20
+#: Different fingerprints in a bucket of word fingerprints. Splitting a bucket makes 15 rows of one, comparing it is about as dear at twice this size.
+PRINT_ROWS = 1 << 14
+#: Rows up to which all pairs of a bucket are compared at once, and from which up to which rows near to no other are left out first.
+DENSE_ROWS, LONE_ROWS = 2048, (256, 1 << 15)
+#: Sets of shingles compared in one task: texts and their bytes. A larger group of candidates is dealt into blocks of half of it, and a task has two of them.
+TASK_TEXTS, TASK_BYTES = 1 << 14, 32 << 20
 _SPREAD = np.random.default_rng(20).integers(0, 1 << 63, BANDS * BAND_MINS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -276,9 +278,27 @@ def wide_prints(batch: list[bytes]) -> tuple[list[bytes], np.ndarray, list[list[
     return [hashlib.md5(b" ".join(ws)).digest() for ws in split], out.view(np.uint64), keys
 
 
+def _met(prints: np.ndarray, most: int) -> np.ndarray:
+    """The rows that differ from some other row in ``most`` bits or fewer. The second half of the words is counted only where the first does not tell."""
+    n, wide = prints.shape
+    half, words_ = (wide + 1) // 2, np.ascontiguousarray(prints.T)
+    met = np.zeros(n, bool)
+    for at in range(0, n, 64):
+        bits = sum(np.bitwise_count(words_[k, at : at + 64, None] ^ words_[k, None, at:]).astype(np.int16) for k in range(half))
+        r, c = np.nonzero(bits <= most)
+        r, c = r[r < c], c[r < c]
+        bits = bits[r, c] + sum(np.bitwise_count(words_[k, at + r] ^ words_[k, at + c]).astype(np.int16) for k in range(half, wide))
+        met[at + r[bits <= most]] = met[at + c[bits <= most]] = True
+    return np.flatnonzero(met)
+
+
 def judged_pairs(prints: np.ndarray, most: int = SHINGLE_BITS) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of rows (fingerprints of shingles) that differ in ``most`` bits or fewer, whatever their number; room for a few columns of the rows."""
     n, wide = prints.shape
+    if LONE_ROWS[0] < n <= LONE_ROWS[1]:
+        own = _met(prints, most)
+        if len(own) < n:
+            return [(int(own[i]), int(own[j])) for i, j in judged_pairs(prints[own], most)] if len(own) else []
     copies = lambda x, y: sum(np.bitwise_count(x[..., k] ^ y[..., k]).astype(np.int16) for k in range(wide)) <= most
     near = copies(prints[:, None], prints[None]) if n <= DENSE_ROWS else None
     rest, out = np.arange(n), []  # rows that no tree has yet
@@ -336,7 +356,7 @@ def exact_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _exact_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads rows (group, node, text) sorted by group and node; emits links (u, v) of a group's nodes. Repeated nodes count once."""
+    """Reads rows (group, block, block, node, text) sorted by all but the text; emits links (u, v) of the nodes of two blocks of a group. Repeated nodes count once."""
     group, nodes, sets = None, [], []
 
     def flush() -> list[tuple[int, int]]:
@@ -347,7 +367,8 @@ def _exact_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         rows: list[tuple[int, int]] = []
-        for g, node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts(b.column(2))):
+        keys = zip(*(b.column(i).to_pylist() for i in range(3)))
+        for g, node, text in zip(keys, b.column(3).to_pylist(), texts(b.column(4))):
             if g != group:
                 rows += flush()
                 group, nodes, sets = g, [], []
@@ -361,9 +382,9 @@ def _exact_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
-def _print_runs(most: int):
-    """Reads rows (path, key, node, print, shingle fingerprint...) sorted by path and key; emits candidates (-1, u, v) of a bucket's nodes, of them
-    again as (-2, u, v) a forest of those of SHINGLE_BITS or fewer, and rows (path, node, null).
+def _print_runs(most: int, kinds: dict[int, int]):
+    """Reads rows (path, key, node, print, shingle fingerprint...) sorted by path and key; emits for each of ``kinds`` and its
+    bits candidates (kind, u, v) of a bucket's nodes, and rows (path, node, null).
 
     The rows are those of buckets of more than ``most`` distinct fingerprints,
     to be dealt again. Nodes of one fingerprint can't be dealt apart, so any
@@ -380,7 +401,7 @@ def _print_runs(most: int):
             rows = np.concatenate(held)
             rows = rows[np.argsort(rows[:, 0], kind="stable")]
             prints = np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
-            return [(kind, int(rows[i, 0]), int(rows[j, 0])) for kind, bits in ((-1, LOOSE_BITS), (-2, SHINGLE_BITS)) for i, j in judged_pairs(prints, bits)]
+            return [(kind, int(rows[i, 0]), int(rows[j, 0])) for kind, bits in kinds.items() for i, j in judged_pairs(prints, bits)]
 
         def pack(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
@@ -415,15 +436,15 @@ def _print_runs(most: int):
     return run
 
 
-def _candidates(same: DataFrame, cols: list[str], n_parts: int, bucket_rows: int) -> DataFrame:
-    """(kind, u, v): forests of the nodes of each bucket, kind -1 at LOOSE_BITS and -2 at SHINGLE_BITS.
+def _candidates(same: DataFrame, cols: list[str], n_parts: int, bucket_rows: int, kinds: dict[int, int]) -> DataFrame:
+    """(kind, u, v): forests of the nodes of each bucket, for each of ``kinds`` (below zero) at its bits.
 
     Buckets are those of the covering tables over each word fingerprint, split
     as in :func:`links`, and those of the band keys of short texts. A band's
     bucket of more than ``bucket_rows`` different fingerprints is split by the
     keys of all other bands.
     """
-    run_pairs = _print_runs(bucket_rows)
+    run_pairs = _print_runs(bucket_rows, kinds)
     sketch = cols[PRINTS:]
     out, nodes = [], same.withColumn("only", F.explode(F.array(*[F.lit(k) for k in range(PRINTS)])))
     banded = same.filter("bands is not null").select("*", F.posexplode("bands").alias("band", "key"))
@@ -458,7 +479,7 @@ def _candidates(same: DataFrame, cols: list[str], n_parts: int, bucket_rows: int
     return reduce(DataFrame.union, out)
 
 
-def alike(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, group_texts: int = GROUP_TEXTS) -> DataFrame:
+def alike(docs: DataFrame, bucket_rows: int = PRINT_ROWS, group_texts: int | None = None, task_texts: int = TASK_TEXTS) -> DataFrame:
     """(doc_id, text_key, group, root) for each row of ``docs`` that has a doc_id: documents of one group are copies of each other.
 
     Two documents are linked if their words are the same, or if the sets of
@@ -467,8 +488,10 @@ def alike(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, group_texts: int = GR
     most LOOSE_BITS bits, taken from covering tables over fingerprints of the
     words, which edits move much less than shingles, and for short texts from
     bands of least shingle hashes. The texts of each connected group of
-    candidates are compared exactly in one task; only a group of more than
-    ``group_texts`` different texts or GROUP_BYTES is judged by SHINGLE_BITS.
+    candidates are compared exactly, whatever its size: a group of more than
+    ``task_texts`` different texts or TASK_BYTES is dealt into blocks, and each
+    two of its blocks are compared in one task. Only if ``group_texts`` is
+    given, larger groups are not compared but judged by SHINGLE_BITS.
 
     root is the smallest doc_id of the group; text_key is the MD5 of the text.
     Rows of one doc_id and different texts are documents apart. Wordless texts
@@ -493,16 +516,25 @@ def alike(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, group_texts: int = GR
     same = found.groupBy("digest").agg(*firsts).select("digest", "x.doc_id", "x.text_key", "x.size", *cols, "bands", F.xxhash64("digest").alias("node"))
     same = saved(same, "nodes")
     bucket_rows = max(bucket_rows, 2 << (PRINT_RADIUS + 1))  # more than the buckets hold whose masks could not shrink
-    pairs = _candidates(same.select("node", *cols, "bands"), cols, parts(docs), bucket_rows)
+    pairs = _candidates(same.select("node", *cols, "bands"), cols, parts(docs), bucket_rows, {-1: LOOSE_BITS} | ({} if group_texts is None else {-2: SHINGLE_BITS}))
     near = components(pairs.filter("kind = -1").select("u", "v")).withColumnRenamed("root", "near")
     of_group = saved(same.select("node", "doc_id", "text_key", "size").join(near, "node"), "near")
-    fits = of_group.groupBy("near").agg(((F.count("*") <= group_texts) & (F.sum("size") <= GROUP_BYTES)).alias("fits"))
-    of_group = saved(of_group.join(fits, "near"), "groups")
-    held = own.join(of_group.filter("fits").select("doc_id", "text_key", "near", "node"), ["doc_id", "text_key"])
-    compared = held.select("near", "node", "text").repartition(parts(docs), "near").sortWithinPartitions("near", "node").mapInArrow(_exact_runs, "u long, v long")
-    large = of_group.filter("not fits").select(F.col("node").alias("u"))
-    judged = pairs.filter("kind = -2").select("u", "v").join(large, "u", "left_semi")
-    roots = components(saved(compared.union(judged), "links"))
+    share = F.greatest(F.count("*") / task_texts, F.sum("size") / TASK_BYTES)
+    n_blocks = F.when(share <= 1, 1).otherwise(F.ceil(2 * share)).cast("int")
+    if group_texts is not None:
+        n_blocks = F.when(F.count("*") <= group_texts, n_blocks).otherwise(0)
+    n_blocks = of_group.groupBy("near").agg(n_blocks.alias("n_blocks"))
+    of_group = of_group.join(n_blocks, "near").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.greatest("n_blocks", F.lit(1))).cast("int"))
+    of_group = saved(of_group, "groups")
+    held = own.join(of_group.filter("n_blocks > 0").select("doc_id", "text_key", "near", "node", "block", "n_blocks"), ["doc_id", "text_key"])
+    # a text goes to the tasks of its block and each other one; a group of one block is one task
+    held = held.select("*", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")).filter("n_blocks = 1 or other <> block")
+    held = held.select("near", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "text")
+    compared = held.repartition(parts(docs), "near", "i", "j").sortWithinPartitions("near", "i", "j", "node").mapInArrow(_exact_runs, "u long, v long")
+    if group_texts is not None:
+        large = of_group.filter("n_blocks = 0").select(F.col("node").alias("u"))
+        compared = compared.union(pairs.filter("kind = -2").select("u", "v").join(large, "u", "left_semi"))
+    roots = components(saved(compared, "links"))
     reps = same.select("digest", "node", F.col("doc_id").alias("first_doc")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = saved(reps.groupBy("root").agg(F.min("first_doc").alias("least")), "roots")
     reps = saved(reps.join(named, "root").select("digest", F.col("root").alias("group"), F.col("least").alias("root")), "reps")

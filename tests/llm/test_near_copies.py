@@ -116,6 +116,30 @@ def test_copies_against_brute_force(spark, data):
     assert all(got[d] == got[r] for d, r in tight.items()) and all(loose[d] == loose[r] for d, r in got.items())
 
 
+def test_groups_too_large_for_one_task_are_compared_exactly(spark, data):
+    """The size of a group of candidates, and of what a task holds, does not change which texts are linked."""
+    rows = near_copies(data, n=12)
+    ids, pairs = slow_pairs(rows)
+    exact = slow_roots(ids, pairs, lambda d, j: j >= 0.8)
+    assert slow_roots(ids, pairs, lambda d, j: d[P:].sum() <= simhash.SHINGLE_BITS) != exact, "fingerprints alone would tell another border"
+    for bucket_rows in (simhash.PRINT_ROWS, 96):
+        whole, dealt = ({r.doc_id: r.root for r in simhash.alike(docs_frame(spark, rows), bucket_rows=bucket_rows, task_texts=n).collect()} for n in (simhash.TASK_TEXTS, 4))
+        assert whole == dealt
+        assert all(exact[d] == exact[r] for d, r in dealt.items()) and np.mean([dealt[d] == dealt[r] for d, r in exact.items()]) > 0.99
+
+
+def test_rows_near_to_no_other_are_left_out():
+    """A bucket of many fingerprints: the same trees whether or not lone rows are left out first."""
+    rnd = np.random.default_rng(5)
+    prints = rnd.integers(0, 1 << 63, (700, simhash.SHINGLE_WORDS), np.uint64)
+    for at, bits in ((10, 54), (300, 54), (400, 55), (650, 1)):  # a copy of the row before, so many bits away
+        flips = np.zeros(64 * simhash.SHINGLE_WORDS, np.uint8)
+        flips[rnd.choice(len(flips), bits, replace=False)] = 1
+        prints[at] = prints[at - 1] ^ np.packbits(flips).view(np.uint64)
+    assert simhash._met(prints, 54).tolist() == [9, 10, 299, 300, 649, 650]
+    assert sorted(simhash.judged_pairs(prints, 54)) == [(9, 10), (299, 300), (649, 650)]
+
+
 def test_exact_pairs_against_all_pairs():
     rnd = random.Random(31)
     for n, words in ((1, 30), (2, 30), (60, 40), (200, 90)):
