@@ -77,11 +77,21 @@ bodies AS (SELECT page, avg(size) AS body FROM spans GROUP BY 1),
 typed AS (SELECT s.*, CASE WHEN y1 >= 0.94 * 842 AND length(trim(content)) < 80 THEN 'footer' WHEN length(trim(content)) > 90 OR regexp_matches(trim(content), '[.,;:]$') THEN 'text' WHEN size >= 1.2 * body OR (bold AND size >= 1.12 * body) THEN 'title' ELSE 'text' END AS type FROM spans s JOIN bodies USING (page))"""
 
 
+def _places(spark, sf_dir):
+    """The line items, with the place where each stands in the table's files."""
+    return t(spark, sf_dir, "lineitem").select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+
+
+def _in_place(by):
+    """All rows of a key in the order of the files: a sum of doubles depends on its order in the last bit, and must not on tasks."""
+    return Window.partitionBy(by).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
 def _typed(spark, sf_dir):
     n = F.col("l_linenumber")
     content = F.when(n % 3 == 0, F.repeat(F.lit("long words "), 10)).when(n % 5 == 0, "Ends here.").otherwise(F.concat(F.lit("Heading "), "l_partkey"))
-    s = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), n.alias("seq"), (F.col("l_quantity") / 5).cast("double").alias("size"), (F.col("l_returnflag") == "R").alias("bold"), (F.col("l_extendedprice") % 842).alias("y1"), content.alias("content"))
-    s = s.join(s.groupBy("page").agg(F.avg("size").alias("body")), "page")
+    s = _places(spark, sf_dir).select("place", F.col("l_orderkey").alias("page"), n.alias("seq"), (F.col("l_quantity") / 5).cast("double").alias("size"), (F.col("l_returnflag") == "R").alias("bold"), (F.col("l_extendedprice") % 842).alias("y1"), content.alias("content"))
+    s = s.withColumn("body", F.avg("size").over(_in_place("page"))).drop("place")
     return s.withColumn("type", layout.block_type(F.col("content"), F.col("size"), F.col("body"), F.col("bold"), F.col("y1"), F.lit(842.0)))
 
 
