@@ -117,7 +117,8 @@ SELECT l_orderkey, len(cells) >= 2 AND area <= 0.85 AND len(list_filter(fl, lamb
 )
 def accepted_tables(spark, sf_dir):
     cell = F.when(F.col("l_linenumber") % 2 == 0, F.concat("l_returnflag", F.lit(" x"))).otherwise(F.concat(F.lit("("), F.col("l_quantity").cast("int"), F.lit(")")))
-    c = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.array(F.col("l_partkey").cast("string"), cell)).alias("cells"), F.sum("l_discount").alias("area"))
+    summed = _places(spark, sf_dir).withColumn("area", F.sum("l_discount").over(_in_place("l_orderkey")))
+    c = summed.groupBy("l_orderkey").agg(F.collect_list(F.array(F.col("l_partkey").cast("string"), cell)).alias("cells"), F.max("area").alias("area"))
     return c.select("l_orderkey", layout.table_accepted(F.col("cells"), F.col("area")).alias("accepted"))
 
 
