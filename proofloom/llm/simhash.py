@@ -212,8 +212,6 @@ PATHS = (2 << PRINT_RADIUS) ** 6
 #: a pair of 0.8 has a key in common with probability 1 - (1 - 0.8^3)^10 = 0.9992.
 SHORT, BANDS, BAND_MINS = 64, 10, 3
 BAND_PATH = PRINTS * (PATHS + 1)
-#: Different fingerprints in a bucket of word fingerprints. Splitting a bucket makes 15 rows of one, comparing it is about as dear at twice this size.
-PRINT_ROWS = 1 << 14
 #: Rows up to which all pairs of a bucket are compared at once, and from which up to which rows near to no other are left out first.
 DENSE_ROWS, LONE_ROWS = 2048, (256, 1 << 15)
 #: Sets of shingles compared in one task: texts and their bytes. A larger group of candidates is dealt into blocks of half of it, and a task has two of them.
@@ -479,7 +477,7 @@ def _candidates(same: DataFrame, cols: list[str], n_parts: int, bucket_rows: int
     return reduce(DataFrame.union, out)
 
 
-def alike(docs: DataFrame, bucket_rows: int = PRINT_ROWS, group_texts: int | None = None, task_texts: int = TASK_TEXTS) -> DataFrame:
+def alike(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, group_texts: int | None = None, task_texts: int = TASK_TEXTS) -> DataFrame:
     """(doc_id, text_key, group, root) for each row of ``docs`` that has a doc_id: documents of one group are copies of each other.
 
     Two documents are linked if their words are the same, or if the sets of

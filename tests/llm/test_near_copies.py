@@ -122,7 +122,7 @@ def test_groups_too_large_for_one_task_are_compared_exactly(spark, data):
     ids, pairs = slow_pairs(rows)
     exact = slow_roots(ids, pairs, lambda d, j: j >= 0.8)
     assert slow_roots(ids, pairs, lambda d, j: d[P:].sum() <= simhash.SHINGLE_BITS) != exact, "fingerprints alone would tell another border"
-    for bucket_rows in (simhash.PRINT_ROWS, 96):
+    for bucket_rows in (simhash.BUCKET_ROWS, 96):
         whole, dealt = ({r.doc_id: r.root for r in simhash.alike(docs_frame(spark, rows), bucket_rows=bucket_rows, task_texts=n).collect()} for n in (simhash.TASK_TEXTS, 4))
         assert whole == dealt
         assert all(exact[d] == exact[r] for d, r in dealt.items()) and np.mean([dealt[d] == dealt[r] for d, r in exact.items()]) > 0.99
