@@ -17,10 +17,11 @@ A file that can't be read, is encrypted or has no pages gives one row of kind
 from __future__ import annotations
 
 import base64
+import binascii
 import bisect
 import io
 import re
-import textwrap
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -83,8 +84,8 @@ class Stream(NamedTuple):
 
 # --- objects
 
-_SPACE = re.compile(rb"(?:[\x00\t\n\f\r ]+|%[^\r\n]*)*")
-_TOKEN = re.compile(rb"/[^\x00\t\n\f\r ()<>\[\]{}/%]*|[+-]?(?:\d+\.?\d*|\.\d+)(?![^\x00\t\n\f\r ()<>\[\]{}/%])|<<|>>|[\[\](<{}]|[^\x00\t\n\f\r ()<>\[\]{}/%]+")
+_TOKEN = re.compile(rb"(?:[\x00\t\n\f\r ]+|%[^\r\n]*)*(/[^\x00\t\n\f\r ()<>\[\]{}/%]*|[+-]?(?:\d+\.?\d*|\.\d+)(?![^\x00\t\n\f\r ()<>\[\]{}/%])|<<|>>|[\[\](<{}]|[^\x00\t\n\f\r ()<>\[\]{}/%]+)?")
+_WORDS = {b"true": True, b"false": False, b"null": None}
 _REF = re.compile(rb"[\x00\t\n\f\r ]+\d+[\x00\t\n\f\r ]+R(?![^\x00\t\n\f\r ()<>\[\]{}/%])")
 _ESCAPED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\r\n": b"", b"\n": b"", b"\r": b""}
 _IN_STRING = re.compile(rb"\\([0-7]{1,3}|\r\n|.)|[()]", re.S)
@@ -98,16 +99,16 @@ class Lexer:
         self.data, self.at = data, at
 
     def next(self):
-        self.at = _SPACE.match(self.data, self.at).end()
         m = _TOKEN.match(self.data, self.at)
-        if m is None:
+        t, self.at = m[1], m.end()
+        if t is None:
             if self.at < len(self.data):  # a stray delimiter
                 self.at += 1
                 return self.next()
             return END
-        t, self.at = m[0], m.end()
         if t[:1] == b"/":
-            return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda h: bytes([int(h[1], 16)]), t[1:]).decode("latin-1"))
+            t = t[1:] if b"#" not in t else re.sub(rb"#([0-9A-Fa-f]{2})", lambda h: bytes([int(h[1], 16)]), t[1:])
+            return Name(t.decode("latin-1"))
         if t == b"<<":
             items = self._until(b">>")
             return {k: v for k, v in zip(items[::2], items[1::2]) if isinstance(k, Name)}
@@ -118,7 +119,11 @@ class Lexer:
         if t == b"<":
             end = self.data.find(b">", self.at)
             end = len(self.data) if end < 0 else end
-            digits, self.at = re.sub(rb"[^0-9A-Fa-f]", b"", self.data[self.at : end]), end + 1
+            digits, self.at = self.data[self.at : end], end + 1
+            try:
+                return binascii.unhexlify(digits)
+            except binascii.Error:  # an odd number of digits, or others among them
+                digits = re.sub(rb"[^0-9A-Fa-f]", b"", digits)
             return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
         if t[:1] in b"+-.0123456789" and t not in (b"+", b"-", b"."):
             if b"." not in t and t.isdigit() and (r := _REF.match(self.data, self.at)):
@@ -128,7 +133,7 @@ class Lexer:
                 return float(t) if b"." in t else int(t)
             except ValueError:
                 return Keyword(t)
-        return {b"true": True, b"false": False, b"null": None}.get(t, Keyword(t))
+        return _WORDS[t] if t in _WORDS else Keyword(t)
 
     def _until(self, close: bytes) -> list:
         out = []
@@ -382,6 +387,19 @@ def unicode_map(data: bytes) -> tuple[dict[int, str], list[tuple[int, int, objec
     return single, ranges
 
 
+#: Maps of codes that a task has read; many files have the same. At most MAPS_HELD.
+_MAPS: dict[bytes, tuple[dict[int, str], list]] = {}
+MAPS_HELD = 64
+
+
+def _unicode_map(data: bytes) -> tuple[dict[int, str], list[tuple[int, int, object]]]:
+    if data not in _MAPS:
+        if len(_MAPS) >= MAPS_HELD:
+            _MAPS.clear()
+        _MAPS[data] = unicode_map(data)
+    return _MAPS[data]
+
+
 class Font:
     """Codes of a font to characters and widths."""
 
@@ -395,6 +413,7 @@ class Font:
         base = (o(encoding.get("BaseEncoding")) if isinstance(encoding, dict) else encoding) or "WinAnsiEncoding"
         self.codec = "mac_roman" if base == "MacRomanEncoding" else "cp1252"
         self.differences: dict[int, str] = {}
+        self.steps: dict[tuple, dict[int, float]] = {}
         for x in o(encoding.get("Differences")) or [] if isinstance(encoding, dict) else []:
             if isinstance(x, Name):
                 self.differences[code] = glyph(x)  # noqa: F821  a number comes first
@@ -402,7 +421,8 @@ class Font:
             else:
                 code = x
         if isinstance(u := o(head.get("ToUnicode")), Stream):
-            self.single, self.ranges = unicode_map(pdf.decoded(u))
+            single, self.ranges = _unicode_map(pdf.decoded(u))
+            self.single = single if self.wide else dict(single)  # what a wide font looks up depends on the map alone
         if self.wide:
             below = o((o(head.get("DescendantFonts")) or [{}])[0]) or {}
             info = o(below.get("FontDescriptor")) or info
@@ -440,7 +460,22 @@ class Font:
         return 600 if "Courier" in self.name else SANS[code - 32] if 32 <= code < 127 else 556
 
     def codes(self, s: bytes) -> list[int]:
-        return [int.from_bytes(s[k : k + 2], "big") for k in range(0, len(s), 2)] if self.wide else list(s)
+        if not self.wide:
+            return list(s)
+        return [*struct.unpack(f">{len(s) // 2}H", s[: len(s) & -2]), *s[len(s) & -2 :]]
+
+    def chars(self, codes: list[int]) -> list[str]:
+        try:
+            return list(map(self.single.__getitem__, codes))
+        except KeyError:
+            return list(map(self.char, codes))
+
+    def advances(self, codes: list[int], size: float, chars: float, words: float, scale: float) -> Iterator[float]:
+        """How far each code moves on."""
+        own = self.steps.setdefault((size, chars, words, scale), {})
+        for code in set(codes) - own.keys():
+            own[code] = (self.width(code) / 1000 * size + chars + (words if code == 32 and not self.wide else 0)) * scale
+        return map(own.__getitem__, codes)
 
 
 def _times(a: tuple, b: tuple) -> tuple:
@@ -491,9 +526,10 @@ class Drawn:
                 if item < -180 and text and not text[-1].endswith(" "):
                     text.append(" ")
                 continue
-            for code in font.codes(item):
-                text.append(font.char(code))
-                x += (font.width(code) / 1000 * size + s["chars"] + (s["words"] if code == 32 and not font.wide else 0)) * s["scale"]
+            codes = font.codes(item)
+            text += font.chars(codes)
+            for step in font.advances(codes, size, s["chars"], s["words"], s["scale"]):
+                x += step
         m = _times(s["tm"], ctm)
         tall = size * abs(m[0] * m[3] - m[1] * m[2]) ** 0.5
         if t := "".join(text).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace"):
@@ -574,17 +610,42 @@ class Drawn:
 # --- writing
 
 
+def _squeezed(data: bytes) -> bytes:
+    z = zlib.compress(data)
+    return b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(z), z)
+
+
+#: Codes that are UTF-16.
+_UTF16 = _squeezed(b"1 begincodespacerange <0000> <FFFF> endcodespacerange 256 beginbfrange\n" + b"".join(b"<%02X00> <%02XFF> <%02X00>\n" % (k, k, k) for k in range(256)) + b"endbfrange")
+
+
+def _wrapped(line: str, width: int) -> list[str]:
+    """Parts of a line that fit ``width``, cut at blanks; a word that is longer is cut where the part is full. Only blanks at cuts are lost."""
+    line = line.expandtabs().replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").rstrip(" ")
+    out, at = [], 0
+    while len(line) - at > width:
+        cut = line.rfind(" ", at, at + width + 1)
+        end = line.find(" ", cut + 1) if cut >= at else -1
+        if cut < at or (end if end >= 0 else len(line)) - cut - 1 > width:
+            cut = at + width
+        if part := line[at:cut].rstrip(" "):
+            out.append(part)
+        at = cut
+        while line[at] == " ":  # the line does not end in one
+            at += 1
+    return [*out, line[at:]]
+
+
 def rendered(text: str, per_page: int = 50, width: int = 90) -> bytes:
     """A plain document as a PDF file: lines of at most ``width`` characters, ``per_page`` on a page, cut at blanks where there are any."""
-    lines = [part for line in (text or "").split("\n") for part in textwrap.wrap(line, width, break_on_hyphens=False) or [""]]
+    lines = [part for line in (text or "").split("\n") for part in _wrapped(line, width)]
     pages = [lines[k : k + per_page] for k in range(0, len(lines), per_page)]
     code = lambda t: t.encode("utf-16-be", "replace").hex()
-    to_unicode = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 256 beginbfrange\n" + b"".join(b"<%02X00> <%02XFF> <%02X00>\n" % (k, k, k) for k in range(256)) + b"endbfrange"
     objects = [
         "<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Count {len(pages)} /MediaBox [0 0 595 842] /Kids [{' '.join(f'{7 + 2 * k} 0 R' for k in range(len(pages)))}] /Resources << /Font << /F 3 0 R >> >> >>",
         "<< /Type /Font /Subtype /Type0 /BaseFont /Plain /Encoding /Identity-H /DescendantFonts [4 0 R] /ToUnicode 5 0 R >>", "<< /Type /Font /Subtype /CIDFontType2 /BaseFont /Plain /DW 500 /CIDSystemInfo << /Registry (Adobe) /Ordering (Identity) /Supplement 0 >> >>",
     ]
-    raw: list[bytes] = [o.encode() for o in objects] + [_squeezed(to_unicode), b"null"]
+    raw: list[bytes] = [o.encode() for o in objects] + [_UTF16, b"null"]
     for k, page in enumerate(pages):
         drawn = "BT /F 10 Tf 15 TL 60 800 Td " + " ".join(f"<{code(line)}> Tj T*" for line in page) + " ET"
         raw += [b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (8 + 2 * k), _squeezed(drawn.encode())]
@@ -599,11 +660,6 @@ def rendered(text: str, per_page: int = 50, width: int = 90) -> bytes:
     return out.getvalue()
 
 
-def _squeezed(data: bytes) -> bytes:
-    z = zlib.compress(data)
-    return b"<< /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (len(z), z)
-
-
 def render(documents: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
     """(path, content): a PDF file for each row. Null text: one empty page."""
 
@@ -611,7 +667,9 @@ def render(documents: DataFrame, path: str = "doc_id", text: str = "text") -> Da
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(rendered)
 
-    return documents.select(F.col(path).cast("string").alias("path"), run(F.coalesce(text, F.lit(""))).alias("content"))
+    # a table of short rows may be one row group, that is one task, while a file takes much longer to write than to deal out
+    dealt = documents.select(F.col(path).cast("string").alias("path"), F.coalesce(text, F.lit("")).alias("text"))
+    return dealt.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").select("path", run("text").alias("content"))
 
 
 # --- rows
@@ -716,11 +774,14 @@ def register(spark: SparkSession) -> None:
 def from_files(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Rows of SCHEMA of files that Spark has read whole. Null content: an error row."""
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in parts:
             for name, data in zip(b.column(0).to_pylist(), b.column(1)):
                 raw = data.as_py() or b""
-                yield from batches(rows_of(io.BytesIO(raw), len(raw), name))
+                yield from rows_of(io.BytesIO(raw), len(raw), name)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches(each(parts))  # small files share a batch
 
     return files.select(F.col(path).cast("string"), F.col(content)).mapInArrow(run, SCHEMA)
 

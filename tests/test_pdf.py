@@ -1,6 +1,7 @@
 """The PDF source: a report written by hand in old and new file forms, damaged files, and the quality of what is read."""
 
 import io
+import re
 import sys
 import zlib
 
@@ -224,3 +225,29 @@ def test_written_documents_read_back(spark):
         words = " ".join(x.text for x in sorted(got[k].t)).split() if k in got else []
         assert ("".join(words) if k == 4 else " ".join(words)) == " ".join((t or "").split()), k
     assert rows.filter("kind = 'error'").count() == 0 and rows.filter("kind = 'page' and doc_id = 3").count() > 6
+
+
+def test_a_map_of_codes_is_read_once(monkeypatch):
+    """Files with the same map, as all written here: a task reads it for the first; what is told of each file stays its own."""
+    read, one = [], pdf.unicode_map
+    monkeypatch.setattr(pdf, "unicode_map", lambda data: read.append(1) or one(data))
+    monkeypatch.setattr(pdf, "_MAPS", {})
+    for k in range(5):
+        text = f"{k} Grüße \U0001f600 日本 " + "x" * 300
+        data = pdf.rendered(text)
+        rows = list(pdf.rows_of(io.BytesIO(data), len(data), "f"))
+        assert "".join(r[4] for r in rows if r[2] == "span").replace(" ", "") == text.replace(" ", "")
+    assert len(read) == 1
+
+
+def test_blanks_at_cuts_alone_are_lost():
+    odd = ["", "   ", "a" * 25, "aa " * 9 + "b" * 30 + " c", "  x" * 20, "x   y \x1f z" * 5, "  lead\ttab\x0b\x0c\rend  "]
+    for line in odd:
+        parts = pdf._wrapped(line, 10)
+        assert all(len(p) <= 10 for p in parts) and parts
+        assert re.sub("[\t-\r ]", "", "".join(parts)) == re.sub("[\t-\r ]", "", line)
+
+
+def test_one_row_group_is_written_in_many_tasks(spark):
+    few = spark.createDataFrame([(k, f"text {k}") for k in range(200)], "doc_id long, text string").coalesce(1)
+    assert pdf.render(few).select(F.spark_partition_id()).distinct().count() > 1
