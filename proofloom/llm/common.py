@@ -97,6 +97,27 @@ def parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of a bitmap that goes to all tasks, at most (16 MB), and of each of its rows, the size that Spark's bitmap functions have.
+SIEVE_BITS, PAGE_BITS = 1 << 27, 1 << 15
+
+
+def may_match(rows: DataFrame, keys: DataFrame, on: list[str], most: int = SIEVE_BITS) -> DataFrame:
+    """``rows`` with a column ``may``: false where no row of ``keys`` has these values of the columns ``on``.
+
+    A bitmap of hashes goes to all tasks, so that wide rows without a match need
+    no shuffle. About one in 16 of those without a match, or more beyond ``most``
+    bits, has ``may`` too: an exact join is to follow.
+    """
+    bits = max(min(1 << (16 * keys.count()).bit_length(), most), PAGE_BITS)
+    bit = F.pmod(F.xxhash64(*on), F.lit(bits))
+    page = keys.groupBy(F.floor(bit / PAGE_BITS).alias("_page")).agg(F.bitmap_construct_agg(F.pmod(bit, F.lit(PAGE_BITS))).alias("_bits"))
+    page = saved(page, "sieve")
+    at = F.pmod(bit, F.lit(PAGE_BITS))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    may = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
+    return rows.withColumn("_page", F.floor(bit / PAGE_BITS)).join(F.broadcast(page), "_page", "left").select(*[F.col(f"`{c}`") for c in rows.columns], may.alias("may"))
+
+
 def small_batches(spark: SparkSession, size: int = 2 << 20) -> None:
     """Arrow batches of whole texts stay small in the workers: about ``size`` bytes at most in this session."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, saved, small_batches, texts, trim, words
+from .common import may_match, parts, saved, small_batches, texts, trim, words
 from .components import components
 
 BUCKET_ROWS = 2048
@@ -524,7 +524,9 @@ def alike(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, group_texts: int | No
     n_blocks = of_group.groupBy("near").agg(n_blocks.alias("n_blocks"))
     of_group = of_group.join(n_blocks, "near").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.greatest("n_blocks", F.lit(1))).cast("int"))
     of_group = saved(of_group, "groups")
-    held = own.join(of_group.filter("n_blocks > 0").select("doc_id", "text_key", "near", "node", "block", "n_blocks"), ["doc_id", "text_key"])
+    blocks = of_group.filter("n_blocks > 0").select("doc_id", "text_key", "near", "node", "block", "n_blocks")
+    # most texts are in no group: only those that may be are shuffled
+    held = may_match(own, blocks, ["doc_id", "text_key"]).filter("may").join(blocks, ["doc_id", "text_key"])
     # a text goes to the tasks of its block and each other one; a group of one block is one task
     held = held.select("*", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other")).filter("n_blocks = 1 or other <> block")
     held = held.select("near", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "text")
@@ -552,8 +554,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     name and stay as they are. Empty input: no rows.
     """
     names = docs.columns
-    firsts = alike(docs.select("doc_id", "text")).filter("doc_id = root").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
+    told = saved(alike(docs.select("doc_id", "text")), "told")
+    firsts = told.filter("doc_id = root").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
     kept = saved(firsts.select(F.col("x.doc_id").alias("i"), F.col("x.text_key").alias("k")).distinct(), "kept")
+    # what goes, or stands in several rows; all other rows stay where they are
+    times = told.groupBy(F.col("doc_id").alias("i"), F.col("text_key").alias("k")).agg(F.count("*").alias("n"))
+    judged = saved(times.join(kept.withColumn("stays", F.lit(True)), ["i", "k"], "left").filter("stays is null or n > 1").select("i", "k"), "judged")
     own = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(names)]).alias("row"), F.col("doc_id").cast("long").alias("i"), text_key().alias("k"))
-    out = own.filter("i is not null").join(kept, ["i", "k"], "left_semi").dropDuplicates(["i", "k"]).unionByName(own.filter("i is null"))
+    own = may_match(own, judged, ["i", "k"])
+    some = own.filter("may and i is not null").join(kept, ["i", "k"], "left_semi").dropDuplicates(["i", "k"])
+    out = some.unionByName(own.filter("not may or i is null"))
     return out.select(*[F.col(f"row.c{n}").alias(c) for n, c in enumerate(names)])

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from proofloom.llm import simhash
+from proofloom.llm import common, simhash
 from test_llm import docs_frame, low, sample_texts, split
 
 P = simhash.PRINTS
@@ -310,3 +310,42 @@ def test_one_doc_id_with_two_texts(spark):
     kept = Counter((r.doc_id, r.text) for r in simhash.deduplicated(docs_frame(spark, rows)).collect())
     assert sum(kept.values()) == 3 and kept[1, two] == 1 and kept[1, one] + kept[1, near] == 1
     assert sum(n for (i, t), n in kept.items() if i == 4) == 1
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for shuffles."""
+    jvm = spark._jvm
+    empty = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, empty, None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_texts_without_copies_are_not_shuffled(spark):
+    """As where tables are too large to be sent to all tasks: only the texts of copies, and of rows that repeat, go through a shuffle."""
+    rnd = random.Random(5)
+    text = lambda n: " ".join("%08x" % rnd.getrandbits(32) for _ in range(n))
+    rows = [(k, text(3000)) for k in range(120)]
+    rows += [(200, rows[3][1]), (3, rows[3][1]), (201, rows[7][1] + " more"), (None, "without a number"), (None, "without a number")]
+    size = sum(len(t) for _, t in rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs, at = docs_frame(spark, rows).cache(), shuffled(spark)
+        docs.count()
+        found = sorted((r.doc_id is None, r.doc_id or 0) for r in simhash.deduplicated(docs.select("doc_id", "text")).collect())
+        moved = shuffled(spark) - at
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert found == [(False, k) for k in range(120)] + [(True, 0)] * 2
+    assert moved < size / 2, (moved, size)
+
+
+def test_sieve_passes_all_matches(spark):
+    keys = spark.range(0, 40_000, 7).selectExpr("id AS i", "cast(id AS string) AS k")
+    rows = spark.range(40_000).selectExpr("id AS i", "cast(id AS string) AS k").union(spark.createDataFrame([(None, "7"), (7, None)], "i long, k string"))
+    for most, share in ((common.SIEVE_BITS, 1 / 16), (1 << 15, 0.2)):
+        out = common.may_match(rows, keys, ["i", "k"], most)
+        hit = {(r.i, r.k) for r in out.filter("may").collect()}
+        assert hit >= {(k, str(k)) for k in range(0, 40_000, 7)} and out.count() == 40_002
+        assert len(hit) - 40_000 / 7 <= share * 40_000 + 2
+    assert common.may_match(rows, keys.limit(0), ["i", "k"]).filter("may").isEmpty()
